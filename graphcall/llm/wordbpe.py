@@ -21,7 +21,7 @@ class WordEncoder:
     #: The file's own pre-tokens, on such words.
     _PIECE = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 
-    def __init__(self, path: str, cache_words: int = 250_000, longest: int = 64):
+    def __init__(self, path: str, cache_words: int = 1_000_000, cache_pieces: int = 600_000, longest: int = 64):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -31,20 +31,23 @@ class WordEncoder:
         self.table = str.maketrans(letters)
         self.words: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
-        self.cache_words, self.longest = cache_words, longest
+        self.cache_words, self.cache_pieces, self.longest = cache_words, cache_pieces, longest
+        self.tokenize = self.tokenizer.model.tokenize
 
     def _word(self, word: bytes) -> bytes:
-        if len(word) > self.longest or not self._PLAIN.fullmatch(word) or any(s in word for s in self.special):
+        if len(word) > self.longest or not self._PLAIN.fullmatch(word) or (b"<|" in word and any(s in word for s in self.special)):
             return array("I", self.tokenizer.encode(word.decode(), add_special_tokens=False).ids).tobytes()
-        out, known = [], self.pieces
-        for piece in self._PIECE.findall(word.decode().lower()):
-            ids = known.get(piece)
-            if ids is None:
-                if len(known) >= self.cache_words:
-                    known.clear()
-                ids = known[piece] = array("I", [t.id for t in self.tokenizer.model.tokenize(piece.translate(self.table))]).tobytes()
-            out.append(ids)
-        return b"".join(out)
+        known, text = self.pieces, word.decode().lower()
+        pieces = self._PIECE.findall(text)
+        try:
+            return known[text] if len(pieces) == 1 else b"".join([known[p] for p in pieces])
+        except KeyError:
+            if len(known) >= self.cache_pieces:
+                known.clear()
+            for p in pieces:
+                if p not in known:
+                    known[p] = array("I", [t.id for t in self.tokenize(p if p.isascii() else p.translate(self.table))]).tobytes()
+            return b"".join([known[p] for p in pieces])
 
     def __call__(self, text: str | None) -> bytes:
         """The ids of one text as little-endian unsigned 32-bit integers; null and empty give none."""
