@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphcall.llm import chat, exact_dedup, line_dedup, packing, quality, sharding, token_files
+from graphcall.llm import chat, exact_dedup, jaccard_join, line_dedup, packing, quality, sharding, token_files, tree_bpe
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=0, capacity=2048)
 
 
+def op5_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.judged(docs, with_text=False).drop("text", "clean_text")
@@ -62,6 +66,10 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_links(table(spark, sf_dir, "documents"), size=5, threshold=0.8)
+
+
 #: Bytes of text that a shard may hold.
 SHARD_BYTES = 64 * 2**20
 
@@ -104,7 +112,7 @@ FROM r GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op2_exact_dedup, op3_line_dedup, op4_packing, op7_quality_rules, op8_chat_format, op10_sharding)}
+    return {f.__name__: f for f in (op1_token_files, op2_exact_dedup, op3_line_dedup, op4_packing, op5_tree_bpe, op7_quality_rules, op8_chat_format, op9_jaccard_join, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
