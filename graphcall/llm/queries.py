@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphcall.llm import chat, exact_dedup, jaccard_join, line_dedup, packing, quality, sharding, token_files, tree_bpe
+from graphcall.llm import chat, exact_dedup, jaccard_join, line_dedup, packing, pii, quality, sharding, token_files, tree_bpe
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,11 @@ def op5_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.scanned(docs, with_text=False).drop("text", "redacted_text")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.judged(docs, with_text=False).drop("text", "clean_text")
@@ -112,7 +117,7 @@ FROM r GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op2_exact_dedup, op3_line_dedup, op4_packing, op5_tree_bpe, op7_quality_rules, op8_chat_format, op9_jaccard_join, op10_sharding)}
+    return {f.__name__: f for f in (op1_token_files, op2_exact_dedup, op3_line_dedup, op4_packing, op5_tree_bpe, op6_pii, op7_quality_rules, op8_chat_format, op9_jaccard_join, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
