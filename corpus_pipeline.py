@@ -1,12 +1,57 @@
-"""The corpus pipeline: stages that each read what the one before them wrote."""
+"""The corpus pipeline: quality rules, line deduplication, near duplicates, personal data, packing.
+
+Each stage works on all that the one before it kept, and reads it from Parquet. All but the
+last return the columns of ``documents``, with ``n_chars`` as the text then is.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from graphcall.llm import jaccard_join, line_dedup, packing, pii, quality
 from graphcall.llm.shared import stored
 
-STAGES: list = []
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.char_length(F.coalesce("text", F.lit(""))).cast("long")).select(*COLUMNS)
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass, without the lines that fail."""
+    return _counted(quality.cleaned(docs))
+
+
+def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A line stays in the document of the smallest id that holds it."""
+    return _counted(line_dedup.without_repeated_lines(docs))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that links of five-word similarity 0.8 connect, the one with the smallest id stays."""
+    return jaccard_join.one_of_each_group(docs, size=5, threshold=0.8).select(*COLUMNS)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Marks stand in place of personal data."""
+    return _counted(pii.without_personal_data(docs))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document lies in sequences of 2048 tokens."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=0, capacity=2048)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", repeated_lines),
+    ("n-gram Jaccard join", near_duplicates),
+    ("PII", personal_data),
+    ("best-fit packing", packed),
+]
 
 #: Tokenizers and a trained model take part, so SQL can't express it.
 ORACLE_SQL = None
@@ -14,6 +59,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs if k == 0 else stored(docs, "stage"), sf_dir)
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, stored(docs, "stage") if k else docs, sf_dir)
     return docs
