@@ -47,7 +47,7 @@ def duplicate_decisions(
         rows = _with_ordinals(source, clashes, chunk_hash)
     rows = stored(rows.groupBy("doc_id", "text_sha256", "recipe").agg(F.count("*").alias("copies")), "recipes")
 
-    groups = rows.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"))
+    groups = stored(rows.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size")), "recipe-groups")
     # A recipe that very many rows share is a skewed key of this join, which adaptive execution splits.
     found = rows.join(groups, "recipe").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     stays = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)
