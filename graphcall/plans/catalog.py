@@ -2,18 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/supplier.parquet")
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+from graphcall.plans import genotype_queries, graph_queries, read_queries  # noqa: F401  registers
+from graphcall.plans.registry import oracle_sql, queries  # noqa: F401
 
 
-def oracle_sql() -> dict[str, str]:
-    return {}
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads to fragments to counts to genotypes: one row for each site and sample."""
+    return queries()["combined_genotype"](spark, sf_dir)
