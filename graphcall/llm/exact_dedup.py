@@ -56,7 +56,8 @@ def duplicate_decisions(
 
 def _with_ordinals(source: DataFrame, clashes: DataFrame, chunk_hash: Callable[[Column], Column]) -> DataFrame:
     """Recipes where some hashes stand for several chunks: those chunks are looked up by their text."""
-    row = source.select("doc_id", F.sha2("text", 256).alias("text_sha256"), F.monotonically_increasing_id().alias("row"), F.posexplode_outer(chunks(F.col("text"))).alias("place", "chunk"))
+    row = source.select("doc_id", F.sha2("text", 256).alias("text_sha256"), F.monotonically_increasing_id().alias("row"), chunks(F.col("text")).alias("chunks"))
+    row = row.select("doc_id", "text_sha256", "row", F.posexplode_outer("chunks").alias("place", "chunk"))
     row = stored(row.withColumn("hash", chunk_hash(F.col("chunk")).cast("long")), "chunk-rows")
     row = row.join(clashes.select("hash", "chunk", "ordinal"), ["hash", "chunk"], "left")
     part = F.when(F.col("place").isNotNull(), F.struct("place", "hash", F.coalesce("ordinal", F.lit(0)).alias("ordinal")))

@@ -151,7 +151,7 @@ def jaccard_links(
     met = stored(member.join(buckets, ["band", "hash"]), "met")
 
     large = met.where(F.col("m") > small).select("key", F.xxhash64("band", "hash").alias("bucket"))
-    heads = large.groupBy("bucket").agg(F.min("key").alias("head"))
+    heads = stored(large.groupBy("bucket").agg(F.min("key").alias("head")), "heads")
     clusters = components(large.join(heads, "bucket").select(F.col("key").alias("a"), F.col("head").alias("b")))
 
     lists = met.where(F.col("m") <= small).groupBy("band", "hash").agg(F.sort_array(F.collect_list(F.struct("key", "n"))).alias("keys"))

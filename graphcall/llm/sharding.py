@@ -89,8 +89,10 @@ def shard_rows(docs: DataFrame, limit: int, *, id_col: str = "doc_id", text_col:
 def write_shards(docs: DataFrame, path: str, limit: int, *, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Writes ``docs`` to ``path``, a folder ``shard=<bits>`` for each shard.
 
-    Of rows that repeat id and text, the other columns are taken from one of them.
+    Of rows that repeat id and text, the other columns are taken from one of them; a column named
+    shard is replaced.
     """
+    docs = docs.drop("shard")
     doc, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
     rows = docs.withColumns({"_doc": doc, "_content": F.xxhash64(doc, text.isNull(), text)}).dropDuplicates(["_doc", "_content"])
     place = shard_rows(docs, limit, id_col=id_col, text_col=text_col).select(F.col("doc_id").alias("_id"), F.col("content").alias("_c"), F.concat(F.lit("b"), "shard").alias("shard"))
