@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphcall.functions import cigar, sequence
-from graphcall.operators import alleles, graphs, matching
+from graphcall.operators import alleles, building, graphs, matching
 from graphcall.plans.registry import Views, query
 
 
@@ -447,3 +447,32 @@ def symbolic_alleles(v: Views) -> DataFrame:
 def left_shift(v: Views) -> DataFrame:
     rows = v.bases.select("id", "seq", (F.col("id") % 7 + 6).alias("start"), (F.col("id") % 7 + 6 - F.when(F.col("id") % 2 == 0, 1).otherwise(-1)).alias("end"), F.when(F.col("id") % 2 == 0, F.substring("seq", 5, 2)).otherwise("").alias("alt"))
     return alleles.left_shifted(rows)
+
+
+# Graphs from variants: deletions, insertions and replacements of a block.
+
+BLOCKS = "s AS (SELECT id % 60 AS block, id, pos AS start, pos + CASE WHEN id % 3 = 1 THEN -1 ELSE length(ref) - 1 END AS stop, CASE WHEN id % 3 = 0 THEN '' ELSE alt END AS alt FROM variants)"
+REFS = """e AS (SELECT block, start AS at0 FROM s UNION SELECT block, stop + 1 FROM s UNION SELECT block, greatest(min(start) - 150, 0) FROM s GROUP BY 1 UNION SELECT block, max(stop) + 151 FROM s GROUP BY 1),
+r AS (SELECT block, at0 AS start, lead(at0) OVER (PARTITION BY block ORDER BY at0) - 1 AS stop FROM e),
+n AS (SELECT block, 'ref' AS kind, start, stop, CAST(NULL AS STRING) AS seq, 'ref-' || CAST(start AS STRING) || '-' || CAST(stop AS STRING) AS name FROM r WHERE stop IS NOT NULL
+  UNION ALL SELECT DISTINCT block, 'alt', start, stop, alt, CAST(start AS STRING) || '-' || CAST(stop AS STRING) || ':' || alt FROM s WHERE alt <> '')"""
+
+
+def _blocks(v: Views) -> DataFrame:
+    stop = F.col("pos") + F.when(F.col("id") % 3 == 1, F.lit(-1)).otherwise(F.char_length("ref") - 1)
+    return v.variants.select((F.col("id") % 60).alias("block"), "id", F.col("pos").alias("start"), stop.alias("stop"), F.when(F.col("id") % 3 == 0, F.lit("")).otherwise(F.col("alt")).alias("alt"))
+
+
+@query(f"WITH {BLOCKS}, {REFS} SELECT block, kind, name, start, stop, seq FROM n")
+def variant_graph_nodes(v: Views) -> DataFrame:
+    return building.graph_nodes(_blocks(v), ["block"])
+
+
+@query(f"""WITH {BLOCKS}, {REFS}, l AS (SELECT block, name AS a, stop + 1 AS p FROM n WHERE kind = 'ref'), q AS (SELECT block, name AS b, start AS p FROM n WHERE kind = 'ref')
+SELECT l.block, a, b, 'REF' AS label FROM l JOIN q USING (block, p)
+UNION SELECT n.block, l.a, n.name, 'ALT' FROM n JOIN l ON l.block = n.block AND l.p = n.start WHERE kind = 'alt'
+UNION SELECT n.block, n.name, q.b, 'ALT' FROM n JOIN q ON q.block = n.block AND q.p = n.stop + 1 WHERE kind = 'alt'
+UNION SELECT s.block, l.a, q.b, 'ALT' FROM s JOIN l ON l.block = s.block AND l.p = s.start JOIN q ON q.block = s.block AND q.p = s.stop + 1 WHERE s.alt = '' AND s.stop >= s.start""")
+def variant_graph_edges(v: Views) -> DataFrame:
+    rows = _blocks(v)
+    return building.graph_edges(building.graph_nodes(rows, ["block"]), rows, ["block"])
