@@ -227,9 +227,14 @@ def _verify(threshold: float) -> Callable:
 
 def _cluster_links(sets: DataFrame, clusters: DataFrame, threshold: float) -> DataFrame:
     """For each block pair and set: key, links (copies of the sets linked to it there) and a root that its links lead to."""
-    own = sets.join(clusters.select(F.col("node").alias("key"), F.col("label").alias("cluster")), "key").withColumn("bytes", F.octet_length("shingles"))
-    shape = own.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
-    own = own.join(shape, "cluster").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    # Where each set belongs is settled on narrow rows, of which a large cluster's are split by
+    # adaptive execution; the sets themselves are then dealt by their own keys.
+    place = clusters.select(F.col("node").alias("key"), F.col("label").alias("cluster"))
+    place = stored(place.join(sets.select("key", F.octet_length("shingles").alias("bytes")), "key"), "cluster-sets")
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int")
+    shape = stored(place.groupBy("cluster").agg(blocks.alias("blocks")), "cluster-shapes")
+    place = stored(place.join(shape, "cluster").select("key", "cluster", "blocks"), "cluster-blocks")
+    own = sets.join(place, "key").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     own = own.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "copies", "shingles")
     return own.groupBy("cluster", "i", "j").applyInPandas(_block(threshold), "key binary, links long, root binary")
