@@ -204,7 +204,8 @@ def pack(pieces: DataFrame, capacity: int, *, rounds: int = 3000) -> DataFrame:
 
     slice_sizes = counts.withColumn("earlier", F.sum("n").over(Window.partitionBy("length").orderBy("slice")) - F.col("n")).drop("n")
     order = Window.partitionBy("length", "slice").orderBy("doc_id", "piece", "start", "ids_crc32")
-    ranked = rows.withColumn("row", F.row_number().over(order) - 1).join(slice_sizes, ["length", "slice"])
+    # Both sides are dealt by length and slice already; a merge sends nothing to the driver, however many slices there are.
+    ranked = rows.withColumn("row", F.row_number().over(order) - 1).join(slice_sizes.hint("merge"), ["length", "slice"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("row") + F.col("earlier")).alias("rank"))
     return ranked.mapInArrow(_places(flat), f"{PIECES}, sequence_id long, offset long")
 
