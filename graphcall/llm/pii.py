@@ -246,6 +246,23 @@ class Crf:
         own = [self.features[place + f] for f in classes if place + f in self.features]
         return self.weights[own].sum(0) if own else np.zeros(len(LABELS), np.float32)
 
+    def plain_margin(self, most: int = 60) -> int | None:
+        """The p for which, in 2 p plain words among plain words, the p-th is O on every best path.
+
+        All such words have one score by label, so the best sums over n words, from each label to
+        each, are a max-plus power. If O at the p-th word beats every other label there, whatever
+        stands before and at the end, then every word of a longer run with p words on either side is O.
+        """
+        own = sum(self.scores(("letters",), p) for p in ("0:", "-1:", "+1:"))
+        step = (self.moves + own[None, :]).astype(np.float64)
+        power = step
+        for p in range(1, most + 1):
+            through = power[:, :, None] + power[None, :, :]  # before, at the p-th word, at the end
+            if (through[:, 0] > through[:, 1:].max(1) + 1e-3).all():
+                return p
+            power = (power[:, :, None] + step[None, :, :]).max(1)
+        return None
+
 
 def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
     top = x.max(axis, keepdims=True)
@@ -279,6 +296,7 @@ class Tagger:
         self.words: dict[str, int] = {}
         self.classes: dict[tuple[str, ...], int] = {("letters",): 0}
         self.table = np.stack([[model.scores(("letters",), p)] for p in ("0:", "-1:", "+1:")])
+        self.margin = model.plain_margin()
 
     def _class(self, word: str) -> int:
         own = word_class(word)
@@ -307,16 +325,20 @@ class Tagger:
 
     def spans(self, texts: list[str]) -> list[list[tuple[int, int, int]]]:
         """(start, number of the kind, end) that the CRF finds in each text, unchecked."""
-        numbers = [self.class_numbers(text.split()) for text in texts]
-        order = sorted((len(at), i) for i, at in enumerate(numbers) if len(at))
+        numbers, open_ = [], []
+        for i, text in enumerate(texts):
+            at = self.class_numbers(text.split())
+            numbers.append(at)
+            open_ += [(b - a, i, a) for a, b in self._stretches(at)]
+        open_.sort()
         found: dict[int, list[tuple[int, int]]] = {}
         k = 0
-        while k < len(order):
-            # Texts of like size, of bounded cells in all.
+        while k < len(open_):
+            # Stretches of like size, of bounded cells in all.
             stop = k + 1
-            while stop < len(order) and order[stop][0] <= 2 * order[k][0] and (stop - k) * order[stop][0] < 100_000:
+            while stop < len(open_) and 4 * open_[stop][0] <= 5 * open_[k][0] and (stop - k) * open_[stop][0] < 100_000:
                 stop += 1
-            self._label(numbers, [i for _, i in order[k:stop]], found)
+            self._label(numbers, open_[k:stop], found)
             k = stop
         out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
         for i, labels in found.items():
@@ -330,16 +352,30 @@ class Tagger:
                     out[i].append((places[k][0], (label[k] - 1) // 2, places[end][1]))
         return out
 
-    def _label(self, numbers: list[np.ndarray], chosen: list[int], found: dict[int, list[tuple[int, int]]]) -> None:
-        sizes = np.array([len(numbers[i]) for i in chosen])
+    def _stretches(self, at: np.ndarray) -> list[tuple[int, int]]:
+        """Where labels are open: all words but those so far inside plain runs that they are O on every best path."""
+        n = len(at)
+        if self.margin is None or n == 0:
+            return [(0, n)] if n else []
+        reach = self.margin + 1
+        live = np.flatnonzero(at)
+        # The ends of the text count as words that are not plain.
+        centres = np.concatenate([[-1], live, [n]])
+        low, high = np.maximum(centres - reach, 0), np.minimum(centres + reach + 1, n)
+        fresh = np.flatnonzero(low[1:] > high[:-1]) + 1
+        return list(zip(low[np.concatenate([[0], fresh])].tolist(), high[np.concatenate([fresh - 1, [len(centres) - 1]])].tolist(), strict=True))
+
+    def _label(self, numbers: list[np.ndarray], chosen: list[tuple[int, int, int]], found: dict[int, list[tuple[int, int]]]) -> None:
+        sizes = np.array([n for n, _, _ in chosen])
         grid = np.zeros((len(chosen), int(sizes.max()) + 2), np.int64)  # a plain word stands before and after
-        for row, i in enumerate(chosen):
-            grid[row, 1 : sizes[row] + 1] = numbers[i]
+        for row, (n, i, a) in enumerate(chosen):
+            grid[row, 1 : n + 1] = numbers[i][a : a + n]
         scores = self.table[0][grid[:, 1:-1]] + self.table[1][grid[:, :-2]] + self.table[2][grid[:, 2:]]
         labels = viterbi(scores, sizes, self.model.moves)
         for row, at in zip(*np.nonzero(labels), strict=True):
-            if at < sizes[row]:
-                found.setdefault(chosen[row], []).append((int(at), int(labels[row, at])))
+            n, i, a = chosen[row]
+            if at < n:
+                found.setdefault(i, []).append((a + int(at), int(labels[row, at])))
 
 
 _AT_DOT = re.compile(r"\S+ ?(?:@|[\[(]at[\])]| at ) ?\S+(?:\.|[\[(]dot[\])]| dot )\S*|\S+ [\[(]?at[\])]? \S+ [\[(]?dot[\])]? \S+", re.I)

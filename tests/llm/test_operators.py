@@ -218,6 +218,15 @@ def test_crf_on_held_out_rows():
     assert hits >= 0.9 * total and wrong <= 0.1 * total
 
 
+def test_crf_skips_only_what_is_certain():
+    sure, whole = pii.Tagger(pii.trained_model()), pii.Tagger(pii.trained_model())
+    assert sure.margin is not None
+    whole.margin = None
+    rows = pii.labelled_table(120, seed=5)
+    texts = [" ".join(w) for w, _ in rows] + ["plain " * k + " ".join(rows[k][0]) + " word" * 90 + " at " + " ".join(rows[k + 1][0]) for k in range(60)] + ["", "one", "two words", "w " * 500]
+    assert sure.spans(texts) == whole.spans(texts)
+
+
 def test_quality(docs, empty):
     def repeated(words):
         n = collections.Counter(zip(words, words[1:], words[2:], strict=False))
