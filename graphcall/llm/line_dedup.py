@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from graphcall.llm.shared import ascii_lower, new_path, partitions, stored
 
 BLANK = " \t\n\x0b\f\r"
+#: Columns that the operator makes; columns of these names in its input are left out.
+RESERVED = ("_doc", "_hash", "_lines", "_dropped", "_kept_text")
 
 
 def line_hash(key: Column) -> Column:
@@ -91,6 +93,7 @@ def line_decisions(
     Empty tables give no rows; other columns are kept.
     """
     spark = docs.sparkSession
+    docs = docs.drop(*RESERVED)
     smallest = F.lit(-(2**63)).cast("long")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     doc = F.coalesce(F.col(id_col).cast("long"), smallest)
@@ -121,4 +124,4 @@ def line_decisions(
 def without_repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with the text that line deduplication leaves, and all its other columns as they were."""
     rows = line_decisions(docs, id_col=id_col, text_col=text_col, **options)
-    return rows.withColumn(text_col, F.col("_kept_text")).select(*docs.columns)
+    return rows.withColumn(text_col, F.col("_kept_text")).select(*docs.drop(*RESERVED).columns)

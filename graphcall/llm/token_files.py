@@ -3,7 +3,7 @@
 A segment holds whole documents and is laid out, little-endian, as
 
     magic "PFR1" | documents u32 | blocks u32 | ids u64
-    document ids i64 (the last bit pattern of a null id is not used: see ``nulls``) | nulls u8
+    document ids i64 (zero where the id is null) | whether each id is null u8
     ids of each document u32
     block starts u32: bytes from the start of the block area to each block, and its end
     blocks: minimum u32 | width u8 | exceptions u16 | packed | exception places u16 | exception values u32
