@@ -26,6 +26,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Above every rank.
+NO_MERGE = 1 << 40
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: White space as Unicode has it; the regex library's \s has the separators U+001C to U+001F besides.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -43,11 +45,11 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class TreeBpe:
-    def __init__(self, ranks: dict[bytes, int], pattern: str, *, leaf: int = 16, cached: int = 600_000, longest: int = 48):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, *, leaf: int = 16, cached: int = 600_000, cached_matches: int = 1_000_000, longest: int = 48):
         self.ranks, self.bytes_of = ranks, {n: b for b, n in ranks.items()}
         self.find = _pattern(pattern).findall
         self.white_space = re.compile(f"[{WHITE}] ").search
-        self.leaf, self.cached, self.longest = leaf, cached, longest
+        self.leaf, self.cached, self.cached_matches, self.longest = leaf, cached, cached_matches, longest
         self.pairs: dict[tuple[int, int], bool] = {}
         self.matches: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
@@ -57,18 +59,19 @@ class TreeBpe:
         if len(raw) > 64:
             return self._merged_long(raw)
         parts, get = [raw[k : k + 1] for k in range(len(raw))], self.ranks.get
-        gains = [get(a + b) for a, b in zip(parts, parts[1:], strict=False)]
-        while True:
-            best = min((g for g in gains if g is not None), default=None)
-            if best is None:
-                return [self.ranks[p] for p in parts]
+        gains = [get(raw[k : k + 2], NO_MERGE) for k in range(len(raw) - 1)]
+        while gains:
+            best = min(gains)
+            if best == NO_MERGE:
+                break
             k = gains.index(best)
-            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            parts[k] += parts.pop(k + 1)
             del gains[k]
             if k < len(gains):
-                gains[k] = get(parts[k] + parts[k + 1])
+                gains[k] = get(parts[k] + parts[k + 1], NO_MERGE)
             if k:
-                gains[k - 1] = get(parts[k - 1] + parts[k])
+                gains[k - 1] = get(parts[k - 1] + parts[k], NO_MERGE)
+        return [self.ranks[p] for p in parts]
 
     def _merged_long(self, raw: bytes) -> list[int]:
         """The same with a heap of merges and links between parts."""
@@ -130,7 +133,7 @@ class TreeBpe:
             rank = self.ranks.get(raw)  # a whole match that is a token is that token
             known = array("I", self.tree(raw) if rank is None else [rank]).tobytes()
             if len(match) <= self.longest:
-                if len(self.matches) >= self.cached:
+                if len(self.matches) >= self.cached_matches:
                     self.matches.clear()
                 self.matches[match] = known
         return known
