@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -81,3 +81,26 @@ def symbolic_allele(kind: Column, ref_segment: Column, inserted: Column) -> Colu
     return (
         F.when(kind == "<DEL>", F.lit("")).when(kind == "<INS>", F.concat(ref_segment, inserted)).when(kind == "<DUP>", F.concat(ref_segment, ref_segment)).when(kind == "<INV>", complement).otherwise(kind)
     )
+
+
+def right_shifted(rows: DataFrame) -> DataFrame:
+    """Deletions and insertions of ``rows`` (id, seq, start, end, alt) at their rightmost place; the mirror of :func:`left_shifted`."""
+    n = F.char_length("seq")
+    mirror = lambda d, size: d.select("id", F.reverse("seq").alias("seq"), (size - 1 - F.col("end")).alias("start"), (size - 1 - F.col("start")).alias("end"), F.reverse("alt").alias("alt"))
+    moved = left_shifted(mirror(rows, n)).withColumnRenamed("alt", "back")
+    whole = rows.select("id", n.alias("size"))
+    return moved.join(whole, "id").select("id", (F.col("size") - 1 - F.col("end")).alias("start"), (F.col("size") - 1 - F.col("start")).alias("end"), F.reverse("back").alias("alt"))
+
+
+def gapped_differences(rows: DataFrame) -> DataFrame:
+    """Variants between two gapped strings of one length (id, ref, alt): start and stop on the bases of ref, and both sides' bases.
+
+    Columns that differ and touch are one variant; stop is start - 1 for an insertion.
+    """
+    cells = rows.select("id", F.posexplode(F.arrays_zip(F.split("ref", "").alias("r"), F.split("alt", "").alias("a"))).alias("k", "c")).select("id", "k", F.col("c.r").alias("r"), F.col("c.a").alias("a"))
+    order = Window.partitionBy("id").orderBy("k")
+    base = F.sum((F.col("r") != "-").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    cells = cells.withColumns({"base": F.coalesce(base, F.lit(0)), "same": F.sum((F.col("r") == F.col("a")).cast("long")).over(order)}).where("r <> a")
+    text = lambda c: F.replace(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", c))), lambda x: x[c]), ""), F.lit("-"), F.lit(""))
+    out = cells.groupBy("id", "same").agg(F.min("base").alias("start"), text("r").alias("ref"), text("a").alias("alt"))
+    return out.select("id", "start", (F.col("start") + F.char_length("ref") - 1).alias("stop"), "ref", "alt")

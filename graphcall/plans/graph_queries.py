@@ -476,3 +476,15 @@ UNION SELECT s.block, l.a, q.b, 'ALT' FROM s JOIN l ON l.block = s.block AND l.p
 def variant_graph_edges(v: Views) -> DataFrame:
     rows = _blocks(v)
     return building.graph_edges(building.graph_nodes(rows, ["block"]), rows, ["block"])
+
+
+_GAPPED = "g AS (SELECT id, rpad(substring(seq, 1, 18), 18, '-') AS ref, rpad(replace(substring(seq, 3, 18), 'A', '-'), 18, '-') AS alt FROM bases)"
+
+
+@query(f"""WITH {_GAPPED}, c AS (SELECT id, k, substring(ref, k, 1) AS r, substring(alt, k, 1) AS a FROM (SELECT *, unnest(range(1, 19)) AS k FROM g)),
+b AS (SELECT *, coalesce(sum(CASE WHEN r <> '-' THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base, sum(CASE WHEN r = a THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY k) AS same FROM c)
+SELECT id, CAST(min(base) AS BIGINT) AS start, CAST(min(base) + length(replace(string_agg(r, '' ORDER BY k), '-', '')) - 1 AS BIGINT) AS stop, replace(string_agg(r, '' ORDER BY k), '-', '') AS ref, replace(string_agg(a, '' ORDER BY k), '-', '') AS alt
+FROM b WHERE r <> a GROUP BY id, same""")
+def gapped_differences(v: Views) -> DataFrame:
+    cut = lambda at: F.substring("seq", at, 18)
+    return alleles.gapped_differences(v.bases.select("id", F.rpad(cut(1), 18, "-").alias("ref"), F.rpad(F.replace(cut(3), F.lit("A"), F.lit("-")), 18, "-").alias("alt")))

@@ -103,3 +103,14 @@ def test_windowed_counts_as_a_stream(spark, tmp_path):
     query.stop()
     got = {tuple(r) for r in spark.table("windows").collect()}
     assert got == {tuple(r) for r in support.windowed_counts(rows).collect()} and len(got) > 20
+
+
+def test_right_shift(spark):
+    rows = spark.createDataFrame([(1, "ACGTTTTA", 3, 3, ""), (2, "ACGTTTTA", 3, 2, "T"), (3, "ACACACG", 0, 1, ""), (4, "TTTNA", 0, 0, "")], "id int, seq string, start int, end int, alt string")
+    got = {r.id: (r.start, r.end, r.alt) for r in alleles.right_shifted(rows).collect()}
+    assert got == {1: (6, 6, ""), 2: (7, 6, "T"), 3: (4, 5, ""), 4: (2, 2, "")}
+
+
+def test_gapped_differences(spark):
+    rows = spark.createDataFrame([(1, "AC-GTTA", "ACCG--T"), (2, "ACGT", "ACGT")], "id int, ref string, alt string")
+    assert {(r.start, r.stop, r.ref, r.alt) for r in alleles.gapped_differences(rows).collect()} == {(2, 1, "", "C"), (3, 5, "TTA", "T")}
