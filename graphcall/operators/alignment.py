@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphcall.functions import sequence
 
@@ -107,3 +108,57 @@ def graph_scores(reads: DataFrame, nodes: list[tuple[int, str]], edges: list[tup
             yield pd.DataFrame({"id": rows["id"], "score": np.where(turn, s2, s1), "end_node": np.where(turn, n2, n1), "reverse": turn, "is_unique": np.where(turn, u2, u1)})
 
     return reads.select(F.col("id").cast("long"), "seq").mapInPandas(run, "id long, score long, end_node long, reverse boolean, is_unique boolean")
+
+
+def _global(ref: str, alt: str, match: int, mismatch: int, gap_open: int, gap_extend: int) -> tuple[int, str, str]:
+    """Score of the best end-to-end alignment of two strings, and both with ``-`` where the other has bases.
+
+    One vector step for each base of ``ref``; three bytes are kept for each pair of bases. Of equal
+    scores a pair of bases goes before a deletion, a deletion before an insertion.
+    """
+    n, m, low = len(ref), len(alt), -(10**9)
+    bases = np.array([ord(c) for c in alt], np.int64)
+    step = np.arange(m + 1) * -gap_extend
+    h, down = gap_open - step, np.full(m + 1, low)
+    h[0] = 0
+    way, longer_down, longer_across = np.ones((n, m + 1), np.uint8), np.zeros((n, m + 1), bool), np.zeros((n, m + 1), bool)
+    for i, base in enumerate(ref):
+        longer_down[i] = down > h + gap_open
+        down = np.maximum(down, h + gap_open) + gap_extend
+        pair = np.append(low, h[:-1] + np.where(bases == ord(base), match, mismatch))
+        best = np.maximum(pair, down)
+        across = np.append(low, np.maximum.accumulate(best + step)[:-1] - step[1:] + gap_open)
+        h = np.maximum(best, across)
+        longer_across[i, 1:] = across[:-1] > h[:-1] + gap_open
+        way[i] = np.where(h == pair, 0, np.where(h == down, 1, 2))
+    i, j, state, columns = n, m, 0, []
+    while i or j:
+        now = state or (int(way[i - 1, j]) if i else 2)
+        if now == 2:
+            columns.append(("-", alt[j - 1]))
+            state = 2 if not i or longer_across[i - 1, j] else 0
+            j -= 1
+        elif now == 1:
+            columns.append((ref[i - 1], "-"))
+            state = 1 if longer_down[i - 1, j] else 0
+            i -= 1
+        else:
+            columns.append((ref[i - 1], alt[j - 1]))
+            i, j = i - 1, j - 1
+    columns.reverse()
+    return int(h[m]), "".join(c[0] for c in columns), "".join(c[1] for c in columns)
+
+
+def global_alignments(rows: DataFrame, *, match: int = 1, mismatch: int = -4, gap_open: int = -5, gap_extend: int = -1) -> DataFrame:
+    """``rows`` (ref, alt, ...) with score, gapped_ref and gapped_alt of their end-to-end alignment; null counts as empty.
+
+    Each row stands by itself, so nothing is shuffled.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            found = [_global(r or "", a or "", match, mismatch, gap_open, gap_extend) for r, a in zip(part["ref"], part["alt"], strict=True)]
+            yield part.assign(score=[f[0] for f in found], gapped_ref=[f[1] for f in found], gapped_alt=[f[2] for f in found])
+
+    rows = rows.drop("score", "gapped_ref", "gapped_alt")
+    return rows.mapInPandas(run, T.StructType([*rows.schema, *T.StructType.fromDDL("score long, gapped_ref string, gapped_alt string")]))

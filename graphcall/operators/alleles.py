@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphcall.operators import alignment
+
 
 def shared_prefix(a: Column, b: Column) -> Column:
     """Number of leading bases that two strings share."""
@@ -104,3 +106,33 @@ def gapped_differences(rows: DataFrame) -> DataFrame:
     text = lambda c: F.replace(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", c))), lambda x: x[c]), ""), F.lit("-"), F.lit(""))
     out = cells.groupBy("id", "same").agg(F.min("base").alias("start"), text("r").alias("ref"), text("a").alias("alt"))
     return out.select("id", "start", (F.col("start") + F.char_length("ref") - 1).alias("stop"), "ref", "alt")
+
+
+def realigned(rows: DataFrame) -> DataFrame:
+    """Variants (id, pos, ref, alt; id is unique) as substitutions, insertions and deletions of their end-to-end alignment.
+
+    Each base that differs is a row of its own; stop is start - 1 for an insertion. Where a side has
+    fewer than two bases, the two are held against each other from the left and nothing is aligned.
+    """
+    rows = rows.select("id", F.col("pos").cast("long"), F.coalesce("ref", F.lit("")).alias("ref"), F.coalesce("alt", F.lit("")).alias("alt"))
+    size = F.greatest(F.char_length("ref"), F.char_length("alt"))
+    short = F.least(F.char_length("ref"), F.char_length("alt")) < 2
+    plain = rows.where(short).select("id", "pos", F.rpad("ref", size, F.lit("-")).alias("gapped_ref"), F.rpad("alt", size, F.lit("-")).alias("gapped_alt"))
+    found = alignment.global_alignments(rows.where(~short)).select(plain.columns).unionByName(plain)
+    cells = found.select("id", "pos", F.posexplode(F.arrays_zip(F.split("gapped_ref", "").alias("r"), F.split("gapped_alt", "").alias("a"))).alias("k", "c"))
+    cells = cells.select("id", "pos", "k", "c.r", "c.a").where("r <> ''")
+    kind = F.when(F.col("r") == "-", "insertion").when(F.col("a") == "-", "deletion").when(F.col("r") == F.col("a"), "same").otherwise("substitution")
+    order = Window.partitionBy("id").orderBy("k")
+    base = F.sum((F.col("r") != "-").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    cells = cells.withColumns({"kind": kind, "base": F.coalesce(base, F.lit(0))})
+    begins = (F.col("kind") == "substitution") | (F.col("kind") != F.coalesce(F.lag("kind").over(order), F.lit("")))
+    cells = cells.withColumn("run", F.sum(begins.cast("long")).over(order)).where("kind <> 'same'")
+    text = lambda c: F.replace(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", c))), lambda x: x[c]), ""), F.lit("-"), F.lit(""))
+    out = cells.groupBy("id", "run").agg(F.first("kind").alias("kind"), F.min(F.col("pos") + F.col("base")).alias("start"), text("r").alias("ref"), text("a").alias("alt"))
+    return out.select("id", "kind", "start", (F.col("start") + F.char_length("ref") - 1).alias("stop"), "ref", "alt")
+
+
+def substitution_counts(primitives: DataFrame, keys: list[str]) -> DataFrame:
+    """Transitions and transversions among substitutions (ref, alt)."""
+    change = is_transition(F.col("ref"), F.col("alt"))
+    return primitives.groupBy(*keys).agg(F.count_if(change).alias("transitions"), F.count_if(~change).alias("transversions"))

@@ -83,6 +83,17 @@ def levels(edges: DataFrame, keys: list[str], depth: int) -> DataFrame:
     return found
 
 
+def reachable(edges: DataFrame, keys: list[str], depth: int) -> DataFrame:
+    """Pairs of nodes (a, b) with a path of at least one edge between them, of at most ``depth`` in any case; lengths double in each round."""
+    found = cut(edges.select(*keys, "a", "b").distinct())
+    longest = 1
+    while longest < depth:
+        on = found.select(*keys, F.col("a").alias("mid"), "b")
+        found = cut(found.unionByName(found.withColumnRenamed("b", "mid").join(on, [*keys, "mid"]).select(*keys, "a", "b")).distinct())
+        longest *= 2
+    return found
+
+
 def allele_lengths(edges: DataFrame, lengths: DataFrame, keys: list[str]) -> DataFrame:
     """Summed length of the nodes that carry a label both on an edge in and on an edge out."""
     into = edges.select(*keys, F.col("b").alias("node"), "label").distinct()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphcall.functions import cigar, sequence
-from graphcall.operators import alleles, building, graphs, matching
+from graphcall.operators import alignment, alleles, building, graphs, haplotypes, matching
 from graphcall.plans.registry import Views, query
 
 
@@ -488,3 +488,80 @@ FROM b WHERE r <> a GROUP BY id, same""")
 def gapped_differences(v: Views) -> DataFrame:
     cut = lambda at: F.substring("seq", at, 18)
     return alleles.gapped_differences(v.bases.select("id", F.rpad(cut(1), 18, "-").alias("ref"), F.rpad(F.replace(cut(3), F.lit("A"), F.lit("-")), 18, "-").alias("alt")))
+
+
+@query(None)
+def global_alignment(v: Views) -> DataFrame:
+    return alignment.global_alignments(v.variants.select("id", "ref", "alt")).select("id", "score", "gapped_ref", "gapped_alt")
+
+
+@query(None)
+def realign_primitives(v: Views) -> DataFrame:
+    return alleles.realigned(v.variants)
+
+
+@query("""WITH p AS (SELECT id, unnest(range(1, least(length(ref), length(alt)) + 1)) AS i, ref, alt FROM variants), s AS (SELECT id, substring(ref, i, 1) AS r, substring(alt, i, 1) AS a FROM p)
+SELECT id % 20 AS batch, count(*) FILTER ((r || a) IN ('AG', 'GA', 'CT', 'TC')) AS transitions, count(*) FILTER ((r || a) NOT IN ('AG', 'GA', 'CT', 'TC')) AS transversions FROM s WHERE r <> a GROUP BY 1""")
+def transition_counts(v: Views) -> DataFrame:
+    rows = v.variants.select((F.col("id") % 20).alias("batch"), F.explode(alleles.substitutions(F.col("ref"), F.col("alt"))).alias("s"))
+    return alleles.substitution_counts(rows.select("batch", "s.ref", "s.alt"), ["batch"])
+
+
+# Paths of reads: each lies on a run of consecutive nodes of its site's graph.
+
+_PATHS = "r AS (SELECT DISTINCT l_orderkey AS fragment_id, l_partkey % 12 AS first, l_partkey % 12 + l_linenumber % 4 AS last FROM lineitem)"
+
+
+def _fragment_paths(v: Views) -> DataFrame:
+    first = F.col("l_partkey") % 12
+    reads = v.table("lineitem").select(F.col("l_orderkey").alias("fragment_id"), F.sequence(first, first + F.col("l_linenumber") % 4).alias("path"))
+    return haplotypes.fragment_paths(reads, ["fragment_id"])
+
+
+@query(f"""WITH {_PATHS}, b AS (SELECT *, max(last) OVER (PARTITION BY fragment_id ORDER BY first, last ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM r),
+g AS (SELECT *, sum(CASE WHEN seen >= first THEN 0 ELSE 1 END) OVER (PARTITION BY fragment_id ORDER BY first, last) AS n FROM b), m AS (SELECT fragment_id, min(first) AS first, max(last) AS last FROM g GROUP BY fragment_id, n)
+SELECT fragment_id, array_to_string(range(first, last + 1), '-') AS path FROM m""")
+def fragment_paths(v: Views) -> DataFrame:
+    return _fragment_paths(v).select("fragment_id", F.array_join(F.transform("path", lambda x: x.cast("string")), "-").alias("path"))
+
+
+@query(f"""WITH {_PATHS}, e AS (SELECT DISTINCT fragment_id, unnest(range(first, last)) AS a FROM r), f AS (SELECT fragment_id, string_agg(CAST(a AS STRING) || '-' || CAST(a + 1 AS STRING), ',' ORDER BY a) AS edges FROM e GROUP BY 1)
+SELECT fragment_id % 10 AS sample_id, edges, count(*) AS n FROM f GROUP BY 1, 2""")
+def path_families(v: Views) -> DataFrame:
+    paths = _fragment_paths(v).withColumn("sample_id", F.col("fragment_id") % 10)
+    text = F.array_join(F.transform("edges", lambda e: F.concat_ws("-", e["a"].cast("string"), e["b"].cast("string"))), ",")
+    return haplotypes.families(paths, ["sample_id"], "fragment_id").select("sample_id", text.alias("edges"), "n")
+
+
+def _chain_families(v: Views) -> DataFrame:
+    """Fragments cover the edges of two neighbouring windows of three nodes: through all nodes, past the forks, or all edges."""
+    window = F.explode(F.array_distinct(F.array(F.floor(F.col("a") / 3), F.floor((F.col("a") + 1) / 3)))).alias("at")
+    way = F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("way")
+    edges = v.chain.select("graph_id", "a", "b", window).select("*", way)
+    edges = edges.where("way = 2 OR way = 0 AND b = a + 1 OR way = 1 AND a % 4 <> 1 AND (a % 4 > 0 OR b = a + 2)")
+    sets = edges.groupBy("graph_id", "at", "way").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("edges"))
+    return sets.groupBy("graph_id", "edges").agg(F.count("*").alias("n"))
+
+
+@query("WITH RECURSIVE w AS (SELECT graph_id, a, b FROM chain UNION SELECT w.graph_id, w.a, c.b FROM w JOIN chain c ON c.graph_id = w.graph_id AND c.a = w.b) SELECT graph_id, a, b FROM w")
+def reachable_nodes(v: Views) -> DataFrame:
+    return graphs.reachable(v.chain, ["graph_id"], 14)
+
+
+@query("""WITH RECURSIVE w AS (SELECT graph_id, a, b FROM chain UNION SELECT w.graph_id, w.a, c.b FROM w JOIN chain c ON c.graph_id = w.graph_id AND c.a = w.b),
+e AS (SELECT DISTINCT graph_id, unnest([a // 3, (a + 1) // 3]) AS f, a, b FROM chain),
+k AS (SELECT graph_id, f * 3 + way AS f, a, b FROM e, (VALUES (0), (1), (2)) t(way) WHERE way = 2 OR way = 0 AND b = a + 1 OR way = 1 AND a % 4 <> 1 AND (a % 4 > 0 OR b = a + 2)),
+o AS (SELECT *, lag(b) OVER (PARTITION BY graph_id, f ORDER BY a, b) AS before FROM k),
+x AS (SELECT o.graph_id, o.f, bool_or(before IS NOT NULL AND before <> o.a AND w.a IS NULL) AS broken, string_agg(CAST(o.a AS STRING) || '-' || CAST(o.b AS STRING), ',' ORDER BY o.a, o.b) AS edges
+  FROM o LEFT JOIN w ON w.graph_id = o.graph_id AND w.a = o.before AND w.b = o.a GROUP BY 1, 2)
+SELECT graph_id, edges, count(*) AS n FROM x WHERE NOT broken GROUP BY 1, 2""")
+def linear_families(v: Views) -> DataFrame:
+    kept = haplotypes.linear(_chain_families(v), graphs.reachable(v.chain, ["graph_id"], 14), ["graph_id"])
+    text = F.array_join(F.transform("edges", lambda e: F.concat_ws("-", e["a"].cast("string"), e["b"].cast("string"))), ",")
+    return kept.select("graph_id", text.alias("edges"), "n")
+
+
+@query(None)
+def haplotype_paths(v: Views) -> DataFrame:
+    kept = haplotypes.linear(_chain_families(v), graphs.reachable(v.chain, ["graph_id"], 14), ["graph_id"])
+    return haplotypes.haplotypes(kept, ["graph_id"])

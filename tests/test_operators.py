@@ -1,9 +1,12 @@
 """Operators over small tables, formats and streams."""
 
+import random
+from functools import lru_cache
+
 from pyspark.sql import functions as F
 
 from graphcall.functions import cigar, sequence
-from graphcall.operators import alignment, alleles, graphs, intervals
+from graphcall.operators import alignment, alleles, graphs, haplotypes, intervals
 from graphcall.sources import files
 from graphcall.streaming import support
 
@@ -114,3 +117,73 @@ def test_right_shift(spark):
 def test_gapped_differences(spark):
     rows = spark.createDataFrame([(1, "AC-GTTA", "ACCG--T"), (2, "ACGT", "ACGT")], "id int, ref string, alt string")
     assert {(r.start, r.stop, r.ref, r.alt) for r in alleles.gapped_differences(rows).collect()} == {(2, 1, "", "C"), (3, 5, "TTA", "T")}
+
+
+def best_score(ref, alt):
+    """Brute force over the last column's kind: 0 pair, 1 deletion, 2 insertion."""
+
+    @lru_cache(None)
+    def at(i, j, kind):
+        if i == 0 and j == 0:
+            return 0 if kind == 0 else -(10**9)
+        if kind == 0:
+            return -(10**9) if not (i and j) else max(at(i - 1, j - 1, k) for k in range(3)) + (1 if ref[i - 1] == alt[j - 1] else -4)
+        i, j = (i - 1, j) if kind == 1 else (i, j - 1)
+        return -(10**9) if i < 0 or j < 0 else max(at(i, j, k) - (1 if k == kind else 6) for k in range(3))
+
+    return max(at(len(ref), len(alt), k) for k in range(3))
+
+
+def score_of(a, b):
+    total, kind = 0, 0
+    for x, y in zip(a, b, strict=True):
+        now = 1 if y == "-" else 2 if x == "-" else 0
+        total += (1 if x == y else -4) if not now else -1 if now == kind else -6
+        kind = now
+    return total
+
+
+def test_global_alignment(spark):
+    r = random.Random(3)
+    pairs = [("".join(r.choices("ACG", k=r.randrange(12))), "".join(r.choices("ACG", k=r.randrange(12)))) for _ in range(300)]
+    rows = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(pairs)] + [(300, None, "A"), (301, None, None)], "id int, ref string, alt string")
+    for x in alignment.global_alignments(rows).collect():
+        assert x.gapped_ref.replace("-", "") == (x.ref or "") and x.gapped_alt.replace("-", "") == (x.alt or "")
+        assert x.score == best_score(x.ref or "", x.alt or "") == score_of(x.gapped_ref, x.gapped_alt)
+
+
+def test_realigned(spark):
+    rows = spark.createDataFrame([(1, 100, "ACGTACGTAC", "ACGTTCGTAC"), (2, 50, "ACGTACGTTTGGA", "ACGTACGGA"), (3, 7, "AC", "AC"), (4, 9, "", "GG"), (5, 20, "A", "TTA"), (6, 1, None, "C")], "id int, pos int, ref string, alt string")
+    got = sorted(tuple(x) for x in alleles.realigned(rows).collect())
+    assert got[0] == (1, "substitution", 104, 104, "A", "T") and {x[0] for x in got[1:-4]} == {2}
+    assert got[-4:] == [(4, "insertion", 9, 8, "", "GG"), (5, "insertion", 21, 20, "", "TA"), (5, "substitution", 20, 20, "A", "T"), (6, "insertion", 1, 0, "", "C")]
+    assert sum(len(x[4]) - len(x[5]) for x in got if x[0] == 2) == 4
+    counts = alleles.substitution_counts(spark.createDataFrame([("A", "G"), ("C", "T"), ("A", "T")], "ref string, alt string"), []).first()
+    assert tuple(counts) == (2, 1)
+
+
+def test_fragment_paths(spark):
+    reads = [("x", [0, 1]), ("x", [1, 3]), ("y", [0, 2, 3]), ("y", [2]), ("y", [5, 6]), ("z", [])]
+    paths = haplotypes.fragment_paths(spark.createDataFrame(reads, "f string, path array<bigint>"), ["f"])
+    assert sorted((x.f, x.path) for x in paths.collect()) == [("x", [0, 1, 3]), ("y", [0, 2, 3]), ("y", [5, 6])]
+    sets = haplotypes.families(paths.withColumn("g", F.lit(1)), ["g"], "f").collect()
+    assert sorted([(e.a, e.b) for e in x.edges] for x in sets) == [[(0, 1), (1, 3)], [(0, 2), (2, 3), (5, 6)]] and {x.n for x in sets} == {1}
+
+
+def test_haplotypes(spark):
+    a, b = [(0, 1), (1, 3), (3, 4), (4, 6)], [(0, 2), (2, 3), (3, 5), (5, 6)]
+    crossed = [(0, 1), (1, 3), (3, 5), (5, 6)]
+    rows = [(1, a), (1, b), (2, a), (2, b), (2, crossed), (3, a[:2]), (3, b[:2]), (3, a[2:]), (3, b[2:])]
+    found = haplotypes.haplotypes(spark.createDataFrame(rows, "g int, edges array<struct<a: bigint, b: bigint>>"), ["g"])
+    got = {g: sorted((x.group, x.path) for x in found.collect() if x.g == g) for g in (1, 2, 3)}
+    assert got[1] == [(0, [0, 1, 3, 4, 6]), (0, [0, 2, 3, 5, 6])]
+    apart = [(0, [0, 1, 3]), (0, [0, 2, 3]), (1, [3, 4, 6]), (1, [3, 5, 6])]
+    assert got[2] == got[3] == apart
+
+
+def test_linear_families(spark):
+    rows = [([(0, 1), (1, 3)],), ([(0, 1), (3, 4)],), ([(0, 1), (0, 2)],), ([(0, 1), (2, 3)],)]
+    edges = spark.createDataFrame([(0, 1), (0, 2), (1, 3), (2, 3), (3, 4)], "a bigint, b bigint")
+    found = spark.createDataFrame(rows, "edges array<struct<a: bigint, b: bigint>>").withColumn("g", F.lit(1))
+    kept = haplotypes.linear(found, graphs.reachable(edges.withColumn("g", F.lit(1)), ["g"], 4), ["g"])
+    assert sorted([(e.a, e.b) for e in x.edges] for x in kept.collect()) == [[(0, 1), (1, 3)], [(0, 1), (3, 4)]]
