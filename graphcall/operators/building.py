@@ -41,3 +41,17 @@ def call_documents(calls: DataFrame, keys: list[str]) -> DataFrame:
     """One JSON document for each site: its samples' genotypes, qualities and filters, in order of sample."""
     sample = F.struct("sample_id", "gt", "gq", "reads", "filter")
     return calls.groupBy(*keys).agg(F.sort_array(F.collect_list(sample)).alias("samples")).select(*keys, F.to_json(F.struct(*keys, "samples")).alias("document"))
+
+
+def block_ids(blocks: DataFrame, digests: DataFrame) -> DataFrame:
+    """Blocks (file, chrom, block, ...) with block_id: file, its digest, and the block's number, from 1 by contig and block.
+
+    Blocks are numbered within their contig; counts of contigs, few rows a file, give where a contig begins.
+    """
+    known = blocks.select("file", "chrom", "block").distinct()
+    sizes = known.groupBy("file", "chrom").agg(F.count("*").alias("n"))
+    starts = sizes.withColumn("before", F.sum("n").over(Window.partitionBy("file").orderBy("chrom")) - F.col("n")).drop("n")
+    place = F.row_number().over(Window.partitionBy("file", "chrom").orderBy("block"))
+    ids = known.withColumn("place", place).join(starts, ["file", "chrom"]).join(digests, "file")
+    text = F.concat("file", F.lit("@"), "digest", F.lit(":"), (F.col("before") + F.col("place")).cast("string"))
+    return blocks.join(ids.select("file", "chrom", "block", text.alias("block_id")), ["file", "chrom", "block"])

@@ -565,3 +565,12 @@ def linear_families(v: Views) -> DataFrame:
 def haplotype_paths(v: Views) -> DataFrame:
     kept = haplotypes.linear(_chain_families(v), graphs.reachable(v.chain, ["graph_id"], 14), ["graph_id"])
     return haplotypes.haplotypes(kept, ["graph_id"])
+
+
+@query("""WITH f AS (SELECT id, 'f' || CAST(id % 3 AS STRING) AS file, chrom, pos // 40 AS block FROM variants)
+SELECT id, file || '@' || sha256(file) || ':' || CAST(dense_rank() OVER (PARTITION BY file ORDER BY chrom, block) AS STRING) AS block_id FROM f""")
+def block_ids(v: Views) -> DataFrame:
+    file = F.concat(F.lit("f"), (F.col("id") % 3).cast("string"))
+    rows = v.variants.select("id", file.alias("file"), "chrom", F.floor(F.col("pos") / 40).alias("block"))
+    digests = v.spark.range(3).select(F.concat(F.lit("f"), F.col("id").cast("string")).alias("file")).withColumn("digest", F.sha2("file", 256))
+    return building.block_ids(rows, digests).select("id", "block_id")

@@ -123,3 +123,9 @@ def event_ids(events: DataFrame, source: str) -> DataFrame:
     """Events with an id: their own, else the source and their number in the order of place."""
     n = F.row_number().over(Window.partitionBy("chrom").orderBy("start", "end", "ins")) - 1
     return events.withColumn("ID", F.coalesce("ID", F.concat(F.lit(f"{source}:"), "chrom", F.lit(":"), n.cast("string"))))
+
+
+def file_digests(spark: SparkSession, path: str) -> DataFrame:
+    """Name and SHA-256 (lowercase hex) of each file at ``path``, each of at most 2 GB: one row of bytes holds a file."""
+    name = F.element_at(F.split("path", "/"), -1)
+    return spark.read.format("binaryFile").load(path).select(name.alias("file"), F.sha2("content", 256).alias("digest"))

@@ -1,12 +1,13 @@
 """Operators over small tables, formats and streams."""
 
+import hashlib
 import random
 from functools import lru_cache
 
 from pyspark.sql import functions as F
 
 from graphcall.functions import cigar, sequence
-from graphcall.operators import alignment, alleles, graphs, haplotypes, intervals
+from graphcall.operators import alignment, alleles, building, graphs, haplotypes, intervals
 from graphcall.sources import files
 from graphcall.streaming import support
 
@@ -187,3 +188,12 @@ def test_linear_families(spark):
     found = spark.createDataFrame(rows, "edges array<struct<a: bigint, b: bigint>>").withColumn("g", F.lit(1))
     kept = haplotypes.linear(found, graphs.reachable(edges.withColumn("g", F.lit(1)), ["g"], 4), ["g"])
     assert sorted([(e.a, e.b) for e in x.edges] for x in kept.collect()) == [[(0, 1), (1, 3)], [(0, 1), (3, 4)]]
+
+
+def test_block_ids(spark, tmp_path):
+    (tmp_path / "v.vcf").write_text("##x\n")
+    digests = files.file_digests(spark, f"file://{tmp_path}/v.vcf")
+    assert [tuple(x) for x in digests.collect()] == [("v.vcf", hashlib.sha256(b"##x\n").hexdigest())]
+    rows = spark.createDataFrame([("v.vcf", "c1", 0), ("v.vcf", "c1", 0), ("v.vcf", "c1", 4), ("v.vcf", "c2", 1)], "file string, chrom string, block int")
+    got = sorted((x.chrom, x.block, x.block_id.split(":")[1]) for x in building.block_ids(rows, digests).collect())
+    assert got == [("c1", 0, "1"), ("c1", 0, "1"), ("c1", 4, "2"), ("c2", 1, "3")]
