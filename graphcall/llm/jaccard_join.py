@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphcall.llm.shared import stored
@@ -140,9 +140,25 @@ def jaccard_links(
     Null texts count as empty; documents without words have the same empty set and no other links.
     Rows with null or repeated ids are documents of their own; other columns are ignored; an empty table gives no rows.
     """
+    signed, found = _grouped(docs, id_col, text_col, size, threshold, recall, small)
+    least = found.groupBy("label").agg(F.min("copy_id").alias("class_id"))
+    found = found.join(least, "label").select("key", "class_id", "copy_id", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    return signed.select("doc_id", "key").join(found, "key").select("doc_id", "class_id", "n_links", "copy_id", F.col("copies").alias("n_copies"))
+
+
+def _digest(text: Column) -> Column:
+    """SHA-256 of a text, not null; a null text is not an empty one."""
+    return F.coalesce(F.unhex(F.sha2(text, 256)), F.lit(b""))
+
+
+def _grouped(
+    docs: DataFrame, id_col: str, text_col: str, size: int, threshold: float, recall: float, small: int, digests: bool = False,
+) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``docs`` as (doc_id, key, and with ``digests`` the digest of the text), and each set as (key, copy_id, copies, label of its group, links)."""
     bands, rows = band_counts(threshold, recall)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signed = stored(own.mapInArrow(_sign(size, bands, rows), "doc_id long, key binary, n int, bands array<long>"), "signatures")
+    named = own.select("doc_id", *([_digest(F.col("text")).alias("digest")] if digests else []), "text")
+    signed = stored(named.mapInArrow(_sign(size, bands, rows), f"doc_id long, {'digest binary, ' if digests else ''}key binary, n int, bands array<long>"), "signatures")
     classes = signed.groupBy("key").agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("copies"), F.max("n").alias("n"), F.first("bands").alias("bands"))
     classes = stored(classes, "classes")
 
@@ -179,10 +195,7 @@ def jaccard_links(
     groups = components(close.select("a", "b").unionByName(dense.select(F.col("key").alias("a"), F.col("root").alias("b"))))
 
     found = classes.select("key", "copy_id", "copies").join(groups.select(F.col("node").alias("key"), "label"), "key", "left").join(counts, "key", "left")
-    found = stored(found.withColumn("label", F.coalesce("label", "key")), "found")
-    least = found.groupBy("label").agg(F.min("copy_id").alias("class_id"))
-    found = found.join(least, "label").select("key", "class_id", "copy_id", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return signed.select("doc_id", "key").join(found, "key").select("doc_id", "class_id", "n_links", "copy_id", F.col("copies").alias("n_copies"))
+    return signed, stored(found.withColumn("label", F.coalesce("label", "key")), "found")
 
 
 def _sign(size: int, bands: int, rows: int) -> Callable:
@@ -191,11 +204,12 @@ def _sign(size: int, bands: int, rows: int) -> Callable:
         for batch in batches:
             keys, counts, values = [], [], []
             for k in range(batch.num_rows):
-                found = s.shingles(batch.column(1)[k].as_py())
+                found = s.shingles(batch.column(batch.num_columns - 1)[k].as_py())
                 keys.append(set_key(found))
                 counts.append(len(found))
                 values.append(s.band_hashes(found))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(counts, pa.int32()), pa.array(values, pa.list_(pa.int64()))], ["doc_id", "key", "n", "bands"])
+            new = [pa.array(keys, pa.binary()), pa.array(counts, pa.int32()), pa.array(values, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], [*batch.schema.names[:-1], "key", "n", "bands"])
 
     return run
 
@@ -280,7 +294,20 @@ def _block(threshold: float) -> Callable:
     return run
 
 
-def one_of_each_group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with the document of the smallest id of each group, and all columns as they were; of repeated ids, one row."""
-    stays = jaccard_links(docs, id_col=id_col, text_col=text_col, **options).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id").distinct()
-    return docs.join(stays, docs[id_col].cast("long").eqNullSafe(stays["doc_id"]), "left_semi").dropDuplicates([id_col])
+def one_of_each_group(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8, recall: float = 0.9999, small: int = 16,
+) -> DataFrame:
+    """``docs`` with one row of each group, and all columns as they were: the smallest id, null ids last.
+
+    Groups are of rows, not of ids: rows that share an id, or have none, stay as often as they are in
+    different groups. Of a group's rows with its smallest id, the one of the least set and text
+    stays; rows that repeat id and text are one.
+    """
+    signed, found = _grouped(docs, id_col, text_col, size, threshold, recall, small, digests=True)
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "digest")
+    # The least row of each set comes first, so that a group's label meets only one row a set.
+    stays = signed.groupBy("key").agg(F.min(row).alias("row")).join(found.select("key", "label"), "key").groupBy("label").agg(F.min("row").alias("row"))
+    stays = stored(stays.select(F.col("row.doc_id").alias("_id"), F.col("row.digest").alias("_text")), "stays")
+    rows = docs.withColumns({"_doc": docs[id_col].cast("long"), "_digest": _digest(docs[text_col].cast("string"))})
+    rows = rows.join(stays, (F.col("_digest") == F.col("_text")) & F.col("_doc").eqNullSafe(F.col("_id")), "left_semi")
+    return rows.dropDuplicates(["_doc", "_digest"]).select(*docs.columns)

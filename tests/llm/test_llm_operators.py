@@ -321,6 +321,18 @@ def test_jaccard_blocks_and_chains(spark, monkeypatch):
     assert [got[i].class_id for i in range(40)] == group
 
 
+def test_one_row_of_each_group(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(200))
+    near = text(0) + " changed"
+    rows = [(1, near, "a"), (3, text(0), "b"), (3, text(1), "c"), (None, text(2), "d"), (None, text(3), "e"), (None, text(3), "e"), (None, text(0), "f"), (4, text(2), "g"), *[(9, text(k), "h") for k in range(4, 12)], (9, text(4).upper(), "i"), (5, None, "j"), (5, "", "j")]
+    got = counted(map(tuple, jaccard_join.one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)).collect()))
+    free = [r for r in got.elements() if r[0] == 9 and r[1].lower() == text(4)]
+    assert len(free) == 1
+    blank = [r for r in got.elements() if not r[1]]
+    assert len(blank) == 1
+    assert got - counted(free) - counted(blank) == counted([rows[0], rows[2], rows[4], rows[7], *rows[9:16]])
+
+
 def test_band_counts_reach_the_recall():
     bands, rows = jaccard_join.band_counts(0.8, 0.9999)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.9999 and bands * rows <= 160
