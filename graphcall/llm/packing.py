@@ -3,9 +3,11 @@
 A configuration is a multiset of piece lengths that fits a sequence. The least number of
 sequences is the configuration linear program over the histogram of lengths: cover every
 length's count by configurations. Multiplicative weights solve it: lengths (in classes of
-``grain`` tokens) carry a weight that decays as they are covered, and a knapsack dynamic
-program prices the best configuration under these weights. The fractional solution is rounded
-down, exact lengths fill its classes, and best fit places what is left, into the gaps first.
+some tokens, and each by itself, so that what fits exactly is seen) carry a weight that decays as
+they are covered, and a knapsack dynamic program prices the best configuration under these
+weights. The fractional solution is rounded down, exact lengths fill its classes, and best fit
+places what is left, into the gaps first. Of these plans and that of plain best fit, the one with the
+fewest sequences is taken.
 
 All of this works on the histogram, at most ``capacity`` numbers whatever the corpus, so the plan
 is made on the driver. Pieces are ranked within their length and look their place up by rank.
@@ -101,8 +103,17 @@ def configuration_lp(demand: dict[int, int], capacity: int, rounds: int = 3000,
     return dict(used)
 
 
-def packing_plan(histogram: dict[int, int], capacity: int, *, grain: int = 4, rounds: int = 3000) -> list[tuple[int, list[tuple[int, int]]]]:
-    """Groups of equal sequences: (how many, [(length, times), ...]) that use each length exactly as often as it occurs."""
+def packing_plan(histogram: dict[int, int], capacity: int, *, grains: tuple[int, ...] = (1, 4), rounds: int = 3000) -> list[tuple[int, list[tuple[int, int]]]]:
+    """Groups of equal sequences: (how many, [(length, times), ...]) that use each length exactly as often as it occurs.
+
+    The plan with the fewest sequences: plain best fit's, or one by the linear program, at each of ``grains``. Coarse
+    classes are soon covered whatever the histogram, but lose configurations that fit exactly.
+    """
+    plain = _best_fit([(length, n) for length, n in sorted(histogram.items(), reverse=True) if n], [], capacity)
+    return min([*(_lp_plan(histogram, capacity, grain, rounds) for grain in grains), plain], key=lambda plan: sum(n for n, _ in plan))
+
+
+def _lp_plan(histogram: dict[int, int], capacity: int, grain: int, rounds: int) -> list[tuple[int, list[tuple[int, int]]]]:
     units = capacity // grain
     classes: dict[int, list[list[int]]] = defaultdict(list)
     for length in sorted(histogram, reverse=True):

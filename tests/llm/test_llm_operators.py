@@ -153,6 +153,20 @@ def test_packing_plan_is_close_to_the_bound():
         assert sum(n for n, _ in plan) <= max(floor * 1.02 + 2, -(-len(lengths) // (2048 // min(lengths))) if len(histogram) == 1 else 0)
 
 
+@pytest.mark.parametrize(
+    "histogram, least",
+    [({682: 300}, 100), ({681: 300}, 100), ({409: 500}, 100), ({341: 600}, 100), ({1023: 50, 1025: 50}, 50), ({1: 4096}, 2), ({1: 100, 1948: 1}, 1), ({1: 4, 2044: 1, 682: 3, 2: 1}, 2)],
+)
+def test_packing_plan_sees_what_fits_exactly(histogram, least):
+    plan = packing.packing_plan(histogram, 2048)
+    used = collections.Counter()
+    for n, items in plan:
+        assert sum(length * a for length, a in items) <= 2048
+        for length, a in items:
+            used[length] += n * a
+    assert used == histogram and sum(n for n, _ in plan) == least
+
+
 def test_tree_bpe(docs, empty):
     ranks = tree_bpe.load_ranks(BYTE)
     t = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
