@@ -289,7 +289,10 @@ def viterbi(scores: np.ndarray, sizes: np.ndarray, moves: np.ndarray) -> np.ndar
 
 
 class Tagger:
-    """Labels the words of whole texts. Words fall into classes of equal features, whose scores are kept."""
+    """Labels the words of whole texts. Words fall into classes of equal features, whose scores are kept.
+
+    Classes are forgotten between texts once there are ``cached`` of them; only a single text may have more.
+    """
 
     def __init__(self, model: Crf, cached: int = 400_000):
         self.model, self.cached = model, cached
@@ -302,8 +305,6 @@ class Tagger:
         own = word_class(word)
         k = self.classes.get(own)
         if k is None:
-            if len(self.classes) >= self.cached:  # forget all; class numbers of one text must stay valid
-                raise OverflowError
             k = self.classes[own] = len(self.classes)
             row = np.stack([[self.model.scores(own, p)] for p in ("0:", "-1:", "+1:")])
             if k >= self.table.shape[1]:
@@ -323,13 +324,25 @@ class Tagger:
                     known[w] = self._class(w)
             return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
+    def _forget(self) -> None:
+        self.words.clear()
+        self.classes = {("letters",): 0}
+        self.table = self.table[:, :1].copy()
+
     def spans(self, texts: list[str]) -> list[list[tuple[int, int, int]]]:
         """(start, number of the kind, end) that the CRF finds in each text, unchecked."""
-        numbers, open_ = [], []
-        for i, text in enumerate(texts):
-            at = self.class_numbers(text.split())
-            numbers.append(at)
-            open_ += [(b - a, i, a) for a, b in self._stretches(at)]
+        out: list[list[tuple[int, int, int]]] = []
+        numbers: list[np.ndarray] = []
+        for text in texts:
+            if len(self.classes) >= self.cached:  # the texts that have numbers of these classes are labelled before
+                out += self._numbered_spans(texts[len(out) : len(out) + len(numbers)], numbers)
+                numbers = []
+                self._forget()
+            numbers.append(self.class_numbers(text.split()))
+        return out + self._numbered_spans(texts[len(out) :], numbers)
+
+    def _numbered_spans(self, texts: list[str], numbers: list[np.ndarray]) -> list[list[tuple[int, int, int]]]:
+        open_ = [(b - a, i, a) for i, at in enumerate(numbers) for a, b in self._stretches(at)]
         open_.sort()
         found: dict[int, list[tuple[int, int]]] = {}
         k = 0

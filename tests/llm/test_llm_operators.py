@@ -241,6 +241,16 @@ def test_crf_skips_only_what_is_certain():
     assert sure.spans(texts) == whole.spans(texts)
 
 
+@pytest.mark.parametrize("cached", [1, 8, 50])
+def test_crf_goes_on_beyond_its_classes(cached):
+    whole, small = pii.Tagger(pii.trained_model()), pii.Tagger(pii.trained_model(), cached=cached)
+    texts = [" ".join(w) for w, _ in pii.labelled_table(60, seed=8)]
+    texts += [" ".join(hashlib.md5(f"{k} {n}".encode()).hexdigest() for n in range(20)) + " call (988) 555-2485 now" for k in range(10)] + ["", "plain words"]
+    assert small.spans(texts) == whole.spans(texts) and any(whole.spans(texts))
+    assert small.spans(texts[::-1]) == whole.spans(texts)[::-1]
+    assert len(whole.classes) > 50 and len(small.classes) < len(whole.classes)
+
+
 def test_quality(docs, empty):
     def repeated(words):
         n = collections.Counter(zip(words, words[1:], words[2:], strict=False))
