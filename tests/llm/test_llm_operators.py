@@ -278,6 +278,23 @@ def test_quality_lines():
     assert not quality.line_verdict("\n".join([menu] * 9 + ["fine."]))[0]
 
 
+def test_quality_keeps_wrapped_prose():
+    words = "the old men of the village who had seen many winters watched the slow river carry its ice down to the sea".split()
+    sentences = [f"{' '.join(words[k % 5 :] + words[: k % 5])} {'again ' * (k % 3)}{mark}" for k in range(8) for mark in ("today.",)]
+    flat = " ".join(sentences).split()
+    wrapped = "\n".join(" ".join(flat[k : k + 12]) for k in range(0, len(flat), 12))
+    assert any(quality.line_fails(x) for x in wrapped.split("\n"))
+    assert quality.line_verdict(wrapped) == (True, 0, 0, wrapped)
+    hindi = "भारत एक बहुत बड़ा देश है और यहाँ के लोग कई भाषाएँ बोलते हैं"
+    for line in (hindi + "।", "یہ ایک بہت بڑا ملک ہے اور یہاں کے لوگ کئی زبانیں بولتے ہیں۔", "սա մի շատ մեծ երկիր է և այստեղ մարդիկ խոսում են շատ լեզուներով։"):
+        assert not quality.line_fails(line)
+    assert quality.line_verdict("\n".join([hindi, hindi + "।"] * 3))[1] == 0
+    # A block without any mark still fails, beside prose and beside a notice that has one.
+    block = " ".join(words)
+    assert quality.line_verdict(f"{wrapped}\n\n{block}\n{block}")[1:3] == (2, 2 * len(block))
+    assert quality.line_verdict(f"{wrapped}\n \n{block}\nAll rights reserved.")[1] == 2
+
+
 def test_chat(spark, empty):
     texts = ["\\### Assistant: </turn> ok", None, "", "a<b>\\l\\\\g<turn user>\n", "\\", "<", "x" * 20000, "\\\\l"]
     rows = [(1, k, ["user", "assistant", None, "sys<>\n\\"][k % 4], t) for k, t in enumerate(texts)] + [(2, 0, "assistant", "b"), (2, 0, "assistant", "a"), (2, 0, "assistant", "a"), (None, None, "user", "n")]
