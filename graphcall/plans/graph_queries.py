@@ -209,6 +209,30 @@ def validation_mismap(v: Views) -> DataFrame:
     return rows.groupBy("truth").agg(F.count("*").alias("total"), F.count_if(~ok).alias("wrong"))
 
 
+def _placed(v: Views) -> DataFrame:
+    """Whole sequences as reads, of odd ids turned, placed on whole sequences as paths."""
+    turned = F.when(F.col("id") % 2 == 1, sequence.reverse_complement(F.col("seq"))).otherwise(F.col("seq"))
+    return alignment.gapless(v.bases.select("id", turned.alias("seq")), v.bases.select(F.col("id").alias("path"), "seq"), seed=8)
+
+
+@query(None)
+def gapless_placement(v: Views) -> DataFrame:
+    return _placed(v).select(F.col("id").alias("read"), "path", F.col("start").cast("long").alias("start"), "reverse", F.col("mismatches").cast("long").alias("mismatches"), "status")
+
+
+@query(None)
+def gapless_validation(v: Views) -> DataFrame:
+    """Each read's true place is all of its own path, reverse if its id is odd; reads without a place are counted too."""
+    true = (F.col("path") == F.col("id")) & (F.col("start") == 0) & (F.col("reverse") == (F.col("id") % 2 == 1))
+    found = _placed(v).groupBy("id").agg(F.first("status").alias("status"), F.bool_or(true).alias("ok"))
+    rows = v.bases.select("id").join(found, "id", "left")
+    mapped = F.coalesce(F.col("status") == "MAPPED", F.lit(False))
+    return rows.groupBy((F.col("id") % 50).alias("truth")).agg(
+        F.count("*").alias("total"), F.count_if(mapped).alias("mapped"), F.count_if(F.coalesce(F.col("status") == "BAD_ALIGN", F.lit(False))).alias("bad_align"),
+        F.count_if(F.col("status").isNull()).alias("unplaced"), F.count_if(mapped & ~F.col("ok")).alias("wrong"),
+    )
+
+
 # Graphs.
 
 
@@ -490,6 +514,11 @@ def gapped_differences(v: Views) -> DataFrame:
     return alleles.gapped_differences(v.bases.select("id", F.rpad(cut(1), 18, "-").alias("ref"), F.rpad(F.replace(cut(3), F.lit("A"), F.lit("-")), 18, "-").alias("alt")))
 
 
+@query(None)
+def whole_gapped_differences(v: Views) -> DataFrame:
+    return alleles.gapped_differences(v.bases.select("id", F.replace("seq", F.lit("C"), F.lit("-")).alias("ref"), F.replace(F.reverse("seq"), F.lit("A"), F.lit("-")).alias("alt")))
+
+
 @query(None)
 def global_alignment(v: Views) -> DataFrame:
     return alignment.global_alignments(v.variants.select("id", "ref", "alt")).select("id", "score", "gapped_ref", "gapped_alt")

@@ -50,6 +50,48 @@ def test_gapless(spark):
     assert got == {1: ("p", 5, False, 0, "MAPPED"), 2: ("p", 5, False, 1, "MAPPED"), 3: ("p", 5, True, 0, "MAPPED")}
 
 
+def test_whole_reads_by_brute_force(spark):
+    from graphcall.plans import catalog
+    from graphcall.plans.registry import Views
+
+    where, q = "/root/testdata/sf0.001", catalog.queries()
+    bases = {r.id: r.seq for r in Views(spark, where).bases.collect()}
+    back = lambda s: s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    want, tally = set(), {}
+    for read, seq in bases.items():
+        given, found = back(seq) if read % 2 else seq, []
+        for reverse, r in ((False, given), (True, back(given))):
+            for path, p in bases.items():
+                for at in range(len(p) - len(r) + 1):
+                    off = [x != y for x, y in zip(r, p[at:], strict=False)]
+                    seeds = any(not any(off[k : k + 8]) and set(r[k : k + 8]) <= set("ACGT") for k in range(len(r) - 7))
+                    if seeds and sum(off) <= 2:
+                        found.append((read, path, at, reverse, sum(off)))
+        best = [f for f in found if f[4] == min(x[4] for x in found)]
+        status = "MAPPED" if len(best) == 1 else "BAD_ALIGN"
+        want |= {(*f, status) for f in best}
+        row = tally.setdefault(read % 50, [0] * 5)
+        ok = any(f[:4] == (read, read, 0, read % 2 == 1) for f in best)
+        for k, add in enumerate((1, len(best) == 1, len(best) > 1, not best, len(best) == 1 and not ok)):
+            row[k] += add
+    got = q["gapless_placement"](spark, where).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want) > 100
+    assert {r.truth: list(r)[1:] for r in q["gapless_validation"](spark, where).collect()} == tally
+
+    variants = set()
+    for read, seq in bases.items():
+        base, run = 0, None
+        for r, a in [*zip(seq.replace("C", "-"), seq[::-1].replace("A", "-"), strict=True), ("", "")]:
+            if r != a:
+                run = run or [base, "", ""]
+                run[1:] = run[1] + r.replace("-", ""), run[2] + a.replace("-", "")
+            elif run:
+                variants.add((read, run[0], run[0] + len(run[1]) - 1, run[1], run[2]))
+                run = None
+            base += r not in ("-", "")
+    assert {tuple(r) for r in q["whole_gapped_differences"](spark, where).collect()} == variants
+
+
 def test_left_shift(spark):
     rows = spark.createDataFrame([(1, "ACGTTTTA", 6, 6, ""), (2, "ACGTTTTA", 7, 6, "T"), (3, "ACACACG", 4, 5, ""), (4, "ANTTT", 4, 4, ""), (5, "ACGT", 2, 2, "A")], "id int, seq string, start int, end int, alt string")
     got = {r.id: (r.start, r.end, r.alt) for r in alleles.left_shifted(rows).collect()}
