@@ -146,18 +146,19 @@ def jaccard_links(
     return signed.select("doc_id", "key").join(found, "key").select("doc_id", "class_id", "n_links", "copy_id", F.col("copies").alias("n_copies"))
 
 
-def _digest(text: Column) -> Column:
-    """SHA-256 of a text, not null; a null text is not an empty one."""
-    return F.coalesce(F.unhex(F.sha2(text, 256)), F.lit(b""))
+def _digest(doc: Column, text: Column) -> Column:
+    """SHA-256 of an id and a text, not null; null ids and texts are values of their own."""
+    doc = F.coalesce(doc.cast("long").cast("string"), F.lit("null"))
+    return F.unhex(F.sha2(F.concat(doc, F.when(text.isNull(), ":-").otherwise(":+"), F.coalesce(text.cast("string"), F.lit(""))), 256))
 
 
 def _grouped(
     docs: DataFrame, id_col: str, text_col: str, size: int, threshold: float, recall: float, small: int, digests: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
-    """Rows of ``docs`` as (doc_id, key, and with ``digests`` the digest of the text), and each set as (key, copy_id, copies, label of its group, links)."""
+    """Rows of ``docs`` as (doc_id, key, and with ``digests`` the digest of id and text), and each set as (key, copy_id, copies, label of its group, links)."""
     bands, rows = band_counts(threshold, recall)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    named = own.select("doc_id", *([_digest(F.col("text")).alias("digest")] if digests else []), "text")
+    named = own.select("doc_id", *([_digest(F.col("doc_id"), F.col("text")).alias("digest")] if digests else []), "text")
     signed = stored(named.mapInArrow(_sign(size, bands, rows), f"doc_id long, {'digest binary, ' if digests else ''}key binary, n int, bands array<long>"), "signatures")
     classes = signed.groupBy("key").agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("copies"), F.max("n").alias("n"), F.first("bands").alias("bands"))
     classes = stored(classes, "classes")
@@ -307,7 +308,7 @@ def one_of_each_group(
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "digest")
     # The least row of each set comes first, so that a group's label meets only one row a set.
     stays = signed.groupBy("key").agg(F.min(row).alias("row")).join(found.select("key", "label"), "key").groupBy("label").agg(F.min("row").alias("row"))
-    stays = stored(stays.select(F.col("row.doc_id").alias("_id"), F.col("row.digest").alias("_text")), "stays")
-    rows = docs.withColumns({"_doc": docs[id_col].cast("long"), "_digest": _digest(docs[text_col].cast("string"))})
-    rows = rows.join(stays, (F.col("_digest") == F.col("_text")) & F.col("_doc").eqNullSafe(F.col("_id")), "left_semi")
-    return rows.dropDuplicates(["_doc", "_digest"]).select(*docs.columns)
+    stays = stored(stays.select(F.col("row.digest").alias("_row")), "stays")
+    # Rows that repeat are combined before their exchange, and the join needs no other one: texts are dealt once.
+    rows = docs.withColumn("_row", _digest(docs[id_col], docs[text_col])).dropDuplicates(["_row"])
+    return rows.join(stays, "_row", "left_semi").select(*docs.columns)
