@@ -9,7 +9,9 @@ kind (digits, Luhn, parts of an address) and are added unless they touch a span
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import random
 import re
 from collections.abc import Callable, Iterator
@@ -46,7 +48,7 @@ def digits_of(text: str) -> str:
 
 
 def ip_ok(text: str) -> bool:
-    return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in text.split("."))
+    return all(len(p) <= 3 and int(p or 0) <= 255 for p in (q.lstrip("0") for q in text.split(".")))
 
 
 def card_ok(text: str) -> bool:
@@ -150,6 +152,10 @@ def labelled_table(rows: int = LABELLED_ROWS, seed: int = 7) -> list[tuple[list[
 # The model.
 
 _TRIM = "\"'.,;:!?<>"
+#: Longer words are not kept in caches, and longer spans of the CRF are no personal data.
+LONGEST_WORD, LONGEST_SPAN = 128, 256
+#: Where a word stands to the one that is labelled.
+PLACES = ("0:", "-1:", "+1:")
 #: Words that have a feature of their own.
 LEXICON = frozenset("at dot [at] [dot] (at) (dot)".split())
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -242,9 +248,13 @@ class Crf:
                 value += rate * grad / np.sqrt(sums)
         return cls(features, weights[:-1].astype(np.float32), moves.astype(np.float32))
 
-    def scores(self, classes: tuple[str, ...], place: str) -> np.ndarray:
-        own = [self.features[place + f] for f in classes if place + f in self.features]
-        return self.weights[own].sum(0) if own else np.zeros(len(LABELS), np.float32)
+    def scores(self, classes: list[tuple[str, ...]], place: str) -> np.ndarray:
+        """A row of label scores for each class of words that stands at ``place``."""
+        get, none = self.features.get, len(self.weights)
+        own = [[none, *(k for f in c if (k := get(place + f)) is not None)] for c in classes]
+        starts = np.cumsum([0, *map(len, own[:-1])])
+        weights = np.concatenate([self.weights, np.zeros((1, len(LABELS)), np.float32)])
+        return np.add.reduceat(weights[[k for row in own for k in row]], starts, axis=0)
 
     def plain_margin(self, most: int = 60) -> int | None:
         """The p for which, in 2 p plain words among plain words, the p-th is O on every best path.
@@ -253,7 +263,7 @@ class Crf:
         each, are a max-plus power. If O at the p-th word beats every other label there, whatever
         stands before and at the end, then every word of a longer run with p words on either side is O.
         """
-        own = sum(self.scores(("letters",), p) for p in ("0:", "-1:", "+1:"))
+        own = sum(self.scores([("letters",)], p)[0] for p in PLACES)
         step = (self.moves + own[None, :]).astype(np.float64)
         power = step
         for p in range(1, most + 1):
@@ -297,8 +307,9 @@ class Tagger:
     def __init__(self, model: Crf, cached: int = 400_000):
         self.model, self.cached = model, cached
         self.words: dict[str, int] = {}
+        self.fresh: list[tuple[str, ...]] = []
         self.classes: dict[tuple[str, ...], int] = {("letters",): 0}
-        self.table = np.stack([[model.scores(("letters",), p)] for p in ("0:", "-1:", "+1:")])
+        self.table = np.stack([model.scores([("letters",)], p) for p in PLACES])
         self.margin = model.plain_margin()
 
     def _class(self, word: str) -> int:
@@ -306,12 +317,18 @@ class Tagger:
         k = self.classes.get(own)
         if k is None:
             k = self.classes[own] = len(self.classes)
-            row = np.stack([[self.model.scores(own, p)] for p in ("0:", "-1:", "+1:")])
-            if k >= self.table.shape[1]:
-                self.table = np.concatenate([self.table, np.zeros((3, max(64, self.table.shape[1]), len(LABELS)), np.float32)], axis=1)
-            self.table[:, k] = row[:, 0]
+            self.fresh.append(own)
         return k
 
+    def _score_fresh(self) -> None:
+        """Scores of the classes that came up since the last call, in one go."""
+        at, n = len(self.classes) - len(self.fresh), len(self.classes)
+        if n > self.table.shape[1]:
+            self.table = np.concatenate([self.table, np.zeros((3, max(64, n), len(LABELS)), np.float32)], axis=1)
+        for k, p in enumerate(PLACES):
+            self.table[k, at:n] = self.model.scores(self.fresh, p)
+        self.fresh = []
+
     def class_numbers(self, words: list[str]) -> np.ndarray:
         known = self.words
         try:
@@ -319,10 +336,13 @@ class Tagger:
         except KeyError:
             if len(known) >= self.cached:
                 known.clear()
+            extra: dict[str, int] = {}  # very long words are not kept
             for w in words:
-                if w not in known:
-                    known[w] = self._class(w)
-            return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+                if w not in known and w not in extra:
+                    (known if len(w) <= LONGEST_WORD else extra)[w] = self._class(w)
+            if self.fresh:
+                self._score_fresh()
+            return np.fromiter((known[w] if w in known else extra[w] for w in words), np.int64, len(words))
 
     def _forget(self) -> None:
         self.words.clear()
@@ -397,14 +417,19 @@ _CHECKS: tuple[Callable[[str], bool], ...] = (lambda t: bool(_AT_DOT.fullmatch("
 
 
 def added_spans(text: str, base: list[tuple[int, int, int]], found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Spans of the CRF, trimmed of marks around them, that pass their kind's check and touch no span of the patterns."""
+    """Spans of the CRF, trimmed of marks around them, that pass their kind's check and touch no span of the patterns.
+
+    ``base`` is in order of starts; of the spans that start before a place, only the furthest end matters.
+    """
+    starts, reach = [a for a, _, _ in base], list(itertools.accumulate((b for _, _, b in base), max))
     out = []
     for a, kind, b in found:
         while a < b and text[a] in _TRIM + "[":
             a += 1
         while b > a and text[b - 1] in _TRIM + "]":
             b -= 1
-        if a < b and _CHECKS[kind](text[a:b]) and not any(a < y and x < b for x, _, y in base):
+        before = bisect.bisect_left(starts, b)
+        if a < b <= a + LONGEST_SPAN and not (before and reach[before - 1] > a) and _CHECKS[kind](text[a:b]):
             out.append((a, kind, b))
     return out
 

@@ -30,7 +30,8 @@ VERDICT = "kept boolean, n_failed_lines long, lost_chars long, clean_text string
 
 SYMBOLS = b"#*$%&|<>"
 MARKS = re.compile(r"[^\w\s]")
-DOUBLED = re.compile(r"[!?*#$%&]{2,}(?=\s|$)")
+#: A run of marks is entered at its start only, and never given back.
+DOUBLED = re.compile(r"(?<![!?*#$%&])[!?*#$%&]{2,}+(?=\s|$)")
 SEPARATORS = {b"|", b"/", b">", b"\xc2\xbb", b"\xe2\x80\xba", b"\xe2\x80\xa2", b"\xc2\xb7"}
 #: What ends a sentence or its part: the characters of Unicode's property Sentence_Terminal, and the Tibetan ones, colons, semicolons and ellipses.
 SENTENCE = re.compile(

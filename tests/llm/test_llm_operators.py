@@ -403,3 +403,34 @@ def test_write_shards(spark, docs, tmp_path):
     sharding.write_shards(docs, f"file://{tmp_path}/out", 20000)
     back = spark.read.parquet(f"file://{tmp_path}/out")
     assert counted((r.doc_id, r.text) for r in back.collect()) == counted((r.doc_id, r.text) for r in docs.collect())
+
+
+def test_pii_on_hostile_texts():
+    import time
+
+    began = time.monotonic()
+    zeros = "0" * 10_000 + ".1.2.3 and 1.1.1." + "0" * 9_000 + "7"
+    assert [(k, b - a) for a, k, b in pii.base_spans(zeros)] == [(1, 10_006), (1, 9_007)]
+    tagger = pii.Tagger(pii.trained_model())
+    digests = " ".join(hashlib.md5(str(k).encode()).hexdigest() for k in range(50_000))
+    assert len(tagger.spans([digests])) == 1
+    lines = "\n".join(f"call (988) 555-{k % 9000 + 1000} at 10.0.0.{k % 250} now" for k in range(20_000))
+    base = pii.base_spans(lines)
+    added = pii.added_spans(lines, base, tagger.spans([lines])[0])
+    assert len(base) == 20_000 and len(added) >= 19_000
+    spans = sorted(base + added)
+    assert all(a[2] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
+    before = len(tagger.words)
+    tagger.spans(["A1" * 200_000])
+    assert len(tagger.words) == before
+    assert time.monotonic() - began < 60
+
+
+def test_quality_on_runs_of_marks():
+    import time
+
+    began = time.monotonic()
+    assert quality.line_verdict("a b c d e f g h i j k " + "#" * 100_000 + "x")[1] == 1
+    assert time.monotonic() - began < 5
+    for x in ("##", "a## b", "a##b ##", "#a ### ", "!?! x ** y", "a #", "##\n", "#" * 9 + "x"):
+        assert quality.DOUBLED.findall(x) == re.findall(r"[!?*#$%&]{2,}(?=\s|$)", x)
