@@ -75,12 +75,9 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_links(table(spark, sf_dir, "documents"), size=5, threshold=0.8)
 
 
-#: Bytes of text that a shard may hold.
-SHARD_BYTES = 64 * 2**20
-
-
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sharding.shard_rows(table(spark, sf_dir, "documents"), SHARD_BYTES)
+    """Shards of at most 64 MiB, and of a sixteenth of all bytes where that is less, so that buckets split at every size."""
+    rows = sharding.shard_rows(table(spark, sf_dir, "documents"), least=16, most=64 * 2**20)
     return rows.select("doc_id", "n_bytes", "shard", "depth", "shard_bytes", "shard_rows")
 
 
@@ -116,9 +113,25 @@ FROM r GROUP BY conv_id
 """
 
 
+OP10_SQL = """
+WITH t AS (SELECT doc_id, text, coalesce(octet_length(encode(text)), 0) + 16 AS n_bytes,
+  sha256(coalesce(CAST(doc_id AS VARCHAR), 'null') || CASE WHEN text IS NULL THEN ':-' ELSE ':+' END || coalesce(text, '')) AS content FROM documents),
+c AS (SELECT doc_id, n_bytes, content, row_number() OVER (PARTITION BY content) AS copy FROM t),
+h AS (SELECT doc_id, n_bytes, content, copy, CAST('0x' || substr(sha256(content || ':' || CAST(copy AS VARCHAR)), 1, 15) AS BIGINT) AS v FROM c),
+z AS (SELECT least(67108864, CAST(ceil(sum(n_bytes) / 16) AS BIGINT)) AS most FROM h),
+d AS (SELECT *, unnest(range(0, 61)) AS depth FROM h),
+b AS (SELECT depth, v >> (60 - depth) AS prefix, sum(n_bytes) AS shard_bytes, count(*) AS shard_rows FROM d GROUP BY 1, 2),
+f AS (SELECT d.doc_id, d.n_bytes, d.v, d.depth, d.content, d.copy, b.shard_bytes, b.shard_rows,
+  row_number() OVER (PARTITION BY d.content, d.copy ORDER BY d.depth) AS first
+  FROM d JOIN b ON b.depth = d.depth AND b.prefix = d.v >> (60 - d.depth), z WHERE b.shard_bytes <= most OR b.shard_rows = 1 OR d.depth = 60)
+SELECT doc_id, n_bytes, CASE WHEN depth = 0 THEN '' ELSE substr(lpad(to_binary(v), 60, '0'), 1, depth) END AS shard, CAST(depth AS INT) AS depth, CAST(shard_bytes AS BIGINT) AS shard_bytes, shard_rows
+FROM f WHERE first = 1
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_token_files, op2_exact_dedup, op3_line_dedup, op4_packing, op5_tree_bpe, op6_pii, op7_quality_rules, op8_chat_format, op9_jaccard_join, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL, "op3_line_dedup": OP3_SQL, "op8_chat_format": OP8_SQL}
+    return {"op2_exact_dedup": OP2_SQL, "op3_line_dedup": OP3_SQL, "op8_chat_format": OP8_SQL, "op10_sharding": OP10_SQL}

@@ -1,9 +1,10 @@
 """Shards by extendible hashing, in DataFrame functions only.
 
-A row's hash decides its shard. The directory is indexed by the first bits of the hash; a bucket is
-named by a prefix of these bits, and only a bucket over the byte limit splits, on one more bit,
-until every bucket fits. Rows are summed once by a long prefix, and the splits are worked out
-on these sums; where a long prefix is itself too large, only its rows are looked at again, with
+A row's hash, the first bits of a SHA-256, decides its shard. The directory is indexed by the first
+bits of the hash; a bucket is named by a prefix of these bits, and only a bucket over the byte limit
+splits, on one more bit, until every bucket fits. Rows are summed once by a long prefix, the sums are
+folded a few levels at a time to those of shorter prefixes, and the splits are worked out on
+these sums; where a long prefix is itself too large, only its rows are looked at again, with
 more bits. A row's directory entry is found by an equi-join on its prefix.
 """
 
@@ -11,21 +12,42 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphcall.llm.shared import stored
 
 #: Bytes that a row counts besides its text, so that a shard of empty texts is bounded too.
 ROW_BYTES = 16
-DEEPEST = 62
+#: Bits of a hash: fifteen hexadecimal digits, which a long holds without its sign.
+DEEPEST = 60
+#: Levels of prefixes that one fold goes up.
+FOLD = 6
 
 
-def _prefix(value: Column, depth: Column | int) -> Column:
-    """The first ``depth`` bits of a 64-bit hash."""
-    if isinstance(depth, int):
-        return F.shiftrightunsigned(value, 64 - depth) if depth else F.lit(0).cast("long")
-    return F.when(depth == 0, F.lit(0).cast("long")).otherwise(F.expr("shiftrightunsigned(hash, cast(64 - depth as int))"))
+def sha_bits(value: Column) -> Column:
+    """The first DEEPEST bits of the SHA-256 of a string."""
+    return F.conv(F.substring(F.sha2(value, 256), 1, DEEPEST // 4), 16, 10).cast("long")
+
+
+def _prefix(value: Column, depth: int) -> Column:
+    """The first ``depth`` bits of a hash."""
+    return F.shiftright(value, DEEPEST - depth) if depth else F.lit(0).cast("long")
+
+
+def _folded(cells: DataFrame, start: int, depth: int) -> DataFrame:
+    """Sums (depth, prefix, bytes, n) of every prefix from ``start`` to ``depth`` bits, from those of ``depth`` bits (cell, bytes, n)."""
+    out = None
+    while True:
+        top = max(start, depth - FOLD + 1)
+        nodes = cells.select(F.explode(F.sequence(F.lit(top), F.lit(depth))).alias("depth"), "cell", "bytes", "n")
+        nodes = nodes.select("depth", F.expr(f"shiftright(cell, {depth} - depth)").alias("prefix"), "bytes", "n")
+        nodes = stored(nodes.groupBy("depth", "prefix").agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n")), "shard-nodes")
+        out = nodes if out is None else out.unionByName(nodes)
+        if top == start:
+            return out
+        cells = nodes.where(F.col("depth") == top).select(F.shiftright("prefix", 1).alias("cell"), "bytes", "n")
+        cells, depth = cells.groupBy("cell").agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n")), top - 1
 
 
 def _bits(prefix: str, depth: str) -> Column:
@@ -45,10 +67,7 @@ def assigned(rows: DataFrame, limit: int, *, bytes_col: str = "n_bytes", hash_co
     columns = [c for c in rows.columns if c != "_bytes"]
     while True:
         cells = rows.groupBy(_prefix(F.col("hash"), depth).alias("cell")).agg(F.sum("_bytes").alias("bytes"), F.count("*").alias("n"))
-        # Bytes of every prefix from `start` bits to `depth` bits.
-        nodes = cells.select(F.explode(F.sequence(F.lit(start), F.lit(depth))).alias("depth"), "cell", "bytes", "n")
-        nodes = nodes.select("depth", F.expr(f"shiftright(cell, {depth} - depth)").alias("prefix"), "bytes", "n")
-        nodes = stored(nodes.groupBy("depth", "prefix").agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n")), "shard-nodes")
+        nodes = _folded(cells, start, depth)
         fits = (F.col("bytes") <= limit) | (F.col("n") == 1) | F.lit(depth >= DEEPEST)
         split = nodes.where(~fits).select((F.col("depth") + 1).alias("depth"), F.col("prefix").alias("parent"))
         leaf = nodes.where(fits).withColumn("parent", F.shiftright("prefix", 1))
@@ -71,30 +90,44 @@ def assigned(rows: DataFrame, limit: int, *, bytes_col: str = "n_bytes", hash_co
     return out
 
 
-def shard_rows(docs: DataFrame, limit: int, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of ``docs``: doc_id, n_bytes, hash, copy and the columns of :func:`assigned`.
+def _content(docs: DataFrame, id_col: str, text_col: str) -> Column:
+    """SHA-256 of a row's id and text; null ids and texts are values of their own."""
+    doc, text = F.coalesce(docs[id_col].cast("long").cast("string"), F.lit("null")), docs[text_col].cast("string")
+    return F.sha2(F.concat(doc, F.when(text.isNull(), ":-").otherwise(":+"), F.coalesce(text, F.lit(""))), 256)
+
+
+def shard_rows(docs: DataFrame, limit: int | None = None, *, least: int = 16, most: int = 64 * 2**20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each row of ``docs``: doc_id, n_bytes, content, hash, copy and the columns of :func:`assigned`.
 
+    Without a ``limit``, a shard holds at most ``most`` bytes, and at most one part in ``least`` of all.
     Rows that repeat id and text are numbered and hashed with their number, so that even a third
     of all rows being one and the same spreads over shards. Null ids and texts are values of their
     own; a null text has no bytes but ROW_BYTES; other columns are ignored.
     """
-    doc, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
-    rows = docs.select(doc.alias("doc_id"), (F.coalesce(F.octet_length(text), F.lit(0)) + ROW_BYTES).cast("long").alias("n_bytes"), F.xxhash64(doc, text.isNull(), text).alias("content"))
+    size = (F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)) + ROW_BYTES).cast("long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), size.alias("n_bytes"), _content(docs, id_col, text_col).alias("content"))
     rows = rows.groupBy("doc_id", "n_bytes", "content").agg(F.count("*").alias("copies"))
     rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    rows = stored(rows.select("doc_id", "n_bytes", "content", "copy", F.xxhash64("content", "copy").alias("hash")), "shard-keys")
+    rows = stored(rows.select("doc_id", "n_bytes", "content", "copy", sha_bits(F.concat("content", F.lit(":"), F.col("copy").cast("string"))).alias("hash")), "shard-keys")
+    if limit is None:
+        limit = min(most, -(-(rows.agg(F.sum("n_bytes")).first()[0] or 1) // least))
     return assigned(rows, limit)
 
 
 def write_shards(docs: DataFrame, path: str, limit: int, *, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Writes ``docs`` to ``path``, a folder ``shard=<bits>`` for each shard.
+    """Writes ``docs`` to ``path``, a folder ``shard=<bits>`` for each shard; every row keeps its own columns.
 
-    Of rows that repeat id and text, the other columns are taken from one of them; a column named
-    shard is replaced.
+    Rows that repeat id and text are numbered here as they are in :func:`shard_rows`: equal rows are counted first,
+    and those that differ elsewhere take their numbers by slices, so that no id and text is numbered in one task.
+    Columns named shard, or as the helper columns _content, _n, _slice, _before and _copy, are replaced.
     """
-    docs = docs.drop("shard")
-    doc, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
-    rows = docs.withColumns({"_doc": doc, "_content": F.xxhash64(doc, text.isNull(), text)}).dropDuplicates(["_doc", "_content"])
-    place = shard_rows(docs, limit, id_col=id_col, text_col=text_col).select(F.col("doc_id").alias("_id"), F.col("content").alias("_c"), F.concat(F.lit("b"), "shard").alias("shard"))
-    out = rows.join(place, rows["_doc"].eqNullSafe(place["_id"]) & (rows["_content"] == place["_c"])).drop("_doc", "_content", "_id", "_c")
-    out.repartition("shard").write.partitionBy("shard").parquet(path)
+    docs = docs.drop("shard", "_content", "_n", "_slice", "_before", "_copy")
+    own = docs.columns
+    rows = docs.withColumn("_content", _content(docs, id_col, text_col)).groupBy(*own, "_content").agg(F.count("*").alias("_n"))
+    rows = stored(rows.withColumn("_slice", F.pmod(F.xxhash64(*own), F.lit(64))), "shard-copies")
+    sums = rows.groupBy("_content", "_slice").agg(F.sum("_n").alias("_before"))
+    sums = sums.withColumn("_before", F.sum("_before").over(Window.partitionBy("_content").orderBy("_slice")) - F.col("_before"))
+    first = F.sum("_n").over(Window.partitionBy("_content", "_slice").orderBy(*own)) - F.col("_n") + F.col("_before")
+    rows = rows.join(sums, ["_content", "_slice"]).withColumn("_before", first).withColumn("_copy", F.explode(F.sequence(F.col("_before") + 1, F.col("_before") + F.col("_n"))))
+    place = shard_rows(docs, limit, id_col=id_col, text_col=text_col).select(F.col("content").alias("_content"), F.col("copy").alias("_copy"), F.concat(F.lit("b"), "shard").alias("shard"))
+    rows.join(place, ["_content", "_copy"]).select(*own, "shard").repartition("shard").write.partitionBy("shard").parquet(path)

@@ -389,7 +389,7 @@ def test_sharding(spark, docs, empty, limit):
     for r in got:
         size[r.shard] += r.n_bytes
         n[r.shard] += 1
-        assert len(r.shard) == r.depth and format(r.hash % 2**64, "064b").startswith(r.shard)
+        assert len(r.shard) == r.depth and format(r.hash, "060b").startswith(r.shard)
     for r in got:
         assert r.shard_bytes == size[r.shard] and r.shard_rows == n[r.shard]
     for s in size:
@@ -403,6 +403,11 @@ def test_write_shards(spark, docs, tmp_path):
     sharding.write_shards(docs, f"file://{tmp_path}/out", 20000)
     back = spark.read.parquet(f"file://{tmp_path}/out")
     assert counted((r.doc_id, r.text) for r in back.collect()) == counted((r.doc_id, r.text) for r in docs.collect())
+    # Copies that differ in other columns keep these.
+    rows = [(1, "same", f"s{k % 90}") for k in range(300)] + [(2, None, None)] * 3
+    sharding.write_shards(spark.createDataFrame(rows, "doc_id long, text string, source string"), f"file://{tmp_path}/copies", 500)
+    back = spark.read.parquet(f"file://{tmp_path}/copies")
+    assert counted((r.doc_id, r.text, r.source) for r in back.collect()) == counted(rows) and back.select("shard").distinct().count() > 5
 
 
 def test_pii_on_hostile_texts():
