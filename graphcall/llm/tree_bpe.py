@@ -1,22 +1,31 @@
 """Byte-level BPE encoding and decoding as a reduction over the monoid of token lists.
 
-A match of the pattern is encoded by halves, recursively, and halves are joined at their seam.
-Two neighbouring tokens are *stable* if their bytes, encoded by themselves, give these two tokens.
-A token list is the encoding of its bytes exactly if all neighbours are stable: merges are taken
-lowest rank first, leftmost first, so as long as no merge has crossed a seam, the two tokens at it
+A text is encoded by halves, recursively, and halves are joined at their seam by re-encoding a
+window around it that grows until the tokens outside are proven. There are two kinds of seams.
+
+Between matches of the pattern: a match is settled by its own characters and the next ones (``LOOK`` at
+most), so those of the left half that end well before the seam stay, and from a place where both the
+window's and the right half's matches end, the right half's go on as they are. Halves are cut before
+a space where there is one near the middle, so that windows are short.
+
+Inside a match: two neighbouring tokens are *stable* if their bytes, encoded by themselves, give these
+two tokens. A token list is the encoding of its bytes exactly if all neighbours are stable: merges are
+taken lowest rank first, leftmost first, so as long as no merge has crossed a seam, the two tokens at it
 evolve as they would alone, and the first merge to cross it would also happen there. So a join
 re-encodes a window around the seam, and widens it on the side where the window's outer token and
 the token next to it are not stable; all tokens outside are then proven.
 
-Documents are joined from their matches, which never merge with each other, and decoding joins
-the bytes of tokens in the same way.
+Leaves are some hundred characters of a text, or a few bytes of a match; the encodings of short
+subtrees are kept. Decoding joins the bytes of tokens up a tree as well.
 """
 
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 import heapq
+import itertools
 import re
 from array import array
 from collections.abc import Iterator
@@ -26,6 +35,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Characters behind its end that may decide a match: a contraction's two letters, or the one that ends a run.
+LOOK = 3
 #: Above every rank.
 NO_MERGE = 1 << 40
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -39,18 +50,28 @@ def _pattern(pattern: str) -> regex.Pattern:
     return regex.compile(pattern.replace(r"\s", f"[{WHITE}]"))
 
 
+#: Patterns in which only runs of white space, or one space before other characters, hold white space: fixed values.
+WORD_PATTERNS = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",)
+
+
 def load_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as lines:
         return {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())}
 
 
 class TreeBpe:
-    def __init__(self, ranks: dict[bytes, int], pattern: str, *, leaf: int = 16, cached: int = 600_000, cached_matches: int = 1_000_000, longest: int = 48):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, *, leaf: int = 4, text_leaf: int = 384, cached: int = 600_000, cached_matches: int = 1_000_000, longest: int = 48):
         self.ranks, self.bytes_of = ranks, {n: b for b, n in ranks.items()}
-        self.find = _pattern(pattern).findall
+        self.pattern = _pattern(pattern)
+        self.find, self.match = self.pattern.findall, self.pattern.match
         self.white_space = re.compile(f"[{WHITE}] ").search
-        self.leaf, self.cached, self.cached_matches, self.longest = leaf, cached, cached_matches, longest
+        self.leaf, self.text_leaf, self.cached, self.cached_matches, self.longest = leaf, text_leaf, cached, cached_matches, longest
+        #: Bytes of matches by whether a join or a leaf alone gave their tokens, and characters of texts likewise; for tests.
+        self.joined_bytes = self.leaf_bytes = self.joined_chars = self.leaf_chars = 0
+        #: Whether no match holds white space after other characters, so that words can be looked up whole.
+        self.by_words = pattern in WORD_PATTERNS
         self.pairs: dict[tuple[int, int], bool] = {}
+        self.subtrees: dict[bytes, list[int]] = {}
         self.matches: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
@@ -121,16 +142,32 @@ class TreeBpe:
             i, j = i * (1 + wider_left), j * (1 + wider_right)
 
     def tree(self, raw: bytes) -> list[int]:
-        if len(raw) <= self.leaf:
-            return self.merged(raw)
-        half = len(raw) // 2
-        return self.join(self.tree(raw[:half]), self.tree(raw[half:]))
+        """The encoding of one match's bytes."""
+        if len(raw) > 8:
+            half = len(raw) // 2
+            return self.join(self.tree(raw[:half]), self.tree(raw[half:]))
+        known = self.subtrees.get(raw)
+        if known is None:
+            if len(raw) <= self.leaf:
+                known = self.merged(raw)
+            else:
+                half = len(raw) // 2
+                known = self.join(self.tree(raw[:half]), self.tree(raw[half:]))
+            if len(self.subtrees) >= self.cached:
+                self.subtrees.clear()
+            self.subtrees[raw] = known
+        return known
 
     def _match(self, match: str) -> bytes:
         known = self.matches.get(match)
         if known is None:
             raw = match.encode()
             rank = self.ranks.get(raw)  # a whole match that is a token is that token
+            if rank is None:
+                if len(raw) > self.leaf:
+                    self.joined_bytes += len(raw)
+                else:
+                    self.leaf_bytes += len(raw)
             known = array("I", self.tree(raw) if rank is None else [rank]).tobytes()
             if len(match) <= self.longest:
                 if len(self.matches) >= self.cached_matches:
@@ -138,28 +175,75 @@ class TreeBpe:
                 self.matches[match] = known
         return known
 
+    def _leaf(self, text: str, start: int, stop: int) -> tuple[list[int], list[bytes]]:
+        """Where units (one match, or some that a space sets off) of a stretch of ``text`` end, and the ids of each."""
+        part = text[start:stop]
+        if self.by_words and "  " not in part and "\n " not in part and not self.white_space(part):
+            # No match holds white space after other characters, so every space begins one.
+            first, *rest = part.split(" ")
+            units, known = [first, *[" " + w for w in rest]] if first else [" " + w for w in rest], self.words
+            parts = list(map(known.get, units))
+            if None in parts:
+                if len(known) >= self.cached:
+                    known.clear()
+                for k, w in enumerate(units):
+                    if parts[k] is None:
+                        parts[k] = b"".join(map(self._match, self.find(w)))
+                        if len(w) <= self.longest:
+                            known[w] = parts[k]
+        else:
+            units = self.find(part)
+            parts = list(map(self._match, units))
+        return list(itertools.accumulate(map(len, units), initial=start))[1:], parts
+
+    def _joined(self, match: str, left: bytes, right: bytes) -> bytes:
+        rank = self.ranks.get(match.encode())
+        return array("I", self.join(list(memoryview(left).cast("I")), list(memoryview(right).cast("I"))) if rank is None else [rank]).tobytes()
+
+    def _halves(self, text: str, start: int, stop: int) -> tuple[list[int], list[bytes]]:
+        if stop - start <= self.text_leaf:
+            return self._leaf(text, start, stop)
+        half = (start + stop) // 2
+        seam = text.find(" ", half, half + self.text_leaf // 4)
+        if seam < 0:
+            seam = half
+        ends, parts = self._halves(text, start, seam)
+        right_ends, right_parts = self._halves(text, seam, stop)
+        cut = []
+        while ends and ends[-1] > seam - LOOK:
+            ends.pop()
+            cut.append(parts.pop())
+        at, k = ends[-1] if ends else start, 0
+        # Matches from the last settled one on, until one ends where one of the right half does, or where that begins.
+        while at != seam and k < len(right_ends):
+            end = self.match(text, at, stop).end()
+            if end - at > self.longest and len(cut) == 1 and end == right_ends[0] and len(cut[0]) > 4 < len(right_parts[0]):
+                # One long match over the seam: its two ends are joined, not encoded again.
+                part = self._joined(text[at:end], cut[0], right_parts[0])
+            else:
+                part = self._match(text[at:end])
+            cut = []
+            ends.append(end)
+            parts.append(part)
+            at = end
+            if at > seam:
+                k = bisect.bisect_left(right_ends, at, k)
+                if k < len(right_ends) and right_ends[k] == at:
+                    k += 1
+                    break
+        ends += right_ends[k:]
+        parts += right_parts[k:]
+        return ends, parts
+
     def encode(self, text: str | None) -> bytes:
-        """The ids of a whole text as little-endian unsigned 32-bit integers; null and empty give none.
-
-        No match holds white space after other characters, so a text may be cut before a space
-        that follows one; with no white space before any space, that is every space.
-        """
-        text = text or ""
-        if "  " in text or "\n " in text or self.white_space(text):
-            return b"".join(map(self._match, self.find(text)))
-        first, *rest = text.split(" ")
-        words, known = [first, *[" " + w for w in rest]], self.words
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            pass
-        if len(known) >= self.cached:
-            known.clear()
-        extra = {}
-        for w in words:
-            if w not in known and w not in extra:
-                (known if len(w) <= self.longest else extra)[w] = b"".join(map(self._match, self.find(w)))
-        return b"".join([known[w] if w in known else extra[w] for w in words])
+        """The ids of a whole text as little-endian unsigned 32-bit integers; null and empty give none."""
+        if not text:
+            return b""
+        if len(text) > self.text_leaf:
+            self.joined_chars += len(text)
+        else:
+            self.leaf_chars += len(text)
+        return b"".join(self._halves(text, 0, len(text))[1])
 
     def decode(self, ids: bytes, run: int = 1024) -> bytes:
         """The bytes of ids, joined up the tree from runs of tokens."""
