@@ -6,8 +6,9 @@ that agree on a band meet in its bucket, and every pair that meets is verified o
 
 * Buckets of at most ``small`` classes give pairs; a pair is verified once, however many buckets it has.
 * Classes of larger buckets are joined to clusters (connected components over large buckets), and all
-  pairs of a cluster are verified in blocks: a task holds two blocks of some hundred sets, counts
-  links and keeps a spanning forest of them, so no pair of a large cluster becomes a row.
+  pairs of a cluster whose sizes allow a link are verified in blocks, which follow the sets' sizes: a task
+  holds two blocks of some hundred sets, counts links and keeps a spanning forest of them, so no pair
+  of a large cluster becomes a row.
 
 Both count links, and the links' connected components are the groups. N-grams are compared as 64-bit hashes.
 """
@@ -22,14 +23,16 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphcall.llm.shared import stored
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
-#: Sets in a block, and their bytes, at most (a single set may be larger).
-BLOCK_SETS, BLOCK_BYTES = 256, 8 * 2**20
+#: Longer words (in bytes) are not kept in caches.
+LONGEST_WORD = 128
+#: Sets in a block, and their bytes, of which shares add up to one or about (a single set may be larger).
+BLOCK_SETS, BLOCK_BYTES = 1024, 8 * 2**20
 
 
 def band_counts(threshold: float, recall: float, most: int = 160) -> tuple[int, int]:
@@ -66,9 +69,9 @@ class Shingler:
             if len(known) >= self.cached:
                 known.clear()
             for w in words:
-                if w not in known:
+                if len(w) <= LONGEST_WORD and w not in known:
                     known[w] = xxhash.xxh3_64_intdigest(w)
-            at = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+            at = np.fromiter((known[w] if w in known else xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
         size = min(self.size, len(at))
         out = at[: len(at) - size + 1].copy()
         for k in range(1, size):
@@ -243,27 +246,37 @@ def _verify(threshold: float) -> Callable:
 def _cluster_links(sets: DataFrame, clusters: DataFrame, threshold: float) -> DataFrame:
     """For each block pair and set: key, links (copies of the sets linked to it there) and a root that its links lead to."""
     # Where each set belongs is settled on narrow rows, of which a large cluster's are split by
-    # adaptive execution; the sets themselves are then dealt by their own keys.
+    # adaptive execution; the sets themselves are then dealt by their own keys. Blocks follow the sets' sizes,
+    # so that pairs of blocks whose sizes rule out every link are left out. The window sees one row for
+    # each size that a cluster has.
     place = clusters.select(F.col("node").alias("key"), F.col("label").alias("cluster"))
     place = stored(place.join(sets.select("key", F.octet_length("shingles").alias("bytes")), "key"), "cluster-sets")
-    blocks = F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int")
-    shape = stored(place.groupBy("cluster").agg(blocks.alias("blocks")), "cluster-shapes")
-    place = stored(place.join(shape, "cluster").select("key", "cluster", "blocks"), "cluster-blocks")
-    own = sets.join(place, "key").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    own = own.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "copies", "shingles")
+    share = F.count("*") / BLOCK_SETS + F.sum("bytes") / BLOCK_BYTES
+    sizes = place.groupBy("cluster", "bytes").agg(share.alias("share"))
+    sizes = stored(sizes.withColumn("before", F.sum("share").over(Window.partitionBy("cluster").orderBy("bytes")) - F.col("share")), "cluster-sizes")
+    spread = F.pmod(F.xxhash64("key"), F.lit(1 << 20)) / (1 << 20)
+    place = place.join(sizes, ["cluster", "bytes"]).select("key", "cluster", "bytes", F.floor(F.col("before") + F.col("share") * spread).alias("block"))
+    place = stored(place, "cluster-blocks")
+    shape = stored(place.groupBy("cluster", "block").agg(F.min("bytes").alias("least"), F.max("bytes").alias("most")), "cluster-shapes")
+    i, j = (shape.select("cluster", F.col("block").alias(c), F.col("least").alias(f"{c}_least"), F.col("most").alias(f"{c}_most")) for c in "ij")
+    met = i.join(j, "cluster").where((F.col("i") <= F.col("j")) & (F.col("i_most") >= threshold * F.col("j_least") - 1e-6)).select("cluster", "i", "j")
+    met = stored(met.select("cluster", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block")), "block-pairs")
+    own = sets.join(place.select("key", "cluster", "block"), "key").join(met, ["cluster", "block"]).select("cluster", "i", "j", "block", "key", "copies", "shingles")
     return own.groupBy("cluster", "i", "j").applyInPandas(_block(threshold), "key binary, links long, root binary")
 
 
 def _block(threshold: float) -> Callable:
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("key").reset_index(drop=True)
+        rows = rows.assign(size=rows["shingles"].str.len()).sort_values(["size", "key"]).reset_index(drop=True)
         one = rows["i"].iloc[0] == rows["j"].iloc[0]
         left = (rows["block"] == rows["i"]).to_numpy()
-        sets = [np.frombuffer(x, np.uint64) for x in rows["shingles"]]
-        sizes = np.array([len(s) for s in sets])
-        values, at = np.unique(np.concatenate(sets), return_inverse=True)
-        at, starts = at.astype(np.int64), np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        sizes = rows["size"].to_numpy() // 8
+        values, at = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in rows["shingles"]]), return_inverse=True)
+        at, starts = at.astype(np.int32), np.concatenate([[0], np.cumsum(sizes)])
+        # The sets that left ones are held against: all behind them in order if the blocks are one, else those of the right block.
+        other = np.arange(len(rows)) if one else np.flatnonzero(~left)
+        flat = at if one else np.concatenate([at[starts[k] : starts[k + 1]] for k in other])
+        begins = np.concatenate([[0], np.cumsum(sizes[other])])
         copies = rows["copies"].to_numpy()
         links, root = np.zeros(len(rows), np.int64), np.arange(len(rows))
 
@@ -273,21 +286,23 @@ def _block(threshold: float) -> Callable:
                 k = root[k]
             return k
 
-        mark = np.zeros(len(values), np.int64)
+        mark = np.zeros(len(values), np.int32)
         for k in np.flatnonzero(left):
-            own = at[starts[k] : starts[k] + sizes[k]]
+            # Only sets of a size that allows a link.
+            low = k + 1 if one else int(np.searchsorted(sizes[other], threshold * sizes[k] - 1e-6))
+            high = int(np.searchsorted(sizes[other], sizes[k] / threshold + 1e-6, side="right"))
+            if low >= high:
+                continue
+            own = at[starts[k] : starts[k + 1]]
             mark[own] = 1
-            shared = np.add.reduceat(mark[at], starts)
+            shared = np.add.reduceat(mark[flat[begins[low] : begins[high]]], begins[low:high] - begins[low])
             mark[own] = 0
-            near = shared >= threshold * (sizes + sizes[k] - shared) - 1e-9
-            near[k] = False
-            if not one:
-                near &= ~left
+            chosen = other[low:high]
+            near = chosen[shared >= threshold * (sizes[chosen] + sizes[k] - shared) - 1e-9]
             links[k] += copies[near].sum()
-            if not one:
-                links[near] += copies[k]
-            for other in np.flatnonzero(near):
-                a, b = top(k), top(int(other))
+            links[near] += copies[k]
+            for n in near.tolist():
+                a, b = top(k), top(n)
                 root[max(a, b)] = min(a, b)
         tops = [top(k) for k in range(len(rows))]
         return pd.DataFrame({"key": rows["key"], "links": links, "root": rows["key"].iloc[tops].to_numpy()})

@@ -170,19 +170,38 @@ def test_packing_plan_sees_what_fits_exactly(histogram, least):
 def test_tree_bpe(docs, empty):
     ranks = tree_bpe.load_ranks(BYTE)
     t = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    short = docs.where(F.length("text") < 20000)
     want = []
     for i, x in given():
-        if len(x) < 20000:
-            raw = array("I", t.encode_ordinary(x)).tobytes()
-            want.append((i, len(raw) // 4, hashlib.sha256(raw).hexdigest(), hashlib.sha256(x.encode()).hexdigest()))
-    got = tree_bpe.round_trip(short.unionByName(docs.where("text IS NULL")), BYTE, public_tokenizers.PATTERN).collect()
+        raw = array("I", t.encode_ordinary(x)).tobytes()
+        want.append((i, len(raw) // 4, hashlib.sha256(raw).hexdigest(), hashlib.sha256(x.encode()).hexdigest()))
+    got = tree_bpe.round_trip(docs, BYTE, public_tokenizers.PATTERN).collect()
     assert counted(map(tuple, got)) == counted(want)
     assert tree_bpe.round_trip(empty, BYTE, public_tokenizers.PATTERN).count() == 0
     ids = tree_bpe.encoded(docs, BYTE, public_tokenizers.PATTERN)
     assert counted(bytes(r.raw).decode() for r in tree_bpe.decoded(ids, BYTE, public_tokenizers.PATTERN).collect()) == counted(x for _, x in given())
 
 
+@pytest.mark.parametrize("options", [{}, {"leaf": 2, "text_leaf": 7}, {"leaf": 1, "text_leaf": 1, "longest": 3}, {"text_leaf": 40, "cached": 50, "cached_matches": 50}])
+def test_tree_bpe_seams(options):
+    import random
+
+    ranks, rng = tree_bpe.load_ranks(BYTE), random.Random(3)
+    t = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    bpe = tree_bpe.TreeBpe(ranks, public_tokenizers.PATTERN, **options)
+    assert bpe.by_words
+    letters = "ab'stdlE é÷ß \n\x0b1!<|>endoftext́日\x85  ''"
+    for x in ["".join(rng.choice(letters) for _ in range(rng.randint(1, 900))) for _ in range(150)] + [" " * 999 + "x", "it's   we'll\n\n x", "ab" * 900]:
+        assert list(memoryview(bpe.encode(x)).cast("I")) == t.encode_ordinary(x)
+
+
+def test_tree_bpe_results_come_through_joins(spark):
+    bpe = tree_bpe.TreeBpe(tree_bpe.load_ranks(BYTE), public_tokenizers.PATTERN)
+    for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect():
+        bpe.encode(r.text)
+    assert bpe.joined_chars > 0.95 * (bpe.joined_chars + bpe.leaf_chars)
+    assert bpe.joined_bytes > 0.95 * (bpe.joined_bytes + bpe.leaf_bytes)
+
+
 def test_tree_bpe_on_hard_matches():
     ranks = tree_bpe.load_ranks(BYTE)
     t = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -352,9 +371,9 @@ def test_jaccard_join(spark, docs, empty, small):
 
 
 def test_jaccard_blocks_and_chains(spark, monkeypatch):
-    # Clusters over several blocks, and chains whose ends are not similar, against brute force.
+    # Clusters over several blocks, and chains whose ends are not similar, of many sizes, against brute force.
     monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 7)
-    texts = [" ".join(f"c{k}" for k in range(v * 4, v * 4 + 60)) for v in range(40)]
+    texts = [" ".join(f"c{k}" for k in range(v * 4, v * 4 + 60 + 3 * (v % 9))) for v in range(40)]
     links, group = brute_links(texts)
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r for r in jaccard_join.jaccard_links(frame, small=1).collect()}
@@ -374,6 +393,19 @@ def test_one_row_of_each_group(spark):
     assert got - counted(free) - counted(blank) == counted([rows[0], rows[2], rows[4], rows[7], *rows[9:16]])
 
 
+def test_recall_against_brute_force(spark):
+    """All links between different texts of the documents, against all pairs."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    rows = docs.collect()
+    links, group = brute_links([r.text or "" for r in rows])
+    got = {r.doc_id: r for r in jaccard_join.jaccard_links(docs).collect()}
+    assert sum(got[r.doc_id].n_links for r in rows) == sum(map(len, links)) > 0
+    least = {}
+    for r, g in zip(rows, group, strict=True):
+        least[g] = min(least.get(g, r.doc_id), r.doc_id)
+    assert all(got[r.doc_id].class_id == least[g] for r, g in zip(rows, group, strict=True))
+
+
 def test_band_counts_reach_the_recall():
     bands, rows = jaccard_join.band_counts(0.8, 0.9999)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.9999 and bands * rows <= 160
