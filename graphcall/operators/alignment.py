@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +14,7 @@ from pyspark.sql import types as T
 from graphcall.functions import sequence
 
 MATCH, MISMATCH, GAP_OPEN, GAP_EXTEND = 1, -4, -6, -1
+_COMPLEMENT = str.maketrans("ACGT", "TGCA")
 
 
 def both_strands(reads: DataFrame) -> DataFrame:
@@ -44,7 +46,10 @@ def gapless(reads: DataFrame, paths: DataFrame, *, seed: int = 16, most: int = 2
 
 
 def cascade(reads: DataFrame, paths: DataFrame, nodes: list[tuple[int, str]], edges: list[tuple[int, int]], *, seed: int = 16) -> DataFrame:
-    """Exact and gapless placement first; reads that it leaves are aligned to the graph. One row a read: id, stage, score, reverse."""
+    """Exact and gapless placement first, then local alignment to single paths; reads that these leave are aligned to the graph.
+
+    One row a read: id, stage, score, reverse.
+    """
     first = gapless(reads, paths, seed=seed).where("status = 'MAPPED'")
     lengths = reads.select("id", F.char_length("seq").alias("n"))
     easy = first.join(lengths, "id").select("id", F.when(F.col("mismatches") == 0, "path").otherwise("kmer").alias("stage"), (F.col("n") - 5 * F.col("mismatches")).alias("score"), "reverse")
@@ -52,64 +57,188 @@ def cascade(reads: DataFrame, paths: DataFrame, nodes: list[tuple[int, str]], ed
     return easy.unionByName(rest.select("id", F.lit("graph").alias("stage"), "score", "reverse"))
 
 
-def _local(seqs: list[str], nodes: list[tuple[int, str]], edges: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Best local score of each read on a graph in topological order, the node it ends in, and whether only one node has it.
+#: Cells (reads x bases x positions) that one block of reads may hold for its traces.
+BLOCK_CELLS = 30_000_000
+_LETTER = np.full(256, 4, np.int8)
+_LETTER[[ord(c) for c in "ACGT"]] = range(4)
+
+
+class _Filled:
+    """Local alignment scores of a block of reads on a graph in topological order.
 
     Columns of the dynamic program are graph positions; reads and their bases are vector axes.
-    Gaps in the read close with a running maximum, so no loop runs over bases.
+    Gaps in the read close with a running maximum, so no loop runs over bases. A base that is
+    none of ACGT, on either side, neither matches nor differs. A gap costs its opening for the first base.
     """
-    longest = max(map(len, seqs))
-    read = np.zeros((len(seqs), longest), np.uint8)
-    for k, s in enumerate(seqs):
-        read[k, : len(s)] = np.frombuffer(s.encode(), np.uint8)
-    step = np.arange(longest + 1) * -GAP_EXTEND
-    low = -(10**6)
-    best, node_of, unique = np.zeros(len(seqs), np.int64), np.full(len(seqs), -1), np.ones(len(seqs), bool)
-    into: dict[int, list[int]] = {}
-    for a, b in edges:
-        into.setdefault(b, []).append(a)
-    done: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    for node, bases in nodes:
-        h, gap = np.zeros((len(seqs), longest + 1), np.int64), np.full((len(seqs), longest + 1), low)
-        for a in into.get(node, []):
-            h, gap = np.maximum(h, done[a][0]), np.maximum(gap, done[a][1])
-        top = np.zeros(len(seqs), np.int64)
-        for base in bases.encode():
-            gap = np.maximum(gap + GAP_EXTEND, h + GAP_OPEN + GAP_EXTEND)
-            score = np.where(read == base, MATCH, np.where(read == 0, low, MISMATCH))
-            new = np.maximum(gap, 0)
-            new[:, 1:] = np.maximum(new[:, 1:], h[:, :-1] + score)
-            carried = np.maximum.accumulate(new + step, axis=1)
-            new[:, 1:] = np.maximum(new[:, 1:], carried[:, :-1] - step[1:] + GAP_OPEN)
-            h = new
-            top = np.maximum(top, h.max(axis=1))
-        done[node] = (h, gap)
-        unique &= ~((top == best) & (best > 0)) | (top > best)
-        unique |= top > best
-        node_of = np.where(top > best, node, node_of)
-        best = np.maximum(best, top)
-    return best, node_of, unique
 
+    def __init__(self, seqs: list[str], nodes: list[tuple[int, str]], edges: list[tuple[int, int]], keep: bool):
+        self.nodes = [(n, s.upper()) for n, s in nodes]
+        self.into: dict[int, list[int]] = {}
+        for a, b in edges:
+            self.into.setdefault(b, []).append(a)
+        longest = max(map(len, seqs), default=0)
+        self.read = np.full((len(seqs), longest), 5, np.int8)  # 5 is behind a read's end
+        for k, s in enumerate(seqs):
+            self.read[k, : len(s)] = _LETTER[np.frombuffer(s.upper().encode("latin-1", "replace"), np.uint8)]
+        n = len(seqs)
+        self.best, self.node, self.at = np.zeros(n, np.int64), np.full(n, -1), np.zeros(n, np.int64)
+        self.ends = np.zeros(n, np.int64)  # nodes that the best score ends in
+        self.score: dict[int, list[np.ndarray]] = {}
+        self.gap: dict[int, list[np.ndarray]] = {}
+        step, low = np.arange(longest + 1) * -GAP_EXTEND, -(10**6)
+        last: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for name, bases in self.nodes:
+            h, gap = np.zeros((n, longest + 1), np.int32), np.full((n, longest + 1), low, np.int32)
+            for a in self.into.get(name, []):
+                h, gap = np.maximum(h, last[a][0]), np.maximum(gap, last[a][1])
+            top, place = np.zeros(n, np.int64), np.zeros(n, np.int64)
+            for k, base in enumerate(_LETTER[np.frombuffer(bases.encode("latin-1", "replace"), np.uint8)]):
+                gap = np.maximum(gap + GAP_EXTEND, h + GAP_OPEN)
+                pair = np.where(self.read == 5, low, np.where((self.read == 4) | (base == 4), 0, np.where(self.read == base, MATCH, MISMATCH)))
+                new = np.maximum(gap, 0)
+                new[:, 1:] = np.maximum(new[:, 1:], h[:, :-1] + pair)
+                carried = np.maximum.accumulate(new + step, axis=1)
+                new[:, 1:] = np.maximum(new[:, 1:], carried[:, :-1] - step[:-1] + GAP_OPEN)
+                h = new.astype(np.int32)
+                if keep:
+                    self.score.setdefault(name, []).append(h)
+                    self.gap.setdefault(name, []).append(gap)
+                own = h.max(axis=1)
+                place = np.where(own > top, k, place)
+                top = np.maximum(top, own)
+            last[name] = (h, gap)
+            self.ends = np.where(top > self.best, 1, self.ends + ((top == self.best) & (top > 0)))
+            self.node, self.at = np.where(top > self.best, name, self.node), np.where(top > self.best, place, self.at)
+            self.best = np.maximum(self.best, top)
 
-def graph_scores(reads: DataFrame, nodes: list[tuple[int, str]], edges: list[tuple[int, int]]) -> DataFrame:
-    """Best strand of each read (id, seq) on one small graph: score, end_node, reverse, is_unique.
+    def trace(self, row: int) -> tuple[int, str]:
+        """Where the best alignment of a read begins in its first node, and its graph CIGAR such as 0[8M]1[4M1X3M]3[8M].
+
+        It ends at the first place that has the best score. Going back, a pair of bases goes before
+        a deletion, a deletion before an insertion, and predecessors are asked in their order.
+        """
+        if not self.best[row]:
+            return 0, ""
+        seq = dict(self.nodes)
+        length = int((self.read[row] != 5).sum())
+        node, k = int(self.node[row]), int(self.at[row])
+        j = int(self.score[node][k][row].argmax())
+        ops: list[tuple[int, str]] = [(node, "S")] * (length - j)
+        deleting, begin = False, k
+
+        def before(name: int, k: int, what: str) -> list[tuple[int, int, int]]:
+            """(node, position, value) of the columns before a position; none before a source."""
+            table = self.score if what == "h" else self.gap
+            return [(name, k - 1, 0)] if k else [(a, len(table[a]) - 1, 0) for a in self.into.get(name, []) if table.get(a)]
 
-    A strand with one best end node goes before one with several, then the better score, then forward.
+        while True:
+            here, begin = int((self.gap if deleting else self.score)[node][k][row, j]), k
+            back = [(a, p) for a, p, _ in before(node, k, "h")]
+            if deleting:
+                ops.append((node, "D"))
+                opened = next(((a, p) for a, p in back if self.score[a][p][row, j] + GAP_OPEN == here), None)
+                deleting = opened is None
+                node, k = opened or next((a, p) for a, p in back if self.gap[a][p][row, j] + GAP_EXTEND == here)
+                continue
+            if here == 0:
+                break
+            x, y = (self.read[row, j - 1] if j else 5), _LETTER[ord(seq[node][k])]
+            pair = 0 if x == 4 or y == 4 else MATCH if x == y else MISMATCH
+            came = next(((a, p) for a, p in back if j and self.score[a][p][row, j - 1] + pair == here), None)
+            if j and (came or here == pair):
+                ops.append((node, "N" if 4 in (x, y) else "M" if x == y else "X"))
+                j -= 1
+                if not came or self.score[came[0]][came[1]][row, j] == 0:
+                    break
+                node, k = came
+            elif self.gap[node][k][row, j] == here:
+                deleting = True
+            else:
+                n = next(n for n in range(1, j + 1) if self.score[node][k][row, j - n] + GAP_OPEN + (n - 1) * GAP_EXTEND == here)
+                ops += [(node, "I")] * n
+                j -= n
+        ops += [(node, "S")] * j
+        ops.reverse()
+        text = []
+        for name, group in itertools.groupby(ops, lambda o: o[0]):
+            text.append(f"{name}[" + "".join(f"{len(list(g))}{op}" for op, g in itertools.groupby(o[1] for o in group)) + "]")
+        return begin, "".join(text)
+
+
+def aligned_block(seqs: list[str], nodes: list[tuple[int, str]], edges: list[tuple[int, int]], *, paths: bool = True) -> list[tuple]:
+    """Best alignment of each read on one graph: score, end node, reverse, unique, position, graph CIGAR.
+
+    A strand is unique if its best score ends in one node only, and so on the graph and read turned around.
+    A unique strand goes before one that isn't, then the better score, then forward.
     """
+    back = [s.upper()[::-1].translate(_COMPLEMENT) for s in seqs]
+    turned_nodes, turned_edges = [(n, s[::-1]) for n, s in reversed(nodes)], [(b, a) for a, b in edges]
+    filled, unique = [], []
+    for strand in (seqs, back):
+        filled.append(_Filled(strand, nodes, edges, paths))
+        turned = _Filled([s[::-1] for s in strand], turned_nodes, turned_edges, False)
+        unique.append((filled[-1].ends <= 1) & (turned.ends <= 1))
+    (f, b), (uf, ub) = filled, unique
+    reverse = np.where(uf == ub, b.best > f.best, ub)
+    out = []
+    for k, turn in enumerate(reverse.tolist()):
+        own = b if turn else f
+        begin, cigar = own.trace(k) if paths else (0, "")
+        out.append((int(own.best[k]), int(own.node[k]), bool(turn), bool((ub if turn else uf)[k]), begin, cigar))
+    return out
+
+
+def _blocks(seqs: list[str], positions: int) -> Iterator[tuple[int, int]]:
+    """Runs of reads of bounded cells, one read at least."""
+    at = 0
+    while at < len(seqs):
+        end, longest = at, 0
+        while end < len(seqs) and (end == at or (end + 1 - at) * (max(longest, len(seqs[end])) + 1) * max(positions, 1) <= BLOCK_CELLS):
+            longest = max(longest, len(seqs[end]))
+            end += 1
+        yield at, end
+        at = end
+
+
+def graph_scores(reads: DataFrame, nodes: list[tuple[int, str]], edges: list[tuple[int, int]]) -> DataFrame:
+    """Best strand of each read (id, seq) on one small graph: score, end_node, reverse, is_unique."""
+    size = sum(len(s) for _, s in nodes)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            if not len(rows):
-                continue
             seqs = [s or "N" for s in rows["seq"]]
-            back = [s[::-1].translate(str.maketrans("ACGT", "TGCA")) for s in seqs]
-            (s1, n1, u1), (s2, n2, u2) = _local(seqs, nodes, edges), _local(back, nodes, edges)
-            turn = (s2 > s1) | ((s2 == s1) & u2 & ~u1)
-            yield pd.DataFrame({"id": rows["id"], "score": np.where(turn, s2, s1), "end_node": np.where(turn, n2, n1), "reverse": turn, "is_unique": np.where(turn, u2, u1)})
+            found = [f for a, b in _blocks(seqs, size) for f in aligned_block(seqs[a:b], nodes, edges, paths=False)]
+            if found:
+                yield pd.DataFrame({"id": rows["id"], **{n: [f[k] for f in found] for k, n in enumerate(("score", "end_node", "reverse", "is_unique"))}})
 
     return reads.select(F.col("id").cast("long"), "seq").mapInPandas(run, "id long, score long, end_node long, reverse boolean, is_unique boolean")
 
 
+ALIGNED = "score long, end_node long, reverse boolean, is_unique boolean, graph_pos int, graph_cigar string"
+
+
+def graph_alignments(reads: DataFrame, graphs: DataFrame) -> DataFrame:
+    """``reads`` (graph_id, seq, ...) with the columns of ALIGNED: their best alignment to their graph.
+
+    ``graphs`` has graph_id, nodes (array of struct id, seq in topological order) and edges (array of struct a, b). Reads meet
+    their graph by an equi-join and are aligned in blocks of one graph; null sequences count as one N.
+    """
+    whole = reads.drop(*[c.split()[0] for c in ALIGNED.split(", ")], "nodes", "edges")
+    out = T.StructType([*whole.schema, *T.StructType.fromDDL(ALIGNED)])
+    rows = whole.join(graphs.select("graph_id", "nodes", "edges"), "graph_id").select(*whole.columns, "nodes", "edges")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            for _, own in part.groupby("graph_id", sort=False):
+                nodes = [(int(n["id"]), n["seq"]) for n in own["nodes"].iloc[0]]
+                edges = [(int(e["a"]), int(e["b"])) for e in own["edges"].iloc[0]]
+                seqs = [s or "N" for s in own["seq"]]
+                found = [f for a, b in _blocks(seqs, sum(len(s) for _, s in nodes)) for f in aligned_block(seqs[a:b], nodes, edges)]
+                yield own.drop(columns=["nodes", "edges"]).assign(**{c: [f[k] for f in found] for k, c in enumerate(c.split()[0] for c in ALIGNED.split(", "))})[out.names]
+
+    return rows.mapInPandas(run, out)
+
+
 def _global(ref: str, alt: str, match: int, mismatch: int, gap_open: int, gap_extend: int) -> tuple[int, str, str]:
     """Score of the best end-to-end alignment of two strings, and both with ``-`` where the other has bases.
 
