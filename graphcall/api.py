@@ -5,16 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphcall.operators import building, counting, genotyping, graphs, intervals, matching
+from graphcall.operators import building, counting, events, genotyping, graphs, intervals, matching
 
 GROUP = ["sample_id", "graph_id"]
 
 
 def select_reads(reads: DataFrame, regions: DataFrame, *, extension: int = 999, most: int = 10_000, bin_width: int = 4096) -> DataFrame:
-    """Reads (sample_id, chrom, pos, len, ...) near target regions (graph_id, chrom, start, stop), at most ``most`` for each sample and graph."""
+    """Reads (sample_id, chrom, pos, len, mate_chrom, mate_pos, ...) that lie, or whose mate lies, near target regions (graph_id, chrom, start, stop), at most ``most`` for each sample and graph."""
     near = regions.select("graph_id", "chrom", F.greatest(F.col("start") - extension, F.lit(0)).alias("r_start"), (F.col("stop") + extension).alias("r_stop"))
-    placed = reads.withColumns({"start": F.col("pos"), "stop": F.col("pos") + F.col("len")})
-    found = intervals.overlap_join(placed, near, ["chrom"], width=bin_width).drop("start", "stop", "r_start", "r_stop").distinct()
+    # A read that touches several regions of a graph comes with the first of them only.
+    own = near.select("graph_id", "chrom", F.struct("r_start", "r_stop").alias("r")).groupBy("graph_id", "chrom").agg(F.array_sort(F.collect_set("r")).alias("all"))
+    near = own.select("graph_id", "chrom", F.posexplode("all").alias("k", "r"), "all").select("graph_id", "chrom", "r.r_start", "r.r_stop", F.slice("all", 1, F.col("k")).alias("earlier"))
+    found = matching.near_regions(reads, near, width=bin_width)
+    hit = lambda r: matching.in_region(F.col("pos"), F.col("len"), F.col("mate_chrom"), F.col("mate_pos"), F.col("chrom"), r["r_start"], r["r_stop"])
+    found = found.where(~F.exists("earlier", hit)).drop("earlier", "r_start", "r_stop")
     return counting.capped(found, GROUP, ["pos", "fragment_id", "is_first_mate"], most).drop("row")
 
 
@@ -27,6 +31,14 @@ def count_support(supports: DataFrame) -> DataFrame:
     return counting.element_counts(counting.fragments(supports, GROUP), GROUP)
 
 
+def count_events(reads: DataFrame, event_list: DataFrame, chunks: DataFrame, *, chunk_size: int = 1 << 20) -> DataFrame:
+    """Reads (sample_id, graph_id, fragment_id, seq) of events (graph_id, chrom, start, end, ins, flank) to counts of nodes, edges and sequences by sample and event.
+
+    ``chunks`` is the reference in pieces of ``chunk_size`` bases, as ``sources.files.chunked`` makes them.
+    """
+    return events.count_reads(reads, events.event_graphs(event_list, chunks, chunk_size), GROUP)
+
+
 def genotype(counts: DataFrame, samples: DataFrame, *, ploidy: int = 2) -> DataFrame:
     """Allele counts (sample_id, graph_id, breakpoint, counts) and samples (depth, depth_sd, read_length) to one call for each graph and sample.
 

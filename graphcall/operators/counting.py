@@ -84,3 +84,23 @@ def capped(reads: DataFrame, keys: list[str], order: list[str], most: int) -> Da
 def filter_reason(rules: list[tuple[str, Column]]) -> Column:
     """The name of the first rule that holds, null if none does."""
     return F.coalesce(*[F.when(rule, F.lit(name)) for name, rule in rules])
+
+
+def coverage(nodes: DataFrame, bases: DataFrame, node: str, *, quality: str = "qual") -> DataFrame:
+    """One row for each base of each node (``node``, seq): offset, cpos, base, and depth that matches (ref) and differs (other).
+
+    ``bases`` has ``node``, offset, is_ref, is_reverse and a quality. Depths are whole and weighted by quality (w), together and by strand. ``cpos`` counts
+    the bases of the nodes before; its running sum is over one row a node.
+    """
+    weight = 1 - F.pow(F.lit(10.0), -F.col(quality) / 10)
+    cases = {"ref_fwd": F.col("is_ref") & ~F.col("is_reverse"), "ref_rev": F.col("is_ref") & F.col("is_reverse"), "other_fwd": ~F.col("is_ref") & ~F.col("is_reverse"), "other_rev": ~F.col("is_ref") & F.col("is_reverse")}
+    depth = bases.groupBy(node, "offset").agg(*[F.count_if(c).alias(n) for n, c in cases.items()], *[F.sum(F.when(c, weight).otherwise(0.0)).alias(f"w{n}") for n, c in cases.items()])
+    size = F.char_length("seq")
+    starts = nodes.select(node, size.alias("_size")).withColumn("_before", F.sum("_size").over(Window.orderBy(node)) - F.col("_size")).drop("_size")
+    cells = nodes.where(size > 0).join(starts, node).select(node, "seq", "_before", F.explode(F.sequence(F.lit(0).cast("long"), (size - 1).cast("long"))).alias("offset"))
+    rows = cells.join(depth, [node, "offset"], "left")
+    zero = {n: F.coalesce(n, F.lit(0).cast("long")) for n in cases} | {f"w{n}": F.coalesce(f"w{n}", F.lit(0.0)) for n in cases}
+    rows = rows.withColumns(zero)
+    both = {f"{w}{n}": F.col(f"{w}{n}_fwd") + F.col(f"{w}{n}_rev") for w in ("", "w") for n in ("ref", "other")}
+    kinds = [f"{w}{n}{s}" for w in ("", "w") for n in ("ref", "other") for s in ("", "_fwd", "_rev")]
+    return rows.withColumns(both).select(node, "offset", (F.col("_before") + F.col("offset")).alias("cpos"), F.substring(F.col("seq"), (F.col("offset") + 1).cast("int"), F.lit(1)).alias("base"), *kinds)

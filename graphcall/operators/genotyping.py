@@ -143,21 +143,38 @@ def hwe_chisq(hom_ref: Column, het: Column, hom_alt: Column) -> Column:
 def hwe_exact(hom_ref: Column, het: Column, hom_alt: Column) -> Column:
     """Hardy-Weinberg p-value by the exact test: all numbers of heterozygotes that are no likelier than the one seen.
 
-    Probabilities are closed forms of log factorials, so no recurrence runs over rows.
+    Two folds go up and down from the likeliest number, with probabilities relative to its, each from the one before by
+    a ratio; what a step needs is in the fold's state, so nothing is worked out again. Numbers far off underflow to zero.
     """
-    n = hom_ref + het + hom_alt
-    rare = 2 * F.least(hom_ref, hom_alt) + het
+    n = (hom_ref + het + hom_alt).cast("long")
+    rare = (2 * F.least(hom_ref, hom_alt) + het).cast("long")
+    common = 2 * n - rare
+    mode = F.floor(rare * common / (2 * F.greatest(n, F.lit(1)))).cast("long")
+    mode = F.least(mode + F.pmod(mode + rare, F.lit(2)), rare)
 
     def log_p(h: Column) -> Column:
-        a, b = F.floor((rare - h) / 2).cast("long"), F.floor((2 * n - rare - h) / 2).cast("long")
+        a, b = F.floor((rare - h) / 2).cast("long"), F.floor((common - h) / 2).cast("long")
         return h * math.log(2) - stats.log_factorial(h) - stats.log_factorial(a) - stats.log_factorial(b)
 
-    every = F.sequence(F.pmod(rare, F.lit(2)).cast("long"), rare.cast("long"), F.lit(2).cast("long"))
-    logs = F.transform(every, log_p)
-    top = F.array_max(logs)
-    whole = F.aggregate(logs, F.lit(0.0), lambda s, x: s + F.exp(x - top))
-    tail = F.aggregate(F.filter(logs, lambda x: x <= log_p(het.cast("long")) + 1e-9), F.lit(0.0), lambda s, x: s + F.exp(x - top))
-    return F.least(F.lit(1.0), tail / whole)
+    seen = F.exp(log_p(het.cast("long")) - log_p(mode))
+    zero = F.lit(0.0)
+    start = F.struct(mode.cast("double").alias("h"), F.lit(1.0).alias("p"), zero.alias("total"), zero.alias("tail"), (seen * (1 + 1e-9)).alias("seen"), rare.cast("double").alias("rare"), common.cast("double").alias("common"))
+
+    def step(ratio, way: int):
+        def run(s: Column, _: Column) -> Column:
+            return F.struct(
+                (s["h"] + way).alias("h"), (s["p"] * ratio(s)).alias("p"), (s["total"] + s["p"]).alias("total"), (s["tail"] + F.when(s["p"] <= s["seen"], s["p"]).otherwise(0.0)).alias("tail"),
+                s["seen"].alias("seen"), s["rare"].alias("rare"), s["common"].alias("common"),
+            )
+
+        return run
+
+    up = F.aggregate(F.sequence(F.lit(0).cast("long"), F.floor((rare - mode) / 2)), start, step(lambda s: (s["rare"] - s["h"]) * (s["common"] - s["h"]) / ((s["h"] + 2) * (s["h"] + 1)), 2))
+    down = F.aggregate(F.sequence(F.lit(0).cast("long"), F.floor(mode / 2)), start, step(lambda s: s["h"] * (s["h"] - 1) / ((s["rare"] - s["h"] + 2) * (s["common"] - s["h"] + 2)), -2))
+    both = F.struct(up.alias("u"), down.alias("d"))
+    # Both folds count the likeliest number itself.
+    share = F.transform(F.array(both), lambda x: (x["u"]["tail"] + x["d"]["tail"] - F.when(x["u"]["seen"] >= 1, 1.0).otherwise(0.0)) / (x["u"]["total"] + x["d"]["total"] - 1))
+    return F.least(F.lit(1.0), F.get(share, F.lit(0)))
 
 
 def needs_exact(hom_ref: Column, het: Column, hom_alt: Column) -> Column:

@@ -69,28 +69,28 @@ def split_at(nodes: DataFrame, cuts: DataFrame) -> DataFrame:
     return begins.withColumn("next", ends).join(nodes.select("id", "stop"), "id").select("id", F.col("at").alias("start"), F.coalesce(F.col("next") - 1, "stop").alias("stop"))
 
 
-def levels(edges: DataFrame, keys: list[str], depth: int) -> DataFrame:
-    """Longest distance from a source for each node of graphs without cycles, of at most ``depth`` edges."""
+def levels(edges: DataFrame, keys: list[str], guard: int = 1 << 20) -> DataFrame:
+    """Longest distance from a source for each node of graphs without cycles; a path of over ``guard`` edges raises."""
     nodes = edges.select(*keys, F.col("a").alias("node")).unionByName(edges.select(*keys, F.col("b").alias("node"))).distinct()
     found = cut(nodes.withColumn("level", F.lit(0)))
     edges = edges.select(*keys, "a", "b")
-    for _ in range(depth):
+    for _ in range(guard):
         step = found.withColumnRenamed("node", "a").join(edges, [*keys, "a"]).select(*keys, F.col("b").alias("node"), (F.col("level") + 1).alias("level"))
         new = cut(found.unionByName(step).groupBy(*keys, "node").agg(F.max("level").alias("level")))
         if new.exceptAll(found).isEmpty():
-            break
+            return found
         found = new
-    return found
+    raise ValueError(f"a path has over {guard} edges, or the graph has a cycle")
 
 
-def reachable(edges: DataFrame, keys: list[str], depth: int) -> DataFrame:
-    """Pairs of nodes (a, b) with a path of at least one edge between them, of at most ``depth`` in any case; lengths double in each round."""
+def reachable(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """Pairs of nodes (a, b) with a path of at least one edge between them; lengths double in each round, until a round adds nothing."""
     found = cut(edges.select(*keys, "a", "b").distinct())
-    longest = 1
-    while longest < depth:
+    size = -1
+    while (now := found.count()) > size:
+        size = now
         on = found.select(*keys, F.col("a").alias("mid"), "b")
         found = cut(found.unionByName(found.withColumnRenamed("b", "mid").join(on, [*keys, "mid"]).select(*keys, "a", "b")).distinct())
-        longest *= 2
     return found
 
 
@@ -118,10 +118,10 @@ def event_type(start: Column, end: Column, ins: Column, flank: Column) -> Column
 #: Edges of each template.
 TEMPLATES = {
     "del": ("LF_MID", "MID_RF", "LF_RF"),
-    "swap": ("LF_MID", "MID_RF", "LF_INS", "INS_RF"),
+    "swap": ("LF_RF", "LF_MID", "MID_RF", "LF_INS", "INS_RF"),
     "ins": ("LF_INS", "INS_RF", "LF_RF"),
     "longdel": ("LF_MID_L", "MID_R_RF", "LF_RF"),
-    "longswap": ("LF_MID_L", "MID_R_RF", "LF_INS", "INS_RF"),
+    "longswap": ("LF_RF", "LF_MID_L", "MID_R_RF", "LF_INS", "INS_RF"),
 }
 
 

@@ -288,7 +288,7 @@ def combine_nodes(v: Views) -> DataFrame:
 @query(f"""WITH RECURSIVE d AS (SELECT * FROM chain), w AS (SELECT DISTINCT graph_id, a AS node, 0 AS level FROM d UNION SELECT DISTINCT graph_id, b, 0 FROM d UNION SELECT w.graph_id, d.b, w.level + 1 FROM w JOIN d ON d.graph_id = w.graph_id AND d.a = w.node)
 SELECT graph_id, node, max(level) AS level FROM w GROUP BY 1, 2""")
 def topological_levels(v: Views) -> DataFrame:
-    return graphs.levels(v.chain, ["graph_id"], 14)
+    return graphs.levels(v.chain, ["graph_id"])
 
 
 @query(f"""WITH RECURSIVE d AS (SELECT * FROM chain), s AS (SELECT DISTINCT graph_id, a FROM d WHERE NOT EXISTS (SELECT 1 FROM d x WHERE x.graph_id = d.graph_id AND x.b = d.a)),
@@ -357,7 +357,7 @@ def event_type(v: Views) -> DataFrame:
     return _events(v).select("id", "kind")
 
 
-@query(f"""WITH {_EVENT}, k AS (SELECT id, {_KIND} AS kind FROM e), t AS (SELECT * FROM (VALUES ('del', ['LF_MID', 'MID_RF', 'LF_RF']), ('swap', ['LF_MID', 'MID_RF', 'LF_INS', 'INS_RF']), ('ins', ['LF_INS', 'INS_RF', 'LF_RF']), ('longdel', ['LF_MID_L', 'MID_R_RF', 'LF_RF']), ('longswap', ['LF_MID_L', 'MID_R_RF', 'LF_INS', 'INS_RF'])) x(kind, edges))
+@query(f"""WITH {_EVENT}, k AS (SELECT id, {_KIND} AS kind FROM e), t AS (SELECT * FROM (VALUES ('del', ['LF_MID', 'MID_RF', 'LF_RF']), ('swap', ['LF_RF', 'LF_MID', 'MID_RF', 'LF_INS', 'INS_RF']), ('ins', ['LF_INS', 'INS_RF', 'LF_RF']), ('longdel', ['LF_MID_L', 'MID_R_RF', 'LF_RF']), ('longswap', ['LF_RF', 'LF_MID_L', 'MID_R_RF', 'LF_INS', 'INS_RF'])) x(kind, edges))
 SELECT id, kind, unnest(edges) AS edge FROM k JOIN t USING (kind)""")
 def event_graph_edges(v: Views) -> DataFrame:
     return _events(v).select("id", "kind", F.explode(graphs.template_edges(F.col("kind"))).alias("edge"))
@@ -574,7 +574,7 @@ def _chain_families(v: Views) -> DataFrame:
 
 @query("WITH RECURSIVE w AS (SELECT graph_id, a, b FROM chain UNION SELECT w.graph_id, w.a, c.b FROM w JOIN chain c ON c.graph_id = w.graph_id AND c.a = w.b) SELECT graph_id, a, b FROM w")
 def reachable_nodes(v: Views) -> DataFrame:
-    return graphs.reachable(v.chain, ["graph_id"], 14)
+    return graphs.reachable(v.chain, ["graph_id"])
 
 
 @query("""WITH RECURSIVE w AS (SELECT graph_id, a, b FROM chain UNION SELECT w.graph_id, w.a, c.b FROM w JOIN chain c ON c.graph_id = w.graph_id AND c.a = w.b),
@@ -585,14 +585,14 @@ x AS (SELECT o.graph_id, o.f, bool_or(before IS NOT NULL AND before <> o.a AND w
   FROM o LEFT JOIN w ON w.graph_id = o.graph_id AND w.a = o.before AND w.b = o.a GROUP BY 1, 2)
 SELECT graph_id, edges, count(*) AS n FROM x WHERE NOT broken GROUP BY 1, 2""")
 def linear_families(v: Views) -> DataFrame:
-    kept = haplotypes.linear(_chain_families(v), graphs.reachable(v.chain, ["graph_id"], 14), ["graph_id"])
+    kept = haplotypes.linear(_chain_families(v), graphs.reachable(v.chain, ["graph_id"]), ["graph_id"])
     text = F.array_join(F.transform("edges", lambda e: F.concat_ws("-", e["a"].cast("string"), e["b"].cast("string"))), ",")
     return kept.select("graph_id", text.alias("edges"), "n")
 
 
 @query(None)
 def haplotype_paths(v: Views) -> DataFrame:
-    kept = haplotypes.linear(_chain_families(v), graphs.reachable(v.chain, ["graph_id"], 14), ["graph_id"])
+    kept = haplotypes.linear(_chain_families(v), graphs.reachable(v.chain, ["graph_id"]), ["graph_id"])
     return haplotypes.haplotypes(kept, ["graph_id"])
 
 

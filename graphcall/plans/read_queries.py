@@ -73,12 +73,23 @@ def variant_depths(v: Views) -> DataFrame:
     return hit.groupBy("id").agg(F.floor(F.avg("nref")).alias("ref_depth"), F.floor(F.avg("nalt")).alias("alt_depth"), F.count("*").alias("positions"))
 
 
-@query("""WITH o AS (SELECT site, pos // 50 AS place, count(*) AS depth FROM observations GROUP BY 1, 2)
-SELECT s.site, p.place, coalesce(o.depth, 0) AS depth FROM range(0, 50) s(site) CROSS JOIN range(0, 45) p(place) LEFT JOIN o ON o.site = s.site AND o.place = p.place""")
+_W = "sum(CASE WHEN {w} THEN 1 - pow(10, -qual / 10) ELSE 0 END)"
+
+
+@query(f"""WITH o AS (SELECT site, pos // 50 AS place, count(*) FILTER (element = 'REF_RF' AND NOT is_reverse) AS rf, count(*) FILTER (element = 'REF_RF' AND is_reverse) AS rr,
+count(*) FILTER (element <> 'REF_RF' AND NOT is_reverse) AS vf, count(*) FILTER (element <> 'REF_RF' AND is_reverse) AS vr,
+{_W.format(w="element = 'REF_RF' AND NOT is_reverse")} AS wrf, {_W.format(w="element = 'REF_RF' AND is_reverse")} AS wrr, {_W.format(w="element <> 'REF_RF' AND NOT is_reverse")} AS wvf, {_W.format(w="element <> 'REF_RF' AND is_reverse")} AS wvr FROM observations GROUP BY 1, 2),
+n AS (SELECT site, max(pos) // 50 + 1 AS size FROM observations GROUP BY 1), c AS (SELECT site, size, CAST(sum(size) OVER (ORDER BY site) AS BIGINT) - size AS before FROM n), g AS (SELECT site, before, unnest(range(0, size)) AS place FROM c)
+SELECT g.site, g.place AS "offset", before + g.place AS cpos, substring('ACGT', CAST(g.place % 4 + 1 AS INT), 1) AS base, coalesce(rf + rr, 0) AS ref, coalesce(rf, 0) AS ref_fwd, coalesce(rr, 0) AS ref_rev, coalesce(vf + vr, 0) AS other, coalesce(vf, 0) AS other_fwd, coalesce(vr, 0) AS other_rev,
+round(coalesce(wrf + wrr, 0), 6) AS wref, round(coalesce(wrf, 0), 6) AS wref_fwd, round(coalesce(wrr, 0), 6) AS wref_rev, round(coalesce(wvf + wvr, 0), 6) AS wother, round(coalesce(wvf, 0), 6) AS wother_fwd, round(coalesce(wvr, 0), 6) AS wother_rev
+FROM g LEFT JOIN o USING (site, place)""")
 def node_coverage(v: Views) -> DataFrame:
-    depth = v.observations.groupBy("site", F.floor(F.col("pos") / 50).alias("place")).agg(F.count("*").alias("depth"))
-    grid = v.spark.range(50).select(F.col("id").alias("site"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(44).cast("long"))).alias("place"))
-    return grid.join(depth, ["site", "place"], "left").withColumn("depth", F.coalesce("depth", F.lit(0).cast("long")))
+    # A site's sequence is as long as its data reach.
+    size = F.floor(F.max("pos") / 50) + 1
+    nodes = v.observations.groupBy("site").agg(size.alias("size")).select("site", F.left(F.repeat(F.lit("ACGT"), F.ceil(F.col("size") / 4).cast("int")), F.col("size")).alias("seq"))
+    bases = v.observations.select("site", F.floor(F.col("pos") / 50).alias("offset"), (F.col("element") == "REF_RF").alias("is_ref"), "is_reverse", "qual")
+    rows = counting.coverage(nodes, bases, "site")
+    return rows.withColumns({c: F.round(c, 6) for c in rows.columns if c.startswith("w")})
 
 
 @query("""WITH o AS (SELECT site, element, count(*) AS depth FROM observations GROUP BY 1, 2), p AS (SELECT * FROM (VALUES ('REF', 0, 'REF_RF'), ('ALT', 0, 'LF_ALT'), ('ALT', 1, 'LF_INS')) t(path, place, element))
@@ -125,10 +136,8 @@ def filter_counts(v: Views) -> DataFrame:
 
 @query("""SELECT r.fragment_id, r.line, r.pos, r.mate_pos, g.region_id FROM reads r JOIN regions g ON r.chrom = g.chrom AND ((r.pos <= g.stop AND r.pos + r.len >= g.start) OR (r.mate_chrom = g.chrom AND r.mate_pos <= g.stop AND r.mate_pos + r.len >= g.start))""")
 def read_or_mate_in_region(v: Views) -> DataFrame:
-    # The regions are the nations: a table of fixed size, so broadcast is safe and the residual condition cheap.
-    r, g = v.reads.alias("r"), F.broadcast(v.regions).alias("g")
-    hit = matching.in_region(F.col("r.pos"), F.col("r.len"), F.col("mate_chrom"), F.col("mate_pos"), F.col("g.chrom"), F.col("start"), F.col("stop"))
-    return r.join(g, (F.col("r.chrom") == F.col("g.chrom")) & hit).select("fragment_id", "line", "pos", "mate_pos", "region_id")
+    found = matching.near_regions(v.reads, v.regions.select("region_id", "chrom", F.col("start").alias("r_start"), F.col("stop").alias("r_stop")), width=256)
+    return found.select("fragment_id", "line", "pos", "mate_pos", "region_id")
 
 
 @query("SELECT r.sample_id, r.fragment_id, r.pos, g.region_id FROM reads r JOIN regions g ON r.chrom = g.chrom AND r.pos <= g.stop AND r.pos + r.len >= g.start")

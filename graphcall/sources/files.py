@@ -29,9 +29,14 @@ def read_sam(spark: SparkSession, path: str) -> DataFrame:
     return rows.where(F.col("flag").bitwiseAND(0x900) == 0).drop("flag")
 
 
+def _records(spark: SparkSession, path: str) -> DataFrame:
+    """Records of FASTA text, without the mark that begins a record's line; one inside a line is text."""
+    return spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", "^>", "").alias("value")).where(F.trim("value") != "")
+
+
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """One row for each record of FASTA files: contig, seq (upper case, other letters N)."""
-    records = spark.read.option("lineSep", ">").text(path).where(F.trim("value") != "")
+    records = _records(spark, path)
     name = F.regexp_extract("value", r"^(\S+)", 1)
     body = F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n?", ""), r"\s", "")
     return records.select(name.alias("contig"), sequence.normalise_bases(body).alias("seq"))
@@ -80,10 +85,13 @@ def read_vcf(spark: SparkSession, path: str) -> DataFrame:
     f = F.split("value", "\t")
     rows = spark.read.text(path).where(~F.startswith("value", F.lit("#")) & (F.trim("value") != "")).select(f.alias("f"))
     text = lambda k: F.get("f", F.lit(k))
-    pairs = F.transform(F.split(text(7), ";"), lambda x: F.struct(F.split_part(x, F.lit("="), F.lit(1)).alias("k"), F.split_part(x, F.lit("="), F.lit(2)).alias("v")))
+    # A value may hold more equals signs; of a key that comes again, the first counts.
+    pairs = F.transform(F.split(text(7), ";"), lambda x: F.struct(F.substring_index(x, "=", 1).alias("k"), F.regexp_replace(x, "^[^=]*=?", "").alias("v")))
+    names = F.transform(pairs, lambda p: p["k"])
+    pairs = F.filter(pairs, lambda p, k: F.array_position(names, p["k"]) == k + 1)
     rows = rows.select(
         text(0).alias("chrom"), text(1).cast("long").alias("pos"), text(2).alias("id"), text(3).alias("ref"), F.split(text(4), ",").alias("alts"), text(5).alias("qual"),
-        text(6).alias("filter"), F.map_from_entries(F.array_distinct(pairs)).alias("info"), F.slice("f", 9, 1 << 20).alias("calls"),
+        text(6).alias("filter"), F.map_from_entries(pairs).alias("info"), F.slice("f", F.lit(9), F.greatest(F.size("f") - 8, F.lit(0))).alias("calls"),
     )
     stop = F.coalesce(F.element_at("info", F.lit("END")).try_cast("long"), F.col("pos") + F.char_length("ref") - 1)
     return rows.withColumn("end", stop)
@@ -96,7 +104,7 @@ def read_index_slices(spark: SparkSession, path: str) -> DataFrame:
 
 def read_aligned_fasta(spark: SparkSession, path: str) -> DataFrame:
     """Records of one alignment; all must be of one length."""
-    rows = spark.read.option("lineSep", ">").text(path).where(F.trim("value") != "")
+    rows = _records(spark, path)
     rows = rows.select(F.regexp_extract("value", r"^(\S+)", 1).alias("name"), F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n?", ""), r"\s", "").alias("seq"))
     size = F.char_length("seq")
     sizes = rows.agg(F.min(size).alias("a"), F.max(size).alias("b"))
