@@ -17,7 +17,8 @@ def select_reads(reads: DataFrame, regions: DataFrame, *, extension: int = 999,
     own = near.select("graph_id", "chrom", F.struct("r_start", "r_stop").alias("r")).groupBy("graph_id", "chrom").agg(F.array_sort(F.collect_set("r")).alias("all"))
     near = own.select("graph_id", "chrom", F.posexplode("all").alias("k", "r"), "all").select("graph_id", "chrom", "r.r_start", "r.r_stop", F.slice("all", 1, F.col("k")).alias("earlier"))
     found = matching.near_regions(reads, near, width=bin_width)
-    hit = lambda r: matching.in_region(F.col("pos"), F.col("len"), F.col("mate_chrom"), F.col("mate_pos"), F.col("chrom"), r["r_start"], r["r_stop"])
+    mate = ("mate_chrom", "mate_pos") if "mate_pos" in reads.columns else ("chrom", "pos")
+    hit = lambda r: matching.in_region(F.col("pos"), F.col("len"), F.col(mate[0]), F.col(mate[1]), F.col("chrom"), r["r_start"], r["r_stop"])
     found = found.where(~F.exists("earlier", hit)).drop("earlier", "r_start", "r_stop")
     return counting.capped(found, GROUP, ["pos", "fragment_id", "is_first_mate"], most).drop("row")
 

@@ -76,9 +76,15 @@ def last_of_mates(reads: DataFrame, keys: list[str], order: list[Column]) -> Dat
     return reads.withColumn("_row", F.row_number().over(slot)).where("_row = 1").drop("_row")
 
 
-def capped(reads: DataFrame, keys: list[str], order: list[str], most: int) -> DataFrame:
-    """At most ``most`` reads of each key, the first in order."""
-    return reads.withColumn("row", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("row") <= most)
+def capped(reads: DataFrame, keys: list[str], order: list[str], most: int, *, slices: int = 64) -> DataFrame:
+    """At most ``most`` reads of each key, the first in order.
+
+    Each slice of a key keeps its own first ones before the key's are ranked, so a key that holds most reads isn't
+    sorted in one task; for a small ``most`` Spark cuts groups before their shuffle besides.
+    """
+    own = Window.partitionBy(*keys, "_slice").orderBy(*order)
+    rows = reads.withColumn("_slice", F.pmod(F.xxhash64(*order), F.lit(slices))).withColumn("row", F.row_number().over(own)).where(F.col("row") <= most).drop("_slice")
+    return rows.withColumn("row", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("row") <= most)
 
 
 def filter_reason(rules: list[tuple[str, Column]]) -> Column:

@@ -22,11 +22,20 @@ HIGH_DEPTH_Z, LOW_DEPTH_Z = 2.0537489106318225, -3.719016485455709
 LOG_FLOOR = -745.0
 
 
-def genotypes(n_alleles: Column, ploidy: Column) -> Column:
-    """All genotypes of one or two copies in variant-file order: 0/0, 0/1, 1/1, 0/2, ..."""
-    two = F.flatten(F.transform(F.sequence(F.lit(0), n_alleles - 1), lambda j: F.transform(F.sequence(F.lit(0), j), lambda i: F.array(i, j))))
-    one = F.transform(F.sequence(F.lit(0), n_alleles - 1), lambda i: F.array(i))
-    return F.when(ploidy == 1, one).otherwise(two)
+def genotypes_of(n_alleles: Column, ploidy: int) -> Column:
+    """All genotypes of ``ploidy`` copies in variant-file order: 0/0, 0/1, 1/1, 0/2, ... (by the last allele, then those before it)."""
+    alleles = F.sequence(F.lit(0), n_alleles - 1)
+    if ploidy == 1:
+        return F.transform(alleles, lambda j: F.array(j))
+    return F.flatten(F.transform(alleles, lambda j: F.transform(genotypes_of(j + 1, ploidy - 1), lambda g: F.concat(g, F.array(j)))))
+
+
+def genotypes(n_alleles: Column, ploidy: Column, most: int = 2) -> Column:
+    """All genotypes of as many copies as ``ploidy`` says, ``most`` at most."""
+    found = genotypes_of(n_alleles, most)
+    for p in range(1, most):
+        found = F.when(ploidy == p, genotypes_of(n_alleles, p)).otherwise(found)
+    return found
 
 
 def expected_depth(depth: Column, read_length: Column) -> Column:
@@ -122,6 +131,27 @@ def combined(calls: DataFrame, keys: list[str]) -> DataFrame:
     return again.select(*keys, gt.alias("gt"), gq.alias("gq"), "reads", F.when(text == "", "PASS").otherwise(text).alias("filter"))
 
 
+def consensus(calls: DataFrame, keys: list[str], *, pass_only: bool = False) -> DataFrame:
+    """What breakpoints with one genotype say together: gt, gq, num_reads, fractions, gl and filters for each of ``keys``.
+
+    ``calls`` has bp, gt, gq, num_reads, counts, gl and filters. Breakpoints without a genotype count as BP_NO_GT; with ``pass_only`` those
+    with filters are passed over and leave these. Quality is the least, reads the sum, fractions are weighted by reads, and each genotype
+    keeps its greatest likelihood.
+    """
+    none = F.array().cast("array<string>")
+    used = F.col("gt").isNotNull() & ((F.size("filters") == 0) | F.lit(not pass_only))
+    left = F.when(F.col("gt").isNull(), F.array(F.lit("BP_NO_GT"))).when(~used, F.col("filters")).otherwise(none)
+    rows = calls.groupBy(*keys).agg(
+        F.array_sort(F.min_by(F.when(used, F.col("gt")), F.when(used, F.col("bp")))).alias("gt"), F.coalesce(F.min(F.when(used, F.col("gq"))), F.lit(0)).alias("gq"), F.coalesce(F.sum(F.when(used, F.col("num_reads"))), F.lit(0)).alias("num_reads"),
+        F.collect_list(F.when(used, F.struct("counts", "gl"))).alias("_used"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(left)))).alias("filters"),
+    )
+    first = F.get("_used", F.lit(0))
+    rest = F.slice("_used", F.lit(2), F.greatest(F.size("_used") - 1, F.lit(0)))
+    counts = F.aggregate(rest, first["counts"], lambda s, x: F.zip_with(s, x["counts"], lambda a, b: F.coalesce(a, F.lit(0).cast("long")) + F.coalesce(b, F.lit(0).cast("long"))))
+    best = F.aggregate(rest, first["gl"], lambda s, x: F.zip_with(s, x["gl"], lambda a, b: F.greatest(a, b)))
+    return rows.withColumns({"fractions": fractions(counts), "gl": best}).drop("_used")
+
+
 def population(calls: DataFrame, keys: list[str]) -> DataFrame:
     """Samples, call rate and allele frequencies (array by allele) of diploid calls."""
     rows = calls.groupBy(*keys).agg(F.count("*").alias("samples"), F.count("gt").alias("called"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphcall.functions import sequence
 from graphcall.operators.storage import cut
@@ -16,6 +18,53 @@ def source_sink(nodes: DataFrame, edges: DataFrame, keys: list[str]) -> DataFram
     return first.unionByName(nodes.join(out, [*keys, "node"], "left_anti").withColumn("role", F.lit("sink")))
 
 
+def with_source_and_sink(nodes: DataFrame, edges: DataFrame, keys: list[str], *, names: tuple[str, str] = ("source", "sink"), seq: str = "N" * 10) -> tuple[DataFrame, DataFrame]:
+    """Nodes (keys, node, seq) and edges (keys, a, b) of graphs with a source before every node without a way in, and a sink behind those without a way out.
+
+    Graphs that have nodes of these names keep them; these aren't linked themselves.
+    """
+    ends = F.explode(F.array(*[F.struct(F.lit(n).alias("node"), F.lit(seq).alias("seq")) for n in names])).alias("e")
+    made = nodes.select(*keys).distinct().select(*keys, ends).select(*keys, "e.node", "e.seq").join(nodes.select(*keys, "node"), [*keys, "node"], "left_anti")
+    open_ = source_sink(nodes.select(*keys, "node"), edges, keys).where(~F.col("node").isin(*names))
+    first = F.col("role") == "source"
+    links = open_.select(*keys, F.when(first, names[0]).otherwise(F.col("node")).alias("a"), F.when(first, F.col("node")).otherwise(names[1]).alias("b"))
+    return nodes.select(*keys, "node", "seq").unionByName(made.select(*keys, "node", "seq")), edges.select(*keys, "a", "b").unionByName(links)
+
+
+def covering_paths(edges: DataFrame, keys: list[str], label: str | None = None) -> DataFrame:
+    """Paths (keys, path number, nodes) that together use every edge (keys, a, b, labels; nodes numbered in topological order) of a label, or every edge.
+
+    Walks go on along edges that no path has used, smallest end first, and a path is what a walk passes until it can't; so there are at most as many
+    paths as edges, where all paths of a graph grow exponentially. A graph's edges meet in one task: graphs are small, their number is not.
+    """
+    own = edges if label is None else edges.where(F.array_contains("labels", label))
+    out = T.StructType([*own.select(*keys).schema, *T.StructType.fromDDL("number int, path array<long>")])
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        after: dict[int, list[int]] = {}
+        for a, b in sorted({(int(a), int(b)) for a, b in zip(rows["a"], rows["b"], strict=True)}):
+            after.setdefault(a, []).append(b)
+        used: set[tuple[int, int]] = set()
+        found: list[list[int]] = []
+        for start in sorted(after):
+            for end in after[start]:
+                if (start, end) in used:
+                    continue
+                used.add((start, end))
+                stack = [([start, end], False)]
+                while stack:
+                    path, grown = stack.pop()
+                    free = [b for b in after.get(path[-1], []) if (path[-1], b) not in used]
+                    if free:
+                        used.add((path[-1], free[0]))
+                        stack += [(path, True), ([*path, free[0]], False)]
+                    elif not grown:
+                        found.append(path)
+        return pd.DataFrame([(*key, k, p) for k, p in enumerate(found)], columns=out.names)
+
+    return own.select(*keys, "a", "b").groupBy(*keys).applyInPandas(run, out)
+
+
 def dangling(nodes: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
     """Edges that name an unknown node or lead back to their own."""
     known = lambda c: nodes.select(*keys, F.col("node").alias(c))
@@ -83,12 +132,17 @@ def levels(edges: DataFrame, keys: list[str], guard: int = 1 << 20) -> DataFrame
     raise ValueError(f"a path has over {guard} edges, or the graph has a cycle")
 
 
-def reachable(edges: DataFrame, keys: list[str]) -> DataFrame:
-    """Pairs of nodes (a, b) with a path of at least one edge between them; lengths double in each round, until a round adds nothing."""
+def reachable(edges: DataFrame, keys: list[str], guard: int = 1 << 30) -> DataFrame:
+    """Pairs of nodes (a, b) with a path of at least one edge between them; lengths double in each round, until a round adds nothing.
+
+    A graph whose longest way is over twice ``guard`` raises.
+    """
     found = cut(edges.select(*keys, "a", "b").distinct())
-    size = -1
+    size, longest = -1, 1
     while (now := found.count()) > size:
-        size = now
+        if longest > 4 * guard:
+            raise ValueError(f"ways are longer than {guard} edges")
+        size, longest = now, 2 * longest
         on = found.select(*keys, F.col("a").alias("mid"), "b")
         found = cut(found.unionByName(found.withColumnRenamed("b", "mid").join(on, [*keys, "mid"]).select(*keys, "a", "b")).distinct())
     return found

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphcall.operators import ordered
+
 
 def binned(rows: DataFrame, start: Column, stop: Column, width: int, name: str = "bin") -> DataFrame:
     """A row for each bin of ``width`` that the closed interval touches."""
@@ -23,12 +25,16 @@ def overlap_join(left: DataFrame, right: DataFrame, on: list[str], *, width: int
     return a.join(b, [*on, "_bin"]).where((F.col("start") <= F.col("r_stop")) & (F.col("r_start") <= F.col("stop")) & home).drop("_bin")
 
 
+def _numbered(rows: DataFrame, keys: list[str], order: list[str], fresh: Column, name: str) -> DataFrame:
+    """Sliced rows with the number of fresh rows up to each."""
+    return ordered.running(rows.withColumn("_fresh", fresh.cast("long")), keys, order, sums={name: F.col("_fresh")}).drop("_fresh", "_slice", "_before")
+
+
 def islands(rows: DataFrame, keys: list[str], *, slack: int = 0) -> DataFrame:
     """``rows`` with ``island``: intervals whose start is within ``slack`` of an earlier stop share one."""
-    order = Window.partitionBy(*keys).orderBy("start", "stop", "id")
-    before = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    fresh = (before.isNull() | (F.col("start") > before + slack)).cast("int")
-    return rows.withColumn("_fresh", fresh).withColumn("island", F.sum("_fresh").over(order)).drop("_fresh")
+    order = ["start", "stop", "id"]
+    rows = ordered.running(ordered.sliced(rows, keys, order), keys, order, max_before={"_before": F.col("stop")})
+    return _numbered(rows, keys, order, F.col("_before").isNull() | (F.col("start") > F.col("_before") + slack), "island")
 
 
 def merged(rows: DataFrame, keys: list[str], *, slack: int = 0) -> DataFrame:
@@ -36,36 +42,42 @@ def merged(rows: DataFrame, keys: list[str], *, slack: int = 0) -> DataFrame:
     return islands(rows, keys, slack=slack).groupBy(*keys, "island").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.count("*").alias("n")).drop("island")
 
 
+def _depths(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Sliced rows of each place where an interval starts or has just stopped: pos, step and the depth from there on."""
+    steps = rows.select(*keys, F.explode(F.array(F.struct(F.col("start").alias("pos"), F.lit(1).alias("step")), F.struct((F.col("stop") + 1).alias("pos"), F.lit(-1).alias("step")))).alias("s"))
+    steps = ordered.sliced(steps.groupBy(*keys, "s.pos").agg(F.sum("s.step").alias("step")), keys, ["pos"])
+    return ordered.running(steps, keys, ["pos"], sums={"depth": F.col("step")})
+
+
 def sweep(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Depth from each position where it changes: +1 at a start, -1 after a stop, summed in order."""
-    steps = rows.select(*keys, F.explode(F.array(F.struct(F.col("start").alias("pos"), F.lit(1).alias("step")), F.struct((F.col("stop") + 1).alias("pos"), F.lit(-1).alias("step")))).alias("s"))
-    steps = steps.groupBy(*keys, "s.pos").agg(F.sum("s.step").alias("step"))
-    return steps.withColumn("depth", F.sum("step").over(Window.partitionBy(*keys).orderBy("pos"))).where("step <> 0").drop("step")
+    return _depths(rows, keys).where("step <> 0").drop("step", "_slice")
 
 
-def split_at_boundaries(rows: DataFrame, keys: list[str], *, width: int) -> DataFrame:
+def split_at_boundaries(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Elementary segments between all starts and ends, with how many intervals cover each; gaps are left out."""
-    edges = rows.select(*keys, F.explode(F.array(F.col("start"), F.col("stop") + 1)).alias("pos")).distinct()
-    edges = edges.withColumn("next", F.lead("pos").over(Window.partitionBy(*keys).orderBy("pos"))).where("next IS NOT NULL")
-    depth = sweep(rows, keys)
-    cuts = edges.join(depth, [*keys, "pos"], "left")
-    last = F.last("depth", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("pos"))
-    return cuts.withColumn("cover", last).where("cover > 0").select(*keys, F.col("pos").alias("start"), (F.col("next") - 1).alias("stop"), "cover")
+    cuts = ordered.running(_depths(rows, keys), keys, ["pos"], leads={"next": F.col("pos")})
+    return cuts.where("next IS NOT NULL AND depth > 0").select(*keys, F.col("pos").alias("start"), (F.col("next") - 1).alias("stop"), F.col("depth").alias("cover"))
 
 
 def blocks_by_gap(rows: DataFrame, keys: list[str], gap: int) -> DataFrame:
     """``rows`` with ``block``: a new one starts where a start lies over ``gap`` beyond the stop of the row before."""
-    order = Window.partitionBy(*keys).orderBy("start", "id")
-    fresh = F.coalesce((F.col("start") > F.lag("stop").over(order) + gap).cast("int"), F.lit(1))
-    return rows.withColumn("_fresh", fresh).withColumn("block", F.sum("_fresh").over(order)).drop("_fresh")
+    order = ["start", "id"]
+    rows = ordered.running(ordered.sliced(rows, keys, order), keys, order, lags={"_before": F.col("stop")})
+    return _numbered(rows, keys, order, F.coalesce(F.col("start") > F.col("_before") + gap, F.lit(True)), "block")
 
 
 def runs(rows: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
     """``rows`` with ``run``: adjacent rows of equal ``value`` share one."""
-    over = Window.partitionBy(*keys).orderBy(*order)
-    fresh = F.coalesce((~F.col(value).eqNullSafe(F.lag(value).over(over))).cast("int"), F.lit(1))
-    fresh = F.when(F.row_number().over(over) == 1, 1).otherwise(fresh)
-    return rows.withColumn("_fresh", fresh).withColumn("run", F.sum("_fresh").over(over)).drop("_fresh")
+    rows = ordered.running(ordered.sliced(rows, keys, order), keys, order, lags={"_before": F.struct(value)})
+    return _numbered(rows, keys, order, F.col("_before").isNull() | ~F.col(value).eqNullSafe(F.col(f"_before.{value}")), "run")
+
+
+def stops_before(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with ``boundary``: the greatest stop of the rows before, -1 without one."""
+    order = ["start", "id"]
+    rows = ordered.running(ordered.sliced(rows, keys, order), keys, order, max_before={"boundary": F.col("stop")})
+    return rows.withColumn("boundary", F.coalesce("boundary", F.lit(-1))).drop("_slice")
 
 
 def spread_over_bins(rows: DataFrame, *, width: int, amount: str) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphcall.operators import ordered
+
 #: Squared distance, in variances, beyond which a value is no part of the reweighted fit: 97.5 % of chi-squared with one degree.
 REWEIGHT_CUT = 5.02388618731489
 
@@ -14,30 +16,44 @@ def naive_fit(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.avg(value).alias("mean"), F.var_samp(value).alias("variance"), F.count(value).alias("n"))
 
 
+def medians(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Exact medians by group, from counts of distinct values in ranges: no task holds a group."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    placed = ordered.running(ordered.sliced(counts, keys, [value]), keys, [value], sums={"_upto": F.col("_n")})
+    total = counts.groupBy(*keys).agg(F.sum("_n").alias("_all"))
+    met = placed.join(total, keys)
+    # The middle value of an odd number, the two middle ones of an even.
+    low, high = F.floor((F.col("_all") + 1) / 2), F.floor(F.col("_all") / 2) + 1
+    inside = lambda k: (F.col("_upto") >= k) & (F.col("_upto") - F.col("_n") < k)
+    return met.where(inside(low) | inside(high)).groupBy(*keys).agg(F.avg(value).alias("median"))
+
+
 def basic(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    return rows.groupBy(*keys).agg(F.median(value).alias("median"), F.avg(value).alias("mean"), F.var_samp(value).alias("variance"), F.min(value).alias("least"))
+    plain = rows.groupBy(*keys).agg(F.avg(value).alias("mean"), F.var_samp(value).alias("variance"), F.min(value).alias("least"))
+    return medians(rows, keys, value).join(plain, keys).select(*keys, "median", "mean", "variance", "least")
 
 
 def argmin_all(rows: DataFrame, keys: list[str], value: str, id_col: str) -> DataFrame:
     """All rows that have their group's least value."""
-    return rows.withColumn("_rank", F.rank().over(Window.partitionBy(*keys).orderBy(value))).where("_rank = 1").select(*keys, id_col, value)
+    least = rows.groupBy(*keys).agg(F.min(value).alias("_least"))
+    return rows.join(least, keys).where(F.col(value).eqNullSafe(F.col("_least"))).select(*keys, id_col, value)
 
 
 def mcd_fit(rows: DataFrame, keys: list[str], value: str, fraction: float = 0.5) -> DataFrame:
     """Robust mean and variance: the half of the sorted values with the least variance, then those near it.
 
-    Every window of h neighbours in order is a candidate; its variance comes from running sums, so
-    the search is a sort and windows within the group and no group is collected. Sums are of values
+    Every window of h neighbours in order is a candidate; its variance comes from running sums over ranges
+    of the group's values, so no task holds a group. Sums are of values
     less the group's mean, against cancellation. Ties go to the leftmost window.
     """
-    order = Window.partitionBy(*keys).orderBy(value, "_tie")
-    whole = Window.partitionBy(*keys)
-    rows = rows.select(*keys, F.col(value).cast("double").alias("x"), F.col(value).alias(value), F.xxhash64(*[F.col(k) for k in rows.columns]).alias("_tie"))
-    rows = rows.withColumns({"n": F.count("x").over(whole), "shift": F.avg("x").over(whole)}).where("x IS NOT NULL")
-    rows = rows.withColumn("c", F.col("x") - F.col("shift")).withColumn("i", F.row_number().over(order))
+    rows = rows.select(*keys, F.col(value).cast("double").alias("x"), F.xxhash64(*[F.col(k) for k in rows.columns]).alias("_tie")).where("x IS NOT NULL")
+    whole = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("x").alias("shift"))
+    # Rows that repeat have one place in order; their copies are told apart there.
+    rows = rows.groupBy(*keys, "x", "_tie").agg(F.count("*").alias("_m")).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_m")))).drop("_m")
+    rows = rows.join(whole, keys).withColumn("c", F.col("x") - F.col("shift"))
+    order = ["x", "_tie", "_copy"]
+    rows = ordered.running(ordered.sliced(rows, keys, order), keys, order, sums={"i": F.lit(1).cast("long"), "s1": F.col("c"), "s2": F.col("c") * F.col("c")}).drop("_slice")
     rows = rows.withColumn("h", F.least("n", F.floor(F.col("n") * fraction).cast("long") + 1))
-    running = order.rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumns({"s1": F.sum("c").over(running), "s2": F.sum(F.col("c") * F.col("c")).over(running)})
     # The window that ends at rank i begins after rank i - h.
     begin = rows.select(*keys, (F.col("i") + F.col("h")).alias("i"), F.col("s1").alias("b1"), F.col("s2").alias("b2"))
     ends = rows.where("i >= h").select(*keys, "i", "h", "n", "shift", "s1", "s2").join(begin, [*keys, "i"], "left")

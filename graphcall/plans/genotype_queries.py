@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphcall.functions import stats
-from graphcall.operators import counting, genotyping
+from graphcall.operators import counting, genotyping, vcf
 from graphcall.plans.registry import Views, query
 
 # The model in DuckDB's terms, for two alleles and two copies.
@@ -90,13 +90,37 @@ def combined_genotype(v: Views) -> DataFrame:
     return genotyping.combined(calls(v), ["site", "sample_id"]).withColumn("gt", _text())
 
 
-@query(f"WITH {CALLS} SELECT site, sample_id, min(gq) AS gq, CAST(sum(n_ref + n_alt) AS BIGINT) AS reads, round(sum(n_ref) / sum(n_ref + n_alt), 6) AS f_ref, round(max(g1), 6) AS gl_het FROM calls GROUP BY site, sample_id HAVING count(DISTINCT gt) = 1")
+@query(f"""WITH {CALLS} SELECT site, sample_id, min_by(gt, bp) AS gt, min(gq) AS gq, CAST(sum(n_ref + n_alt) AS BIGINT) AS reads, round(sum(n_ref) / sum(n_ref + n_alt), 6) AS f_ref, round(sum(n_alt) / sum(n_ref + n_alt), 6) AS f_alt,
+round(max(g0), 6) AS gl_ref, round(max(g1), 6) AS gl_het, round(max(g2), 6) AS gl_alt FROM calls GROUP BY site, sample_id HAVING count(DISTINCT gt) = 1""")
 def consensus_genotype(v: Views) -> DataFrame:
-    rows = calls(v).groupBy("site", "sample_id").agg(
-        F.min("gq").alias("gq"), F.sum("num_reads").alias("reads"), F.round(F.sum("n_ref") / F.sum("num_reads"), 6).alias("f_ref"),
-        F.round(F.max(F.get("gl", F.lit(1))), 6).alias("gl_het"), F.size(F.collect_set("gt")).alias("n"),
-    )
-    return rows.where("n = 1").drop("n")
+    rows = calls(v)
+    agreed = rows.groupBy("site", "sample_id").agg(F.size(F.collect_set("gt")).alias("n")).where("n = 1").drop("n")
+    out = genotyping.consensus(rows.join(agreed, ["site", "sample_id"], "left_semi"), ["site", "sample_id"])
+    part = lambda c, k: F.round(F.get(c, F.lit(k)), 6)
+    return out.select("site", "sample_id", _text().alias("gt"), "gq", F.col("num_reads").alias("reads"), part("fractions", 0).alias("f_ref"), part("fractions", 1).alias("f_alt"), *[part("gl", k).alias(n) for k, n in enumerate(("gl_ref", "gl_het", "gl_alt"))])
+
+
+@query(f"""WITH {CALLS} SELECT site, sample_id, min_by(gt, bp) FILTER (marks = '') AS gt, coalesce(min(gq) FILTER (marks = ''), 0) AS gq, CAST(coalesce(sum(n_ref + n_alt) FILTER (marks = ''), 0) AS BIGINT) AS reads,
+concat_ws(',', CASE WHEN bool_or(marks LIKE '%BP_DEPTH%') THEN 'BP_DEPTH' END, CASE WHEN bool_or(marks LIKE '%GQ%') THEN 'GQ' END) AS left_out FROM calls GROUP BY site, sample_id""")
+def passing_consensus(v: Views) -> DataFrame:
+    out = genotyping.consensus(calls(v), ["site", "sample_id"], pass_only=True)
+    return out.select("site", "sample_id", _text().alias("gt"), "gq", F.col("num_reads").alias("reads"), F.array_join("filters", ",").alias("left_out"))
+
+
+@query(f"""WITH {CALLS}, p AS (SELECT *, CAST(least(round_even(-10 * g0, 0), 32768) AS BIGINT) AS p0, CAST(least(round_even(-10 * g1, 0), 32768) AS BIGINT) AS p1, CAST(least(round_even(-10 * g2, 0), 32768) AS BIGINT) AS p2 FROM calls)
+SELECT sample_id, site, bp, gt || ':.:' || replace(marks, ';', ',') || ':' || CAST(n_ref + n_alt AS STRING) || ':' || CAST(n_ref AS STRING) || ',' || CAST(n_alt AS STRING) || ':' || CAST(n_ref AS STRING) || ',' || CAST(n_alt - n_alt // 3 AS STRING) || ':0,' || CAST(n_alt // 3 AS STRING) || ':' ||
+CAST(p0 - least(p0, p1, p2) AS STRING) || ',' || CAST(p1 - least(p0, p1, p2) AS STRING) || ',' || CAST(p2 - least(p0, p1, p2) AS STRING) AS text FROM p""")
+def vcf_sample_fields(v: Views) -> DataFrame:
+    pair = lambda f, r: F.struct(f.cast("long").alias("fwd"), r.cast("long").alias("rev"))
+    ref, alt = F.col("n_ref"), F.col("n_alt")
+    third = F.floor(alt / 3)
+    names = F.array(F.lit("REF"), F.lit("ALT"))
+    rows = calls(v).withColumns({
+        "n_alts": F.lit(1), "allele_map": F.create_map(F.lit("REF"), F.lit(0), F.lit("ALT"), F.lit(1)), "alleles": F.create_map(F.lit("REF"), pair(ref, F.lit(0)), F.lit("ALT"), pair(alt - third, third)),
+        "gl": F.create_map(F.lit("REF/REF"), F.get("gl", F.lit(0)), F.lit("REF/ALT"), F.get("gl", F.lit(1)), F.lit("ALT/ALT"), F.get("gl", F.lit(2))), "gt": F.transform("gt", lambda a: F.get(names, a)),
+    })
+    out = vcf.sample_fields(rows)
+    return out.select("sample_id", "site", "bp", F.concat_ws(":", "GT", F.lit("."), "FT", "DP", "AD", "ADF", "ADR", "PL").alias("text"))
 
 
 @query(f"WITH {CALLS} SELECT site, sample_id, CAST(floor(sum(n_ref) / count(*) + 0.5) AS BIGINT) AS mean_ref, CAST(floor(sum(n_alt) / count(*) + 0.5) AS BIGINT) AS mean_alt FROM calls GROUP BY site, sample_id HAVING count(DISTINCT gt) > 1")

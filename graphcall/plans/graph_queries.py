@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphcall.functions import cigar, sequence
-from graphcall.operators import alignment, alleles, building, graphs, haplotypes, matching
+from graphcall.operators import alignment, alleles, building, events, graphs, haplotypes, matching, vcf
 from graphcall.plans.registry import Views, query
 
 
@@ -603,3 +603,41 @@ def block_ids(v: Views) -> DataFrame:
     rows = v.variants.select("id", file.alias("file"), "chrom", F.floor(F.col("pos") / 40).alias("block"))
     digests = v.spark.range(3).select(F.concat(F.lit("f"), F.col("id").cast("string")).alias("file")).withColumn("digest", F.sha2("file", 256))
     return building.block_ids(rows, digests).select("id", "block_id")
+
+
+@query("""SELECT id, CASE WHEN pos <= 100 THEN 'start' WHEN length(ref) > 1 AND substring(alt, 1, 1) <> substring(ref, 1, 1) THEN 'padding base' ELSE 'none' END AS flaw FROM variants WHERE alt <> '' AND ref <> ''""")
+def record_flaws(v: Views) -> DataFrame:
+    rows = v.variants.where("alt <> '' AND ref <> ''")
+    reason = vcf.flaw(F.col("ref"), F.col("alt"), F.col("pos"), F.lit(None).cast("long"), F.lit(None).cast("string"), 100)
+    return rows.select("id", F.coalesce(reason, F.lit("none")).alias("flaw"))
+
+
+@query("""WITH n AS (SELECT graph_id, a AS node FROM edges UNION SELECT graph_id, b FROM edges),
+l AS (SELECT graph_id, CAST(a AS VARCHAR) AS a, CAST(b AS VARCHAR) AS b FROM edges UNION ALL SELECT graph_id, 'source', CAST(node AS VARCHAR) FROM n WHERE (graph_id, node) NOT IN (SELECT graph_id, b FROM edges)
+UNION ALL SELECT graph_id, CAST(node AS VARCHAR), 'sink' FROM n WHERE (graph_id, node) NOT IN (SELECT graph_id, a FROM edges)) SELECT graph_id, a, b FROM l""")
+def source_sink_links(v: Views) -> DataFrame:
+    edges = v.edges.select("graph_id", F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"))
+    nodes = edges.select("graph_id", F.col("a").alias("node")).unionByName(edges.select("graph_id", F.col("b").alias("node"))).distinct().withColumn("seq", F.lit("A"))
+    return graphs.with_source_and_sink(nodes, edges, ["graph_id"])[1]
+
+
+@query(None)
+def covering_paths(v: Views) -> DataFrame:
+    found = graphs.covering_paths(v.chain.select("graph_id", "a", "b"), ["graph_id"])
+    return found.select("graph_id", "number", F.array_join(F.transform("path", lambda n: n.cast("string")), "_").alias("path"))
+
+
+@query(None)
+def event_support_counts(v: Views) -> DataFrame:
+    """Twenty-five contigs with an event each; every row of the bases gives a read of its contig with one base changed, to counts by event kind and element."""
+    rows = v.bases.withColumn("contig", (F.col("id") % 25).cast("string")).withColumn("seq", F.translate("seq", "N", "A"))
+    contigs = rows.groupBy("contig").agg(F.min_by("seq", "id").alias("seq")).withColumn("seq", F.concat("seq", F.reverse("seq"), "seq"))
+    kind = F.col("contig").cast("long") % 5
+    made = contigs.select(F.col("contig").alias("graph_id"), F.col("contig").alias("chrom"), F.lit(31).cast("long").alias("start"), F.when(kind == 4, 30).otherwise(30 + 8 * (kind + 1)).cast("long").alias("end"),
+                          F.when(kind % 2 == 0, F.lit("ACGTTGCA")).alias("ins"), F.lit(14).alias("flank"))
+    described = events.event_graphs(made, contigs.select("contig", F.lit(0).alias("chunk_id"), "seq"))
+    at = (1 + F.col("id") * 7 % (F.char_length("c.seq") - 29)).cast("int")
+    reads = rows.alias("r").join(contigs.alias("c"), "contig").select(F.col("contig").alias("graph_id"), (F.col("id") % 400).alias("fragment_id"), F.substring(F.col("c.seq"), at, F.lit(30)).alias("seq"), F.left("r.seq", F.lit(1)).alias("one"))
+    reads = reads.select("graph_id", "fragment_id", F.concat(F.left("seq", F.lit(14)), "one", F.substring("seq", 16, 15)).alias("seq"))
+    counts = events.count_reads(reads.repartition("graph_id"), described, ["graph_id"]).join(described.select("graph_id", F.col("kind").alias("event")), "graph_id")
+    return counts.groupBy("event", "kind", "element").agg(F.sum("fragments").alias("fragments"), F.sum("reads").alias("reads"), F.sum("fwd").alias("fwd"), F.sum("rev").alias("rev"))

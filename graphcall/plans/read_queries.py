@@ -187,7 +187,7 @@ def depth_sweep(v: Views) -> DataFrame:
 n AS (SELECT chrom, pos, lead(pos) OVER (PARTITION BY chrom ORDER BY pos) AS next FROM e)
 SELECT n.chrom, n.pos AS start, n.next - 1 AS stop, count(*) AS cover FROM n JOIN intervals i ON i.chrom = n.chrom AND i.start <= n.pos AND i.stop >= n.next - 1 WHERE next IS NOT NULL GROUP BY 1, 2, 3""")
 def split_overlaps(v: Views) -> DataFrame:
-    return intervals.split_at_boundaries(v.intervals, ["chrom"], width=64)
+    return intervals.split_at_boundaries(v.intervals, ["chrom"])
 
 
 @query("""WITH l AS (SELECT *, lag(stop) OVER (PARTITION BY chrom ORDER BY start, id) AS before FROM intervals)
@@ -205,8 +205,7 @@ def split_by_id(v: Views) -> DataFrame:
 
 @query("SELECT id, chrom, start, coalesce(max(stop) OVER (PARTITION BY chrom ORDER BY start, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS boundary FROM intervals")
 def running_max_boundary(v: Views) -> DataFrame:
-    order = Window.partitionBy("chrom").orderBy("start", "id").rowsBetween(Window.unboundedPreceding, -1)
-    return v.intervals.select("id", "chrom", "start", F.coalesce(F.max("stop").over(order), F.lit(-1)).alias("boundary"))
+    return intervals.stops_before(v.intervals, ["chrom"]).select("id", "chrom", "start", "boundary")
 
 
 @query("""SELECT chrom, start, stop, string_agg(DISTINCT CAST(weight % 4 AS STRING), ',' ORDER BY CAST(weight % 4 AS STRING)) AS labels, count(*) AS n FROM intervals GROUP BY 1, 2, 3""")
