@@ -15,7 +15,6 @@ is made on the driver. Pieces are ranked within their length and look their plac
 
 from __future__ import annotations
 
-import struct
 import zlib
 from collections import defaultdict
 from collections.abc import Callable, Iterator
@@ -26,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphcall.llm.shared import partitions, stored
-from graphcall.llm.wordbpe import encoder
+from graphcall.llm.wordbpe import encoded, encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -38,16 +37,16 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: in
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end, size = encoder(tokenizer_path), struct.pack("<I", end_id), 4 * capacity
+        encode, size = encoder(tokenizer_path), 4 * capacity
         for batch in batches:
             rows: list[list] = [[], [], [], [], []]
-            for k in range(batch.num_rows):
-                ids = encode(batch.column(1)[k].as_py()) + end
-                doc = batch.column(0)[k].as_py()
-                for n, at in enumerate(range(0, len(ids), size)):
-                    part = ids[at : at + size]
-                    for column, value in zip(rows, (doc, n, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
-                        column.append(value)
+            docs = batch.column(0).to_pylist()
+            for first, found in encoded(encode, batch.column(1), end_id):
+                for doc, ids in zip(docs[first:], found, strict=False):
+                    for n, at in enumerate(range(0, len(ids), size)):
+                        part = ids[at : at + size]
+                        for column, value in zip(rows, (doc, n, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
+                            column.append(value)
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 

@@ -26,27 +26,37 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphcall.llm.shared import new_path
-from graphcall.llm.wordbpe import encoder
+from graphcall.llm.wordbpe import encoded, encoder
 
 BLOCK = 512
-HEAD = struct.Struct("<4sIIQ")
+HEAD, BODY = struct.Struct("<4sIIQ"), struct.Struct("<IBH")
 SCHEMA = "shard_doc long, shard_hash long, segment int, before long, n_docs int, n_ids long, payload binary"
 
 
 def _pack(values: np.ndarray, width: int) -> np.ndarray:
-    """Rows of BLOCK values to rows of BLOCK * width / 8 bytes."""
-    bits = np.empty((*values.shape, width), np.uint8)
-    for k in range(width):
-        bits[:, :, k] = (values >> np.uint32(k)) & np.uint32(1)
-    return np.packbits(bits.reshape(len(values), -1), axis=1, bitorder="little")
+    """Rows of BLOCK values to rows of BLOCK * width / 8 bytes: every 32 values fill ``width`` words of 32 bits, lowest bits first."""
+    groups = np.ascontiguousarray(values.reshape(-1, 32).T)
+    out = np.zeros((width, groups.shape[1]), np.uint32)
+    for k in range(32 if width else 0):
+        word, shift = divmod(k * width, 32)
+        out[word] |= groups[k] << np.uint32(shift)
+        if shift + width > 32:
+            out[word + 1] |= groups[k] >> np.uint32(32 - shift)
+    return np.ascontiguousarray(out.T).astype("<u4", copy=False).view(np.uint8).reshape(len(values), -1)
 
 
 def _unpack(packed: np.ndarray, width: int) -> np.ndarray:
-    bits = np.unpackbits(packed, axis=1, bitorder="little").reshape(len(packed), BLOCK, width)
-    out = np.zeros((len(packed), BLOCK), np.uint32)
-    for k in range(width):
-        out |= bits[:, :, k].astype(np.uint32) << np.uint32(k)
-    return out
+    if not width:
+        return np.zeros((len(packed), BLOCK), np.uint32)
+    words = np.ascontiguousarray(np.ascontiguousarray(packed).view("<u4").astype(np.uint32, copy=False).reshape(-1, width).T)
+    out = np.empty((32, words.shape[1]), np.uint32)
+    mask = np.uint32((1 << width) - 1)
+    for k in range(32):
+        word, shift = divmod(k * width, 32)
+        out[k] = words[word] >> np.uint32(shift)
+        if shift + width > 32:
+            out[k] |= words[word + 1] << np.uint32(32 - shift)
+    return np.ascontiguousarray((out & mask).T).reshape(len(packed), BLOCK)
 
 
 def encode_segment(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray, percentile: float = 0.9) -> bytes:
@@ -67,10 +77,13 @@ def encode_segment(doc_ids: list[int | None], lengths: list[int], ids: np.ndarra
         for part in np.array_split(chosen, max(1, len(chosen) // 256)):
             own = rest[part]
             over = own >> np.uint32(w) != 0 if w < 32 else np.zeros(own.shape, bool)
-            packed = _pack(np.where(over, np.uint32(0), own), int(w))
-            for row, k in enumerate(part):
-                at = np.flatnonzero(over[row])
-                bodies[k] = struct.pack("<IBH", int(low[k]), int(w), len(at)) + packed[row].tobytes() + at.astype("<u2").tobytes() + own[row, at].astype("<u4").tobytes()
+            packed = _pack(np.where(over, np.uint32(0), own), int(w)).tobytes()
+            counts = over.sum(axis=1)
+            ends, size = np.cumsum(counts).tolist(), int(w) * BLOCK // 8
+            at, values = np.nonzero(over)[1].astype("<u2").tobytes(), own[over].astype("<u4").tobytes()
+            for row, (k, least, n) in enumerate(zip(part.tolist(), low[part].tolist(), counts.tolist(), strict=True)):
+                b = ends[row]
+                bodies[k] = b"".join((BODY.pack(least, int(w), n), packed[row * size : row * size + size], at[2 * (b - n) : 2 * b], values[4 * (b - n) : 4 * b]))
     starts = np.concatenate([[0], np.cumsum([len(b) for b in bodies])]).astype("<u4")
     return b"".join([
         HEAD.pack(b"PFR1", len(doc_ids), n_blocks, len(ids)),
@@ -92,20 +105,22 @@ def decode_segment(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarra
     null, at = np.frombuffer(data, "u1", n_docs, at), at + n_docs
     lengths, at = np.frombuffer(data, "<u4", n_docs, at), at + 4 * n_docs
     starts, at = np.frombuffer(data, "<u4", n_blocks + 1, at).astype(np.int64), at + 4 * (n_blocks + 1)
-    raw = np.frombuffer(data, np.uint8)
-    heads = [struct.unpack_from("<IBH", data, at + int(s)) for s in starts[:-1]]
+    raw, starts = np.frombuffer(data, np.uint8), at + starts[:-1]
+    heads = raw[starts[:, None] + np.arange(BODY.size)]
+    low, widths, over = np.ascontiguousarray(heads[:, :4]).view("<u4")[:, 0], heads[:, 4].astype(np.int64), np.ascontiguousarray(heads[:, 5:]).view("<u2")[:, 0].astype(np.int64)
     out = np.empty((n_blocks, BLOCK), np.uint32)
-    widths = np.array([h[1] for h in heads], np.int64)
     for w in np.unique(widths):
         chosen, size = np.flatnonzero(widths == w), int(w) * BLOCK // 8
         for part in np.array_split(chosen, max(1, len(chosen) // 256)):
-            out[part] = _unpack(raw[(at + starts[part] + 7)[:, None] + np.arange(size)], int(w))
-    for k, (low, w, n) in enumerate(heads):
-        if n:
-            body = at + int(starts[k]) + 7 + w * BLOCK // 8
-            out[k, np.frombuffer(data, "<u2", n, body)] = np.frombuffer(data, "<u4", n, body + 2 * n)
-        out[k] += np.uint32(low)
-    return [None if z else int(d) for d, z in zip(docs, null, strict=True)], lengths, out.reshape(-1)[:n_ids]
+            out[part] = _unpack(raw[(starts[part] + BODY.size)[:, None] + np.arange(size)], int(w))
+    # Exceptions of all blocks at once: the k-th of a block lies 2 k bytes behind its packed part, its value 4 k behind all places.
+    block = np.repeat(np.arange(n_blocks), over)
+    k = np.arange(len(block)) - np.repeat(np.cumsum(over) - over, over)
+    lists = starts + BODY.size + widths * BLOCK // 8
+    place = raw[(lists[block] + 2 * k)[:, None] + np.arange(2)].view("<u2")[:, 0]
+    out[block, place] = raw[(lists[block] + 2 * over[block] + 4 * k)[:, None] + np.arange(4)].view("<u4")[:, 0]
+    out += low[:, None].astype(np.uint32)
+    return [None if z else d for d, z in zip(docs.tolist(), null.tolist(), strict=True)], lengths, out.reshape(-1)[:n_ids]
 
 
 def write_token_files(
@@ -129,7 +144,7 @@ def write_token_files(
 
 def _segments(tokenizer_path: str, end_id: int, segment_ids: int, percentile: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(tokenizer_path), struct.pack("<I", end_id)
+        encode = encoder(tokenizer_path)
         first: list = []
         docs: list = []
         parts: list = []
@@ -144,15 +159,16 @@ def _segments(tokenizer_path: str, end_id: int, segment_ids: int, percentile: fl
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], [f.split()[0] for f in SCHEMA.split(", ")])
 
         for batch in batches:
-            ids, hashes, texts = (batch.column(k) for k in range(3))
-            for k in range(batch.num_rows):
-                if not first:
-                    first.extend([ids[k].as_py(), hashes[k].as_py()])
-                docs.append(ids[k].as_py())
-                parts.append(encode(texts[k].as_py()) + end)
-                done["held"] += len(parts[-1]) // 4
-                if done["held"] >= segment_ids:
-                    yield flush()
+            ids, hashes = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            if ids and not first:
+                first.extend([ids[0], hashes[0]])
+            for at, found in encoded(encode, batch.column(2), end_id):
+                for k, part in enumerate(found, at):
+                    docs.append(ids[k])
+                    parts.append(part)
+                    done["held"] += len(part) // 4
+                    if done["held"] >= segment_ids:
+                        yield flush()
         if docs:
             yield flush()
 
@@ -182,10 +198,11 @@ def _documents(with_ids: bool) -> Callable:
                 docs, lengths, ids = decode_segment(batch.column(3)[k].as_py())
                 ends = np.cumsum(lengths.astype(np.int64))
                 places = ends - lengths
-                raw = [ids[a:b].astype("<u4").tobytes() for a, b in zip(places, ends, strict=True)]
+                whole = memoryview(ids.astype("<u4", copy=False)).cast("B")
+                raw = [whole[4 * a : 4 * b] for a, b in zip(places.tolist(), ends.tolist(), strict=True)]
                 shard = [pa.array([batch.column(c)[k].as_py()] * len(docs), pa.int64()) for c in (0, 1)]
                 rows = [pa.array(docs, pa.int64()), pa.array(places + batch.column(2)[k].as_py(), pa.int64()), pa.array(lengths.astype(np.int64))]
-                rows += [pa.array([zlib.crc32(r) for r in raw], pa.int64()), pa.array(raw if with_ids else [None] * len(raw), pa.binary())]
+                rows += [pa.array([zlib.crc32(r) for r in raw], pa.int64()), pa.array([bytes(r) for r in raw] if with_ids else [None] * len(raw), pa.binary())]
                 yield pa.RecordBatch.from_arrays(shard + rows, ["shard_doc", "shard_hash", "doc_id", "place", "n_tokens", "ids_crc32", "ids"])
 
     return run
