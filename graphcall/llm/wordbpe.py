@@ -56,7 +56,7 @@ class WordEncoder:
     #: The file's pre-tokens on such words, and what stands between words.
     _PIECE = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|\n|[^a-zß-öø-ÿ0-9\n]+")
 
-    def __init__(self, path: str, cache_words: int = 1_200_000, cache_pieces: int = 800_000, longest: int = 64):
+    def __init__(self, path: str, cache_words: int = 600_000, cache_pieces: int = 400_000, longest: int = 64):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -109,8 +109,8 @@ class WordEncoder:
                 self.pieces = Lists()
                 self.pieces.add(["\n"], np.zeros(0, np.uint32), np.zeros(1, np.int64))
             new = list(set(pieces).difference(self.pieces.known))
-            if new:
-                self._add_pieces(new)
+            for k in range(0, len(new), 20_000):  # what the library returns for each call takes memory
+                self._add_pieces(new[k : k + 20_000])
             numbers = self.pieces.find(pieces)
             ids, sizes = self.pieces.join(numbers)
             ends = np.flatnonzero(np.append(numbers, 0) == 0)  # the piece of number 0 ends a word, as the list's end does
@@ -176,7 +176,7 @@ def encoder(path: str) -> WordEncoder:
     return _made[path]
 
 
-def encoded(encode: WordEncoder, texts: pa.Array, end_id: int, most_bytes: int = 8_000_000) -> Iterator[tuple[int, list[memoryview]]]:
+def encoded(encode: WordEncoder, texts: pa.Array, end_id: int, most_bytes: int = 2_000_000) -> Iterator[tuple[int, list[memoryview]]]:
     """Place of the first text and the ids (little-endian u32) of each, for runs of neighbouring texts of bounded size but for a single text."""
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     before = np.concatenate([[0], np.cumsum(sizes)])
