@@ -11,6 +11,8 @@ GRAPH = """model_name STRING, ID STRING, max_reads BIGINT, target_regions ARRAY<
 nodes ARRAY<STRUCT<name:STRING, sequence:STRING, reference:STRING, position:STRING, sequences:ARRAY<STRING>>>,
 edges ARRAY<STRUCT<`from`:STRING, `to`:STRING, name:STRING, sequences:ARRAY<STRING>>>,
 paths ARRAY<STRUCT<path_id:STRING, sequence:STRING, nodes:ARRAY<STRING>, nucleotide_length:BIGINT>>"""
+#: Columns that a manifest may have, with underscores for spaces.
+MANIFEST = frozenset("id path index_path paragraph idxdepth depth read_length sex depth_variance depth_sd".split())
 EVENTS = "ID STRING, desc STRING, chrom STRING, start BIGINT, end BIGINT, ins STRING, flank INT"
 
 
@@ -72,12 +74,17 @@ def read_manifest(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
     """Samples with depth, read length, depth_sd (given, from the variance, or sqrt(5 depth)) and sex as m, f or u."""
     raw = spark.read.option("header", True).option("sep", sep).csv(path)
     raw = raw.toDF(*[c.lstrip("#").strip().lower().replace(" ", "_") for c in raw.columns])
+    if unknown := set(raw.columns) - MANIFEST:
+        raise ValueError(f"unknown columns in the manifest: {sorted(unknown)}")
+    if not {"id", "path"} <= set(raw.columns) or not {"depth", "read_length"} <= set(raw.columns):
+        raise ValueError("a manifest needs id, path, depth and read length")
     have = lambda c: F.col(c) if c in raw.columns else F.lit(None).cast("string")
-    depth = have("depth").cast("double")
+    positive = lambda c, kind: F.when(F.coalesce(have(c).try_cast(kind) > 0, F.lit(False)), have(c).try_cast(kind)).otherwise(F.raise_error(F.concat(F.lit(f"{c} must be positive: "), F.col("id"))).cast(kind))
+    depth = positive("depth", "double")
     sd = F.coalesce(have("depth_sd").cast("double"), F.sqrt(have("depth_variance").cast("double")), F.sqrt(5 * depth))
     sex = F.coalesce(F.lower(F.substring(have("sex"), 1, 1)), F.lit("u"))
     checked = F.when(sex.isin("m", "f", "u"), sex).otherwise(F.raise_error(F.concat(F.lit("unknown sex: "), have("sex"))))
-    return raw.select("id", "path", depth.alias("depth"), have("read_length").cast("int").alias("read_length"), sd.alias("depth_sd"), checked.alias("sex"))
+    return raw.select("id", "path", depth.alias("depth"), positive("read_length", "int").alias("read_length"), sd.alias("depth_sd"), checked.alias("sex"))
 
 
 def read_vcf(spark: SparkSession, path: str) -> DataFrame:
