@@ -53,24 +53,32 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: in
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, PIECES)
 
 
-def _knapsack(value: np.ndarray, capacity: int) -> dict[int, int]:
-    """The most valuable multiset of sizes that fits. value[s]: of one item of size s, -inf where there is none."""
-    best, took = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
+def _knapsack(value: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every capacity up to this one: the most valuable multiset's worth, and a size it holds (0: a token stays empty).
+
+    value[s]: of one item of size s, -inf where there is none.
+    """
+    top = int(np.flatnonzero(np.isfinite(value)).max(initial=0))
+    back, took, room = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64), np.empty(top)  # back[capacity - c]: of capacity c
+    value = value[1 : top + 1].copy()
     for c in range(1, capacity + 1):
-        gain = value[1 : c + 1] + best[c - 1 :: -1]
-        k = int(gain.argmax())
-        if gain[k] > best[c - 1]:
-            best[c], took[c] = gain[k], k + 1
+        at = capacity - c
+        n = min(c, top)
+        gain = np.add(value[:n], back[at + 1 : at + 1 + n], out=room[:n])
+        k = gain.argmax() if n else 0
+        if n and gain[k] > back[at + 1]:
+            back[at], took[c] = gain[k], k + 1
         else:
-            best[c] = best[c - 1]
+            back[at] = back[at + 1]
+    return back[::-1], took
+
+
+def _multiset(took: list[int], capacity: int) -> dict[int, int]:
     out: dict[int, int] = defaultdict(int)
-    c = capacity
-    while c > 0:
-        if took[c]:
-            out[int(took[c])] += 1
-            c -= int(took[c])
-        else:
-            c -= 1
+    while capacity > 0:
+        if size := took[capacity]:
+            out[size] += 1
+        capacity -= size or 1
     return out
 
 
@@ -79,8 +87,9 @@ def configuration_lp(demand: dict[int, int], capacity: int, rounds: int = 3000,
 
     A size's weight starts as its share of all tokens, so that its price per item is its length (the
     dual solution of a packing without waste), and decays exponentially as it is covered. Each round
-    prices the best configuration and uses it until one of its sizes is covered by ``step`` of its
-    demand more; sizes that are covered drop out.
+    prices all configurations in one table and uses the best one until one of its sizes is covered by ``step`` of its
+    demand more, then for each size, least covered first, the best one that holds it, if that is worth as much but for
+    what a step takes off a weight, and none of its sizes has had its step. Sizes that are covered drop out.
     """
     sizes = np.array(sorted(demand), np.int64)
     if not len(sizes):
@@ -89,27 +98,43 @@ def configuration_lp(demand: dict[int, int], capacity: int, rounds: int = 3000,
     place = {int(s): k for k, s in enumerate(sizes)}
     cover, used = np.zeros(len(sizes)), defaultdict(float)
     for _ in range(rounds):
-        open_ = cover < 1 - 1e-9
-        if not open_.any():
+        open_ = np.flatnonzero(cover < 1 - 1e-9)
+        if not len(open_):
             break
         value = np.full(capacity + 1, -np.inf)
         value[sizes[open_]] = sizes[open_] * np.exp(-rate * (cover[open_] - cover[open_].min()))
-        config = _knapsack(value, capacity)
-        at, times = np.array([place[s] for s in config]), np.array(list(config.values()), float)
-        uses = float((need[at] * np.minimum(step, 1 - cover[at]) / times).min())
-        used[tuple(sorted(config.items(), reverse=True))] += uses
-        cover[at] += uses * times / need[at]
+        best, took = _knapsack(value, capacity)
+        held = value[sizes[open_]] + best[capacity - sizes[open_]]
+        near = open_[held >= best[capacity] * np.exp(-rate * step)]
+        upto, steps = np.minimum(cover + step, 1), took.tolist()
+        for k in (None, *near[np.argsort(cover[near], kind="stable")].tolist()):
+            if k is not None and upto[k] - cover[k] <= 1e-9:
+                continue
+            config = _multiset(steps, capacity - (int(sizes[k]) if k is not None else 0))
+            if k is not None:
+                config[int(sizes[k])] += 1
+            at, times = np.array([place[s] for s in config]), np.array(list(config.values()), float)
+            uses = float((need[at] * (upto[at] - cover[at]) / times).min())
+            if k is None or uses > 1e-9:
+                used[tuple(sorted(config.items(), reverse=True))] += uses
+                cover[at] += uses * times / need[at]
     return dict(used)
 
 
-def packing_plan(histogram: dict[int, int], capacity: int, *, grains: tuple[int, ...] = (1, 4), rounds: int = 3000) -> list[tuple[int, list[tuple[int, int]]]]:
+def packing_plan(histogram: dict[int, int], capacity: int, *, grains: tuple[int, ...] = (4, 1), rounds: int = 3000) -> list[tuple[int, list[tuple[int, int]]]]:
     """Groups of equal sequences: (how many, [(length, times), ...]) that use each length exactly as often as it occurs.
 
-    The plan with the fewest sequences: plain best fit's, or one by the linear program, at each of ``grains``. Coarse
-    classes are soon covered whatever the histogram, but lose configurations that fit exactly.
+    The plan with the fewest sequences: by the linear program, at each of ``grains`` until one needs no more than the lower
+    bound, or plain best fit's. Coarse classes are soon covered whatever the histogram, but lose configurations that fit exactly.
     """
-    plain = _best_fit([(length, n) for length, n in sorted(histogram.items(), reverse=True) if n], [], capacity)
-    return min([*(_lp_plan(histogram, capacity, grain, rounds) for grain in grains), plain], key=lambda plan: sum(n for n, _ in plan))
+    least = sequences_lower_bound(histogram, capacity)
+    plans: list = []
+    for grain in grains:
+        plans.append(_lp_plan(histogram, capacity, grain, rounds))
+        if sum(n for n, _ in plans[-1]) == least:
+            return plans[-1]
+    plans.append(_best_fit([(length, n) for length, n in sorted(histogram.items(), reverse=True) if n], [], capacity))
+    return min(plans, key=lambda plan: sum(n for n, _ in plan))
 
 
 def _lp_plan(histogram: dict[int, int], capacity: int, grain: int, rounds: int) -> list[tuple[int, list[tuple[int, int]]]]:
