@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphcall.llm import chat, exact_dedup, jaccard_join, line_dedup, packing, pii, quality, sharding, token_files, tree_bpe
+from graphcall.llm import chat, exact_dedup, fim, jaccard_join, line_dedup, packing, pii, quality, sharding, token_files, tree_bpe
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,6 +81,12 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_bytes", "shard", "depth", "shard_bytes", "shard_rows")
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fim.fill_in_middle(table(spark, sf_dir, "documents"), seed=7, rate=100, spm_rate=50)
+    whole = fim.restored(F.col("form"), F.col("output"))
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(whole, 256).alias("restored_sha256"))
+
+
 OP2_SQL = """
 WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents),
 g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY norm)
@@ -129,9 +135,24 @@ FROM f WHERE first = 1
 """
 
 
+OP12_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS units,
+  sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS h FROM documents),
+g AS (SELECT *, len(units) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (len(units) + 1) AS x, CAST('0x' || substr(h, 9, 8) AS BIGINT) % (len(units) + 1) AS y,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 >= 100 THEN 'plain'
+       WHEN CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM d),
+c AS (SELECT doc_id, text, n, form, coalesce(array_to_string(units[1:least(x, y)], ''), '') AS p,
+  coalesce(array_to_string(units[least(x, y) + 1:greatest(x, y)], ''), '') AS m, coalesce(array_to_string(units[greatest(x, y) + 1:], ''), '') AS s FROM g)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM c
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op2_exact_dedup, op3_line_dedup, op4_packing, op5_tree_bpe, op6_pii, op7_quality_rules, op8_chat_format, op9_jaccard_join, op10_sharding)}
+    return {f.__name__: f for f in (op1_token_files, op2_exact_dedup, op3_line_dedup, op4_packing, op5_tree_bpe, op6_pii, op7_quality_rules, op8_chat_format, op9_jaccard_join, op10_sharding, op12_fill_in_middle)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL, "op3_line_dedup": OP3_SQL, "op8_chat_format": OP8_SQL, "op10_sharding": OP10_SQL}
+    return {"op2_exact_dedup": OP2_SQL, "op3_line_dedup": OP3_SQL, "op8_chat_format": OP8_SQL, "op10_sharding": OP10_SQL, "op12_fill_in_middle": OP12_SQL}
