@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphcall.llm import chat, exact_dedup, fim, jaccard_join, line_dedup, packing, pii, quality, sharding, token_files, tree_bpe
+from graphcall.llm import chat, exact_dedup, fim, jaccard_join, line_dedup, merkle, packing, pii, quality, sharding, token_files, tree_bpe
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,6 +81,12 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_bytes", "shard", "depth", "shard_bytes", "shard_rows")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = merkle.manifest(docs, columns=("doc_id", "source", "lang", "n_chars", "text"), fanout=16, **merkle.lower_cased(docs))
+    return rows.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fim.fill_in_middle(table(spark, sf_dir, "documents"), seed=7, rate=100, spm_rate=50)
     whole = fim.restored(F.col("form"), F.col("output"))
@@ -135,6 +141,41 @@ FROM f WHERE first = 1
 """
 
 
+#: CRC-32, byte by byte and bit by bit: eight steps of -1 follow each byte.
+_CRC = (
+    "xor(4294967295, list_reduce(flatten([[4294967295], flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: "
+    "[ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))]), lambda c, e: CASE WHEN e >= 0 THEN xor(c, e) ELSE xor(c // 2, (c % 2) * 3988292384) END))"
+)
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _leaf_sql(*values: str) -> str:
+    return "sha256(" + " || ".join(f"coalesce(octet_length(encode(CAST({v} AS VARCHAR))) || ':' || CAST({v} AS VARCHAR), '-')" for v in values) + ")"
+
+
+OP11_SQL = f"""
+WITH RECURSIVE l AS (
+  SELECT doc_id, coalesce('=' || source, '') AS tree, {_leaf_sql("doc_id", "source", "lang", "n_chars", "text")} AS leaf,
+    CASE WHEN {_CRC} % 5 = 0 THEN {_leaf_sql("doc_id", "source", "lang", "n_chars", _LOWER)} END AS changed FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY tree) AS cnt FROM l),
+n AS (SELECT tree, 0 AS level, place, cnt, leaf AS node FROM r
+  UNION ALL SELECT tree, level + 1, place // 16, (cnt + 15) // 16, sha256(string_agg(node, '' ORDER BY place)) FROM n WHERE cnt > 1 GROUP BY tree, level, place // 16, cnt),
+s AS (SELECT tree, node, row_number() OVER (ORDER BY tree) - 1 AS place, count(*) OVER () AS cnt FROM n WHERE cnt = 1),
+m AS (SELECT 0 AS level, place, cnt, node FROM s
+  UNION ALL SELECT level + 1, place // 16, (cnt + 15) // 16, sha256(string_agg(node, '' ORDER BY place)) FROM m WHERE cnt > 1 GROUP BY level, place // 16, cnt),
+f AS (SELECT tree, place, 0 AS level, place AS at, cnt, coalesce(changed, leaf) AS node, '' AS proof FROM r
+  UNION ALL SELECT f.tree, f.place, f.level + 1, f.at // 16, (f.cnt + 15) // 16, sha256(string_agg(CASE WHEN n.place = f.at THEN f.node ELSE n.node END, '' ORDER BY n.place)),
+    f.proof || coalesce(string_agg(n.node, '' ORDER BY n.place) FILTER (n.place <> f.at), '')
+  FROM f JOIN n ON n.tree = f.tree AND n.level = f.level AND n.place // 16 = f.at // 16 WHERE f.cnt > 1 GROUP BY f.tree, f.place, f.level, f.at, f.cnt, f.proof),
+g AS (SELECT f.tree, f.place, 0 AS level, s.place AS at, s.cnt, f.node, f.proof FROM f JOIN s ON s.tree = f.tree WHERE f.cnt = 1
+  UNION ALL SELECT g.tree, g.place, g.level + 1, g.at // 16, (g.cnt + 15) // 16, sha256(string_agg(CASE WHEN m.place = g.at THEN g.node ELSE m.node END, '' ORDER BY m.place)),
+    g.proof || coalesce(string_agg(m.node, '' ORDER BY m.place) FILTER (m.place <> g.at), '')
+  FROM g JOIN m ON m.level = g.level AND m.place // 16 = g.at // 16 WHERE g.cnt > 1 GROUP BY g.tree, g.place, g.level, g.at, g.cnt, g.proof),
+t AS (SELECT node AS root FROM m WHERE cnt = 1)
+SELECT r.doc_id, r.leaf, s.node AS subroot, t.root, sha256(g.proof) AS proof_sha256, g.node AS folded_root, g.node = t.root AS verified
+FROM r JOIN s ON s.tree = r.tree JOIN g ON g.tree = r.tree AND g.place = r.place AND g.cnt = 1, t
+"""
+
 OP12_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS units,
   sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS h FROM documents),
@@ -151,8 +192,8 @@ FROM c
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op2_exact_dedup, op3_line_dedup, op4_packing, op5_tree_bpe, op6_pii, op7_quality_rules, op8_chat_format, op9_jaccard_join, op10_sharding, op12_fill_in_middle)}
+    return {f.__name__: f for f in (op1_token_files, op2_exact_dedup, op3_line_dedup, op4_packing, op5_tree_bpe, op6_pii, op7_quality_rules, op8_chat_format, op9_jaccard_join, op10_sharding, op11_merkle_manifest, op12_fill_in_middle)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL, "op3_line_dedup": OP3_SQL, "op8_chat_format": OP8_SQL, "op10_sharding": OP10_SQL, "op12_fill_in_middle": OP12_SQL}
+    return {"op2_exact_dedup": OP2_SQL, "op3_line_dedup": OP3_SQL, "op8_chat_format": OP8_SQL, "op10_sharding": OP10_SQL, "op11_merkle_manifest": OP11_SQL, "op12_fill_in_middle": OP12_SQL}
