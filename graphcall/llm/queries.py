@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphcall.llm import chat, exact_dedup, fim, jaccard_join, line_dedup, merkle, packing, pii, quality, sharding, token_files, tree_bpe
+from graphcall.llm import chat, exact_dedup, fim, jaccard_join, line_dedup, merkle, packing, pii, quality, sharding, substring_dedup, token_files, tree_bpe
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -93,6 +93,11 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(whole, 256).alias("restored_sha256"))
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substring_dedup.without_repeats(table(spark, sf_dir, "documents"), size=35)
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 OP2_SQL = """
 WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents),
 g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY norm)
@@ -191,9 +196,21 @@ FROM c
 """
 
 
+OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+p AS (SELECT r, words, unnest(range(1, len(words) + 1)) AS place FROM d),
+w AS (SELECT r, place, words[place] AS word, CASE WHEN place + 34 <= len(words) THEN array_to_string(words[place:place + 34], ' ') END AS win FROM p),
+c AS (SELECT win FROM w WHERE win IS NOT NULL GROUP BY win HAVING count(*) > 1),
+m AS (SELECT w.r, w.place, w.word, max(CASE WHEN c.win IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY w.r ORDER BY w.place ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone
+  FROM w LEFT JOIN c ON c.win = w.win),
+k AS (SELECT r, sum(gone) AS n, string_agg(word, ' ' ORDER BY place) FILTER (gone = 0) AS kept FROM m GROUP BY r)
+SELECT d.doc_id, CAST(len(d.words) AS BIGINT) AS n_words, CAST(coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256 FROM d LEFT JOIN k ON k.r = d.r
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op2_exact_dedup, op3_line_dedup, op4_packing, op5_tree_bpe, op6_pii, op7_quality_rules, op8_chat_format, op9_jaccard_join, op10_sharding, op11_merkle_manifest, op12_fill_in_middle)}
+    return {f.__name__: f for f in (op1_token_files, op2_exact_dedup, op3_line_dedup, op4_packing, op5_tree_bpe, op6_pii, op7_quality_rules, op8_chat_format, op9_jaccard_join, op10_sharding, op11_merkle_manifest, op12_fill_in_middle, op13_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL, "op3_line_dedup": OP3_SQL, "op8_chat_format": OP8_SQL, "op10_sharding": OP10_SQL, "op11_merkle_manifest": OP11_SQL, "op12_fill_in_middle": OP12_SQL}
+    return {"op2_exact_dedup": OP2_SQL, "op3_line_dedup": OP3_SQL, "op8_chat_format": OP8_SQL, "op10_sharding": OP10_SQL, "op11_merkle_manifest": OP11_SQL, "op12_fill_in_middle": OP12_SQL, "op13_substring_dedup": OP13_SQL}
