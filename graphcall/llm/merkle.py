@@ -58,7 +58,7 @@ def ranked(nodes: DataFrame, order: list[str]) -> DataFrame:
     whole = Window.partitionBy("tree")
     sizes = sizes.select("tree", "_part", (F.sum("n").over(whole.orderBy("_part")) - F.col("n")).alias("_before"), F.sum("n").over(whole).alias("count"))
     within = F.row_number().over(Window.partitionBy("tree", "_part").orderBy(*order, "_salt"))
-    return rows.withColumn("_row", within).join(sizes, ["tree", "_part"]).withColumn("place", F.col("_row") - 1 + F.col("_before")).drop("_salt", "_part", "_row", "_before")
+    return rows.withColumn("_row", within).join(sizes.hint("merge"), ["tree", "_part"]).withColumn("place", F.col("_row") - 1 + F.col("_before")).drop("_salt", "_part", "_row", "_before")
 
 
 class Trees:
@@ -102,10 +102,10 @@ class Trees:
         carried = [c for c in above.columns if c not in ("tree", "path")]
         above, upper = above.withColumnRenamed("path", "upper"), None
         for k, blocks in reversed(list(enumerate(self.rounds))):
-            # A tree that ends in this round is one block, so neither join meets a frequent key.
-            found = blocks.where(F.col("count") <= self.block).join(above, "tree")
+            # A tree that ends in this round is one block, so neither join meets a frequent key. Paths are long: they are merged, never broadcast.
+            found = blocks.where(F.col("count") <= self.block).join(above.hint("merge"), "tree")
             if upper is not None:
-                found = found.unionByName(blocks.where(F.col("count") > self.block).join(upper, ["tree", "block"]))
+                found = found.unionByName(blocks.where(F.col("count") > self.block).join(upper.hint("merge"), ["tree", "block"]))
             rows = found.select("*", F.posexplode("nodes").alias("_at", "_node"))
             rows = rows.select("tree", F.col("_node.*"), F.concat(self._path(F.col("_at")), F.col("upper")).alias("path"), *carried)
             if k:
