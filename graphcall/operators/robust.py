@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphcall.operators import ordered
+from graphcall.operators.storage import cut, each_copy
 
 #: Squared distance, in variances, beyond which a value is no part of the reweighted fit: 97.5 % of chi-squared with one degree.
 REWEIGHT_CUT = 5.02388618731489
@@ -49,7 +50,8 @@ def mcd_fit(rows: DataFrame, keys: list[str], value: str, fraction: float = 0.5)
     rows = rows.select(*keys, F.col(value).cast("double").alias("x"), F.xxhash64(*[F.col(k) for k in rows.columns]).alias("_tie")).where("x IS NOT NULL")
     whole = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("x").alias("shift"))
     # Rows that repeat have one place in order; their copies are told apart there.
-    rows = rows.groupBy(*keys, "x", "_tie").agg(F.count("*").alias("_m")).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_m")))).drop("_m")
+    rows = rows.groupBy(*keys, "x", "_tie").agg(F.count("*").alias("_m"))
+    rows = each_copy(cut(rows, "values"), "_m", "_copy").drop("_m")
     rows = rows.join(whole, keys).withColumn("c", F.col("x") - F.col("shift"))
     order = ["x", "_tie", "_copy"]
     rows = ordered.running(ordered.sliced(rows, keys, order), keys, order, sums={"i": F.lit(1).cast("long"), "s1": F.col("c"), "s2": F.col("c") * F.col("c")}).drop("_slice")
