@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphcall.llm.shared import ascii_lower, stored
+from graphcall.llm.shared import ascii_lower, each_copy, stored
 
 CHUNK = r"(?s).{512,4095}?[.!?\n]|.{1,4096}"
 
@@ -30,8 +30,8 @@ def duplicate_decisions(
     """One row for each row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
     Of equal texts the row with the largest id stays. Null texts count as empty and are equal to
-    these; null ids are smaller than all others. Of rows that repeat both id and text one stays.
-    Other columns are ignored; an empty table gives no rows.
+    these; null ids are smaller than all others. Of rows that repeat both id and text one stays; they
+    are counted, and written out again in chunks however many they are. Other columns are ignored; an empty table gives no rows.
     """
     text = normalise(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
@@ -49,7 +49,8 @@ def duplicate_decisions(
 
     groups = stored(rows.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size")), "recipe-groups")
     # A recipe that very many rows share is a skewed key of this join, which adaptive execution splits.
-    found = rows.join(groups, "recipe").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    found = rows.join(groups, "recipe").select("doc_id", "text_sha256", "copies", "keep_id", "group_size")
+    found = each_copy(stored(found, "decisions"), "copies", "copy")
     stays = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)
     return found.select("doc_id", "keep_id", "group_size", stays.alias("kept"), "text_sha256")
 

@@ -36,10 +36,19 @@ BLOCK_SETS, BLOCK_BYTES = 1024, 8 * 2**20
 
 
 def band_counts(threshold: float, recall: float, most: int = 160) -> tuple[int, int]:
-    """Bands and rows: the most selective rows whose bands reach ``recall`` at the threshold within ``most`` values."""
-    best = (1, 1)
+    """Bands and rows: the most selective rows whose bands reach ``recall`` at the threshold within ``most`` values.
+
+    Bands of one row are taken, as many as it needs, where no choice keeps within ``most``.
+    """
+    if not 0 < threshold <= 1 or not 0 < recall < 1:
+        raise ValueError("threshold in (0, 1] and recall in (0, 1)")
+    best = (1, 32)
+    if threshold == 1:
+        return best
     for rows in range(1, 33):
-        bands = math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows))
+        bands = math.ceil(math.log(1 - recall) / math.log1p(-(threshold**rows)))
+        if rows == 1:
+            best = (bands, 1)
         if bands * rows <= most:
             best = (bands, rows)
     return best

@@ -82,7 +82,7 @@ def _multiset(took: list[int], capacity: int) -> dict[int, int]:
     return out
 
 
-def configuration_lp(demand: dict[int, int], capacity: int, rounds: int = 3000, rate: float = 0.5, step: float = 0.1) -> dict[tuple[tuple[int, int], ...], float]:
+def configuration_lp(demand: dict[int, int], capacity: int, rate: float = 0.5, step: float = 0.1) -> dict[tuple[tuple[int, int], ...], float]:
     """Fractional uses of configurations ((size, times), ...) that cover ``demand``, by multiplicative weights.
 
     A size's weight starts as its share of all tokens, so that its price per item is its length (the
@@ -90,6 +90,7 @@ def configuration_lp(demand: dict[int, int], capacity: int, rounds: int = 3000,
     prices all configurations in one table and uses the best one until one of its sizes is covered by ``step`` of its
     demand more, then for each size, least covered first, the best one that holds it, if that is worth as much but for
     what a step takes off a weight, and none of its sizes has had its step. Sizes that are covered drop out.
+    Every round gives a size its step, so all are covered after at most one round a size and step.
     """
     sizes = np.array(sorted(demand), np.int64)
     if not len(sizes):
@@ -97,10 +98,7 @@ def configuration_lp(demand: dict[int, int], capacity: int, rounds: int = 3000,
     need = np.array([demand[int(s)] for s in sizes], float)
     place = {int(s): k for k, s in enumerate(sizes)}
     cover, used = np.zeros(len(sizes)), defaultdict(float)
-    for _ in range(rounds):
-        open_ = np.flatnonzero(cover < 1 - 1e-9)
-        if not len(open_):
-            break
+    while len(open_ := np.flatnonzero(cover < 1 - 1e-9)):
         value = np.full(capacity + 1, -np.inf)
         value[sizes[open_]] = sizes[open_] * np.exp(-rate * (cover[open_] - cover[open_].min()))
         best, took = _knapsack(value, capacity)
@@ -121,7 +119,7 @@ def configuration_lp(demand: dict[int, int], capacity: int, rounds: int = 3000,
     return dict(used)
 
 
-def packing_plan(histogram: dict[int, int], capacity: int, *, grains: tuple[int, ...] = (4, 1), rounds: int = 3000) -> list[tuple[int, list[tuple[int, int]]]]:
+def packing_plan(histogram: dict[int, int], capacity: int, *, grains: tuple[int, ...] = (4, 1)) -> list[tuple[int, list[tuple[int, int]]]]:
     """Groups of equal sequences: (how many, [(length, times), ...]) that use each length exactly as often as it occurs.
 
     The plan with the fewest sequences: by the linear program, at each of ``grains`` until one needs no more than the lower
@@ -130,14 +128,14 @@ def packing_plan(histogram: dict[int, int], capacity: int, *, grains: tuple[int,
     least = sequences_lower_bound(histogram, capacity)
     plans: list = []
     for grain in grains:
-        plans.append(_lp_plan(histogram, capacity, grain, rounds))
+        plans.append(_lp_plan(histogram, capacity, grain))
         if sum(n for n, _ in plans[-1]) == least:
             return plans[-1]
     plans.append(_best_fit([(length, n) for length, n in sorted(histogram.items(), reverse=True) if n], [], capacity))
     return min(plans, key=lambda plan: sum(n for n, _ in plan))
 
 
-def _lp_plan(histogram: dict[int, int], capacity: int, grain: int, rounds: int) -> list[tuple[int, list[tuple[int, int]]]]:
+def _lp_plan(histogram: dict[int, int], capacity: int, grain: int) -> list[tuple[int, list[tuple[int, int]]]]:
     units = capacity // grain
     classes: dict[int, list[list[int]]] = defaultdict(list)
     for length in sorted(histogram, reverse=True):
@@ -157,7 +155,7 @@ def _lp_plan(histogram: dict[int, int], capacity: int, grain: int, rounds: int)
                 runs.pop(0)
         return out
 
-    used = configuration_lp({c: n for c, n in left.items() if c <= units}, units, rounds)
+    used = configuration_lp({c: n for c, n in left.items() if c <= units}, units)
     for config, x in sorted(used.items(), key=lambda item: -item[1]):
         times = min(int(x + 1e-9), *(left[c] // a for c, a in config))
         if times < 1:
@@ -211,19 +209,20 @@ def sequences_lower_bound(histogram: dict[int, int], capacity: int) -> int:
     return max(-(-sum(s * n for s, n in histogram.items()) // capacity), sum(n for s, n in histogram.items() if 2 * s > capacity))
 
 
-def pack(pieces: DataFrame, capacity: int, *, rounds: int = 3000) -> DataFrame:
-    """``pieces`` (columns of PIECES) with ``sequence_id`` and ``offset``; needs a table that can be read again.
+def pack(pieces: DataFrame, capacity: int) -> DataFrame:
+    """``pieces`` (columns of PIECES) with ``sequence_id`` and ``offset``; written once to the shared folder.
 
     Ranks within a length are taken in slices of the corpus (a running count over slices, then a
-    row number within each), so no length, however common, lands in one task. Ties are broken by
+    row number within each), so no length, however common, lands in one task, not even if its rows
+    share one id or repeat: a row's slice follows from its columns and its place in the table. Ties are broken by
     the piece's columns; equal rows are interchangeable. An empty table gives no rows.
     """
     spark = pieces.sparkSession
     slices = max(8, partitions(spark))
-    rows = pieces.withColumn("slice", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(slices)))
+    rows = stored(pieces.withColumn("slice", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(slices))), "pieces")
     counts = stored(rows.groupBy("length", "slice").agg(F.count("*").alias("n")), "lengths")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
-    plan = packing_plan(histogram, capacity, rounds=rounds)
+    plan = packing_plan(histogram, capacity)
 
     cuts: dict[int, list[tuple[int, int, int, int]]] = defaultdict(list)  # of a length: first rank, how many sequences, first sequence, offset
     seen: dict[int, int] = defaultdict(int)
@@ -260,5 +259,5 @@ def _places(flat: np.ndarray) -> Callable:
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = 2048, **names: str) -> DataFrame:
-    """Encodes, cuts and packs whole documents; one row for each piece."""
-    return pack(stored(token_pieces(docs, tokenizer_path, end_id, capacity, **names), "pieces"), capacity)
+    """Encodes, cuts and packs whole documents; one row for each piece. A text is encoded in one piece of a worker's memory."""
+    return pack(token_pieces(docs, tokenizer_path, end_id, capacity, **names), capacity)

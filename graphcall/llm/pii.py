@@ -152,8 +152,8 @@ def labelled_table(rows: int = LABELLED_ROWS, seed: int = 7) -> list[tuple[list[
 # The model.
 
 _TRIM = "\"'.,;:!?<>"
-#: Longer words are not kept in caches, and longer spans of the CRF are no personal data.
-LONGEST_WORD, LONGEST_SPAN = 128, 256
+#: Longer words are not kept in caches.
+LONGEST_WORD = 128
 #: Where a word stands to the one that is labelled.
 PLACES = ("0:", "-1:", "+1:")
 #: Words that have a feature of their own.
@@ -167,8 +167,6 @@ def word_class(word: str) -> tuple[str, ...]:
     low = core.lower()
     if low in LEXICON:
         return ("word=" + low,)
-    if len(core) > 64:
-        return ("long",)
     digits = digits_of(core)
     if not digits and "@" not in core:
         return ("letters",) if _LETTERS.fullmatch(core) else ("marks",)
@@ -177,7 +175,7 @@ def word_class(word: str) -> tuple[str, ...]:
     bare = core.strip("()[]")
     host = bare.partition(":")[0]
     return (
-        "runs=" + runs[:24], "digits=" + str(min(len(digits), 20)), "form=" + re.sub(r"9+", "9", shape)[:24],
+        "runs=" + runs, "digits=" + str(min(len(digits), 20)), "form=" + re.sub(r"9+", "9", shape),
         "mail" if re.fullmatch(r"[^@]+@[^@]+\.[^@.]+", core) else "nomail", "ip" if re.fullmatch(r"[0-9]+(\.[0-9]+){3}", host) and ip_ok(host) else "noip", "luhn" if card_ok(core) else "noluhn",
     )
 
@@ -411,9 +409,37 @@ class Tagger:
                 found.setdefault(i, []).append((a + int(at), int(labels[row, at])))
 
 
-_AT_DOT = re.compile(r"\S+ ?(?:@|[\[(]at[\])]| at ) ?\S+(?:\.|[\[(]dot[\])]| dot )\S*|\S+ [\[(]?at[\])]? \S+ [\[(]?dot[\])]? \S+", re.I)
+_AT, _AT_END, _DOT = re.compile(r"@|[\[(]at[\])]", re.I), re.compile(r"(?:@|[\[(]at[\])])$", re.I), re.compile(r"\.|[\[(]dot[\])]", re.I)
+
+
+def address_like(text: str) -> bool:
+    """A name, at (as a sign, in brackets or as a word), a host, a dot (likewise) and an end, in time that grows with the text alone.
+
+    Signs may stand by themselves; there is no other white space.
+    """
+    parts = text.split()
+    bare = [p.lower().strip("[]()") for p in parts]
+    if not 0 < len(parts) <= 5:
+        return False
+    if len(parts) == 5 and bare[1] == "at" and bare[3] == "dot":
+        return True
+    first = _AT.search(parts[0], 1)
+    rests = [[parts[0][first.end() :], *parts[1:]]] if first else []
+    if _AT_END.search(parts[0][-4:]) and not _AT_END.fullmatch(parts[0]):
+        rests.append(parts[1:])
+    if len(parts) > 1 and (sign := _AT.match(parts[1])):
+        rests.append([parts[1][sign.end() :], *parts[2:]])
+    elif len(parts) > 1 and bare[1] == "at":
+        rests.append(parts[2:])
+    for rest in rests:
+        rest = rest[1:] if rest and not rest[0] else rest
+        if len(rest) == 1 and _DOT.search(rest[0], 1) or len(rest) == 3 and rest[1].lower() == "dot":
+            return True
+    return False
+
+
 _NUMBER = re.compile(r"[+(]?[0-9][0-9().\s/-]*[0-9]")
-_CHECKS: tuple[Callable[[str], bool], ...] = (lambda t: bool(_AT_DOT.fullmatch(" ".join(t.split()))), lambda t: ip_ok(t.partition(":")[0]) and t.count(".") == 3, lambda t: bool(_NUMBER.fullmatch(t)) and card_ok(t), lambda t: bool(_NUMBER.fullmatch(t)) and phone_ok(t))
+_CHECKS: tuple[Callable[[str], bool], ...] = (address_like, lambda t: ip_ok(t.partition(":")[0]) and t.count(".") == 3, lambda t: bool(_NUMBER.fullmatch(t)) and card_ok(t), lambda t: bool(_NUMBER.fullmatch(t)) and phone_ok(t))
 
 
 def added_spans(text: str, base: list[tuple[int, int, int]], found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
@@ -429,7 +455,7 @@ def added_spans(text: str, base: list[tuple[int, int, int]], found: list[tuple[i
         while b > a and text[b - 1] in _TRIM + "]":
             b -= 1
         before = bisect.bisect_left(starts, b)
-        if a < b <= a + LONGEST_SPAN and not (before and reach[before - 1] > a) and _CHECKS[kind](text[a:b]):
+        if a < b and not (before and reach[before - 1] > a) and _CHECKS[kind](text[a:b]):
             out.append((a, kind, b))
     return out
 

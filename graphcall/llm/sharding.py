@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphcall.llm.shared import stored
+from graphcall.llm.shared import each_copy, stored
 
 #: Bytes that a row counts besides its text, so that a shard of empty texts is bounded too.
 ROW_BYTES = 16
@@ -101,13 +101,13 @@ def shard_rows(docs: DataFrame, limit: int | None = None, *, least: int = 16, mo
 
     Without a ``limit``, a shard holds at most ``most`` bytes, and at most one part in ``least`` of all.
     Rows that repeat id and text are numbered and hashed with their number, so that even a third
-    of all rows being one and the same spreads over shards. Null ids and texts are values of their
+    of all rows being one and the same spreads over shards; they are written out in chunks, so no array holds all of them. Null ids and texts are values of their
     own; a null text has no bytes but ROW_BYTES; other columns are ignored.
     """
     size = (F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)) + ROW_BYTES).cast("long")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), size.alias("n_bytes"), _content(docs, id_col, text_col).alias("content"))
     rows = rows.groupBy("doc_id", "n_bytes", "content").agg(F.count("*").alias("copies"))
-    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    rows = each_copy(stored(rows, "shard-contents"), "copies", "copy")
     rows = stored(rows.select("doc_id", "n_bytes", "content", "copy", sha_bits(F.concat("content", F.lit(":"), F.col("copy").cast("string"))).alias("hash")), "shard-keys")
     if limit is None:
         limit = min(most, -(-(rows.agg(F.sum("n_bytes")).first()[0] or 1) // least))
@@ -128,6 +128,7 @@ def write_shards(docs: DataFrame, path: str, limit: int, *, id_col: str = "doc_i
     sums = rows.groupBy("_content", "_slice").agg(F.sum("_n").alias("_before"))
     sums = sums.withColumn("_before", F.sum("_before").over(Window.partitionBy("_content").orderBy("_slice")) - F.col("_before"))
     first = F.sum("_n").over(Window.partitionBy("_content", "_slice").orderBy(*own)) - F.col("_n") + F.col("_before")
-    rows = rows.join(sums, ["_content", "_slice"]).withColumn("_before", first).withColumn("_copy", F.explode(F.sequence(F.col("_before") + 1, F.col("_before") + F.col("_n"))))
+    rows = stored(rows.join(sums, ["_content", "_slice"]).withColumn("_before", first), "shard-numbers")
+    rows = each_copy(rows, "_n", "_copy", start=F.col("_before") + 1)
     place = shard_rows(docs, limit, id_col=id_col, text_col=text_col).select(F.col("content").alias("_content"), F.col("copy").alias("_copy"), F.concat(F.lit("b"), "shard").alias("shard"))
     rows.join(place, ["_content", "_copy"]).select(*own, "shard").repartition("shard").write.partitionBy("shard").parquet(path)

@@ -2,47 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The white space that separates words: space, tab, newline, vertical tab, form feed, return.
-WS = r"[\x20\x09-\x0D]"
+from graphcall.operators import storage
+from graphcall.operators.storage import each_copy, new_path
 
+__all__ = ["WS", "ascii_lower", "each_copy", "new_path", "partitions", "stored"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only a local session without that setting (tests) gets a temporary folder of its own;
-    on a cluster the setting is required.
-    """
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    path = "file://" + tempfile.mkdtemp(prefix="graphcall-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, removed when the driver ends."""
-    path = f"{shared_dir(spark)}/graphcall/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
-    return path
+#: The white space that separates words: space, tab, newline, vertical tab, form feed, return.
+WS = r"[\x20\x09-\x0D]"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return storage.cut(df, name)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -30,7 +30,7 @@ from graphcall.llm.wordbpe import encoded, encoder
 
 BLOCK = 512
 HEAD, BODY = struct.Struct("<4sIIQ"), struct.Struct("<IBH")
-SCHEMA = "shard_doc long, shard_hash long, segment int, before long, n_docs int, n_ids long, payload binary"
+SCHEMA = "shard_doc long, shard_hash long, shard_salt double, segment int, before long, n_docs int, n_ids long, payload binary"
 
 
 def _pack(values: np.ndarray, width: int) -> np.ndarray:
@@ -129,15 +129,15 @@ def write_token_files(
 ) -> str:
     """Encodes whole texts and writes segments in ascending order of ``id_col``; returns the path.
 
-    Documents are dealt by ranges of (id, text hash), so one id on many rows is split too; each
+    Documents are dealt by ranges of (id, text hash, a draw), so one id on many rows, and one row many times, is split too; each
     partition sorts its range, encodes it and cuts segments of about ``segment_ids`` ids (a longer
     document gets one of its own). Null texts count as empty, null ids come first, repeated rows
-    are all written, other columns are ignored; an empty table gives no segments.
+    are all written, other columns are ignored; an empty table gives no segments. A text is encoded in one piece of a worker's memory.
     """
     spark = docs.sparkSession
     path = path or new_path(spark, "token-files")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = rows.select("doc_id", F.xxhash64("text").alias("hash"), "text").repartitionByRange("doc_id", "hash").sortWithinPartitions("doc_id", "hash")
+    rows = rows.select("doc_id", F.xxhash64("text").alias("hash"), F.rand(17).alias("salt"), "text").repartitionByRange("doc_id", "hash", "salt").sortWithinPartitions("doc_id", "hash", "salt")
     rows.mapInArrow(_segments(tokenizer_path, end_id, segment_ids, percentile), SCHEMA).write.option("compression", "uncompressed").parquet(path)
     return path
 
@@ -152,17 +152,17 @@ def _segments(tokenizer_path: str, end_id: int, segment_ids: int, percentile: fl
 
         def flush() -> pa.RecordBatch:
             ids = np.frombuffer(b"".join(parts), "<u4")
-            row = [first[0], first[1], done["segment"], done["ids"], len(docs), len(ids), encode_segment(docs, [len(p) // 4 for p in parts], ids, percentile)]
+            row = [*first, done["segment"], done["ids"], len(docs), len(ids), encode_segment(docs, [len(p) // 4 for p in parts], ids, percentile)]
             done.update(ids=done["ids"] + len(ids), segment=done["segment"] + 1, held=0)
             docs.clear(), parts.clear()
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], [f.split()[0] for f in SCHEMA.split(", ")])
 
         for batch in batches:
-            ids, hashes = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            ids = batch.column(0).to_pylist()
             if ids and not first:
-                first.extend([ids[0], hashes[0]])
-            for at, found in encoded(encode, batch.column(2), end_id):
+                first.extend(batch.column(k)[0].as_py() for k in range(3))
+            for at, found in encoded(encode, batch.column(3), end_id):
                 for k, part in enumerate(found, at):
                     docs.append(ids[k])
                     parts.append(part)
@@ -183,11 +183,11 @@ def read_token_files(spark: SparkSession, path: str, *, with_ids: bool = True) -
     many shards as the writer had partitions, which bounds the broadcast.
     """
     segments = spark.read.schema(SCHEMA).parquet(path)
-    shards = segments.groupBy("shard_doc", "shard_hash").agg(F.sum("n_ids").alias("shard_ids"))
-    earlier = Window.orderBy(F.col("shard_doc").asc_nulls_first(), "shard_hash").rowsBetween(Window.unboundedPreceding, -1)
-    shards = shards.select(F.col("shard_doc").alias("s_doc"), F.col("shard_hash").alias("s_hash"), F.coalesce(F.sum("shard_ids").over(earlier), F.lit(0)).alias("base"))
-    rows = segments.select("shard_doc", "shard_hash", "before", "payload").mapInArrow(_documents(with_ids), "shard_doc long, shard_hash long, doc_id long, place long, n_tokens long, ids_crc32 long, ids binary")
-    same = F.col("shard_doc").eqNullSafe(F.col("s_doc")) & (F.col("shard_hash") == F.col("s_hash"))
+    shards = segments.groupBy("shard_doc", "shard_hash", "shard_salt").agg(F.sum("n_ids").alias("shard_ids"))
+    earlier = Window.orderBy(F.col("shard_doc").asc_nulls_first(), "shard_hash", "shard_salt").rowsBetween(Window.unboundedPreceding, -1)
+    shards = shards.select(F.col("shard_doc").alias("s_doc"), F.col("shard_hash").alias("s_hash"), F.col("shard_salt").alias("s_salt"), F.coalesce(F.sum("shard_ids").over(earlier), F.lit(0)).alias("base"))
+    rows = segments.select("shard_doc", "shard_hash", "shard_salt", "before", "payload").mapInArrow(_documents(with_ids), "shard_doc long, shard_hash long, shard_salt double, doc_id long, place long, n_tokens long, ids_crc32 long, ids binary")
+    same = F.col("shard_doc").eqNullSafe(F.col("s_doc")) & (F.col("shard_hash") == F.col("s_hash")) & (F.col("shard_salt") == F.col("s_salt"))
     return rows.join(F.broadcast(shards), same).select("doc_id", (F.col("base") + F.col("place")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
 
 
@@ -195,14 +195,14 @@ def _documents(with_ids: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                docs, lengths, ids = decode_segment(batch.column(3)[k].as_py())
+                docs, lengths, ids = decode_segment(batch.column(4)[k].as_py())
                 ends = np.cumsum(lengths.astype(np.int64))
                 places = ends - lengths
                 whole = memoryview(ids.astype("<u4", copy=False)).cast("B")
                 raw = [whole[4 * a : 4 * b] for a, b in zip(places.tolist(), ends.tolist(), strict=True)]
-                shard = [pa.array([batch.column(c)[k].as_py()] * len(docs), pa.int64()) for c in (0, 1)]
-                rows = [pa.array(docs, pa.int64()), pa.array(places + batch.column(2)[k].as_py(), pa.int64()), pa.array(lengths.astype(np.int64))]
+                shard = [pa.array([batch.column(c)[k].as_py()] * len(docs), kind) for c, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))]
+                rows = [pa.array(docs, pa.int64()), pa.array(places + batch.column(3)[k].as_py(), pa.int64()), pa.array(lengths.astype(np.int64))]
                 rows += [pa.array([zlib.crc32(r) for r in raw], pa.int64()), pa.array([bytes(r) for r in raw] if with_ids else [None] * len(raw), pa.binary())]
-                yield pa.RecordBatch.from_arrays(shard + rows, ["shard_doc", "shard_hash", "doc_id", "place", "n_tokens", "ids_crc32", "ids"])
+                yield pa.RecordBatch.from_arrays(shard + rows, ["shard_doc", "shard_hash", "shard_salt", "doc_id", "place", "n_tokens", "ids_crc32", "ids"])
 
     return run
