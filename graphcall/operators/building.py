@@ -37,12 +37,6 @@ def graph_edges(nodes: DataFrame, variants: DataFrame, keys: list[str]) -> DataF
     return along.unionByName(into).unionByName(out).unionByName(past).distinct()
 
 
-def call_documents(calls: DataFrame, keys: list[str]) -> DataFrame:
-    """One JSON document for each site: its samples' genotypes, qualities and filters, in order of sample."""
-    sample = F.struct("sample_id", "gt", "gq", "reads", "filter")
-    return calls.groupBy(*keys).agg(F.sort_array(F.collect_list(sample)).alias("samples")).select(*keys, F.to_json(F.struct(*keys, "samples")).alias("document"))
-
-
 def block_ids(blocks: DataFrame, digests: DataFrame) -> DataFrame:
     """Blocks (file, chrom, block, ...) with block_id: file, its digest, and the block's number, from 1 by contig and block.
 

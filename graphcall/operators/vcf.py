@@ -7,18 +7,19 @@ from pyspark.sql import functions as F
 
 from graphcall.operators import genotyping
 
-#: Header lines of the fields that annotation adds: fixed values of the format.
+#: Names, numbers and types of the fields and filters that annotation adds are fixed values of the format; what describes them is free.
 FORMATS = (
-    ("OLD_GT", "1", "String", "Previous GT which was replaced by paragraph"), ("GT", "1", "String", "Genotype"), ("FT", "1", "String", "Filter for genotype"),
-    ("DP", "1", "Integer", "Total filtered read depth used for genotyping."), ("AD", "R", "Integer", "Allele depth for each allele, including the reference."),
-    ("ADF", "R", "Integer", "Allele depth on forward strand for each allele, including the reference."), ("ADR", "R", "Integer", "Allele depth on reverse strand for each allele, including the reference."),
-    ("PL", "G", "Integer", "Phred-scaled likelihoods for genotypes as defined in the VCF specification"),
+    ("OLD_GT", "1", "String", "What GT was in the input"), ("GT", "1", "String", "Called alleles"), ("FT", "1", "String", "Filters that the call fails"),
+    ("DP", "1", "Integer", "Reads that took part in the call"), ("AD", "R", "Integer", "Reads by allele"), ("ADF", "R", "Integer", "Forward reads by allele"), ("ADR", "R", "Integer", "Reverse reads by allele"),
+    ("PL", "G", "Integer", "Likelihoods of all genotypes, Phred-scaled"),
 )
 FILTERS = (
-    ("BP_DEPTH", "One or more breakpoints have abnormal depth"), ("NO_VALID_GT", "No valid genotypes from breakpoints"), ("CONFLICT", "Breakpoints gave different genotypes"), ("BP_NO_GT", "One genotype was missing"),
-    ("NO_READS", "No reads could be retrieved for a breakpoint."), ("DEPTH", "Poisson depth filter: observed depth deviates too far from Poisson expectation"),
-    ("UNMATCHED", "VCF record could not be matched to a paragraph record."), ("MULTIMATCHED", "VCF record could not be matched to a paragraph record uniquely."),
+    ("BP_DEPTH", "Depth at a breakpoint is far from that of the sample"), ("NO_VALID_GT", "No breakpoint has a call that stands"), ("CONFLICT", "Calls of the breakpoints differ"), ("BP_NO_GT", "A breakpoint has no call"),
+    ("NO_READS", "A breakpoint has no reads"), ("DEPTH", "Depth is improbable under a Poisson distribution"),
+    ("UNMATCHED", "No graph belongs to the record"), ("MULTIMATCHED", "Several graphs belong to the record"),
 )
+#: The INFO key for a record's graph, unless another is asked for.
+ID_KEY = "GRAPH_ID"
 FIELDS = "GT:OLD_GT:FT:DP:AD:ADF:ADR:PL"
 
 
@@ -73,12 +74,12 @@ def sample_fields(calls: DataFrame) -> DataFrame:
     }).drop("_pl", "_least")
 
 
-def annotated(records: DataFrame, found: DataFrame, fields: DataFrame, samples: list[str]) -> DataFrame:
+def annotated(records: DataFrame, found: DataFrame, fields: DataFrame, samples: list[str], *, id_key: str = ID_KEY) -> DataFrame:
     """Records with their samples' fields: chrom, pos, id, ref, alt, qual, filter, info, format and an array of sample texts in the order of ``samples``.
 
     ``records``: record, chrom, pos, id, ref, alts, qual, filter, info_text, old_gt (map of sample to genotype). ``found``: record, matches, target
     (graph) and all targets, as matching with fallback gives them. ``fields``: record, sample and the columns of :func:`sample_fields`. Records that match no
-    graph or several get UNMATCHED or MULTIMATCHED; a record whose calls are BP_DEPTH or BP_NO_GT in over half of its samples gets BP_DEPTH.
+    graph or several get UNMATCHED or MULTIMATCHED; ``id_key`` of the info text names the graph, in place of one that it had; a record whose calls are BP_DEPTH or BP_NO_GT in over half of its samples gets BP_DEPTH.
     """
     empty = lambda old, n: F.concat_ws(":", F.lit("."), F.coalesce(old, F.lit(".")), F.lit("."), F.lit("."), *[F.array_join(F.array_repeat(F.lit("."), n), ",")] * 3, F.lit("."))
     text = F.concat_ws(":", "GT", F.lit("\0"), "FT", "DP", "AD", "ADF", "ADR", "PL")
@@ -92,26 +93,27 @@ def annotated(records: DataFrame, found: DataFrame, fields: DataFrame, samples:
     added = F.when(n == 0, "UNMATCHED").when(n > 1, "MULTIMATCHED").when(2 * F.col("bad") > F.col("n"), "BP_DEPTH")
     given = F.when(F.col("filter").isin(".", "PASS") | F.col("filter").isNull(), F.lit(None).cast("string")).otherwise(F.col("filter"))
     target = F.when(n == 0, "UNMATCHED").when(n > 1, F.concat(F.lit("MULTIPLE:"), F.array_join(F.array_sort("targets"), ","))).otherwise(F.col("target"))
-    info = F.concat_ws(";", F.when(F.col("info_text").isin("", "."), F.lit(None).cast("string")).otherwise(F.col("info_text")), F.concat(F.lit("GRMPY_ID="), target))
+    kept = F.filter(F.split("info_text", ";"), lambda x: ~x.isin("", ".") & (F.substring_index(x, "=", 1) != id_key))
+    info = F.concat_ws(";", kept, F.concat(F.lit(f"{id_key}="), target))
     mark = F.concat_ws(";", given, added)
     return rows.select("chrom", "pos", "id", "ref", F.array_join("alts", ",").alias("alt"), F.coalesce("qual", F.lit(".")).alias("qual"), F.when(mark == "", F.coalesce("filter", F.lit("."))).otherwise(mark).alias("filter"), info.alias("info"), F.lit(FIELDS).alias("format"), cells.alias("samples"))
 
 
-def header_lines(given: list[str], samples: list[str]) -> list[str]:
-    """A header with the lines given (without the column line), those that annotation adds and lack, and the column line."""
+def header_lines(given: list[str], samples: list[str], *, id_key: str = ID_KEY) -> list[str]:
+    """A header with the lines given (without the column line), those that annotation adds and lack, and the column line. Without samples in the input (FORMAT lines), no old genotypes are declared."""
     out = list(given) or ["##fileformat=VCFv4.2"]
     has = lambda kind, name: any(x.startswith(f"##{kind}=<ID={name},") for x in out)
-    out += [f'##FORMAT=<ID={n},Number={c},Type={t},Description="{d}">' for n, c, t, d in FORMATS if not has("FORMAT", n)]
-    if not has("INFO", "GRMPY_ID"):
-        out.append('##INFO=<ID=GRMPY_ID,Number=1,Type=String,Description="Graph ID for linking to genotypes.json.gz; matches record.graphinfo.ID in there.">')
+    out += [f'##FORMAT=<ID={n},Number={c},Type={t},Description="{d}">' for n, c, t, d in FORMATS if not has("FORMAT", n) and (n != "OLD_GT" or any(x.startswith("##FORMAT") for x in given))]
+    if not has("INFO", id_key):
+        out.append(f'##INFO=<ID={id_key},Number=1,Type=String,Description="The graph that the record was genotyped on">')
     out += [f'##FILTER=<ID={n},Description="{d}">' for n, d in FILTERS if not has("FILTER", n)]
     return [*out, "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *samples])]
 
 
-def write_vcf(rows: DataFrame, path: str, given: list[str], samples: list[str]) -> None:
+def write_vcf(rows: DataFrame, path: str, given: list[str], samples: list[str], *, id_key: str = ID_KEY) -> None:
     """Rows of :func:`annotated` as text parts whose concatenation in order is a file: the header, then records by contig and place."""
     spark = rows.sparkSession
-    head = spark.createDataFrame(list(enumerate(header_lines(given, samples))), "pos long, value string").select(F.lit("").alias("chrom"), "pos", F.lit("").alias("id"), "value")
+    head = spark.createDataFrame(list(enumerate(header_lines(given, samples, id_key=id_key))), "pos long, value string").select(F.lit("").alias("chrom"), "pos", F.lit("").alias("id"), "value")
     line = F.concat_ws("\t", "chrom", F.col("pos").cast("string"), "id", "ref", "alt", "qual", "filter", "info", "format", F.array_join("samples", "\t"))
     body = rows.select("chrom", F.col("pos").cast("long").alias("pos"), "id", line.alias("value"))
     head.unionByName(body).repartitionByRange("chrom", "pos", "id").sortWithinPartitions("chrom", "pos", "id").select("value").write.text(path)

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphcall.functions import sequence
+from graphcall.operators import ordered
 
 GRAPH = """model_name STRING, ID STRING, max_reads BIGINT, target_regions ARRAY<STRING>, sequencenames ARRAY<STRING>,
 nodes ARRAY<STRUCT<name:STRING, sequence:STRING, reference:STRING, position:STRING, sequences:ARRAY<STRING>>>,
 edges ARRAY<STRUCT<`from`:STRING, `to`:STRING, name:STRING, sequences:ARRAY<STRING>>>,
 paths ARRAY<STRUCT<path_id:STRING, sequence:STRING, nodes:ARRAY<STRING>, nucleotide_length:BIGINT>>"""
 #: Columns that a manifest may have, with underscores for spaces.
-MANIFEST = frozenset("id path index_path paragraph idxdepth depth read_length sex depth_variance depth_sd".split())
+MANIFEST = frozenset("id path index_path counts_path depth_path depth read_length sex depth_variance depth_sd".split())
 EVENTS = "ID STRING, desc STRING, chrom STRING, start BIGINT, end BIGINT, ins STRING, flank INT"
 
 
@@ -70,10 +71,49 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("multiLine", True).schema(EVENTS).json(path)
 
 
-def read_manifest(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
-    """Samples with depth, read length, depth_sd (given, from the variance, or sqrt(5 depth)) and sex as m, f or u."""
+#: What a file of depths may hold.
+DEPTHS = "depth DOUBLE, read_length INT, depth_variance DOUBLE, depth_sd DOUBLE, autosome STRUCT<depth:DOUBLE>"
+
+
+def beside(path: str, name: Column) -> Column:
+    """A path that a file names: as it stands if it is whole, else in the folder of the file."""
+    return F.when(name.contains("://") | name.startswith("/"), name).otherwise(F.concat(F.lit(path.rpartition("/")[0] + "/"), name))
+
+
+def with_depth_files(manifest: DataFrame, path: str) -> DataFrame:
+    """A manifest's rows with depth, read_length and depth_variance from the JSON that ``depth_path`` names, where they have none of their own.
+
+    Files are read in one scan and meet their rows by path; names are relative to the manifest's folder. A row that names a file
+    and gives a depth or read length itself too raises, and so does a file that isn't there or has no depth.
+    """
+    spark = manifest.sparkSession
+    own = [c for c in ("depth", "read_length", "depth_variance", "depth_sd") if c in manifest.columns]
+    rows = manifest.withColumn("_full", F.when(F.col("depth_path") != "", beside(path, F.col("depth_path"))))
+    names = [r[0] for r in rows.select("_full").where("_full IS NOT NULL").distinct().collect()]  # as many as there are files to open
+    if not names:
+        return rows.drop("_full", "depth_path")
+    read = spark.read.option("multiLine", True).schema(DEPTHS).json(names).withColumn("_file", F.col("_metadata.file_path"))
+    plain = lambda c: F.regexp_replace(c, "^[a-z]+:/+", "/")
+    found = read.select(plain(F.col("_file")).alias("_file"), F.coalesce("autosome.depth", "depth").alias("_depth"), F.col("read_length").alias("_length"), F.coalesce("depth_variance", F.col("depth_sd") * F.col("depth_sd")).alias("_variance"))
+    rows = rows.withColumn("_file", plain(F.col("_full"))).join(found, "_file", "left")
+    twice = F.lit(False)
+    for c in own:
+        twice = twice | (F.col("_full").isNotNull() & F.col(c).isNotNull())
+    told = F.when(twice, F.raise_error(F.concat(F.lit("depths are given twice: "), "id")).cast("double")).when(F.col("_full").isNotNull() & F.col("_depth").isNull(), F.raise_error(F.concat(F.lit("no depth in "), "_full")).cast("double"))
+    have = lambda c: F.col(c) if c in own else F.lit(None).cast("string")
+    merged = {"depth": F.coalesce(told.cast("string"), F.col("_depth").cast("string"), have("depth")), "read_length": F.coalesce(F.col("_length").cast("string"), have("read_length")), "depth_variance": F.coalesce(F.col("_variance").cast("string"), have("depth_variance"))}
+    return rows.withColumns(merged).drop("_full", "_file", "_depth", "_length", "_variance", "depth_path")
+
+
+def read_manifest(spark: SparkSession, path: str, sep: str = "\t", *, names: dict[str, str] | None = None) -> DataFrame:
+    """Samples with depth, read length, depth_sd (given, from the variance, or sqrt(5 depth)) and sex as m, f or u.
+
+    ``names`` maps columns of older manifests to those of today, as depth_path for a file of depths (see :func:`with_depth_files`).
+    """
     raw = spark.read.option("header", True).option("sep", sep).csv(path)
-    raw = raw.toDF(*[c.lstrip("#").strip().lower().replace(" ", "_") for c in raw.columns])
+    raw = raw.toDF(*[(names or {}).get(c, c) for c in (c.lstrip("#").strip().lower().replace(" ", "_") for c in raw.columns)])
+    if {"id", "depth_path"} <= set(raw.columns) <= MANIFEST:
+        raw = with_depth_files(raw, path)
     if unknown := set(raw.columns) - MANIFEST:
         raise ValueError(f"unknown columns in the manifest: {sorted(unknown)}")
     if not {"id", "path"} <= set(raw.columns) or not {"depth", "read_length"} <= set(raw.columns):
@@ -118,26 +158,27 @@ def read_aligned_fasta(spark: SparkSession, path: str) -> DataFrame:
     return rows.join(F.broadcast(sizes)).where(F.assert_true(F.col("a") == F.col("b")).isNull()).drop("a", "b")
 
 
-def write_vcf_rows(calls: DataFrame, path: str) -> None:
-    """Annotated records as tab-separated text, in order of contig and position (columns chrom, pos, id, ref, alt, filter, info, format, sample fields as an array)."""
-    line = F.concat_ws("\t", "chrom", F.col("pos").cast("string"), "id", "ref", "alt", F.lit("."), "filter", "info", "format", F.array_join("samples", "\t"))
-    calls.repartitionByRange("chrom", "pos").sortWithinPartitions("chrom", "pos", "id").select(line.alias("value")).write.text(path)
-
-
 def write_bins(bins: DataFrame, path: str) -> None:
     """Depth bins as tab-separated text with 1-based starts."""
     bins.withColumn("start", F.col("start") + 1).write.option("sep", "\t").option("header", True).csv(path)
 
 
 def write_by_graph(documents: DataFrame, path: str) -> None:
-    """JSON documents in a compressed folder for each graph."""
-    documents.write.partitionBy("graph_id").option("compression", "gzip").json(path)
+    """JSON documents in a compressed folder for each graph; a graph's documents are dealt to one task, so it gets one file."""
+    documents.repartition("graph_id").write.partitionBy("graph_id").option("compression", "gzip").json(path)
 
 
 def event_ids(events: DataFrame, source: str) -> DataFrame:
-    """Events with an id: their own, else the source and their number in the order of place."""
-    n = F.row_number().over(Window.partitionBy("chrom").orderBy("start", "end", "ins")) - 1
-    return events.withColumn("ID", F.coalesce("ID", F.concat(F.lit(f"{source}:"), "chrom", F.lit(":"), n.cast("string"))))
+    """Events with an id: their own, else the source and their number, from 0, over the whole list in the order of place.
+
+    Numbers come from ranges of places and the counts of the ranges before, so the list is sorted but never in one task.
+    Columns are compared as they are: events that agree in all of them share neither place nor number.
+    """
+    order = ["chrom", "start", "end", "ins"]
+    rows = ordered.sliced(events.withColumns({"_all": F.lit(0), "_tie": F.rand(5)}), ["_all"], [*order, "_tie"])
+    rows = ordered.running(rows, ["_all"], [*order, "_tie"], sums={"_n": F.lit(1).cast("long")})
+    number = (F.col("_n") - 1).cast("string")
+    return rows.withColumn("ID", F.coalesce("ID", F.concat(F.lit(f"{source}:"), number))).drop("_all", "_tie", "_n", "_slice")
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:

@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from graphcall import api
-from graphcall.operators import building
 
 
 def test_reads_to_calls(spark):
@@ -17,7 +16,6 @@ def test_reads_to_calls(spark):
     samples = spark.createDataFrame([(k, 40.0, 14.0, 100.0) for k in range(3)], "sample_id int, depth double, depth_sd double, read_length double")
     calls = api.genotype(counts, samples)
     assert {r.sample_id: r.gt for r in calls.collect()} == {0: [0, 0], 1: [0, 1], 2: [1, 1]}
-    assert building.call_documents(calls, ["graph_id"]).first().document.startswith('{"graph_id":1,"samples":[{"sample_id":0,"gt":[0,0]')
 
 
 def test_select_reads(spark):

@@ -29,7 +29,7 @@ def test_annotated_file(spark, tmp_path):
     assert got["v1", "s1"] == ("0/1", "", "10", "5,5", "3,1", "2,4", "180,0,32748")
     assert got["v1", "s2"] == (".", "BP_NO_GT,UNMATCHED", "0", "0,0", "0,0", "0,0", ".")
     assert got["v2", "s1"][:2] == (".", "GQ,UNMATCHED") and got["v2", "s2"][0] == "1/1" and got["v2", "s2"][6] == "80,20,0"
-    records = [(f"v{k}", "c1", 100 - k, f"v{k}", "A", ["T"], None, f, "END=5" if k == 1 else ".", {"s1": "0/0"}) for k, f in ((1, "PASS"), (2, "LOW"), (3, "."), (4, "."))]
+    records = [(f"v{k}", "c1", 100 - k, f"v{k}", "A", ["T"], None, f, "END=5;GRAPH_ID=old;GRAPH_IDS=x" if k == 1 else ".", {"s1": "0/0"}) for k, f in ((1, "PASS"), (2, "LOW"), (3, "."), (4, "."))]
     records = spark.createDataFrame(records, "record string, chrom string, pos long, id string, ref string, alts array<string>, qual string, filter string, info_text string, old_gt map<string,string>")
     found = spark.createDataFrame([("v1", 1, "g1", ["g1"]), ("v2", 1, "g2", ["g2"]), ("v3", 2, None, ["g4", "g3"])], "record string, matches long, target string, targets array<string>")
     vcf.write_vcf(vcf.annotated(records, found, fields, ["s1", "s2"]), f"file://{tmp_path}/out", ["##fileformat=VCFv4.2", '##FORMAT=<ID=GT,Number=1,Type=String,Description="Own">'], ["s1", "s2"])
@@ -38,8 +38,8 @@ def test_annotated_file(spark, tmp_path):
     body = [x.split("\t") for x in lines if not x.startswith("##")]
     assert body[0][9:] == ["s1", "s2"] and [x[1] for x in body[1:]] == ["96", "97", "98", "99"]
     rows = {x[2]: x for x in body[1:]}
-    assert rows["v1"][6:8] == ["PASS", "END=5;GRMPY_ID=g1"] and rows["v1"][9] == "0/1:0/0::10:5,5:3,1:2,4:180,0,32748"
-    assert rows["v2"][6] == "LOW" and rows["v3"][6:8] == ["MULTIMATCHED", "GRMPY_ID=MULTIPLE:g3,g4"] and rows["v4"][6:8] == ["UNMATCHED", "GRMPY_ID=UNMATCHED"]
+    assert rows["v1"][6:8] == ["PASS", "END=5;GRAPH_IDS=x;GRAPH_ID=g1"] and rows["v1"][9] == "0/1:0/0::10:5,5:3,1:2,4:180,0,32748"
+    assert rows["v2"][6] == "LOW" and rows["v3"][6:8] == ["MULTIMATCHED", "GRAPH_ID=MULTIPLE:g3,g4"] and rows["v4"][6:8] == ["UNMATCHED", "GRAPH_ID=UNMATCHED"]
     assert rows["v4"][9:] == [".:0/0:.:.:.,.:.,.:.,.:.", ".:.:.:.:.,.:.,.:.,.:."]
 
 
