@@ -40,7 +40,7 @@ def corpus(size, n, rng):
     return rows + rows[:3] + [rows[0]] * 4
 
 
-@pytest.mark.parametrize(("size", "options"), [(35, {}), (6, {"anchor": 2}), (6, {"anchor": 2, "shard_words": 200, "frequent": 4, "common": 3}), (5, {"anchor": 5, "frequent": 1, "common": 1}), (1, {"anchor": 1})])
+@pytest.mark.parametrize(("size", "options"), [(35, {}), (6, {"anchor": 2}), (6, {"anchor": 2, "shard_words": 200, "common": 3}), (5, {"anchor": 5, "common": 1}), (1, {"anchor": 1})])
 def test_without_repeats(spark, size, options):
     rows = corpus(size, 60, random.Random(size))
     docs = spark.createDataFrame(rows, SCHEMA).repartition(5)
