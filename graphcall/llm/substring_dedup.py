@@ -15,7 +15,6 @@ Texts that repeat take part once, with their number as weight.
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Iterator
 
@@ -27,11 +26,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphcall.llm.fm_index import FMIndex, repeated_windows
-from graphcall.llm.shared import stored
+from graphcall.llm.shared import giving_back, stored
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Words of texts that are anchored together (a single text may have more); different words, and units, that a task remembers; longer words (in bytes) are not kept.
-TOGETHER, CACHED, LONGEST_WORD = 500_000, 400_000, 128
+TOGETHER, CACHED, LONGEST_WORD = 500_000, 200_000, 128
 
 
 def text_key(text: Column) -> Column:
@@ -230,16 +229,16 @@ def _without(size: int):
     return run
 
 
-def repeated_intervals(docs: DataFrame, *, text_col: str = "text", size: int = 35, anchor: int = 8, shard_words: int = 1_000_000, frequent: int = 2048, common: int = 16_384) -> DataFrame:
+def repeated_intervals(docs: DataFrame, *, text_col: str = "text", size: int = 35, anchor: int = 8, shard_words: int = 1_000_000, common: int = 16_384) -> DataFrame:
     """(key, a, b): for texts, by :func:`text_key`, intervals of words that repeated windows cover; they may overlap.
 
-    ``shard_words`` is about the size of an index. Anchors of over ``frequent`` units are looked at for those of over
-    ``common`` different ones, whose windows are dealt one by one.
+    ``shard_words`` is about the size of an index. The windows of anchors that over ``common`` different units have are
+    dealt one by one.
     """
     if not 0 < anchor <= size:
         raise ValueError("an anchor has at least a word and at most a window's words")
     own = docs.select(text_key(F.col(text_col)).alias("key"), F.col(text_col).cast("string").alias("text"))
-    signed = stored(own.mapInArrow(_anchored(size, anchor), "key binary, n_words long, starts array<int>, anchors array<long>, hashes array<long>").where(F.size("starts") > 0), "anchors")
+    signed = stored(own.mapInArrow(giving_back(_anchored(size, anchor)), "key binary, n_words long, starts array<int>, anchors array<long>, hashes array<long>").where(F.size("starts") > 0), "anchors")
     # A copy is one row of a group; each task sends a text's units once.
     texts = signed.groupBy("key").agg(F.count("*").alias("copies"), F.first("n_words").alias("n_words"), F.first("starts").alias("starts"), F.first("anchors").alias("anchors"), F.first("hashes").alias("hashes"))
     texts = stored(texts, "anchored-texts")
@@ -247,18 +246,16 @@ def repeated_intervals(docs: DataFrame, *, text_col: str = "text", size: int = 3
     rows = texts.select("key", "copies", "n_words", "starts", "anchors", "hashes", F.posexplode("starts").alias("k", "start"))
     rows = rows.select("key", "copies", "start", (next_start - F.col("start")).alias("windows"), F.get("anchors", F.col("k")).alias("anchor"), F.get("hashes", F.col("k")).alias("hash"))
 
-    found = rows.groupBy("anchor").agg(F.sum("copies").alias("total"), F.count("*").alias("units")).where("total > 1")
-    found = stored(found.select("anchor", "units"), "repeated-anchors")
-    often = found.where(F.col("units") > frequent).select("anchor")
-    different = rows.select("anchor", "hash").join(often, "anchor", "left_semi").distinct().groupBy("anchor").count()
-    many = stored(different.where(F.col("count") > common).select("anchor", F.lit(True).alias("common")), "common-anchors")
-    found = found.select("anchor").join(many, "anchor", "left").select("anchor", F.coalesce("common", F.lit(False)).alias("common"))
+    # Equal units are counted before their anchors are, so a text of one repeated word is a row here.
+    found = rows.groupBy("anchor", "hash").agg(F.sum("copies").alias("copies"))
+    found = found.groupBy("anchor").agg(F.sum("copies").alias("total"), F.count("*").alias("different")).where("total > 1")
+    found = stored(found.select("anchor", (F.col("different") > common).alias("common")), "repeated-anchors")
 
     # An anchor that very many units have is a skewed key of this join, which adaptive execution splits.
-    units = rows.select("key", "copies", "start", "windows", "anchor").join(stored(found, "anchors-found"), "anchor")
+    units = rows.select("key", "copies", "start", "windows", "anchor").join(found, "anchor")
     units = stored(units.groupBy("key").agg(F.max("copies").alias("copies"), F.collect_list(F.struct("start", "windows", "anchor", "common")).alias("units")), "text-units")
     whole = own.dropDuplicates(["key"]).join(units, "key").select("key", "text", "copies", "units")
-    placed = stored(whole.mapInArrow(_placed(size), PLACED), "placed-units")
+    placed = stored(whole.mapInArrow(giving_back(_placed(size)), PLACED), "placed-units")
 
     shards = max(1, math.ceil((placed.agg(F.sum("n_words")).first()[0] or 0) / shard_words))
     dealt = placed.where("words IS NOT NULL").select(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"), "unit", "copies", "words")
