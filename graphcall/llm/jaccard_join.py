@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphcall.llm.shared import stored
+from graphcall.llm.shared import giving_back, stored
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Longer words (in bytes) are not kept in caches.
@@ -61,7 +61,7 @@ class Shingler:
     n-gram of all its words; a text without words has none.
     """
 
-    def __init__(self, size: int, bands: int, rows: int, cached: int = 600_000):
+    def __init__(self, size: int, bands: int, rows: int, cached: int = 200_000):
         self.size, self.bands, self.rows, self.cached = size, bands, rows, cached
         rng = np.random.default_rng(20240229)
         self.a = rng.integers(1, 2**63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -171,7 +171,7 @@ def _grouped(
     bands, rows = band_counts(threshold, recall)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     named = own.select("doc_id", *([_digest(F.col("doc_id"), F.col("text")).alias("digest")] if digests else []), "text")
-    signed = stored(named.mapInArrow(_sign(size, bands, rows), f"doc_id long, {'digest binary, ' if digests else ''}key binary, n int, bands array<long>"), "signatures")
+    signed = stored(named.mapInArrow(giving_back(_sign(size, bands, rows)), f"doc_id long, {'digest binary, ' if digests else ''}key binary, n int, bands array<long>"), "signatures")
     classes = signed.groupBy("key").agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("copies"), F.max("n").alias("n"), F.first("bands").alias("bands"))
     classes = stored(classes, "classes")
 
@@ -195,7 +195,7 @@ def _grouped(
     wanted = classes.select("key", "copies", "copy_id").join(wanted, "key", "left_semi")
     ids = wanted.select(F.coalesce("copy_id", F.lit(-(2**63))).alias("_id")).distinct()
     texts = own.withColumn("_id", F.coalesce("doc_id", F.lit(-(2**63)))).join(ids, "_id", "left_semi").select("text")
-    sets = texts.mapInArrow(_sets(size, bands, rows), "key binary, shingles binary").dropDuplicates(["key"])
+    sets = texts.mapInArrow(giving_back(_sets(size, bands, rows)), "key binary, shingles binary").dropDuplicates(["key"])
     sets = stored(sets.join(wanted.select("key", "copies"), "key"), "sets")
 
     sa, sb = (sets.select(F.col("key").alias(c), F.col("copies").alias(f"{c}_copies"), F.col("shingles").alias(f"{c}_set")) for c in "ab")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphcall.llm.shared import partitions, stored
+from graphcall.llm.shared import giving_back, partitions, stored
 from graphcall.llm.wordbpe import encoded, encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -50,7 +50,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: in
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, PIECES)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(giving_back(run), PIECES)
 
 
 def _knapsack(value: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:

@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from graphcall.llm.shared import giving_back
+
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 #: Rows of the labelled table that the CRF is trained on.
@@ -302,7 +304,7 @@ class Tagger:
     Classes are forgotten between texts once there are ``cached`` of them; only a single text may have more.
     """
 
-    def __init__(self, model: Crf, cached: int = 400_000):
+    def __init__(self, model: Crf, cached: int = 200_000):
         self.model, self.cached = model, cached
         self.words: dict[str, int] = {}
         self.fresh: list[tuple[str, ...]] = []
@@ -517,7 +519,7 @@ def scanned(docs: DataFrame, *, text_col: str = "text", model: Crf | None = None
                 kinds = [pa.int64()] * 4 + [pa.string()] * 3
                 yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(c, t) for c, t in zip(rows, kinds, strict=True)]], [*batch.schema.names, *added.names])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema, *added]))
+    return docs.mapInArrow(giving_back(run), T.StructType([*docs.schema, *added]))
 
 
 def without_personal_data(docs: DataFrame, *, text_col: str = "text", **options) -> DataFrame:

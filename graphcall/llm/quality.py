@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from graphcall.llm.shared import giving_back
+
 BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean"
 VERDICT = "kept boolean, n_failed_lines long, lost_chars long, clean_text string"
 
@@ -156,7 +158,7 @@ def judged(docs: DataFrame, *, text_col: str = "text", max_loss: float = 0.5, wi
     """
     added = T.StructType.fromDDL(f"{BASE}, {VERDICT}")
     docs = docs.select(*[c for c in docs.columns if c not in added.names])
-    return docs.mapInArrow(_judge(docs.columns.index(text_col), max_loss, with_text), T.StructType([*docs.schema, *added]))
+    return docs.mapInArrow(giving_back(_judge(docs.columns.index(text_col), max_loss, with_text)), T.StructType([*docs.schema, *added]))
 
 
 def _judge(place: int, max_loss: float, with_text: bool) -> Callable:

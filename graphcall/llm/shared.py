@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphcall.operators import storage
 from graphcall.operators.storage import each_copy, new_path
 
-__all__ = ["WS", "ascii_lower", "each_copy", "new_path", "partitions", "stored"]
+__all__ = ["WS", "ascii_lower", "each_copy", "giving_back", "new_path", "partitions", "stored"]
 
 #: The white space that separates words: space, tab, newline, vertical tab, form feed, return.
 WS = r"[\x20\x09-\x0D]"
@@ -19,6 +24,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return storage.cut(df, name)
 
 
+def giving_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow that hands free memory back to the system when a task ends: workers live on, and other operators run in them."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+        if trim:
+            trim(0)
+
+    return whole
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

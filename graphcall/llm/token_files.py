@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphcall.llm.shared import new_path
+from graphcall.llm.shared import giving_back, new_path
 from graphcall.llm.wordbpe import encoded, encoder
 
 BLOCK = 512
@@ -138,7 +138,7 @@ def write_token_files(
     path = path or new_path(spark, "token-files")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.select("doc_id", F.xxhash64("text").alias("hash"), F.rand(17).alias("salt"), "text").repartitionByRange("doc_id", "hash", "salt").sortWithinPartitions("doc_id", "hash", "salt")
-    rows.mapInArrow(_segments(tokenizer_path, end_id, segment_ids, percentile), SCHEMA).write.option("compression", "uncompressed").parquet(path)
+    rows.mapInArrow(giving_back(_segments(tokenizer_path, end_id, segment_ids, percentile)), SCHEMA).write.option("compression", "uncompressed").parquet(path)
     return path
 
 
