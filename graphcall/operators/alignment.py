@@ -1,25 +1,28 @@
-"""Reads to graphs: exact and gapless matches as joins, local alignment to a small graph in numpy batches."""
+"""Reads to graphs: exact and gapless matches as joins, local alignment to paths and to small graphs in numpy batches."""
 
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphcall.functions import sequence
+from graphcall.operators.storage import cut
 
 MATCH, MISMATCH, GAP_OPEN, GAP_EXTEND = 1, -4, -6, -1
 _COMPLEMENT = str.maketrans("ACGT", "TGCA")
 
 
 def both_strands(reads: DataFrame) -> DataFrame:
-    """``reads`` (id, seq) and their reverse complements (reverse = true)."""
-    return reads.select("id", "seq", F.lit(False).alias("reverse")).unionByName(reads.select("id", sequence.reverse_complement(F.col("seq")).alias("seq"), F.lit(True).alias("reverse")))
+    """``reads`` (seq and others) and their reverse complements (reverse = true)."""
+    rest = [c for c in reads.columns if c != "seq"]
+    return reads.select(*rest, "seq", F.lit(False).alias("reverse")).unionByName(reads.select(*rest, sequence.reverse_complement(F.col("seq")).alias("seq"), F.lit(True).alias("reverse")))
 
 
 def mismatches(a: Column, b: Column) -> Column:
@@ -28,30 +31,78 @@ def mismatches(a: Column, b: Column) -> Column:
     return F.size(F.filter(F.zip_with(split(a), split(b), lambda x, y: x != y), lambda d: d))
 
 
-def gapless(reads: DataFrame, paths: DataFrame, *, seed: int = 16, most: int = 2) -> DataFrame:
-    """Best full-length placements of reads (id, seq) on paths (path, seq), both strands, up to ``most`` mismatches.
+def gapless(reads: DataFrame, paths: DataFrame, *, keys: tuple[str, ...] = (), seed: int = 16, most: int = 2, unique: bool = True) -> DataFrame:
+    """Best full-length placements of reads (keys, id, seq) on the paths (keys, path, seq) of their keys, both strands, up to ``most`` mismatches.
 
-    Seeds are an equi-join; each distinct diagonal is verified once. ``status`` is MAPPED for one best
-    placement and BAD_ALIGN for several.
+    Words of ``seed`` bases that stand at one place of all paths of their keys are seeds (with ``unique`` unset, all words are); a
+    frequent word would pair everything with everything, so it leads nowhere and its reads are left to other stages. The
+    join on words carries ids and places only; sequences are fetched for the distinct diagonals that come out of it.
+    ``status`` is MAPPED for one best placement and BAD_ALIGN for several. Where paths have ``nodes`` (array of struct node,
+    length), placements over the same nodes at the same offset are one, as paths of a graph share nodes.
     """
-    words = lambda d, i: d.select(*i, "seq", F.explode(sequence.kmers(F.col("seq"), seed)).alias("w")).select(*i, "seq", F.col("w.pos").alias("pos"), "w.kmer")
-    r = words(both_strands(reads), ["id", "reverse"]).withColumnRenamed("pos", "read_pos")
-    p = words(paths, ["path"]).select("path", F.col("seq").alias("whole"), "pos", "kmer")
-    hits = r.join(p, "kmer").select("id", "reverse", "seq", "path", "whole", (F.col("pos") - F.col("read_pos")).alias("start")).distinct()
-    inside = (F.col("start") >= 0) & (F.col("start") + F.char_length("seq") <= F.char_length("whole"))
-    hits = hits.where(inside).withColumn("mismatches", mismatches(F.col("seq"), F.substring(F.col("whole"), F.col("start") + 1, F.char_length("seq"))))
-    hits = hits.where(F.col("mismatches") <= most).withColumn("place", F.rank().over(Window.partitionBy("id").orderBy("mismatches"))).where("place = 1")
-    n = F.count("*").over(Window.partitionBy("id"))
-    return hits.withColumn("status", F.when(n == 1, "MAPPED").otherwise("BAD_ALIGN")).select("id", "path", "start", "reverse", "mismatches", "status")
-
-
-def cascade(reads: DataFrame, paths: DataFrame, nodes: list[tuple[int, str]], edges: list[tuple[int, int]], *, seed: int = 16) -> DataFrame:
-    """Exact and gapless placement first; reads that it leaves are aligned to the graph. One row a read: id, stage, score, reverse."""
-    first = gapless(reads, paths, seed=seed).where("status = 'MAPPED'")
-    lengths = reads.select("id", F.char_length("seq").alias("n"))
-    easy = first.join(lengths, "id").select("id", F.when(F.col("mismatches") == 0, "path").otherwise("kmer").alias("stage"), (F.col("n") - 5 * F.col("mismatches")).alias("score"), "reverse")
-    rest = graph_scores(reads.join(first.select("id"), "id", "left_anti"), nodes, edges)
-    return easy.unionByName(rest.select("id", F.lit("graph").alias("stage"), "score", "reverse"))
+    keys, strands = list(keys), both_strands(reads.select(*keys, "id", "seq"))
+    words = lambda d, own: d.select(*keys, *own, F.explode(sequence.kmers(F.col("seq"), seed)).alias("w")).select(*keys, *own, F.col("w.pos").alias("pos"), "w.kmer")
+    index = words(paths, ["path"]).withColumnRenamed("pos", "path_pos")
+    if unique:
+        index = index.groupBy(*keys, "kmer").agg(F.count("*").alias("n"), F.min(F.struct("path", "path_pos")).alias("at")).where("n = 1").select(*keys, "kmer", "at.path", "at.path_pos")
+    hits = words(strands, ["id", "reverse"]).join(index, [*keys, "kmer"]).select(*keys, "id", "reverse", "path", (F.col("path_pos") - F.col("pos")).alias("start"))
+    whole = paths.select(*keys, "path", F.col("seq").alias("whole"), *(["nodes"] if "nodes" in paths.columns else []))
+    found = hits.where("start >= 0").distinct().join(strands, [*keys, "id", "reverse"]).join(whole, [*keys, "path"])
+    n = F.char_length("seq")
+    found = found.where(F.col("start") + n <= F.char_length("whole")).withColumn("mismatches", mismatches(F.col("seq"), F.substring(F.col("whole"), F.col("start") + 1, n)))
+    spot = graph_spot(F.col("nodes"), F.col("start"), n) if "nodes" in paths.columns else F.concat_ws(":", "path", F.col("start").cast("string"))
+    found = found.where(F.col("mismatches") <= most).select(*keys, "id", "path", "start", "reverse", "mismatches", n.alias("n"), spot.alias("spot"))
+    best = found.join(found.groupBy(*keys, "id").agg(F.min("mismatches").alias("mismatches")), [*keys, "id", "mismatches"])
+    best = best.join(best.groupBy(*keys, "id").agg(F.count_distinct("spot").alias("spots")), [*keys, "id"])
+    status = F.when(F.col("spots") == 1, "MAPPED").otherwise("BAD_ALIGN")
+    return best.select(*keys, "id", "path", "start", "reverse", "mismatches", "n", "spot", status.alias("status"))
+
+
+def graph_spot(nodes: Column, start: Column, length: Column) -> Column:
+    """Where a stretch of a path (array of struct node, length) lies on its graph: the offset in its first node and the nodes, as text."""
+    inside = lambda s, n: (s["at"] + n["length"] > start) & (s["at"] < start + length)
+    text = lambda s, n: F.concat(F.when(s["text"] == "", (start - s["at"]).cast("string")).otherwise(s["text"]), F.lit(":"), n["node"].cast("string"))
+    step = lambda s, n: F.struct((s["at"] + n["length"]).cast("long").alias("at"), F.when(inside(s, n), text(s, n)).otherwise(s["text"]).alias("text"))
+    return F.aggregate(nodes, F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("text")), step)["text"]
+
+
+def path_sequences(paths: DataFrame, graphs: DataFrame) -> DataFrame:
+    """Paths (graph_id, path, nodes: ids in order) with their bases: graph_id, path, seq and nodes as an array of struct node, length.
+
+    A graph is looked at as a whole, in its row; ``graphs`` as in :func:`graph_alignments`.
+    """
+    rows = paths.select("graph_id", "path", F.col("nodes").alias("way")).join(graphs.select("graph_id", "nodes"), "graph_id")
+    own = F.transform("way", lambda w: F.get(F.filter("nodes", lambda n: n["id"] == w), F.lit(0)))
+    spans = F.transform(own, lambda n: F.struct(n["id"].alias("node"), F.char_length(n["seq"]).alias("length")))
+    return rows.select("graph_id", "path", F.array_join(F.transform(own, lambda n: n["seq"]), "").alias("seq"), spans.alias("nodes"))
+
+
+STAGES = ("path", "kmer", "pairwise", "graph")
+
+
+def cascade(reads: DataFrame, graphs: DataFrame, paths: DataFrame, *, seed: int = 16, stages: tuple[str, ...] = STAGES) -> DataFrame:
+    """Reads (graph_id, id, seq) by the first stage that maps them: graph_id, id, stage, score, reverse, status.
+
+    ``graphs`` as in :func:`graph_alignments`, ``paths`` as in :func:`path_sequences`. Exact and gapless placement are joins; what they
+    leave is aligned to each path by itself, and what has no or several best places there to the graph. A read that
+    the last stage doesn't map either keeps that stage's status. Each stage's reads are settled in the shared folder.
+    """
+    if unknown := set(stages) - set(STAGES):
+        raise ValueError(f"unknown stages: {sorted(unknown)}")
+    left, done, columns = reads.select("graph_id", "id", "seq"), [], ["graph_id", "id", "stage", "score", "reverse", "status"]
+    if {"path", "kmer"} & set(stages):
+        found = gapless(left, path_sequences(paths, graphs), keys=("graph_id",), seed=seed, most=2 if "kmer" in stages else 0).where("status = 'MAPPED'")
+        found = found.groupBy("graph_id", "id").agg(F.min("reverse").alias("reverse"), F.min("mismatches").alias("mismatches"), F.min("n").alias("n"))
+        found = found.withColumns({"stage": F.when(F.col("mismatches") == 0, "path").otherwise("kmer"), "score": (F.col("n") - 5 * F.col("mismatches")).cast("long"), "status": F.lit("MAPPED")})
+        done.append(cut(found.where(F.col("stage").isin(*stages)).select(*columns)))
+        left = left.join(done[-1].select("graph_id", "id"), ["graph_id", "id"], "left_anti")
+    late = [s for s in ("pairwise", "graph") if s in stages]
+    for stage in late:
+        rows = path_alignments(left, graphs, paths) if stage == "pairwise" else graph_alignments(left, graphs).withColumn("status", F.when(F.col("is_unique"), "MAPPED").otherwise("BAD_ALIGN"))
+        rows = cut(rows.select("graph_id", "id", F.lit(stage).alias("stage"), "score", "reverse", "status"))
+        done.append(rows if stage == late[-1] else rows.where("status = 'MAPPED'"))
+        left = left.join(rows.where("status <> 'MAPPED'").select("graph_id", "id"), ["graph_id", "id"])
+    return reduce(DataFrame.unionByName, done)
 
 
 #: Cells (reads x bases x positions) that one block of reads may hold for its traces.
@@ -66,6 +117,7 @@ class _Filled:
     Columns of the dynamic program are graph positions; reads and their bases are vector axes.
     Gaps in the read close with a running maximum, so no loop runs over bases. A base that is
     none of ACGT, on either side, neither matches nor differs. A gap costs its opening for the first base.
+    Nodes without bases are passed through and are no part of an alignment's text.
     """
 
     def __init__(self, seqs: list[str], nodes: list[tuple[int, str]], edges: list[tuple[int, int]], keep: bool):
@@ -108,6 +160,10 @@ class _Filled:
             self.node, self.at = np.where(top > self.best, name, self.node), np.where(top > self.best, place, self.at)
             self.best = np.maximum(self.best, top)
 
+    def places(self, row: int) -> list[tuple[int, int]]:
+        """(node, position) of all columns that reach the best score of a read; needs kept scores."""
+        return [(name, k) for name, table in self.score.items() for k, h in enumerate(table) if int(h[row].max()) == int(self.best[row])]
+
     def trace(self, row: int) -> tuple[int, str]:
         """Where the best alignment of a read begins in its first node, and its graph CIGAR such as 0[8M]1[4M1X3M]3[8M].
 
@@ -123,14 +179,22 @@ class _Filled:
         ops: list[tuple[int, str]] = [(node, "S")] * (length - j)
         deleting, begin = False, k
 
-        def before(name: int, k: int, what: str) -> list[tuple[int, int, int]]:
-            """(node, position, value) of the columns before a position; none before a source."""
-            table = self.score if what == "h" else self.gap
-            return [(name, k - 1, 0)] if k else [(a, len(table[a]) - 1, 0) for a in self.into.get(name, []) if table.get(a)]
+        def before(name: int, k: int) -> list[tuple[int, int]]:
+            """(node, position) of the columns before a position, past nodes without bases; none before a source."""
+            if k:
+                return [(name, k - 1)]
+            out, ask = [], list(reversed(self.into.get(name, [])))
+            while ask:
+                a = ask.pop()
+                if table := self.score.get(a):
+                    out.append((a, len(table) - 1))
+                else:
+                    ask += reversed(self.into.get(a, []))
+            return out
 
         while True:
             here, begin = int((self.gap if deleting else self.score)[node][k][row, j]), k
-            back = [(a, p) for a, p, _ in before(node, k, "h")]
+            back = before(node, k)
             if deleting:
                 ops.append((node, "D"))
                 opened = next(((a, p) for a, p in back if self.score[a][p][row, j] + GAP_OPEN == here), None)
@@ -214,26 +278,97 @@ def graph_scores(reads: DataFrame, nodes: list[tuple[int, str]], edges: list[tup
 ALIGNED = "score long, end_node long, reverse boolean, is_unique boolean, graph_pos int, graph_cigar string"
 
 
+#: Reads that are aligned to a graph in one call.
+READS_TOGETHER = 4096
+
+
+def by_graph(reads: DataFrame, graphs: DataFrame, align: Callable[[pd.DataFrame, pd.DataFrame], dict[str, list]], added: str) -> DataFrame:
+    """``reads`` (graph_id, ...) with new columns that ``align`` gives for some reads of a graph and the graph's row.
+
+    A graph's reads are dealt to groups of about READS_TOGETHER, so a graph that holds most of them is many tasks, and a
+    graph goes once to each of its groups, not to each read. Reads of a graph that isn't there are left out.
+    """
+    names = [c.split()[0] for c in added.split(", ")]
+    whole = reads.drop(*names, "_group")
+    out = T.StructType([*whole.schema, *T.StructType.fromDDL(added)])
+    sizes = cut(whole.groupBy("graph_id").agg(F.ceil(F.count("*") / READS_TOGETHER).cast("int").alias("_groups")), "graph-reads")
+    told = [f.name for f in whole.schema if not isinstance(f.dataType, T.MapType)]
+    dealt = whole.join(sizes, "graph_id").withColumn("_group", F.pmod(F.xxhash64(*told), F.col("_groups")).cast("int")).drop("_groups")
+    graphs = graphs.join(sizes, "graph_id").withColumn("_group", F.explode(F.sequence(F.lit(0), F.col("_groups") - 1))).drop("_groups")
+
+    def run(own: pd.DataFrame, graph: pd.DataFrame) -> pd.DataFrame:
+        if not len(own) or not len(graph):
+            return pd.DataFrame(columns=out.names)
+        return own.drop(columns="_group").assign(**align(own, graph))[out.names]
+
+    return dealt.groupBy("graph_id", "_group").cogroup(graphs.groupBy("graph_id", "_group")).applyInPandas(run, out)
+
+
+def _parts(graph: pd.DataFrame) -> tuple[list[tuple[int, str]], list[tuple[int, int]]]:
+    nodes, edges = graph["nodes"].iloc[0], graph["edges"].iloc[0]
+    return [(int(n["id"]), n["seq"] or "") for n in nodes], [(int(e["a"]), int(e["b"])) for e in edges]
+
+
 def graph_alignments(reads: DataFrame, graphs: DataFrame) -> DataFrame:
     """``reads`` (graph_id, seq, ...) with the columns of ALIGNED: their best alignment to their graph.
 
-    ``graphs`` has graph_id, nodes (array of struct id, seq in topological order) and edges (array of struct a, b). Reads meet
-    their graph by an equi-join and are aligned in blocks of one graph; null sequences count as one N.
+    ``graphs`` has graph_id, nodes (array of struct id, seq in topological order) and edges (array of struct a, b); null
+    sequences of reads count as one N.
     """
-    whole = reads.drop(*[c.split()[0] for c in ALIGNED.split(", ")], "nodes", "edges")
-    out = T.StructType([*whole.schema, *T.StructType.fromDDL(ALIGNED)])
-    rows = whole.join(graphs.select("graph_id", "nodes", "edges"), "graph_id").select(*whole.columns, "nodes", "edges")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            for _, own in part.groupby("graph_id", sort=False):
-                nodes = [(int(n["id"]), n["seq"]) for n in own["nodes"].iloc[0]]
-                edges = [(int(e["a"]), int(e["b"])) for e in own["edges"].iloc[0]]
-                seqs = [s or "N" for s in own["seq"]]
-                found = [f for a, b in _blocks(seqs, sum(len(s) for _, s in nodes)) for f in aligned_block(seqs[a:b], nodes, edges)]
-                yield own.drop(columns=["nodes", "edges"]).assign(**{c: [f[k] for f in found] for k, c in enumerate(c.split()[0] for c in ALIGNED.split(", "))})[out.names]
-
-    return rows.mapInPandas(run, out)
+    def align(own: pd.DataFrame, graph: pd.DataFrame) -> dict[str, list]:
+        nodes, edges = _parts(graph)
+        seqs = [s or "N" for s in own["seq"]]
+        found = [f for a, b in _blocks(seqs, sum(len(s) for _, s in nodes)) for f in aligned_block(seqs[a:b], nodes, edges)]
+        return {c.split()[0]: [f[k] for f in found] for k, c in enumerate(ALIGNED.split(", "))}
+
+    return by_graph(reads, graphs.select("graph_id", "nodes", "edges"), align, ALIGNED)
+
+
+PAIRED = "score long, reverse boolean, status string, path string, ends int, graph_pos int, graph_cigar string"
+
+
+def paired_block(seqs: list[str], paths: list[tuple[str, list[tuple[int, str]]]]) -> list[tuple]:
+    """Best local alignment of each read to any of some linear paths (name, nodes in order), by strand: the columns of PAIRED.
+
+    Each path and strand has one candidate, that with the first place of its best score. Of those with the best score in all, the first
+    by path, forward before reverse, is taken; if others differ from it on the graph, the read is BAD_ALIGN. ``ends`` counts the
+    places of the graph, over paths and strands, in which the best score ends. A read of which nothing aligns is UNMAPPED.
+    """
+    back = [s.upper()[::-1].translate(_COMPLEMENT) for s in seqs]
+    tried = []
+    for name, nodes in paths:
+        chain = [(a[0], b[0]) for a, b in zip(nodes, nodes[1:], strict=False)]
+        tried += [(name, turn, _Filled(strand, nodes, chain, True)) for turn, strand in ((False, seqs), (True, back))]
+    out = []
+    for k in range(len(seqs)):
+        best = max((int(f.best[k]) for _, _, f in tried), default=0)
+        if not best:
+            out.append((0, False, "UNMAPPED", None, 0, 0, ""))
+            continue
+        own = [(name, turn, f.trace(k), f) for name, turn, f in tried if int(f.best[k]) == best]
+        name, turn, (begin, text), _ = own[0]
+        ends = {(turn_, *place) for _, turn_, _, f in own for place in f.places(k)}
+        out.append((best, turn, "BAD_ALIGN" if any(t != (begin, text) for _, _, t, _ in own) else "MAPPED", name, len(ends), begin, text))
+    return out
+
+
+def path_alignments(reads: DataFrame, graphs: DataFrame, paths: DataFrame) -> DataFrame:
+    """``reads`` (graph_id, seq, ...) with the columns of PAIRED: local alignment with affine gaps to each path of their graph by itself.
+
+    ``graphs`` as in :func:`graph_alignments`, ``paths`` has graph_id, path and nodes (ids in order); paths are tried in order of their names.
+    """
+    ways = paths.groupBy("graph_id").agg(F.sort_array(F.collect_list(F.struct(F.col("path").cast("string").alias("path"), F.col("nodes").alias("way")))).alias("ways"))
+
+    def align(own: pd.DataFrame, graph: pd.DataFrame) -> dict[str, list]:
+        seq = {int(n["id"]): n["seq"] or "" for n in graph["nodes"].iloc[0]}
+        named = [(w["path"], [(int(n), seq[int(n)]) for n in w["way"]]) for w in graph["ways"].iloc[0]]
+        seqs = [s or "N" for s in own["seq"]]
+        size = sum(len(s) for _, nodes in named for _, s in nodes)
+        found = [f for a, b in _blocks(seqs, 2 * size) for f in paired_block(seqs[a:b], named)]
+        return {c.split()[0]: [f[k] for f in found] for k, c in enumerate(PAIRED.split(", "))}
+
+    return by_graph(reads, graphs.select("graph_id", "nodes").join(ways, "graph_id"), align, PAIRED)
 
 
 def _global(ref: str, alt: str, match: int, mismatch: int, gap_open: int, gap_extend: int) -> tuple[int, str, str]:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphcall.functions import cigar, sequence
-from graphcall.operators import alignment, counting, graphs
+from graphcall.operators import alignment, counting, graphs, kmers
+from graphcall.operators.storage import cut
 
 #: Bases of the nodes that stand before and behind a graph with open ends.
 EDGE_NODE = "N" * 10
@@ -65,19 +66,38 @@ def event_graphs(events: DataFrame, chunks: DataFrame, size: int = 1 << 20, *, f
     return rows.select("graph_id", "kind", nodes.alias("nodes"), F.array_compact(F.array(*every)).alias("edges"))
 
 
-def read_supports(aligned: DataFrame, described: DataFrame, *, bad_fraction: float = 0.8, unique_only: bool = True) -> DataFrame:
-    """Aligned reads (graph_id, seq, graph_cigar, is_unique, ...) with status, nodes, edges and sequences that each supports.
+def described_tables(described: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (graph_id, node, seq) and edges (graph_id, a, b) of graphs that are rows."""
+    nodes = described.select("graph_id", F.explode("nodes").alias("n")).select("graph_id", F.col("n.id").alias("node"), "n.seq")
+    return nodes, described.select("graph_id", F.explode("edges").alias("e")).select("graph_id", "e.a", "e.b")
 
-    Reads that aren't unique, or that have too few aligned bases, are BAD_ALIGN and support nothing. A read
+
+def read_supports(aligned: DataFrame, described: DataFrame, *, bad_fraction: float = 0.8, unique_only: bool = True, kmer: int | None = None) -> DataFrame:
+    """Aligned reads (graph_id, seq, reverse, graph_cigar, is_unique, ...) with status, reason, nodes, edges and sequences that each supports.
+
+    The first rule that holds is a read's reason: nonuniq, bad_align (too few aligned bases), or that of its k-mers, if ``kmer`` asks for
+    them: their length, or if negative the number of unique ones that each node and edge must have (see :mod:`kmers`). Such
+    reads are BAD_ALIGN and support nothing. A read
     supports a sequence if one of its supported edges has the label and all edges of its path have it.
     """
     keep = aligned.columns
+    if kmer is not None:
+        aligned = cut(aligned.withColumn("_read", F.monotonically_increasing_id()), "aligned-reads")
     rows = aligned.join(described.select("graph_id", F.col("nodes").alias("_nodes"), F.col("edges").alias("_edges")), "graph_id")
     rows = rows.withColumn("_path", cigar.graph_nodes(F.col("graph_cigar")))
     ops = F.flatten(F.transform("_path", lambda n: n["ops"]))
     bad = F.size("_path") == 0
     bad = bad | cigar.is_bad_alignment(ops, bad_fraction)
-    status = F.when((~F.col("is_unique") & F.lit(unique_only)) | bad, "BAD_ALIGN").otherwise("MAPPED")
+    reason = F.when(~F.col("is_unique") & F.lit(unique_only), "nonuniq").when(bad, "bad_align")
+    if kmer is not None:
+        nodes, edges = described_tables(described)
+        sizes = described.select("graph_id", F.lit(kmer).alias("k")) if kmer > 0 else kmers.covering_length(nodes, edges, -kmer).where("k IS NOT NULL")
+        unique = cut(kmers.unique_kmers(kmers.graph_kmers(nodes, edges, sizes)), "unique-kmers")
+        told = kmers.filter_reasons(aligned.select("graph_id", F.col("_read").alias("read"), kmers.on_graph(F.col("seq"), F.col("reverse")).alias("seq"), "graph_cigar"), unique)
+        rows = rows.join(told.select("graph_id", F.col("read").alias("_read"), F.col("reason").alias("_kmer")), ["graph_id", "_read"], "left")
+        reason = F.coalesce(reason, "_kmer")
+    rows = rows.withColumn("reason", reason)
+    status = F.when(F.col("reason").isNotNull(), "BAD_ALIGN").otherwise("MAPPED")
     node = F.transform("_path", lambda n: F.struct(n["ops"].alias("ops"), F.get("_nodes", n["node"])["name"].alias("name"), F.char_length(F.get("_nodes", n["node"])["seq"]).alias("length"), n["node"].alias("node")))
     rows = rows.withColumns({"status": status, "_path": node, "_n": F.char_length("seq")})
     nodes = F.transform(F.filter("_path", lambda n: cigar.node_supported(n["ops"], n["length"], F.col("_n"))), lambda n: n["name"])
@@ -93,7 +113,7 @@ def read_supports(aligned: DataFrame, described: DataFrame, *, bad_fraction: flo
     none = F.array().cast("array<string>")
     mapped = F.col("status") == "MAPPED"
     return rows.select(
-        *keep, "status",
+        *keep, "status", "reason",
         F.when(mapped, F.array_sort(F.array_distinct(nodes))).otherwise(none).alias("nodes_supported"),
         F.when(mapped, F.array_sort(F.array_distinct(F.transform(sure, lambda p: p["name"])))).otherwise(none).alias("edges_supported"),
         F.when(mapped, F.array_sort(labels)).otherwise(none).alias("sequences_supported"),

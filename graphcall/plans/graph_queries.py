@@ -184,43 +184,67 @@ def mean_qual(v: Views) -> DataFrame:
     return v.bases.select("id", F.round(sequence.quality_error(quals, F.lit(2), F.lit(2)), 8).alias("error"))
 
 
-@query("""WITH t AS (SELECT id, seq, substring(seq, 1, 12) AS a, substring(reverse(seq), 1, 12) AS b FROM bases)
-SELECT id, length(a) AS n, CAST(list_sum([CASE WHEN substring(a, i, 1) <> substring(b, i, 1) THEN 1 ELSE 0 END FOR i IN range(1, length(a) + 1)]) AS BIGINT) AS mismatches FROM t""")
+@query("SELECT id, length(seq) AS n, CAST(list_sum([CASE WHEN substring(seq, i, 1) <> substring(reverse(seq), i, 1) THEN 1 ELSE 0 END FOR i IN range(1, length(seq) + 1)]) AS BIGINT) AS mismatches FROM bases")
 def hamming_mismatch(v: Views) -> DataFrame:
-    rows = v.bases.select("id", F.substring("seq", 1, 12).alias("a"), F.substring(F.reverse("seq"), 1, 12).alias("b"))
-    return rows.select("id", F.char_length("a").cast("long").alias("n"), F.size(alleles.substitutions(F.col("a"), F.col("b"))).cast("long").alias("mismatches"))
+    return v.bases.select("id", F.char_length("seq").cast("long").alias("n"), alignment.mismatches(F.col("seq"), F.reverse("seq")).cast("long").alias("mismatches"))
 
 
-@query("""WITH p AS (SELECT id AS path, seq FROM bases), r AS (SELECT id AS read, substring(seq, 3, 9) AS seq FROM bases WHERE length(seq) >= 11)
-SELECT read, path, instr(p.seq, r.seq) - 1 AS pos FROM r JOIN p ON contains(p.seq, r.seq)""")
+#: Forty rows in order are a contig; a row is its place there.
+_CONTIGS = "o AS (SELECT id, id // 40 AS contig, id % 40 AS k, translate(seq, 'N', 'A') AS seq FROM bases)"
+
+
+def _contigs(v: Views) -> DataFrame:
+    return v.bases.select("id", F.expr("id div 40").alias("contig"), (F.col("id") % 40).alias("k"), F.translate("seq", "N", "A").alias("seq"))
+
+
+def _joined(rows: DataFrame) -> DataFrame:
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "seq"))), lambda x: x["seq"]), "")
+    return rows.groupBy("contig").agg(whole.alias("seq"))
+
+
+@query(f"""WITH {_CONTIGS}, c AS (SELECT contig, string_agg(seq, '' ORDER BY k) AS whole FROM o GROUP BY contig)
+SELECT o.id AS read, c.contig AS path, instr(whole, seq) - 1 AS pos FROM o JOIN c USING (contig)""")
 def exact_path_match(v: Views) -> DataFrame:
-    # Words of the reads' length index the paths, so containment is an equi-join.
-    reads = v.bases.where(F.char_length("seq") >= 11).select(F.col("id").alias("read"), F.substring("seq", 3, 9).alias("word"))
-    places = F.transform(F.sequence(F.lit(1), F.greatest(F.char_length("seq") - 8, F.lit(1))), lambda i: F.struct((i - 1).cast("long").alias("pos"), F.substring("seq", i, F.lit(9)).alias("word")))
-    index = v.bases.select(F.col("id").alias("path"), F.explode(places).alias("w")).groupBy("path", F.col("w.word").alias("word")).agg(F.min("w.pos").alias("pos"))
-    return reads.join(index, "word").select("read", "path", "pos")
+    """Whole rows as reads of whole contigs: forward placements without mismatches."""
+    rows = _contigs(v)
+    reads = rows.select("contig", "id", "seq")
+    found = alignment.gapless(reads, _joined(rows).withColumn("path", F.col("contig")), keys=("contig",), seed=8, most=0, unique=False)
+    return found.where("NOT reverse").groupBy(F.col("id").alias("read"), "path").agg(F.min("start").cast("long").alias("pos"))
 
 
-@query("WITH r AS (SELECT a.id AS read, b.id AS truth, contains(b.seq, substring(a.seq, 1, 8)) AS ok FROM bases a JOIN bases b ON b.id = a.id % 50) SELECT truth, count(*) AS total, count(*) FILTER (NOT ok) AS wrong FROM r GROUP BY truth")
+@query("WITH r AS (SELECT a.id AS read, b.id AS truth, contains(b.seq, a.seq) AS ok FROM bases a JOIN bases b ON b.id = a.id % 50) SELECT truth, count(*) AS total, count(*) FILTER (NOT ok) AS wrong FROM r GROUP BY truth")
 def validation_mismap(v: Views) -> DataFrame:
     truth = v.bases.select(F.col("id").alias("truth"), F.col("seq").alias("whole"))
     rows = v.bases.withColumn("truth", F.col("id") % 50).join(truth, "truth")
-    ok = F.contains("whole", F.substring("seq", 1, 8))
-    return rows.groupBy("truth").agg(F.count("*").alias("total"), F.count_if(~ok).alias("wrong"))
+    return rows.groupBy("truth").agg(F.count("*").alias("total"), F.count_if(~F.contains("whole", "seq")).alias("wrong"))
 
 
 def _placed(v: Views) -> DataFrame:
     """Whole sequences as reads, of odd ids turned, placed on whole sequences as paths."""
     turned = F.when(F.col("id") % 2 == 1, sequence.reverse_complement(F.col("seq"))).otherwise(F.col("seq"))
-    return alignment.gapless(v.bases.select("id", turned.alias("seq")), v.bases.select(F.col("id").alias("path"), "seq"), seed=8)
+    return alignment.gapless(v.bases.select("id", turned.alias("seq")), v.bases.select(F.col("id").alias("path"), "seq"), seed=10)
 
 
-@query(None)
+_PLACED = """r AS (SELECT id, CASE WHEN id % 2 = 1 THEN reverse(translate(seq, 'ACGT', 'TGCA')) ELSE seq END AS seq FROM bases),
+s AS (SELECT id, seq, false AS turned FROM r UNION ALL SELECT id, reverse(translate(seq, 'ACGT', 'TGCA')), true FROM r),
+x AS (SELECT path, pos, substring(seq, pos + 1, 10) AS kmer FROM (SELECT id AS path, seq, unnest(range(0, length(seq) - 9)) AS pos FROM bases)),
+u AS (SELECT kmer, min(path) AS path, min(pos) AS at0 FROM x WHERE NOT regexp_matches(kmer, '[^ACGT]') GROUP BY kmer HAVING count(*) = 1),
+w AS (SELECT id, turned, seq, pos, substring(seq, pos + 1, 10) AS kmer FROM (SELECT *, unnest(range(0, length(seq) - 9)) AS pos FROM s)),
+h AS (SELECT DISTINCT w.id, w.turned, w.seq, u.path, u.at0 - w.pos AS start FROM w JOIN u USING (kmer) WHERE u.at0 >= w.pos),
+m AS (SELECT h.id, h.turned, h.path, h.start, CAST(list_sum([CASE WHEN substring(h.seq, i, 1) <> substring(b.seq, CAST(h.start + i AS BIGINT), 1) THEN 1 ELSE 0 END FOR i IN range(1, length(h.seq) + 1)]) AS BIGINT) AS mismatches
+  FROM h JOIN bases b ON b.id = h.path WHERE h.start + length(h.seq) <= length(b.seq)),
+k AS (SELECT * FROM m WHERE mismatches <= 2 QUALIFY mismatches = min(mismatches) OVER (PARTITION BY id)),
+n AS (SELECT id, CASE WHEN count(DISTINCT CAST(path AS VARCHAR) || ':' || CAST(start AS VARCHAR)) = 1 THEN 'MAPPED' ELSE 'BAD_ALIGN' END AS status FROM k GROUP BY id)"""
+
+
+@query(f"WITH {_PLACED} SELECT k.id AS read, path, start, turned AS reverse, mismatches, status FROM k JOIN n ON n.id = k.id")
 def gapless_placement(v: Views) -> DataFrame:
     return _placed(v).select(F.col("id").alias("read"), "path", F.col("start").cast("long").alias("start"), "reverse", F.col("mismatches").cast("long").alias("mismatches"), "status")
 
 
-@query(None)
+@query(f"""WITH {_PLACED}, f AS (SELECT k.id, min(status) AS status, bool_or(path = k.id AND start = 0 AND turned = (k.id % 2 = 1)) AS ok FROM k JOIN n ON n.id = k.id GROUP BY k.id)
+SELECT bases.id % 50 AS truth, count(*) AS total, count(*) FILTER (status = 'MAPPED') AS mapped, count(*) FILTER (status = 'BAD_ALIGN') AS bad_align, count(*) FILTER (status IS NULL) AS unplaced,
+  count(*) FILTER (status = 'MAPPED' AND NOT ok) AS wrong FROM bases LEFT JOIN f ON f.id = bases.id GROUP BY 1""")
 def gapless_validation(v: Views) -> DataFrame:
     """Each read's true place is all of its own path, reverse if its id is odd; reads without a place are counted too."""
     true = (F.col("path") == F.col("id")) & (F.col("start") == 0) & (F.col("reverse") == (F.col("id") % 2 == 1))
@@ -502,19 +526,18 @@ def variant_graph_edges(v: Views) -> DataFrame:
     return building.graph_edges(building.graph_nodes(rows, ["block"]), rows, ["block"])
 
 
-_GAPPED = "g AS (SELECT id, rpad(substring(seq, 1, 18), 18, '-') AS ref, rpad(replace(substring(seq, 3, 18), 'A', '-'), 18, '-') AS alt FROM bases)"
-
-
-@query(f"""WITH {_GAPPED}, c AS (SELECT id, k, substring(ref, k, 1) AS r, substring(alt, k, 1) AS a FROM (SELECT *, unnest(range(1, 19)) AS k FROM g)),
+_GAPPED = """c AS (SELECT id, k, substring(ref, k, 1) AS r, substring(alt, k, 1) AS a FROM (SELECT *, unnest(range(1, length(ref) + 1)) AS k FROM g)),
 b AS (SELECT *, coalesce(sum(CASE WHEN r <> '-' THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base, sum(CASE WHEN r = a THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY k) AS same FROM c)
 SELECT id, CAST(min(base) AS BIGINT) AS start, CAST(min(base) + length(replace(string_agg(r, '' ORDER BY k), '-', '')) - 1 AS BIGINT) AS stop, replace(string_agg(r, '' ORDER BY k), '-', '') AS ref, replace(string_agg(a, '' ORDER BY k), '-', '') AS alt
-FROM b WHERE r <> a GROUP BY id, same""")
+FROM b WHERE r <> a GROUP BY id, same"""
+
+
+@query(f"WITH g AS (SELECT id, seq || '--' AS ref, '--' || replace(seq, 'A', '-') AS alt FROM bases), {_GAPPED}")
 def gapped_differences(v: Views) -> DataFrame:
-    cut = lambda at: F.substring("seq", at, 18)
-    return alleles.gapped_differences(v.bases.select("id", F.rpad(cut(1), 18, "-").alias("ref"), F.rpad(F.replace(cut(3), F.lit("A"), F.lit("-")), 18, "-").alias("alt")))
+    return alleles.gapped_differences(v.bases.select("id", F.concat("seq", F.lit("--")).alias("ref"), F.concat(F.lit("--"), F.replace("seq", F.lit("A"), F.lit("-"))).alias("alt")))
 
 
-@query(None)
+@query(f"WITH g AS (SELECT id, replace(seq, 'C', '-') AS ref, replace(reverse(seq), 'A', '-') AS alt FROM bases), {_GAPPED}")
 def whole_gapped_differences(v: Views) -> DataFrame:
     return alleles.gapped_differences(v.bases.select("id", F.replace("seq", F.lit("C"), F.lit("-")).alias("ref"), F.replace(F.reverse("seq"), F.lit("A"), F.lit("-")).alias("alt")))
 
@@ -627,17 +650,57 @@ def covering_paths(v: Views) -> DataFrame:
     return found.select("graph_id", "number", F.array_join(F.transform("path", lambda n: n.cast("string")), "_").alias("path"))
 
 
+def _contig_events(v: Views) -> tuple[DataFrame, DataFrame]:
+    """An event for each contig, over its rows 19 and 20, and reads: every row with the next one and with the third behind it, of odd ids turned."""
+    rows = _contigs(v)
+    size = F.aggregate(F.filter("parts", lambda p: p["k"] < 19), F.lit(0), lambda n, p: n + F.char_length(p["seq"]))
+    gone = F.aggregate(F.filter("parts", lambda p: p["k"].isin(19, 20)), F.lit(0), lambda n, p: n + F.char_length(p["seq"]))
+    place = rows.groupBy("contig").agg(F.collect_list(F.struct("k", "seq")).alias("parts")).where("size(parts) = 40").select("contig", size.cast("long").alias("before"), gone.cast("long").alias("gone"))
+    kind = F.col("contig") % 5
+    made = place.select(F.col("contig").alias("graph_id"), F.col("contig").alias("chrom"), (F.col("before") + 1).alias("start"), F.when(kind == 4, F.col("before")).otherwise(F.col("before") + F.col("gone")).alias("end"),
+                        F.when(kind % 2 == 0, F.lit("ACGTTGCA")).alias("ins"), F.when(kind < 2, 20).otherwise(60).cast("int").alias("flank"))
+    described = events.event_graphs(made, _joined(rows).select("contig", F.lit(0).alias("chunk_id"), "seq"))
+    other = rows.select("contig", (F.col("k")).alias("k2"), F.col("seq").alias("seq2"))
+    near = rows.join(other, "contig").where("k2 - k IN (1, 3)")
+    text = F.concat("seq", "seq2")
+    turned = F.when(F.col("id") % 2 == 1, sequence.reverse_complement(text)).otherwise(text)
+    return described, near.select(F.col("contig").alias("graph_id"), "id", (F.col("id") % 997).alias("fragment_id"), (F.col("id") * 2 + F.col("k2") - F.col("k")).alias("read"), turned.alias("seq"))
+
+
 @query(None)
 def event_support_counts(v: Views) -> DataFrame:
-    """Twenty-five contigs with an event each; every row of the bases gives a read of its contig with one base changed, to counts by event kind and element."""
-    rows = v.bases.withColumn("contig", (F.col("id") % 25).cast("string")).withColumn("seq", F.translate("seq", "N", "A"))
-    contigs = rows.groupBy("contig").agg(F.min_by("seq", "id").alias("seq")).withColumn("seq", F.concat("seq", F.reverse("seq"), "seq"))
-    kind = F.col("contig").cast("long") % 5
-    made = contigs.select(F.col("contig").alias("graph_id"), F.col("contig").alias("chrom"), F.lit(31).cast("long").alias("start"), F.when(kind == 4, 30).otherwise(30 + 8 * (kind + 1)).cast("long").alias("end"),
-                          F.when(kind % 2 == 0, F.lit("ACGTTGCA")).alias("ins"), F.lit(14).alias("flank"))
-    described = events.event_graphs(made, contigs.select("contig", F.lit(0).alias("chunk_id"), "seq"))
-    at = (1 + F.col("id") * 7 % (F.char_length("c.seq") - 29)).cast("int")
-    reads = rows.alias("r").join(contigs.alias("c"), "contig").select(F.col("contig").alias("graph_id"), (F.col("id") % 400).alias("fragment_id"), F.substring(F.col("c.seq"), at, F.lit(30)).alias("seq"), F.left("r.seq", F.lit(1)).alias("one"))
-    reads = reads.select("graph_id", "fragment_id", F.concat(F.left("seq", F.lit(14)), "one", F.substring("seq", 16, 15)).alias("seq"))
-    counts = events.count_reads(reads.repartition("graph_id"), described, ["graph_id"]).join(described.select("graph_id", F.col("kind").alias("event")), "graph_id")
+    """Counts of nodes, edges and sequences by kind of event, from all pairs of near rows of each contig."""
+    described, reads = _contig_events(v)
+    counts = events.count_reads(reads, described, ["graph_id"]).join(described.select("graph_id", F.col("kind").alias("event")), "graph_id")
     return counts.groupBy("event", "kind", "element").agg(F.sum("fragments").alias("fragments"), F.sum("reads").alias("reads"), F.sum("fwd").alias("fwd"), F.sum("rev").alias("rev"))
+
+
+def _contig_graphs(v: Views) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A graph of four nodes for each contig, from its first rows, its three paths, and two reads for each row: a path with one base changed, and the row itself."""
+    rows = _contigs(v)
+    heads = rows.where("k < 4").groupBy("contig").agg(F.sort_array(F.collect_list(F.struct("k", "seq"))).alias("parts")).where("size(parts) = 4")
+    node = F.transform("parts", lambda p, k: F.struct(k.cast("long").alias("id"), p["seq"].alias("seq")))
+    edge = F.array(*[F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for a, b in ((0, 1), (1, 3), (0, 2), (2, 3), (0, 3))])
+    described = heads.select(F.col("contig").alias("graph_id"), node.alias("nodes"), edge.alias("edges"))
+    ways = F.explode(F.array(*[F.struct(F.lit(n).alias("path"), F.array(*[F.lit(x).cast("long") for x in w]).alias("nodes")) for n, w in (("ALT", (0, 2, 3)), ("DEL", (0, 3)), ("REF", (0, 1, 3)))])).alias("w")
+    paths = described.select("graph_id", ways).select("graph_id", "w.path", "w.nodes")
+    seqs = alignment.path_sequences(paths, described).select(F.col("graph_id").alias("contig"), "path", F.col("seq").alias("whole"))
+    own = rows.withColumn("path", F.element_at(F.array(F.lit("ALT"), F.lit("DEL"), F.lit("REF")), (F.col("id") % 3 + 1).cast("int"))).join(seqs, ["contig", "path"])
+    at = (F.col("id") * 7 % F.char_length("whole")).cast("int")
+    changed = F.concat(F.left("whole", at), F.element_at(F.array(*map(F.lit, "ACGT")), (F.col("id") % 4 + 1).cast("int")), F.substring("whole", at + 2, F.char_length("whole")))
+    turned = F.when(F.col("id") % 2 == 1, sequence.reverse_complement(changed)).otherwise(changed)
+    reads = own.select(F.col("contig").alias("graph_id"), F.explode(F.array(F.struct((2 * F.col("id")).alias("id"), turned.alias("seq")), F.struct((2 * F.col("id") + 1).alias("id"), F.col("seq").alias("seq")))).alias("r"))
+    return reads.select("graph_id", "r.id", "r.seq"), described, paths
+
+
+@query(None)
+def aligner_cascade(v: Views) -> DataFrame:
+    reads, described, paths = _contig_graphs(v)
+    return alignment.cascade(reads, described, paths, seed=12)
+
+
+@query(None)
+def path_alignment(v: Views) -> DataFrame:
+    """The pairwise stage by itself, over all reads."""
+    reads, described, paths = _contig_graphs(v)
+    return alignment.path_alignments(reads, described, paths).drop("seq")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphcall.operators import alignment, robust
+from graphcall.operators import robust
 from graphcall.plans.registry import Views, query
 from graphcall.streaming import support
 
@@ -43,11 +43,3 @@ def mcd_gaussian(v: Views) -> DataFrame:
 @query("SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def windowed_counts(v: Views) -> DataFrame:
     return support.windowed_counts(v.table("events")).withColumn("total", F.round("total", 4))
-
-
-@query(None)
-def aligner_cascade(v: Views) -> DataFrame:
-    nodes = [(0, "A" * 11), (1, "T" * 8), (2, "G" * 8), (3, "A" * 11)]
-    paths = v.spark.createDataFrame([("P", "A" * 11 + "T" * 8 + "A" * 11), ("Q", "A" * 11 + "G" * 8 + "A" * 11), ("D", "A" * 22)], "path string, seq string")
-    reads = v.bases.select("id", F.substring(F.regexp_replace("seq", "[CN]", "A"), 3, 18).alias("seq"))
-    return alignment.cascade(reads, paths, nodes, [(0, 1), (1, 3), (0, 2), (2, 3), (0, 3)], seed=8)

@@ -1,6 +1,7 @@
 """Operators over small tables, formats and streams."""
 
 import hashlib
+import collections
 import random
 from functools import lru_cache
 
@@ -57,6 +58,7 @@ def test_whole_reads_by_brute_force(spark):
     where, q = "/root/testdata/sf0.001", catalog.queries()
     bases = {r.id: r.seq for r in Views(spark, where).bases.collect()}
     back = lambda s: s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    words = collections.Counter(p[k : k + 10] for p in bases.values() for k in range(len(p) - 9))
     want, tally = set(), {}
     for read, seq in bases.items():
         given, found = back(seq) if read % 2 else seq, []
@@ -64,7 +66,7 @@ def test_whole_reads_by_brute_force(spark):
             for path, p in bases.items():
                 for at in range(len(p) - len(r) + 1):
                     off = [x != y for x, y in zip(r, p[at:], strict=False)]
-                    seeds = any(not any(off[k : k + 8]) and set(r[k : k + 8]) <= set("ACGT") for k in range(len(r) - 7))
+                    seeds = any(not any(off[k : k + 10]) and set(r[k : k + 10]) <= set("ACGT") and words[r[k : k + 10]] == 1 for k in range(len(r) - 9))
                     if seeds and sum(off) <= 2:
                         found.append((read, path, at, reverse, sum(off)))
         best = [f for f in found if f[4] == min(x[4] for x in found)]
