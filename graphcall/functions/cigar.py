@@ -9,16 +9,24 @@ OPS = r"([0-9]+)([MXIDNS=])"
 
 
 def operations(cigar: Column) -> Column:
-    """``4M1X3M`` to an array of struct len, op."""
-    lens = F.regexp_extract_all(cigar, F.lit(OPS), F.lit(1))
-    ops = F.regexp_extract_all(cigar, F.lit(OPS), F.lit(2))
-    return F.zip_with(lens, ops, lambda n, op: F.struct(n.cast("int").alias("len"), op.alias("op")))
+    """``4M1X3M`` to an array of struct len, op, by one pattern."""
+    parts = F.regexp_extract_all(cigar, F.lit(OPS), F.lit(0))
+    return F.transform(parts, lambda p: F.struct(F.left(p, F.char_length(p) - 1).cast("int").alias("len"), F.right(p, F.lit(1)).alias("op")))
 
 
 def total(ops: Column, letters: str) -> Column:
     """Sum of the lengths of the given operations."""
-    own = F.filter(ops, lambda o: o["op"].isin(*letters))
-    return F.aggregate(own, F.lit(0), lambda n, o: n + o["len"])
+    return F.aggregate(ops, F.lit(0), lambda n, o: n + F.when(o["op"].isin(*letters), o["len"]).otherwise(0))
+
+
+#: Sums of operations by what they say of the bases.
+SUMS = {"matched": "M=", "mismatched": "X", "inserted": "I", "deleted": "D", "clipped": "S", "unknown": "N"}
+
+
+def sums(ops: Column) -> Column:
+    """All sums of SUMS in one pass, as a struct."""
+    zero = F.struct(*[F.lit(0).alias(n) for n in SUMS])
+    return F.aggregate(ops, zero, lambda s, o: F.struct(*[(s[n] + F.when(o["op"].isin(*letters), o["len"]).otherwise(0)).alias(n) for n, letters in SUMS.items()]))
 
 
 def graph_nodes(cigar: Column) -> Column:
@@ -30,8 +38,13 @@ def graph_nodes(cigar: Column) -> Column:
 
 def is_bad_alignment(ops: Column, fraction: float = 0.8) -> Column:
     """Whether fewer than ``fraction`` of the read's bases (rounded) are not clipped."""
-    query = total(ops, "MXIS=")
-    return (query - total(ops, "S")) < F.round(query * fraction)
+    return few_aligned(sums(ops), fraction)
+
+
+def few_aligned(found: Column, fraction: float = 0.8) -> Column:
+    """:func:`is_bad_alignment` from a struct of :func:`sums`, which should be a column of its own so that it is summed once."""
+    aligned = found["matched"] + found["mismatched"] + found["inserted"]
+    return aligned < F.round((aligned + found["clipped"]) * fraction)
 
 
 def node_supported(ops: Column, node_length: Column, read_length: Column) -> Column:

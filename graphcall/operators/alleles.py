@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphcall.operators import alignment
+from graphcall.operators.events import interval_sequences
+from graphcall.operators.storage import cut
 
 
 def shared_prefix(a: Column, b: Column) -> Column:
@@ -48,33 +49,120 @@ def is_transition(ref: Column, alt: Column) -> Column:
     return F.concat(ref, alt).isin("AG", "GA", "CT", "TC")
 
 
-def left_shifted(rows: DataFrame) -> DataFrame:
-    """Deletions and insertions of ``rows`` (id, seq, start, end, alt) at their leftmost place.
+def shared_suffix(a: Column, b: Column, *, most: int = 1 << 20) -> Column:
+    """Number of trailing characters that two strings share, up to 2 ``most`` - 1: pieces of halving length are held against each other, no character alone."""
+    steps = F.array(*[F.lit(1 << k) for k in range(most.bit_length() - 1, -1, -1)])
+    piece = lambda s, k, n: F.substring(s, F.char_length(s) - k - n + 1, n)
+    room = F.least(F.char_length(a), F.char_length(b))
+    return F.aggregate(steps, F.lit(0), lambda k, n: F.when((k + n <= room) & (piece(a, k, n) == piece(b, k, n)), k + n).otherwise(k))
 
-    An indel moves left while the base before it equals the last base it removes or inserts; it
-    stops at an N. The string helper runs in Arrow batches, row by row.
+
+def _jumped(rows: DataFrame, before: Column, removed: Column, alt: Column, most: int) -> DataFrame:
+    """``rows`` with ``_moved``, how far an indel goes left in what stands ``before`` it (up to an N there), and ``_alt``, the alternative's bases then.
+
+    Moving by one place gives the same bases if the one in front equals the last that is removed or inserted. So it
+    moves as far as what stands before and what stands before and in it have one end, which is the whole run of its repeat.
+    """
+    rows = rows.withColumns({"_before": before, "_removed": removed, "_alt": alt})
+    rows = rows.withColumn("_both", F.concat("_before", F.when(F.col("_alt") == "", F.col("_removed")).otherwise(F.col("_alt"))))
+    n = F.instr(F.reverse("_before"), F.lit("N"))
+    rows = rows.withColumn("_moved", shared_suffix(F.col("_before"), F.col("_both"), most=most))
+    moved = F.least(F.col("_moved"), F.when(n > 0, n - 1).otherwise(F.char_length("_before")))
+    rows = rows.withColumn("_moved", F.when((F.col("_alt") == "") != (F.col("_removed") == ""), moved).otherwise(0))
+    size = F.char_length("_alt")
+    turned = F.substring(F.col("_both"), F.char_length("_both") - F.col("_moved") - size + 1, size)
+    return rows.withColumn("_alt", F.when((F.col("_alt") == "") | (F.col("_moved") == 0), F.col("_alt")).otherwise(turned)).drop("_removed", "_both")
+
+
+def left_shifted(rows: DataFrame, *, lowest: int = 0) -> DataFrame:
+    """Deletions and insertions of ``rows`` (id, seq, start, end, alt) at their leftmost place, not before ``lowest``.
+
+    A substitution stays, and nothing moves over an N.
     """
+    start = F.col("start").cast("int")
+    before = F.substring(F.col("seq"), F.lit(lowest + 1), F.greatest(start - lowest, F.lit(0)))
+    removed = F.substring(F.col("seq"), start + 1, F.greatest((F.col("end") - F.col("start") + 1).cast("int"), F.lit(0)))
+    found = _jumped(rows, before, removed, F.col("alt"), 1 << 20)
+    return found.select("id", (F.col("start") - F.col("_moved")).cast("long").alias("start"), (F.col("end") - F.col("_moved")).cast("long").alias("end"), F.col("_alt").alias("alt"))
 
-    def shift(seq: str, start: int, end: int, alt: str) -> tuple[int, int, str]:
-        if (end >= start) == bool(alt):  # a substitution, or nothing
-            return start, end, alt
-        while start > 0 and seq[start - 1] != "N":
-            if alt:
-                if alt[-1] != seq[start - 1]:
-                    break
-                alt = seq[start - 1] + alt[:-1]
-            elif seq[end] != seq[start - 1]:
-                break
-            start, end = start - 1, end - 1
-        return start, end, alt
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            moved = [shift(*r) for r in zip(rows["seq"], rows["start"], rows["end"], rows["alt"], strict=True)]
-            yield pd.DataFrame({"id": rows["id"], "start": [m[0] for m in moved], "end": [m[1] for m in moved], "alt": [m[2] for m in moved]})
+def right_shifted(rows: DataFrame, *, highest: int | None = None) -> DataFrame:
+    """Deletions and insertions of ``rows`` (id, seq, start, end, alt) at their rightmost place, not behind ``highest``; the mirror of :func:`left_shifted`."""
+    stop = (F.col("end") + 1).cast("int")
+    far = F.char_length("seq") if highest is None else F.least(F.lit(highest + 1), F.char_length("seq"))
+    behind = F.reverse(F.substring(F.col("seq"), stop + 1, F.greatest(far - stop, F.lit(0))))
+    removed = F.reverse(F.substring(F.col("seq"), (F.col("start") + 1).cast("int"), F.greatest((F.col("end") - F.col("start") + 1).cast("int"), F.lit(0))))
+    found = _jumped(rows, behind, removed, F.reverse("alt"), 1 << 20)
+    return found.select("id", (F.col("start") + F.col("_moved")).cast("long").alias("start"), (F.col("end") + F.col("_moved")).cast("long").alias("end"), F.reverse("_alt").alias("alt"))
 
-    columns = rows.select("id", "seq", F.col("start").cast("long"), F.col("end").cast("long"), "alt")
-    return columns.mapInPandas(run, "id long, start long, end long, alt string")
+
+def shifted(variants: DataFrame, chunks: DataFrame, size: int, *, right: bool = False, window: int = 512, bound: str | None = None) -> DataFrame:
+    """Deletions and insertions (id, contig, start, end, alt; 0-based) at their leftmost or rightmost place on a reference in chunks of ``size`` bases (contig, chunk_id, seq).
+
+    A round reads ``window`` bases beside each variant that still moves and jumps as far as its repeat goes there; what comes to the window's end goes on with
+    four times as many. No row holds a contig. ``bound`` names a column with the first place it may start at, or the last it may end at.
+    """
+    columns = ["id", "contig", "start", "end", "alt"]
+    limit = F.col(bound).cast("long") if bound else F.lit(None).cast("long")
+    left = cut(variants.select("id", "contig", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.coalesce("alt", F.lit("")).alias("alt"), limit.alias("_limit")))
+    done = []
+    while True:
+        last = F.greatest("end", F.col("start") - 1)
+        low = F.col("start") if right else F.greatest(F.col("start") - window, F.coalesce("_limit", F.lit(0)), F.lit(0))
+        high = F.greatest(last, F.least(last + window, F.coalesce("_limit", F.lit(2**62)))) if right else last
+        asked = left.select("*", F.least(low, "start").alias("_low"), high.alias("_high"))
+        read = asked.where("_high >= _low").select("contig", (F.col("_low") + 1).alias("start"), (F.col("_high") + 1).alias("stop")).distinct()
+        found = interval_sequences(read, chunks, size).select("contig", (F.col("start") - 1).alias("_low"), (F.col("stop") - 1).alias("_high"), F.col("seq").alias("_seq"))
+        rows = asked.join(found, ["contig", "_low", "_high"], "left").withColumn("_seq", F.coalesce("_seq", F.lit("")))
+        n = F.greatest(F.col("end") - F.col("start") + 1, F.lit(0)).cast("int")
+        if right:
+            rows = _jumped(rows, F.reverse(F.substring(F.col("_seq"), n + 1, F.char_length("_seq"))), F.reverse(F.left("_seq", n)), F.reverse("alt"), window)
+        else:
+            rows = _jumped(rows, F.left("_seq", F.char_length("_seq") - n), F.right("_seq", n), F.col("alt"), window)
+        step, alt = (F.col("_moved"), F.reverse("_alt")) if right else (-F.col("_moved"), F.col("_alt"))
+        on = (F.col("_moved") > 0) & (F.col("_moved") == F.char_length("_before"))
+        rows = cut(rows.select("id", "contig", (F.col("start") + step).alias("start"), (F.col("end") + step).alias("end"), alt.alias("alt"), "_limit", on.alias("_on")), "shifted-variants")
+        done.append(rows.where("NOT _on").select(*columns))
+        left = rows.where("_on").drop("_on")
+        if left.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        window *= 4
+
+
+VARIANT = "array<struct<start:bigint,stop:bigint,alt:string,at:bigint>>"
+
+
+def cigar_variants(ref: Column, alt: Column, ops: Column, *, matches: bool = False) -> Column:
+    """Variants that an alignment (operations of ``alt`` on ``ref``, both from their start) tells: array of struct start, stop, alt, at (the place in ``alt``).
+
+    Single bases that differ, insertions (stop = start - 1) and deletions (alt is empty), in order; with ``matches``, runs of equal bases too, with alt ``.``. Bases
+    that both sides lack end a run of pairs.
+    """
+    at = F.aggregate(
+        ops, F.struct(F.lit(0).alias("r"), F.lit(0).alias("a"), F.array().cast("array<struct<op:string,n:int,r:int,a:int>>").alias("all")),
+        lambda s, o: F.struct(
+            (s["r"] + F.when(o["op"].isin("M", "=", "X", "D", "N"), o["len"]).otherwise(0)).alias("r"), (s["a"] + F.when(o["op"].isin("M", "=", "X", "I", "S"), o["len"]).otherwise(0)).alias("a"),
+            F.concat(s["all"], F.array(F.struct(o["op"].alias("op"), o["len"].alias("n"), s["r"].alias("r"), s["a"].alias("a")))).alias("all"),
+        ),
+    )["all"]
+    base = lambda s, k: F.substring(s, k + 1, F.lit(1))
+    row = lambda a, b, text, k: F.struct(a.cast("long").alias("start"), b.cast("long").alias("stop"), text.alias("alt"), k.cast("long").alias("at"))
+    none = F.array().cast(VARIANT)
+
+    def pairs(o: Column) -> Column:
+        n = F.greatest(F.least(o["n"], F.char_length(ref) - o["r"], F.char_length(alt) - o["a"]), F.lit(0))
+        every = F.slice(F.sequence(F.lit(0), F.greatest(n, F.lit(1))), F.lit(1), n)
+        differ = F.filter(every, lambda k: base(ref, o["r"] + k) != base(alt, o["a"] + k))
+        found = F.transform(differ, lambda k: row(o["r"] + k, o["r"] + k, base(alt, o["a"] + k), o["a"] + k))
+        if not matches:
+            return found
+        edges = F.concat(F.array(F.lit(-1)), differ, F.array(n))
+        between = F.zip_with(F.slice(edges, F.lit(1), F.size(edges) - 1), F.slice(edges, F.lit(2), F.size(edges) - 1), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+        runs = F.transform(F.filter(between, lambda g: g["y"] > g["x"] + 1), lambda g: row(o["r"] + g["x"] + 1, o["r"] + g["y"] - 1, F.lit("."), o["a"] + g["x"] + 1))
+        return F.array_sort(F.concat(found, runs))
+
+    return F.flatten(F.transform(at, lambda o: F.when(o["op"].isin("M", "=", "X"), pairs(o)).when(o["op"] == "I", F.array(row(o["r"], o["r"] - 1, F.substring(alt, o["a"] + 1, o["n"]), o["a"])))
+                                 .when(o["op"] == "D", F.array(row(o["r"], o["r"] + o["n"] - 1, F.lit(""), o["a"]))).otherwise(none)))
 
 
 def symbolic_allele(kind: Column, ref_segment: Column, inserted: Column) -> Column:
@@ -85,15 +173,6 @@ def symbolic_allele(kind: Column, ref_segment: Column, inserted: Column) -> Colu
     )
 
 
-def right_shifted(rows: DataFrame) -> DataFrame:
-    """Deletions and insertions of ``rows`` (id, seq, start, end, alt) at their rightmost place; the mirror of :func:`left_shifted`."""
-    n = F.char_length("seq")
-    mirror = lambda d, size: d.select("id", F.reverse("seq").alias("seq"), (size - 1 - F.col("end")).alias("start"), (size - 1 - F.col("start")).alias("end"), F.reverse("alt").alias("alt"))
-    moved = left_shifted(mirror(rows, n)).withColumnRenamed("alt", "back")
-    whole = rows.select("id", n.alias("size"))
-    return moved.join(whole, "id").select("id", (F.col("size") - 1 - F.col("end")).alias("start"), (F.col("size") - 1 - F.col("start")).alias("end"), F.reverse("back").alias("alt"))
-
-
 def gapped_differences(rows: DataFrame) -> DataFrame:
     """Variants between two gapped strings of one length (id, ref, alt): start and stop on the bases of ref, and both sides' bases.
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from graphcall.functions import cigar, sequence
 from graphcall.operators import alignment, alleles, building, events, graphs, haplotypes, matching, vcf
 from graphcall.plans.registry import Views, query
+from graphcall.sources import files
 
 
 @query("SELECT id, regexp_replace(upper(name), '[^ACGT]', 'N', 'g') AS seq FROM bases")
@@ -127,14 +128,16 @@ def _cigars(v: Views) -> DataFrame:
 
 @query(f"WITH {_OPS} SELECT k, line, p, m AS matched, CAST(x AS INT) AS mismatched, CAST(c AS INT) AS clipped, CAST(d AS INT) AS deleted, CAST(m + x + c AS INT) AS query_length FROM q")
 def cigar_stats(v: Views) -> DataFrame:
-    ops = cigar.operations(F.col("cigar"))
-    total = lambda letters, name: cigar.total(ops, letters).alias(name)
-    return _cigars(v).select("k", "line", "p", total("M", "matched"), total("X", "mismatched"), total("S", "clipped"), total("D", "deleted"), total("MXIS", "query_length"))
+    s = cigar.sums(cigar.operations(F.col("cigar")))
+    rows = _cigars(v).select("k", "line", "p", s.alias("s"))
+    length = F.col("s.matched") + F.col("s.mismatched") + F.col("s.inserted") + F.col("s.clipped")
+    return rows.select("k", "line", "p", "s.matched", "s.mismatched", "s.clipped", "s.deleted", length.alias("query_length"))
 
 
 @query(f"WITH {_OPS} SELECT k, line, p, m + x < round((m + x + c) * 0.8) AS bad FROM q")
 def bad_align_filter(v: Views) -> DataFrame:
-    return _cigars(v).select("k", "line", "p", cigar.is_bad_alignment(cigar.operations(F.col("cigar"))).alias("bad"))
+    rows = _cigars(v).select("k", "line", "p", cigar.sums(cigar.operations(F.col("cigar"))).alias("s"))
+    return rows.select("k", "line", "p", cigar.few_aligned(F.col("s")).alias("bad"))
 
 
 @query(f"WITH {_OPS} SELECT k, line, p, CASE WHEN 2 * (m + x + d) < m + x + c THEN x + c + d = 0 ELSE 2 * (x + c + d) <= m + x + d END AS supported FROM q")
@@ -169,13 +172,22 @@ def path_edges(v: Views) -> DataFrame:
     return rows.select("k", "line", "p", F.explode(pairs).alias("e"), (F.col("m") > 40).alias("long")).select("k", "line", "p", "e.a", "e.b", "long")
 
 
-@query(f"WITH {_OPS}, o AS (SELECT k, line, p, unnest(range(0, 3)) AS place, m, x, c FROM q), r AS (SELECT k, line, p, CASE place WHEN 0 THEN 'S' WHEN 1 THEN 'M' ELSE 'X' END AS op, CASE place WHEN 0 THEN 0 WHEN 1 THEN c ELSE c + m END AS off, CASE place WHEN 0 THEN c WHEN 1 THEN m ELSE x END AS len FROM o) SELECT k, line, p, CAST(off AS INT) AS off, CAST(len AS INT) AS len FROM r WHERE op = 'X' AND len > 0")
+#: Every row against itself with a base in front, two inserted behind the eighth, three left out behind the tenth and its letters turned round where its id is even.
+_ALIGNED = """g AS (SELECT id, seq AS ref, 'G' || substring(seq, 1, 8) || 'TT' || substring(seq, 9, 2) || CASE WHEN id % 2 = 0 THEN translate(substring(seq, 14), 'AC', 'CA') ELSE substring(seq, 14) END AS alt FROM bases WHERE length(seq) > 14),
+b AS (SELECT id, ref, alt, unnest(range(0, length(ref))) AS r FROM g), m AS (SELECT id, ref, alt, r, CASE WHEN r < 8 THEN r + 1 WHEN r < 10 THEN r + 3 ELSE r END AS a, CASE WHEN r < 8 THEN 1 WHEN r < 10 THEN 2 ELSE 3 END AS block FROM b WHERE r < 10 OR r >= 13),
+p AS (SELECT *, substring(ref, r + 1, 1) AS x, substring(alt, a + 1, 1) AS y FROM m), q AS (SELECT *, r - row_number() OVER (PARTITION BY id, block, x = y ORDER BY r) AS run FROM p)
+SELECT id, r AS start, r AS stop, y AS alt, a AS at FROM p WHERE x <> y UNION ALL SELECT id, min(r), max(r), '.', min(a) FROM q WHERE x = y GROUP BY id, block, run
+UNION ALL SELECT id, 8, 7, 'TT', 9 FROM g UNION ALL SELECT id, 10, 12, '', 13 FROM g"""
+
+
+@query(f"WITH {_ALIGNED}")
 def cigar_variants(v: Views) -> DataFrame:
-    ops = cigar.operations(F.concat(F.when(F.col("c") > 0, F.concat(F.col("c").cast("string"), F.lit("S"))).otherwise(""), F.concat(F.col("m").cast("string"), F.lit("M")), F.when(F.col("x") > 0, F.concat(F.col("x").cast("string"), F.lit("X"))).otherwise("")))
-    rows = _cigars(v).select("k", "line", "p", ops.alias("ops"))
-    at = lambda k: F.aggregate(F.slice("ops", F.lit(1), k), F.lit(0), lambda s, o: s + o["len"])
-    placed = F.transform("ops", lambda o, k: F.struct(o["op"].alias("op"), at(k).alias("off"), o["len"].alias("len")))
-    return rows.select("k", "line", "p", F.explode(placed).alias("o")).where("o.op = 'X'").select("k", "line", "p", "o.off", "o.len")
+    s = F.col("seq")
+    tail = F.substring(s, F.lit(14), F.char_length(s))
+    alt = F.concat(F.lit("G"), F.left(s, F.lit(8)), F.lit("TT"), F.substring(s, 9, 2), F.when(F.col("id") % 2 == 0, F.translate(tail, "AC", "CA")).otherwise(tail))
+    text = F.concat(F.lit("1S8M2I2M3D"), (F.char_length(s) - 13).cast("string"), F.lit("M"))
+    rows = v.bases.where(F.char_length("seq") > 14).select("id", "seq", alt.alias("alt"), cigar.operations(text).alias("ops"))
+    return rows.select("id", F.explode(alleles.cigar_variants(F.col("seq"), F.col("alt"), F.col("ops"), matches=True)).alias("v")).select("id", "v.*")
 
 
 @query("SELECT id, round((pow(10, -(id % 40) / 10) + pow(10, -((id + 7) % 40) / 10)) / 2, 8) AS error FROM bases")
@@ -491,12 +503,47 @@ def symbolic_alleles(v: Views) -> DataFrame:
     return v.bases.select("id", alleles.symbolic_allele(kind, F.col("seq"), F.lit("ACGT")).alias("bases"))
 
 
-@query(None)
+_SHIFT = """s AS (SELECT id, seq, id % 7 + 6 AS at0, id % 7 + 6 - CASE WHEN id % 2 = 0 THEN 1 ELSE -1 END AS end0, CASE WHEN id % 2 = 0 THEN substring(seq, 5, 2) ELSE '' END AS alt FROM bases),
+w AS (SELECT * FROM s UNION ALL SELECT id, seq, at0 - 1, end0 - 1, CASE WHEN alt <> '' THEN substring(seq, at0, 1) || substring(alt, 1, length(alt) - 1) ELSE '' END FROM w
+  WHERE (end0 >= at0) <> (alt <> '') AND at0 > 0 AND substring(seq, at0, 1) <> 'N' AND substring(seq, at0, 1) = CASE WHEN alt <> '' THEN right(alt, 1) ELSE substring(seq, end0 + 1, 1) END)"""
+
+
+@query(f"WITH RECURSIVE {_SHIFT} SELECT id, CAST(min(at0) AS BIGINT) AS start, CAST(min(end0) AS BIGINT) AS \"end\", arg_min(alt, at0) AS alt FROM w GROUP BY id")
 def left_shift(v: Views) -> DataFrame:
     rows = v.bases.select("id", "seq", (F.col("id") % 7 + 6).alias("start"), (F.col("id") % 7 + 6 - F.when(F.col("id") % 2 == 0, 1).otherwise(-1)).alias("end"), F.when(F.col("id") % 2 == 0, F.substring("seq", 5, 2)).otherwise("").alias("alt"))
     return alleles.left_shifted(rows)
 
 
+#: Contigs in which every second row is a repeat of its first two bases, and in each row a deletion of two bases or an insertion of the two before.
+_REPEATS = """o AS (SELECT id, id // 40 AS contig, id % 40 AS k, CASE WHEN id % 2 = 0 THEN repeat(substring(seq, 2, 2), 9) ELSE seq END AS seq FROM bases), c AS (SELECT contig, string_agg(seq, '' ORDER BY k) AS whole FROM o GROUP BY contig),
+u AS (SELECT o.id, o.contig, whole, CAST(sum(length(o.seq)) OVER (PARTITION BY o.contig ORDER BY o.k) - 6 AS BIGINT) AS at0 FROM o JOIN c USING (contig)),
+s AS (SELECT id, contig, whole, at0, at0 + CASE WHEN id % 4 < 2 THEN 1 ELSE -1 END AS end0, CASE WHEN id % 4 < 2 THEN '' ELSE substring(whole, at0 - 1, 2) END AS alt FROM u)"""
+_LEFT = """w AS (SELECT * FROM s UNION ALL SELECT id, contig, whole, at0 - 1, end0 - 1, CASE WHEN alt <> '' THEN substring(whole, at0, 1) || substring(alt, 1, length(alt) - 1) ELSE '' END FROM w
+  WHERE at0 > 0 AND substring(whole, at0, 1) <> 'N' AND substring(whole, at0, 1) = CASE WHEN alt <> '' THEN right(alt, 1) ELSE substring(whole, end0 + 1, 1) END)"""
+_RIGHT = """w AS (SELECT * FROM s UNION ALL SELECT id, contig, whole, at0 + 1, end0 + 1, CASE WHEN alt <> '' THEN substring(alt, 2) || substring(whole, end0 + 2, 1) ELSE '' END FROM w
+  WHERE end0 + 1 < length(whole) AND substring(whole, end0 + 2, 1) <> 'N' AND substring(whole, end0 + 2, 1) = CASE WHEN alt <> '' THEN left(alt, 1) ELSE substring(whole, at0 + 1, 1) END)"""
+
+
+def _repeats(v: Views, right: bool) -> DataFrame:
+    rows = v.bases.select("id", F.expr("id div 40").alias("contig"), (F.col("id") % 40).alias("k"), F.when(F.col("id") % 2 == 0, F.repeat(F.substring("seq", 2, 2), 9)).otherwise(F.col("seq")).alias("seq"))
+    upto = F.sum(F.char_length("seq")).over(Window.partitionBy("contig").orderBy("k")) - 6
+    # Forty rows make a contig, so the window sees forty rows.
+    placed = rows.withColumn("start", upto).join(_joined(rows).withColumnRenamed("seq", "whole"), "contig")
+    gone = F.col("id") % 4 < 2
+    made = placed.select("id", "contig", "start", (F.col("start") + F.when(gone, 1).otherwise(-1)).alias("end"), F.when(gone, "").otherwise(F.substring(F.col("whole"), (F.col("start") - 1).cast("int"), F.lit(2))).alias("alt"))
+    return alleles.shifted(made, files.chunked(_joined(rows), 64), 64, right=right, window=8)
+
+
+@query(f"WITH RECURSIVE {_REPEATS}, {_LEFT} SELECT id, contig, min(at0) AS start, min(end0) AS \"end\", arg_min(alt, at0) AS alt FROM w GROUP BY id, contig")
+def left_shift_in_chunks(v: Views) -> DataFrame:
+    return _repeats(v, False)
+
+
+@query(f"WITH RECURSIVE {_REPEATS}, {_RIGHT} SELECT id, contig, max(at0) AS start, max(end0) AS \"end\", arg_max(alt, at0) AS alt FROM w GROUP BY id, contig")
+def right_shift_in_chunks(v: Views) -> DataFrame:
+    return _repeats(v, True)
+
+
 # Graphs from variants: deletions, insertions and replacements of a block.
 
 BLOCKS = "s AS (SELECT id % 60 AS block, id, pos AS start, pos + CASE WHEN id % 3 = 1 THEN -1 ELSE length(ref) - 1 END AS stop, CASE WHEN id % 3 = 0 THEN '' ELSE alt END AS alt FROM variants)"
