@@ -289,9 +289,9 @@ def by_graph(reads: DataFrame, graphs: DataFrame, align: Callable[[pd.DataFrame,
     graph goes once to each of its groups, not to each read. Reads of a graph that isn't there are left out.
     """
     names = [c.split()[0] for c in added.split(", ")]
-    whole = reads.drop(*names, "_group")
+    whole = cut(reads.drop(*names, "_group"), "reads")  # counted, then dealt
     out = T.StructType([*whole.schema, *T.StructType.fromDDL(added)])
-    sizes = cut(whole.groupBy("graph_id").agg(F.ceil(F.count("*") / READS_TOGETHER).cast("int").alias("_groups")), "graph-reads")
+    sizes = cut(whole.groupBy("graph_id").agg(F.ceil(F.count("*") / READS_TOGETHER).cast("int").alias("_groups")), "read-groups")
     told = [f.name for f in whole.schema if not isinstance(f.dataType, T.MapType)]
     dealt = whole.join(sizes, "graph_id").withColumn("_group", F.pmod(F.xxhash64(*told), F.col("_groups")).cast("int")).drop("_groups")
     graphs = graphs.join(sizes, "graph_id").withColumn("_group", F.explode(F.sequence(F.lit(0), F.col("_groups") - 1))).drop("_groups")

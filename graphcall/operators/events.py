@@ -136,10 +136,10 @@ def support_counts(supports: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys, "e.kind", "e.element").agg(F.count("*").alias("fragments"), F.sum("n_reads").alias("reads"), F.sum("n_fwd").alias("fwd"), F.sum("n_rev").alias("rev"))
 
 
-def count_reads(reads: DataFrame, described: DataFrame, keys: list[str]) -> DataFrame:
-    """Reads (keys with graph_id, fragment_id, seq) and graphs (as :func:`event_graphs` gives them) to counts of nodes, edges and sequences."""
+def count_reads(reads: DataFrame, described: DataFrame, keys: list[str], *, kmer: int | None = None) -> DataFrame:
+    """Reads (keys with graph_id, fragment_id, seq) and graphs (as :func:`event_graphs` gives them) to counts of nodes, edges and sequences; ``kmer`` as in :func:`read_supports`."""
     plain = described.select("graph_id", F.transform("nodes", lambda n: F.struct(n["id"].alias("id"), n["seq"].alias("seq"))).alias("nodes"), F.transform("edges", lambda e: F.struct(e["a"].alias("a"), e["b"].alias("b"))).alias("edges"))
-    return support_counts(read_supports(alignment.graph_alignments(reads, plain), described), keys)
+    return support_counts(read_supports(alignment.graph_alignments(reads, plain), described, kmer=kmer), keys)
 
 
 def alignment_statistics(supports: DataFrame, described: DataFrame, keys: list[str]) -> DataFrame:

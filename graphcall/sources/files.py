@@ -128,7 +128,7 @@ def read_manifest(spark: SparkSession, path: str, sep: str = "\t", *, names: dic
 
 
 def read_vcf(spark: SparkSession, path: str) -> DataFrame:
-    """Variant records: chrom, pos (1-based), id, ref, alts, qual, filter, info, end."""
+    """Variant records: chrom, pos (1-based), id, ref, alts, qual, filter, info (also as it stands, info_text), calls (the format and the samples' texts), end."""
     f = F.split("value", "\t")
     rows = spark.read.text(path).where(~F.startswith("value", F.lit("#")) & (F.trim("value") != "")).select(f.alias("f"))
     text = lambda k: F.get("f", F.lit(k))
@@ -138,12 +138,26 @@ def read_vcf(spark: SparkSession, path: str) -> DataFrame:
     pairs = F.filter(pairs, lambda p, k: F.array_position(names, p["k"]) == k + 1)
     rows = rows.select(
         text(0).alias("chrom"), text(1).cast("long").alias("pos"), text(2).alias("id"), text(3).alias("ref"), F.split(text(4), ",").alias("alts"), text(5).alias("qual"),
-        text(6).alias("filter"), F.map_from_entries(pairs).alias("info"), F.slice("f", F.lit(9), F.greatest(F.size("f") - 8, F.lit(0))).alias("calls"),
+        text(6).alias("filter"), F.map_from_entries(pairs).alias("info"), text(7).alias("info_text"), F.slice("f", F.lit(9), F.greatest(F.size("f") - 8, F.lit(0))).alias("calls"),
     )
     stop = F.coalesce(F.element_at("info", F.lit("END")).try_cast("long"), F.col("pos") + F.char_length("ref") - 1)
     return rows.withColumn("end", stop)
 
 
+def read_vcf_header(spark: SparkSession, path: str) -> tuple[list[str], list[str]]:
+    """The header's lines but the last, and the samples that the last names; a header is small."""
+    lines = [r.value for r in spark.read.text(path).where(F.startswith("value", F.lit("#"))).collect()]
+    named = next((x for x in lines if x.startswith("#CHROM")), "")
+    return [x for x in lines if x.startswith("##")], named.split("\t")[9:]
+
+
+def old_genotypes(samples: list[str]) -> Column:
+    """The genotypes that records of :func:`read_vcf` had, by sample."""
+    place = F.array_position(F.split(F.get("calls", F.lit(0)), ":"), "GT").cast("int") - 1
+    own = [F.when(place >= 0, F.get(F.split(F.get("calls", F.lit(k)), ":"), place)) for k in range(1, len(samples) + 1)]
+    return F.create_map(*[x for s, v in zip(samples, own, strict=True) for x in (F.lit(s), v)]).cast("map<string,string>")
+
+
 def read_index_slices(spark: SparkSession, path: str) -> DataFrame:
     """Slices of a compressed alignment index: six tab-separated fields."""
     return spark.read.option("sep", "\t").schema("contig INT, start BIGINT, span BIGINT, container BIGINT, slice BIGINT, bytes BIGINT").csv(path)
