@@ -62,3 +62,37 @@ def edge_supported(left: Column, left_length: Column, right: Column, right_lengt
         return (matched >= F.least(ref, need)) & (query < 2 * ref) & (matched >= F.least(length, need))
 
     return side(left, left_length) & side(right, right_length)
+
+
+def of_placement(read: Column, ref: Column) -> Column:
+    """The alignment string of a read on a stretch of equal length: runs of equal bases (M), bases that differ (X) and Ns on either side (N), with Ns of the stretch at its ends clipped (S)."""
+    n = F.least(F.char_length(read), F.char_length(ref))
+    left = n - F.char_length(F.ltrim(F.left(ref, n), F.lit("N")))
+    right = F.when(left == n, F.lit(0)).otherwise(n - F.char_length(F.rtrim(F.left(ref, n), F.lit("N"))))
+    a, b = (lambda s, i: F.substring(s, i, F.lit(1))), F.lit("N")
+    letter = lambda i: F.when((i <= left) | (i > n - right), "S").when((a(read, i) == b) | (a(ref, i) == b), "N").when(a(read, i) == a(ref, i), "M").otherwise("X")
+    ops = F.transform(F.slice(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.lit(1), n), letter)
+    return packed_runs(ops)
+
+
+def packed_runs(ops: Column) -> Column:
+    """Single operations to an alignment string: equal neighbours are counted."""
+    done = lambda s: F.when(s["n"] == 0, s["text"]).otherwise(F.concat(s["text"], s["n"].cast("string"), s["op"]))
+    step = lambda s, o: F.struct(F.when(s["op"] == o, s["n"] + 1).otherwise(1).alias("n"), o.alias("op"), F.when(s["op"] == o, s["text"]).otherwise(done(s)).alias("text"))
+    return F.aggregate(ops, F.struct(F.lit(0).alias("n"), F.lit("").alias("op"), F.lit("").alias("text")), step, done)
+
+
+#: Codes of operations in the low four bits: fixed values of the format.
+CODES = {"M": 0, "I": 1, "D": 2, "N": 3, "S": 4, "H": 5, "P": 6, "=": 7, "X": 8}
+
+
+def encoded(ops: Column) -> Column:
+    """Operations as integers, length over code."""
+    code = lambda op: F.element_at(F.create_map(*[F.lit(x) for pair in CODES.items() for x in pair]), op)
+    return F.transform(ops, lambda o: F.shiftleft(o["len"], 4).bitwiseOR(code(o["op"])))
+
+
+def decoded(codes: Column) -> Column:
+    """The alignment string of :func:`encoded` operations."""
+    letter = lambda c: F.element_at(F.array(*map(F.lit, CODES)), c.bitwiseAND(15) + 1)
+    return F.array_join(F.transform(codes, lambda c: F.concat(F.shiftright(c, 4).cast("string"), letter(c))), "")

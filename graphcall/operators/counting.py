@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphcall.operators import intervals, ordered
+
 
 def fragments(reads: DataFrame, keys: list[str], *, id_col: str = "fragment_id", elements: str = "element", reverse: str = "is_reverse") -> DataFrame:
     """One row a fragment: reads by strand and the set of elements that any of its reads supports.
@@ -96,13 +98,14 @@ def coverage(nodes: DataFrame, bases: DataFrame, node: str, *, quality: str = "q
     """One row for each base of each node (``node``, seq): offset, cpos, base, and depth that matches (ref) and differs (other).
 
     ``bases`` has ``node``, offset, is_ref, is_reverse and a quality. Depths are whole and weighted by quality (w), together and by strand. ``cpos`` counts
-    the bases of the nodes before; its running sum is over one row a node.
+    the bases of the nodes before; its running sum goes over ranges of the nodes.
     """
     weight = 1 - F.pow(F.lit(10.0), -F.col(quality) / 10)
     cases = {"ref_fwd": F.col("is_ref") & ~F.col("is_reverse"), "ref_rev": F.col("is_ref") & F.col("is_reverse"), "other_fwd": ~F.col("is_ref") & ~F.col("is_reverse"), "other_rev": ~F.col("is_ref") & F.col("is_reverse")}
     depth = bases.groupBy(node, "offset").agg(*[F.count_if(c).alias(n) for n, c in cases.items()], *[F.sum(F.when(c, weight).otherwise(0.0)).alias(f"w{n}") for n, c in cases.items()])
     size = F.char_length("seq")
-    starts = nodes.select(node, size.alias("_size")).withColumn("_before", F.sum("_size").over(Window.orderBy(node)) - F.col("_size")).drop("_size")
+    starts = ordered.sliced(nodes.select(node, size.cast("long").alias("_size"), F.lit(0).alias("_all")), ["_all"], [node])
+    starts = ordered.running(starts, ["_all"], [node], sums={"_upto": F.col("_size")}).select(node, (F.col("_upto") - F.col("_size")).alias("_before"))
     cells = nodes.where(size > 0).join(starts, node).select(node, "seq", "_before", F.explode(F.sequence(F.lit(0).cast("long"), (size - 1).cast("long"))).alias("offset"))
     rows = cells.join(depth, [node, "offset"], "left")
     zero = {n: F.coalesce(n, F.lit(0).cast("long")) for n in cases} | {f"w{n}": F.coalesce(f"w{n}", F.lit(0.0)) for n in cases}
@@ -110,3 +113,49 @@ def coverage(nodes: DataFrame, bases: DataFrame, node: str, *, quality: str = "q
     both = {f"{w}{n}": F.col(f"{w}{n}_fwd") + F.col(f"{w}{n}_rev") for w in ("", "w") for n in ("ref", "other")}
     kinds = [f"{w}{n}{s}" for w in ("", "w") for n in ("ref", "other") for s in ("", "_fwd", "_rev")]
     return rows.withColumns(both).select(node, "offset", (F.col("_before") + F.col("offset")).alias("cpos"), F.substring(F.col("seq"), (F.col("offset") + 1).cast("int"), F.lit(1)).alias("base"), *kinds)
+
+
+def fragment_statistics(frags: DataFrame, keys: list[str]) -> DataFrame:
+    """Statistics of fragments (keys, n_reads, linear, graph: lengths on the reference and on the graph, null where a fragment has none).
+
+    Mean, median and population variance of both lengths over fragments of two reads or more; fragments without a length; fragments of one, two and more reads.
+    """
+    out = []
+    for kind in ("linear", "graph"):
+        several = F.when(F.col("n_reads") >= 2, F.col(kind))
+        out += [F.avg(several).alias(f"mean_{kind}"), F.percentile(several, 0.5).alias(f"median_{kind}"), F.var_pop(several).alias(f"variance_{kind}"), F.count_if(F.col(kind).isNull()).alias(f"problematic_{kind}")]
+    reads = [F.count_if(F.col("n_reads") == 1).alias("single_read"), F.count_if(F.col("n_reads") == 2).alias("paired_read"), F.count_if(F.col("n_reads") > 2).alias("multi_read")]
+    return frags.groupBy(*keys).agg(*out, *reads)
+
+
+def filter_summary(reads: DataFrame, keys: list[str], *, reason: str = "reason") -> DataFrame:
+    """How many reads each reason filtered (keys; ``reason`` is null for reads that stay): total, bad_alignment_pct (share of bad_align among all), filtered (map of reason to number)."""
+    by = reads.groupBy(*keys, reason).agg(F.count("*").alias("n"))
+    named = F.map_from_entries(F.array_compact(F.collect_list(F.when(F.col(reason).isNotNull(), F.struct(reason, "n")))))
+    return by.groupBy(*keys).agg(F.sum("n").alias("total"), (F.coalesce(F.sum(F.when(F.col(reason) == "bad_align", F.col("n"))), F.lit(0)) / F.sum("n")).alias("bad_alignment_pct"), named.alias("filtered"))
+
+
+#: Depths of a pile, by what a read supports and by strand; those with w are weighted.
+PILES = ("fwd", "rev", "wfwd", "wrev")
+
+
+def variant_piles(variants: DataFrame, depth: DataFrame, keys: list[str], *, width: int = 256) -> DataFrame:
+    """Variants (keys, id, start, stop and their own depth alt_fwd, alt_rev, alt_wfwd, alt_wrev) with the depth of the reference and of what else was seen over their place.
+
+    ``depth`` has keys, pos and ref_ and other_ columns like those. Both are means over the variant's bases, cut to whole numbers where they aren't weighted; an
+    insertion takes the bases on both sides. A variant's own depth is taken off what else was seen, down to zero.
+    """
+    low, high = F.greatest(F.least("start", "stop"), F.lit(0)), F.greatest("start", "stop")
+    spans = variants.withColumns({"r_start": low.cast("long"), "r_stop": high.cast("long")})
+    rows = depth.withColumns({"start": F.col("pos").cast("long"), "stop": F.col("pos").cast("long")})
+    columns = [f"{kind}_{p}" for kind in ("ref", "other") for p in PILES]
+    hit = intervals.overlap_join(rows.select(*keys, "start", "stop", *columns), spans.select(*keys, "id", "r_start", "r_stop"), keys, width=width)
+    sums = hit.groupBy(*keys, "id").agg(*[F.sum(c).alias(c) for c in columns])
+    out = spans.join(sums, [*keys, "id"], "left").withColumn("_n", F.col("r_stop") - F.col("r_start") + 1)
+
+    def mean(c: str) -> Column:
+        value = F.coalesce(F.col(c), F.lit(0)) / F.col("_n")
+        return value if "_w" in c else F.floor(value)
+
+    values = {c: mean(c) if c.startswith("ref") else F.greatest(mean(c) - F.col(c.replace("other", "alt")), F.lit(0)) for c in columns}
+    return out.withColumns(values).drop("_n", "r_start", "r_stop")

@@ -57,10 +57,11 @@ def likelihoods(counts: Column, lam: Column, ploidy: Column) -> Column:
     return F.transform(genotypes(F.size(counts), ploidy), one)
 
 
-def called(rows: DataFrame) -> DataFrame:
+def called(rows: DataFrame, *, poisson: bool = False) -> DataFrame:
     """Adds gl, gt, gq, num_reads, pvalue and filters to rows of counts, depth, depth_sd, read_length, ploidy.
 
-    The first genotype of the greatest likelihood wins. Without reads there is no genotype.
+    The first genotype of the greatest likelihood wins. Without reads there is no genotype. Depth is held against a normal distribution, or
+    against the narrower Poisson distribution of the reads expected.
     """
     total = F.aggregate("counts", F.lit(0).cast("long"), lambda s, n: s + n)
     rows = rows.withColumns({"lam": expected_depth(F.col("depth"), F.col("read_length")), "num_reads": total})
@@ -75,8 +76,13 @@ def called(rows: DataFrame) -> DataFrame:
         "pvalue": stats.normal_cdf(-F.abs(z)),
     })
     depth_bad = (z > HIGH_DEPTH_Z) | (z < LOW_DEPTH_Z)
+    if poisson:
+        rows = rows.withColumn("_below", stats.poisson_cdf(F.col("num_reads"), F.col("lam")))
+        high = F.col("_below") > 0.5
+        rows = rows.withColumn("pvalue", F.when(high, 1 - F.col("_below")).otherwise(F.col("_below")))
+        depth_bad = F.when(high, F.col("pvalue") < HIGH_DEPTH_P).otherwise(F.col("pvalue") < LOW_DEPTH_P)
     marks = F.array(F.when(~some, "NO_READS"), F.when(some & depth_bad, "BP_DEPTH"), F.when(F.col("gq") < MIN_PASS_GQ, "GQ"))
-    return rows.withColumn("filters", F.array_compact(marks))
+    return rows.withColumn("filters", F.array_compact(marks)).drop("_below")
 
 
 def fractions(counts: Column) -> Column:
@@ -170,6 +176,23 @@ def hwe_chisq(hom_ref: Column, het: Column, hom_alt: Column) -> Column:
     return F.when((n > 0) & (p > 0) & (p < 1), stats.chi2_survival(x))
 
 
+def hwe_chisq_table(calls: DataFrame, keys: list[str]) -> DataFrame:
+    """Hardy-Weinberg p-value by chi-squared with one degree of freedom for sites of any number of alleles, from diploid calls (keys, gt: array of two): keys, samples, chisq, p.
+
+    All genotypes of alleles that occur count, those that nobody has too. Missing calls are left out; a site with one allele has p 1.
+    """
+    calls = calls.where("gt IS NOT NULL AND size(gt) = 2").select(*keys, F.array_sort("gt").alias("gt"))
+    found = calls.groupBy(*keys, F.get("gt", F.lit(0)).alias("a"), F.get("gt", F.lit(1)).alias("b")).agg(F.count("*").alias("n"))
+    copies = found.select(*keys, F.explode(F.array("a", "b")).alias("allele"), "n").groupBy(*keys, "allele").agg(F.sum("n").alias("n"))
+    whole = found.groupBy(*keys).agg(F.sum("n").alias("samples"))
+    share = copies.join(whole, keys).select(*keys, "allele", "samples", (F.col("n") / (2 * F.col("samples"))).alias("share"))
+    pairs = share.select(*keys, "samples", F.col("allele").alias("a"), F.col("share").alias("p")).join(share.select(*keys, F.col("allele").alias("b"), F.col("share").alias("q")), keys).where("a <= b")
+    want = F.when(F.col("a") == F.col("b"), 1).otherwise(2) * F.col("p") * F.col("q") * F.col("samples")
+    rows = pairs.join(found, [*keys, "a", "b"], "left").withColumn("want", want).withColumn("off", F.coalesce("n", F.lit(0)) - F.col("want"))
+    out = rows.groupBy(*keys, "samples").agg(F.sum(F.col("off") * F.col("off") / F.col("want")).alias("chisq"))
+    return out.withColumn("p", stats.chi2_survival(F.col("chisq")))
+
+
 def hwe_exact(hom_ref: Column, het: Column, hom_alt: Column) -> Column:
     """Hardy-Weinberg p-value by the exact test: all numbers of heterozygotes that are no likelier than the one seen.
 

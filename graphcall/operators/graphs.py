@@ -72,6 +72,43 @@ def dangling(nodes: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
     return bad.select(*keys, "a", "b").distinct()
 
 
+def flaws(nodes: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
+    """What is wrong with graphs of nodes (keys, node, seq, reference) and edges (keys, a, b): keys, flaw, what.
+
+    Names that come twice, nodes that have neither bases nor a place on a reference, edges to nodes that aren't there, edges from a node to itself, and
+    nodes that lie on cycles or behind them.
+    """
+    text = lambda c: F.col(c).cast("string")
+    row = lambda d, flaw, what: d.select(*keys, F.lit(flaw).alias("flaw"), what.alias("what"))
+    arrow = F.concat(text("a"), F.lit(" -> "), text("b"))
+    twice = row(nodes.groupBy(*keys, "node").agg(F.count("*").alias("n")).where("n > 1"), "name", text("node"))
+    bare = row(nodes.where("seq IS NULL AND reference IS NULL"), "sequence", text("node"))
+    known = nodes.select(*keys, "node").distinct()
+    lost = edges.join(known.withColumnRenamed("node", "a"), [*keys, "a"], "left_anti").select(*keys, "a", "b").unionByName(edges.join(known.withColumnRenamed("node", "b"), [*keys, "b"], "left_anti").select(*keys, "a", "b")).distinct()
+    own = edges.where("a = b").select(*keys, "a", "b").distinct()
+    # Nodes without a way in are taken off, again and again; what stays lies on a cycle or behind one.
+    left = cut(edges.where("a <> b").select(*keys, "a", "b").distinct())
+    while True:
+        stuck = left.select(*keys, F.col("b").alias("a")).distinct()
+        new = cut(left.join(stuck, [*keys, "a"], "left_semi"))
+        if new.count() == left.count():
+            break
+        left = new
+    return twice.unionByName(bare).unionByName(row(lost, "unknown node", arrow)).unionByName(row(own, "self", arrow)).unionByName(row(left.select(*keys, "b").distinct(), "cycle", text("b")))
+
+
+def united(first: dict[str, DataFrame], second: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Two tables of graphs as one: nodes, edges and paths, each different row once; the labels of an edge that both have are put together."""
+    out = {k: first[k].unionByName(second[k]) for k in first if k in second} | {k: d for k, d in [*first.items(), *second.items()] if not (k in first and k in second)}
+    for k, d in out.items():
+        if "labels" in d.columns:
+            rest = [c for c in d.columns if c != "labels"]
+            out[k] = d.groupBy(*rest).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("labels")))).alias("labels"))
+        else:
+            out[k] = d.distinct()
+    return out
+
+
 def without_nodes(edges: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
     """Edges after nodes are removed: each pair of an edge in and an edge out becomes one.
 

@@ -67,6 +67,31 @@ def blocks_by_gap(rows: DataFrame, keys: list[str], gap: int) -> DataFrame:
     return _numbered(rows, keys, order, F.coalesce(F.col("start") > F.col("_before") + gap, F.lit(True)), "block")
 
 
+def split_records(rows: DataFrame, mode: str, *, gap: int = 150) -> DataFrame:
+    """Records (chrom, start, stop, id, name) with ``block``, numbered from 1 in the order of the file: by contig, start and id.
+
+    "full" is one block 0, "lines" one for each record, "by_id" one for neighbours of one name (records without a name are alone), "superloci" one for
+    records of a contig no more than ``gap`` behind the end of the one before.
+    """
+    if mode == "full":
+        return rows.withColumn("block", F.lit(0).cast("long"))
+    order = ["chrom", "start", "id"]
+    rows = rows.withColumn("_all", F.lit(0))
+    sliced = ordered.sliced(rows, ["_all"], order)
+    if mode == "lines":
+        fresh, lags = F.lit(True), {}
+    elif mode == "by_id":
+        fresh, lags = F.col("name").isNull() | F.col("_lag.name").isNull() | (F.col("name") != F.col("_lag.name")), {"_lag": F.struct("name")}
+    elif mode == "superloci":
+        fresh, lags = F.col("_lag").isNull() | (F.col("_lag.chrom") != F.col("chrom")) | (F.col("start") > F.col("_lag.stop") + gap), {"_lag": F.struct("chrom", F.greatest("start", "stop").alias("stop"))}
+    else:
+        raise ValueError(f"unknown mode: {mode}")
+    if lags:
+        sliced = ordered.running(sliced, ["_all"], order, lags=lags)
+    found = ordered.running(sliced.withColumn("_fresh", F.coalesce(fresh, F.lit(True)).cast("long")), ["_all"], order, sums={"block": F.col("_fresh")})
+    return found.drop("_all", "_slice", "_fresh", "_lag")
+
+
 def runs(rows: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
     """``rows`` with ``run``: adjacent rows of equal ``value`` share one."""
     rows = ordered.running(ordered.sliced(rows, keys, order), keys, order, lags={"_before": F.struct(value)})

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphcall.plans import genotype_queries, graph_queries, kmer_queries, read_queries, record_queries, rewrite_queries, stat_queries  # noqa: F401  registers
+from graphcall.plans import detail_queries, genotype_queries, graph_queries, kmer_queries, read_queries, record_queries, rewrite_queries, stat_queries  # noqa: F401  registers
 from graphcall.plans.registry import oracle_sql, queries  # noqa: F401
 
 

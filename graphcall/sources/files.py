@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphcall.functions import sequence
 from graphcall.operators import ordered
@@ -172,6 +173,66 @@ def read_aligned_fasta(spark: SparkSession, path: str) -> DataFrame:
     return rows.join(F.broadcast(sizes)).where(F.assert_true(F.col("a") == F.col("b")).isNull()).drop("a", "b")
 
 
+def significant(value: Column, digits: int = 5) -> Column:
+    """A number rounded to so many significant digits."""
+    scale = F.pow(F.lit(10.0), digits - 1 - F.floor(F.log10(F.abs(value))))
+    return F.when(value == 0, value).otherwise(F.round(value * scale) / scale)
+
+
+def _plain_numbers(value: Column, kind: T.DataType, name: str) -> Column:
+    """A value with all its floating numbers at five significant digits; special numbers raise."""
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        number = value.cast("double")
+        odd = F.isnan(number) | number.isin(float("inf"), float("-inf"))
+        return F.when(odd, F.raise_error(F.lit(f"{name} is no number")).cast("double")).otherwise(significant(number))
+    if isinstance(kind, T.StructType):
+        return F.when(value.isNotNull(), F.struct(*[_plain_numbers(value[f.name], f.dataType, f.name).alias(f.name) for f in kind]))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: _plain_numbers(x, kind.elementType, name))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(value, lambda k, x: _plain_numbers(x, kind.valueType, name))
+    return value
+
+
+def documents(rows: DataFrame) -> DataFrame:
+    """Each row as a JSON text: numbers with five significant digits, none of them special."""
+    return rows.select(F.to_json(F.struct(*[_plain_numbers(F.col(f.name), f.dataType, f.name).alias(f.name) for f in rows.schema])).alias("value"))
+
+
+def write_documents(rows: DataFrame, path: str) -> None:
+    """Rows as lines of :func:`documents`."""
+    documents(rows).write.text(path)
+
+
+def by_id_and_sequence(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Genotyped graphs (ID, sequencenames, ...) by their id, and by the name of each of their sequences, as (key, target): what ``matching.match_with_fallback`` asks."""
+    by_id = found.where("ID IS NOT NULL").select(F.col("ID").alias("key"), F.col("ID").alias("target"))
+    return by_id, found.select(F.explode("sequencenames").alias("key"), F.col("ID").alias("target"))
+
+
+def checked_graphs(found: DataFrame, *, regions: list[str] | None = None, most: int | None = None) -> DataFrame:
+    """Graph documents with ``longest_alt_insertion``; one without target regions raises unless ``regions`` are given, which go before its own, as ``most`` goes before its max_reads.
+
+    Names that come twice, nodes without bases or place, and edges to nodes that aren't there or to themselves raise too. A document is checked in its row.
+    """
+    names = F.transform("nodes", lambda n: n["name"])
+    edge = lambda e: (~F.array_contains(names, e["from"])) | (~F.array_contains(names, e["to"])) | (e["from"] == e["to"])
+    bad = (
+        F.when(F.size(F.array_distinct(names)) < F.size(names), "names come twice")
+        .when(F.exists("nodes", lambda n: n["sequence"].isNull() & n["reference"].isNull()), "a node has neither bases nor a place")
+        .when(F.exists("edges", edge), "an edge leads nowhere or to its own node")
+        .when(F.lit(regions is None) & (F.coalesce(F.size("target_regions"), F.lit(0)) <= 0), "no target regions")
+    )
+    told = F.when(bad.isNull(), F.lit(True)).otherwise(F.raise_error(F.concat(F.coalesce("ID", F.lit("a graph")), F.lit(": "), bad)).cast("boolean"))
+    rows = found.where(told)
+    if regions is not None:
+        rows = rows.withColumn("target_regions", F.array(*map(F.lit, regions)).cast("array<string>"))
+    if most is not None:
+        rows = rows.withColumn("max_reads", F.lit(most).cast("long"))
+    longest = F.array_max(F.transform("nodes", lambda n: F.coalesce(F.char_length(n["sequence"]), F.lit(0))))
+    return rows.withColumn("longest_alt_insertion", F.coalesce(longest, F.lit(0)))
+
+
 def write_bins(bins: DataFrame, path: str) -> None:
     """Depth bins as tab-separated text with 1-based starts."""
     bins.withColumn("start", F.col("start") + 1).write.option("sep", "\t").option("header", True).csv(path)
