@@ -190,6 +190,7 @@ def haplotype_nodes(variants: DataFrame, keys: list[str], chrom: Column, *, padd
     support = variants.where("stop >= start").select(*keys, F.col("start").alias("v_start"), F.col("stop").alias("v_stop"), "ref_haplotypes")
     over = pieces.join(support, keys).where("start >= v_start AND stop <= v_stop").groupBy(*keys, "start", "stop").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ref_haplotypes")))).alias("labels"))
     place = lambda p: F.concat_ws("-", F.lit(p), F.col("start").cast("string"), F.col("stop").cast("string"))
-    ref = pieces.join(over, [*keys, "start", "stop"], "left").select(*keys, place("ref").alias("node"), chrom.alias("chrom"), "start", "stop", F.lit(True).alias("is_ref"), F.lit(None).cast("string").alias("seq"), F.coalesce("labels", none).alias("labels"))
+    own = [] if "chrom" in keys else [chrom.alias("chrom")]
+    ref = pieces.join(over, [*keys, "start", "stop"], "left").select(*keys, place("ref").alias("node"), *own, "start", "stop", F.lit(True).alias("is_ref"), F.lit(None).cast("string").alias("seq"), F.coalesce("labels", none).alias("labels"))
     alt = variants.groupBy(*keys, "start", "stop", "alt").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("haplotypes")))).alias("labels"))
-    return ref.unionByName(alt.select(*keys, F.concat_ws(":", place("alt"), "alt").alias("node"), chrom.alias("chrom"), "start", "stop", F.lit(False).alias("is_ref"), F.col("alt").alias("seq"), "labels"))
+    return ref.unionByName(alt.select(*keys, F.concat_ws(":", place("alt"), "alt").alias("node"), *own, "start", "stop", F.lit(False).alias("is_ref"), F.col("alt").alias("seq"), "labels"))
