@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphcall.llm.shared import ascii_lower, each_copy, stored
+from graphcall.llm.shared import ascii_lower, each_copy, free_name, stored
 
 CHUNK = r"(?s).{512,4095}?[.!?\n]|.{1,4096}"
 
@@ -68,8 +68,9 @@ def _with_ordinals(source: DataFrame, clashes: DataFrame, chunk_hash: Callable[[
 
 def without_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; of rows that repeat id and text, one."""
-    kept = duplicate_decisions(docs, id_col=id_col, text_col=text_col).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
+    kept_id, kept_sha, own = (free_name(docs, c) for c in ("_id", "_sha", "_own"))
+    kept = duplicate_decisions(docs, id_col=id_col, text_col=text_col).where("kept").select(F.col("doc_id").alias(kept_id), F.col("text_sha256").alias(kept_sha))
     sha = F.sha2(ascii_lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), 256)
-    rows = docs.withColumn("_own", sha)
-    same = rows[id_col].cast("long").eqNullSafe(kept["_id"]) & (rows["_own"] == kept["_sha"])
-    return rows.join(kept, same, "left_semi").dropDuplicates([id_col, "_own"]).drop("_own")
+    rows = docs.withColumn(own, sha)
+    same = rows[id_col].cast("long").eqNullSafe(kept[kept_id]) & (rows[own] == kept[kept_sha])
+    return rows.join(kept, same, "left_semi").dropDuplicates([id_col, own]).drop(own)

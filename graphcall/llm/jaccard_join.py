@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphcall.llm.shared import giving_back, stored
+from graphcall.llm.shared import free_name, giving_back, stored
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Longer words (in bytes) are not kept in caches.
@@ -332,7 +332,8 @@ def one_of_each_group(
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "digest")
     # The least row of each set comes first, so that a group's label meets only one row a set.
     stays = signed.groupBy("key").agg(F.min(row).alias("row")).join(found.select("key", "label"), "key").groupBy("label").agg(F.min("row").alias("row"))
-    stays = stored(stays.select(F.col("row.digest").alias("_row")), "stays")
+    mark = free_name(docs, "_row")
+    stays = stored(stays.select(F.col("row.digest").alias(mark)), "stays")
     # Rows that repeat are combined before their exchange, and the join needs no other one: texts are dealt once.
-    rows = docs.withColumn("_row", _digest(docs[id_col], docs[text_col])).dropDuplicates(["_row"])
-    return rows.join(stays, "_row", "left_semi").select(*docs.columns)
+    rows = docs.withColumn(mark, _digest(docs[id_col], docs[text_col])).dropDuplicates([mark])
+    return rows.join(stays, mark, "left_semi").select(*docs.columns)

@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphcall.llm.shared import ascii_lower, new_path, partitions, stored
+from graphcall.llm.shared import ascii_lower, brought_back, new_path, partitions, put_aside, stored
 
 BLANK = " \t\n\x0b\f\r"
 #: Columns that the operator makes; columns of these names in its input are left out.
@@ -32,10 +32,12 @@ class Runs:
     def __init__(self, spark, fanout: int = 4):
         self.spark, self.fanout, self.buckets = spark, fanout, max(8, partitions(spark))
         self.levels: list[list[tuple[str, str]]] = []
+        self.made: list[str] = []
 
     def _write(self, rows: DataFrame) -> tuple[str, str]:
         path = new_path(self.spark, "line-run")
         name = "run_" + path.rpartition("-")[2]
+        self.made.append(name)
         out = rows.repartition(self.buckets, "hash").sortWithinPartitions("hash").write.format("parquet")
         out.bucketBy(self.buckets, "hash").sortBy("hash").option("path", path).saveAsTable(name)
         return name, path
@@ -72,12 +74,15 @@ class Runs:
             p.getFileSystem(conf).delete(p, True)
         self.levels[level] = []
 
+    def forget(self) -> None:
+        """The tables leave the catalog; their files stay until the driver ends."""
+        for name in self.made:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
     def owners(self) -> DataFrame:
-        """All runs as plain files; the tables leave the catalog, the files stay until the driver ends."""
+        """All runs as plain files."""
         paths = [path for level in self.levels for _, path in level]
-        for level in self.levels:
-            for name, _ in level:
-                self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.forget()
         return self.spark.read.schema("hash binary, owner long").parquet(*paths)
 
 
@@ -105,10 +110,14 @@ def line_decisions(
 
     runs = Runs(spark, fanout)
     edges = [None, *sorted(set(bounds)), None]
-    for low, high in zip(edges, edges[1:], strict=False):
-        batch = lines if low is None else lines.where(F.col("_doc") > low)
-        batch = batch if high is None else batch.where(F.col("_doc") <= high)
-        runs.add(runs.unseen(batch.groupBy("hash").agg(F.min("_doc").alias("owner"))))
+    try:
+        for low, high in zip(edges, edges[1:], strict=False):
+            batch = lines if low is None else lines.where(F.col("_doc") > low)
+            batch = batch if high is None else batch.where(F.col("_doc") <= high)
+            runs.add(runs.unseen(batch.groupBy("hash").agg(F.min("_doc").alias("owner"))))
+    except BaseException:
+        runs.forget()  # no table of a failed run stays in the catalog
+        raise
 
     # A line that very many documents share is a skewed key of this join, which adaptive execution splits.
     drops = lines.join(runs.owners(), "hash").where("_doc != owner").select("_doc", "_hash", "place")
@@ -123,5 +132,8 @@ def line_decisions(
 
 def without_repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with the text that line deduplication leaves, and all its other columns as they were."""
+    given = docs.columns
+    docs, aside = put_aside(docs, RESERVED)
+    id_col, text_col = aside.get(id_col, id_col), aside.get(text_col, text_col)
     rows = line_decisions(docs, id_col=id_col, text_col=text_col, **options)
-    return rows.withColumn(text_col, F.col("_kept_text")).select(*docs.drop(*RESERVED).columns)
+    return brought_back(rows.withColumn(text_col, F.col("_kept_text")), aside, RESERVED).select(*given)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphcall.llm.shared import giving_back
+from graphcall.llm.shared import brought_back, giving_back, put_aside
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
@@ -523,5 +523,9 @@ def scanned(docs: DataFrame, *, text_col: str = "text", model: Crf | None = None
 
 
 def without_personal_data(docs: DataFrame, *, text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with every span replaced by a mark such as [EMAIL]; other columns as they were."""
-    return scanned(docs, text_col=text_col, **options).withColumn(text_col, F.col("redacted_text")).select(*docs.columns)
+    """``docs`` with every span replaced by a mark such as [EMAIL]; other columns as they were, also those named as the operator's own."""
+    given, names = docs.columns, T.StructType.fromDDL(FOUND).names
+    docs, aside = put_aside(docs, names)
+    text_col = aside.get(text_col, text_col)
+    rows = scanned(docs, text_col=text_col, **options).withColumn(text_col, F.col("redacted_text"))
+    return brought_back(rows, aside, names).select(*given)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphcall.llm.shared import giving_back
+from graphcall.llm.shared import brought_back, giving_back, put_aside
 
 BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean"
 VERDICT = "kept boolean, n_failed_lines long, lost_chars long, clean_text string"
@@ -179,6 +179,9 @@ def _judge(place: int, max_loss: float, with_text: bool) -> Callable:
 
 
 def cleaned(docs: DataFrame, *, text_col: str = "text", **options) -> DataFrame:
-    """The documents that pass, without the lines that failed; columns as in ``docs``."""
-    rows = judged(docs, text_col=text_col, **options).where("kept")
-    return rows.withColumn(text_col, F.col("clean_text")).select(*docs.columns)
+    """The documents that pass, without the lines that failed; columns as in ``docs``, also those named as the operator's own."""
+    given, names = docs.columns, T.StructType.fromDDL(f"{BASE}, {VERDICT}").names
+    docs, aside = put_aside(docs, names)
+    text_col = aside.get(text_col, text_col)
+    rows = judged(docs, text_col=text_col, **options).where("kept").withColumn(text_col, F.col("clean_text"))
+    return brought_back(rows, aside, names).select(*given)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from graphcall.operators import storage
 from graphcall.operators.storage import each_copy, new_path
 
-__all__ = ["WS", "ascii_lower", "each_copy", "giving_back", "new_path", "partitions", "stored"]
+__all__ = ["WS", "ascii_lower", "brought_back", "each_copy", "free_name", "giving_back", "new_path", "partitions", "put_aside", "stored"]
 
 #: The white space that separates words: space, tab, newline, vertical tab, form feed, return.
 WS = r"[\x20\x09-\x0D]"
@@ -38,6 +38,24 @@ def giving_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatc
     return whole
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with marks behind it until no column of ``df`` is called so."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
+def put_aside(docs: DataFrame, names: Iterable[str]) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with its columns of these names under others, and what each is called now; :func:`brought_back` undoes it."""
+    aside = {c: free_name(docs, f"_given_{c}") for c in docs.columns if c in set(names)}
+    return docs.withColumnsRenamed(aside), aside
+
+
+def brought_back(rows: DataFrame, aside: dict[str, str], names: Iterable[str]) -> DataFrame:
+    """Without the columns of ``names``, and with those that were put aside as they were called."""
+    return rows.drop(*names).withColumnsRenamed({v: k for k, v in aside.items()})
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

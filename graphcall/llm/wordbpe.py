@@ -56,7 +56,7 @@ class WordEncoder:
     #: The file's pre-tokens on such words, and what stands between words.
     _PIECE = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|\n|[^a-zß-öø-ÿ0-9\n]+")
 
-    def __init__(self, path: str, cache_words: int = 250_000, cache_pieces: int = 200_000, longest: int = 64):
+    def __init__(self, path: str, cache_words: int = 450_000, cache_pieces: int = 350_000, longest: int = 64):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
 
