@@ -165,3 +165,104 @@ def test_graphs_meet_their_reads_in_groups(spark, monkeypatch):
     rows = spark.range(100).select(F.lit(1).cast("long").alias("graph_id"), F.col("id").alias("read"), F.lit("CGTTG").alias("seq"))
     got = alignment.graph_alignments(rows, graph).collect()
     assert sorted(r.read for r in got) == list(range(100)) and {(r.score, r.graph_pos, r.graph_cigar) for r in got} == {(5, 1, "0[5M]")}
+
+
+BACK = str.maketrans("ACGT", "TGCA")
+
+
+def test_cascade_of_a_whole_table(spark):
+    from graphcall.plans.graph_queries import _contig_graphs
+
+    reads, described, paths = _contig_graphs(Views(spark, "/root/testdata/sf0.001"))
+    graphs = {r.graph_id: {n.id: n.seq for n in r.nodes} for r in described.collect()}
+    lines = {}
+    for r in paths.collect():
+        lines.setdefault(r.graph_id, {})[r.path] = r.nodes
+    got = {(r.graph_id, r.id): r for r in alignment.cascade(reads, described, paths, seed=12).collect()}
+    rows = [r for r in reads.collect() if r.graph_id in graphs]
+    assert len(got) == len(rows) > 300
+    stages = set()
+    for r in rows:
+        seqs = {p: [(n, graphs[r.graph_id][n]) for n in w] for p, w in lines[r.graph_id].items()}
+        whole = {p: "".join(s for _, s in w) for p, w in seqs.items()}
+        words = {}
+        for s in whole.values():
+            for k in range(len(s) - 11):
+                words[s[k : k + 12]] = words.get(s[k : k + 12], 0) + 1
+        found = []
+        for turn, read in ((False, r.seq), (True, r.seq[::-1].translate(BACK))):
+            for p, s in whole.items():
+                for at in range(len(s) - len(read) + 1):
+                    off = [x != y for x, y in zip(read, s[at:], strict=False)]
+                    if sum(off) <= 2 and any(not any(off[k : k + 12]) and words[read[k : k + 12]] == 1 for k in range(len(read) - 11)):
+                        place, spot = 0, []
+                        for n, bases in seqs[p]:
+                            if place + len(bases) > at and place < at + len(read):
+                                spot.append((n, max(0, at - place)) if not spot else n)
+                            place += len(bases)
+                        found.append((sum(off), tuple(spot), turn))
+        own = got[r.graph_id, r.id]
+        best = [f for f in found if f[0] == min(x[0] for x in found)]
+        if len({f[1] for f in best}) == 1:
+            assert (own.stage, own.score, own.status) == ("kmer" if best[0][0] else "path", len(r.seq) - 5 * best[0][0], "MAPPED")
+        else:
+            ways_ = [max(best_local(read, s) for s in whole.values()) for read in (r.seq, r.seq[::-1].translate(BACK))]
+            # On the graph a strand with one place goes before a better one with several.
+            assert own.score == (max(ways_) if own.stage == "pairwise" else ways_[own.reverse]) and own.stage in ("pairwise", "graph"), r
+        stages.add(own.stage)
+    assert stages == set(alignment.STAGES)
+
+
+def test_event_counts_of_a_whole_table(spark):
+    """Alignments of the query's reads, judged read by read."""
+    import collections
+
+    from graphcall.plans import catalog
+    from graphcall.plans.graph_queries import _contig_events
+
+    where = "/root/testdata/sf0.001"
+    described, reads = _contig_events(Views(spark, where))
+    graphs = {r.graph_id: r for r in described.collect()}
+    by = {}
+    for r in reads.collect():
+        by.setdefault(r.graph_id, []).append(r)
+    frags = collections.defaultdict(lambda: [0, 0, set(), set(), set()])
+    for g, rows in by.items():
+        if g not in graphs:
+            continue
+        nodes, edges = graphs[g].nodes, graphs[g].edges
+        aligned = alignment.aligned_block([r.seq for r in rows], [(n.id, n.seq) for n in nodes], [(e.a, e.b) for e in edges])
+        for r, (_, _, reverse, unique, _, text) in zip(rows, aligned, strict=True):
+            parts = [(int(n), [(int(c), op) for c, op in re.findall(r"(\d+)(\w)", x)]) for n, x in re.findall(r"(\d+)\[([^\]]*)\]", text)]
+            of = lambda ops, letters: sum(c for c, op in ops if op in letters)
+            every = [o for _, ops in parts for o in ops]
+            query = of(every, "MXIS")
+            # Halves go away from zero.
+            if not unique or not parts or query - of(every, "S") < int(0.8 * query + 0.5):
+                continue
+            size, name = len(r.seq), {n.id: n.name for n in nodes}
+            length = {n.id: len(n.seq) for n in nodes}
+            frag = frags[g, r.fragment_id]
+            frag[1 if reverse else 0] += 1
+            for n, ops in parts:
+                differ = of(ops, "XIDS")
+                if differ == 0 if 2 * length[n] < size else 2 * differ <= length[n]:
+                    frag[2].add(name[n])
+            need, labels, all_labels = size // 10 + 1, set(), []
+            for (a, x), (b, y) in zip(parts, parts[1:], strict=False):
+                own = {s for e in edges if (e.a, e.b) == (a, b) for s in e.labels}
+                all_labels.append(own)
+                good = [of(o, "M") >= min(of(o, "MXDN"), need) and of(o, "MXIS") < 2 * of(o, "MXDN") and of(o, "M") >= min(length[n], need) for n, o in ((a, x), (b, y))]
+                if all(good):
+                    frag[3].add(f"{name[a]}_{name[b]}")
+                    labels |= own
+            frag[4] |= {s for s in labels if all(s in own for own in all_labels)}
+    want = collections.defaultdict(lambda: [0, 0, 0, 0])
+    for (g, _), (fwd, rev, n, e, s) in frags.items():
+        for kind, names in (("node", n), ("edge", e), ("sequence", {",".join(sorted(s))} if s else ())):
+            for x in names:
+                row = want[graphs[g].kind, kind, x]
+                for k, v in enumerate((1, fwd + rev, fwd, rev)):
+                    row[k] += v
+    got = {(r.event, r.kind, r.element): [r.fragments, r.reads, r.fwd, r.rev] for r in catalog.queries()["event_support_counts"](spark, where).collect()}
+    assert got == dict(want) and len(got) > 10
