@@ -7,7 +7,7 @@ that agree on a band meet in its bucket, and every pair that meets is verified o
 * Buckets of at most ``small`` classes give pairs; a pair is verified once, however many buckets it has.
 * Classes of larger buckets are joined to clusters (connected components over large buckets), and all
   pairs of a cluster whose sizes allow a link are verified in blocks, which follow the sets' sizes: a task
-  holds two blocks of some hundred sets, counts links and keeps a spanning forest of them, so no pair
+  holds two blocks of some hundred sets, counts links by a product of 0/1 matrices and keeps where they lead, so no pair
   of a large cluster becomes a row.
 
 Both count links, and the links' connected components are the groups. N-grams are compared as 64-bit hashes.
@@ -274,47 +274,70 @@ def _cluster_links(sets: DataFrame, clusters: DataFrame, threshold: float) -> Da
     return own.groupBy("cluster", "i", "j").applyInPandas(_block(threshold), "key binary, links long, root binary")
 
 
+#: Columns of the 0/1 matrices that sets of a block pair are multiplied in.
+COLUMNS = 4096
+
+
+def shared_counts(at: np.ndarray, owner: np.ndarray, left: np.ndarray, other: np.ndarray, count: int) -> np.ndarray:
+    """How many values each set of ``left`` shares with each of ``other``; ``at`` and ``owner`` are values and the sets (of ``count``) that hold them, set by set.
+
+    Values that one set alone holds are left out. Near-equal sets have few others, and are multiplied as matrices of a bounded
+    number of columns; where very many are held by few sets each, every left set is marked and the others are summed under the mark.
+    """
+    sets = np.bincount(at)
+    keep = sets[at] > 1
+    at, owner = (np.cumsum(sets > 1) - 1)[at[keep]], owner[keep]
+    values = int((sets > 1).sum())
+    shared = np.zeros((len(left), len(other)), np.float32)
+    if values * len(other) <= 16 * max(1, len(at)):
+        order = np.argsort(at, kind="stable")
+        cuts = np.searchsorted(at[order], np.arange(0, values + COLUMNS, COLUMNS))
+        for k, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            cells = np.zeros((count, min(COLUMNS, values - k * COLUMNS)), np.float32)
+            cells[owner[order[x:y]], at[order[x:y]] - k * COLUMNS] = 1
+            shared += cells[left] @ cells[other].T
+        return shared
+    sizes = np.bincount(owner, minlength=count)
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    flat = np.concatenate([at[starts[k] : starts[k + 1]] for k in other])
+    some = np.flatnonzero(sizes[other])
+    begins = np.concatenate([[0], np.cumsum(sizes[other])])[some]
+    mark = np.zeros(values, np.int32)
+    for row, k in enumerate(left):
+        own = at[starts[k] : starts[k + 1]]
+        mark[own] = 1
+        shared[row, some] = np.add.reduceat(mark[flat], begins)
+        mark[own] = 0
+    return shared
+
+
 def _block(threshold: float) -> Callable:
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.assign(size=rows["shingles"].str.len()).sort_values(["size", "key"]).reset_index(drop=True)
         one = rows["i"].iloc[0] == rows["j"].iloc[0]
-        left = (rows["block"] == rows["i"]).to_numpy()
-        sizes = rows["size"].to_numpy() // 8
-        values, at = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in rows["shingles"]]), return_inverse=True)
-        at, starts = at.astype(np.int32), np.concatenate([[0], np.cumsum(sizes)])
-        # The sets that left ones are held against: all behind them in order if the blocks are one, else those of the right block.
-        other = np.arange(len(rows)) if one else np.flatnonzero(~left)
-        flat = at if one else np.concatenate([at[starts[k] : starts[k + 1]] for k in other])
-        begins = np.concatenate([[0], np.cumsum(sizes[other])])
-        copies = rows["copies"].to_numpy()
+        # The sets that left ones are held against: all if the blocks are one, else those of the right block.
+        in_left = (rows["block"] == rows["i"]).to_numpy()
+        left = np.flatnonzero(in_left)
+        other = left if one else np.flatnonzero(~in_left)
+        sizes, copies = rows["size"].to_numpy() // 8, rows["copies"].to_numpy()
         links, root = np.zeros(len(rows), np.int64), np.arange(len(rows))
-
-        def top(k: int) -> int:
-            while root[k] != k:
-                root[k] = root[root[k]]
-                k = root[k]
-            return k
-
-        mark = np.zeros(len(values), np.int32)
-        for k in np.flatnonzero(left):
-            # Only sets of a size that allows a link.
-            low = k + 1 if one else int(np.searchsorted(sizes[other], threshold * sizes[k] - 1e-6))
-            high = int(np.searchsorted(sizes[other], sizes[k] / threshold + 1e-6, side="right"))
-            if low >= high:
-                continue
-            own = at[starts[k] : starts[k + 1]]
-            mark[own] = 1
-            shared = np.add.reduceat(mark[flat[begins[low] : begins[high]]], begins[low:high] - begins[low])
-            mark[own] = 0
-            chosen = other[low:high]
-            near = chosen[shared >= threshold * (sizes[chosen] + sizes[k] - shared) - 1e-9]
-            links[k] += copies[near].sum()
-            links[near] += copies[k]
-            for n in near.tolist():
-                a, b = top(k), top(n)
-                root[max(a, b)] = min(a, b)
-        tops = [top(k) for k in range(len(rows))]
-        return pd.DataFrame({"key": rows["key"], "links": links, "root": rows["key"].iloc[tops].to_numpy()})
+        if len(left) and len(other):
+            at = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in rows["shingles"]]), return_inverse=True)[1]
+            shared = shared_counts(at, np.repeat(np.arange(len(rows)), sizes), left, other, len(rows))
+            near = shared >= threshold * (sizes[left][:, None] + sizes[other][None, :] - shared) - 1e-9
+            if one:
+                np.fill_diagonal(near, False)
+            links[left] += near @ copies[other]
+            if not one:
+                links[other] += near.T @ copies[left]
+            # The least set that links lead to, over and over until nothing changes.
+            while True:
+                before = root.copy()
+                root[left] = np.minimum(root[left], np.where(near, root[other][None, :], len(rows)).min(axis=1))
+                root[other] = np.minimum(root[other], np.where(near, root[left][:, None], len(rows)).min(axis=0))
+                if (root == before).all():
+                    break
+        return pd.DataFrame({"key": rows["key"], "links": links, "root": rows["key"].iloc[root].to_numpy()})
 
     return run
 

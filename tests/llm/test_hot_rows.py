@@ -86,3 +86,40 @@ def test_long_spans_and_words_are_personal_data_too():
     short, long = (pii.word_class(f"{'a1' * n}@mail.example.com") for n in (3, 300))
     assert "mail" in short and "mail" in long
     assert pii.word_class("9" * 300)[1] == "digits=20" and tagger.spans(["9" * 300 + " plain"]) is not None
+
+
+@pytest.mark.parametrize("kind", ["near-equal", "mixed", "few in common"])
+def test_blocks_of_a_cluster(kind):
+    """Counts of shared values by either way, links and where they lead, against sets."""
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 2**63, 60, dtype=np.uint64)
+    for one in (True, False):
+        sets = []
+        for k in range(90):
+            own = base.copy()
+            if kind == "near-equal":
+                own[rng.integers(0, 60, rng.integers(0, 8))] = rng.integers(0, 2**63, 1, dtype=np.uint64)
+            elif kind == "mixed":
+                own = np.concatenate([rng.choice(base, rng.integers(1, 60), replace=False), rng.integers(0, 50, rng.integers(0, 40), dtype=np.uint64)])
+            else:
+                own = rng.integers(0, 4000, 12, dtype=np.uint64)
+            sets.append(np.unique(own))
+        copies = rng.integers(1, 4, 90)
+        block = np.zeros(90, int) if one else np.arange(90) % 2
+        frame = pd.DataFrame({"cluster": 0, "i": 0, "j": 0 if one else 1, "block": block, "key": [k.to_bytes(2, "big") for k in range(90)], "copies": copies, "shingles": [s.tobytes() for s in sets]})
+        got = jaccard_join._block(0.8)(frame).set_index("key")
+        as_sets = [set(s.tolist()) for s in sets]
+        near = {(a, b) for a in range(90) for b in range(90) if a != b and (one or block[a] != block[b]) and len(as_sets[a] & as_sets[b]) >= 0.8 * len(as_sets[a] | as_sets[b]) - 1e-9}
+        label = list(range(90))
+        for _ in range(90):
+            for a, b in near:
+                label[a] = label[b] = min(label[a], label[b])
+        roots = collections.defaultdict(set)
+        for k in range(90):
+            name = k.to_bytes(2, "big")
+            assert got.loc[name, "links"] == sum(copies[b] for a, b in near if a == k)
+            roots[label[k]].add(got.loc[name, "root"])
+        assert all(len(r) == 1 for r in roots.values()) and len({next(iter(r)) for r in roots.values()}) == len(roots)
