@@ -41,16 +41,16 @@ def count_events(reads: DataFrame, event_list: DataFrame, chunks: DataFrame, *,
     return events.count_reads(reads, events.event_graphs(event_list, chunks, chunk_size), GROUP)
 
 
-def genotype(counts: DataFrame, samples: DataFrame, *, ploidy: int = 2) -> DataFrame:
+def genotype(counts: DataFrame, samples: DataFrame, *, ploidy: int = 2, poisson: bool = False) -> DataFrame:
     """Allele counts (sample_id, graph_id, breakpoint, counts) and samples (depth, depth_sd, read_length) to one call for each graph and sample.
 
     Samples are joined by their id; adaptive execution broadcasts them where their measured size allows.
     """
     rows = counts.join(samples.select("sample_id", "depth", "depth_sd", "read_length"), "sample_id").withColumn("ploidy", F.lit(ploidy))
-    return genotyping.combined(genotyping.called(rows), ["graph_id", "sample_id"])
+    return genotyping.combined(genotyping.called(rows, poisson=poisson), ["graph_id", "sample_id"])
 
 
-def genotype_records(variants: DataFrame, reads: DataFrame, samples: DataFrame, chunks: DataFrame, names: list, *, chunk_size: int = 1 << 20, flank: int = 150, ploidy: int = 2, kmer: int | None = None) -> DataFrame:
+def genotype_records(variants: DataFrame, reads: DataFrame, samples: DataFrame, chunks: DataFrame, names: list, *, chunk_size: int = 1 << 20, flank: int = 150, ploidy: int = 2, kmer: int | None = None, poisson: bool = False) -> DataFrame:
     """Variant records, reads and samples to one call for each record and sample: the columns that ``vcf.sample_fields`` needs, with graph_id and sample_id.
 
     ``variants``: graph_id (one for each record), chrom, pos, end, ref, alts, inserted. ``reads``: sample_id, chrom, pos, len, fragment_id, is_first_mate, seq, perhaps
@@ -62,7 +62,7 @@ def genotype_records(variants: DataFrame, reads: DataFrame, samples: DataFrame,
     counts = cut(events.count_reads(near.select(*GROUP, "fragment_id", "seq"), described, GROUP, kmer=kmer), "element-counts")
     points = cut(records.breakpoints(described), "breakpoints")
     arrays = records.breakpoint_counts(counts.where("kind = 'edge'"), points, described, names)
-    return records.calls_of(arrays, samples, counts.where("kind = 'sequence' AND NOT contains(element, ',')"), ploidy=ploidy)
+    return records.calls_of(arrays, samples, counts.where("kind = 'sequence' AND NOT contains(element, ',')"), ploidy=ploidy, poisson=poisson)
 
 
 def genotype_vcf(variants: DataFrame, calls: DataFrame, names: list[str], *, id_key: str = vcf.ID_KEY) -> DataFrame:

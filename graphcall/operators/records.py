@@ -93,14 +93,14 @@ def breakpoint_counts(edge_counts: DataFrame, points: DataFrame, graphs: DataFra
     return rows.select("graph_id", "sample_id", "breakpoint", "n_alts", counts.alias("counts"))
 
 
-def calls_of(counts: DataFrame, samples: DataFrame, sequences: DataFrame, *, ploidy: int = 2) -> DataFrame:
+def calls_of(counts: DataFrame, samples: DataFrame, sequences: DataFrame, *, ploidy: int = 2, poisson: bool = False) -> DataFrame:
     """Counts by breakpoint and samples (sample_id, depth, depth_sd, read_length) to what :func:`vcf.sample_fields` needs: one row for each graph and sample.
 
-    ``sequences`` has sample_id, graph_id, element, fwd and rev: reads that support one allele and no other.
+    ``sequences`` has sample_id, graph_id, element, fwd and rev: reads that support one allele and no other. ``poisson`` as in :func:`genotyping.called`.
     """
     keys = ["graph_id", "sample_id"]
     rows = counts.join(samples.select("sample_id", F.col("depth").cast("double"), F.col("depth_sd").cast("double"), F.col("read_length").cast("double")), "sample_id").withColumn("ploidy", F.lit(ploidy))
-    each = cut(genotyping.called(rows), "breakpoint-calls")
+    each = cut(genotyping.called(rows, poisson=poisson), "breakpoint-calls")
     both = each.groupBy(*keys).agg(F.collect_list("gl").alias("_all"), F.max("n_alts").alias("n_alts"))
     gl = F.aggregate(F.slice("_all", F.lit(2), F.greatest(F.size("_all") - 1, F.lit(0))), F.get("_all", F.lit(0)), lambda s, x: F.zip_with(s, x, lambda a, b: F.greatest(a, b)))
     both = both.select(*keys, "n_alts", gl.alias("gl"))

@@ -74,6 +74,20 @@ def sample_fields(calls: DataFrame) -> DataFrame:
     }).drop("_pl", "_least")
 
 
+def matched(records: DataFrame, by_id: DataFrame, by_name: DataFrame, *, name: str = "id", id_key: str = ID_KEY) -> DataFrame:
+    """Which graphs records (record, info, and ``name``) belong to: record, matches, target and targets, as :func:`annotated` needs them.
+
+    A record whose info has ``id_key`` belongs to the graphs of that id (``by_id``: key, target), if there are any; else to those with a sequence of its name (``by_name``).
+    """
+    found = by_id.select(F.concat(F.lit("i:"), "key").alias("_key"), "target").unionByName(by_name.select(F.concat(F.lit("n:"), "key").alias("_key"), "target"))
+    found = found.groupBy("_key").agg(F.array_sort(F.collect_set("target")).alias("_targets"))
+    side = lambda n: found.select(F.col("_key").alias(f"_k{n}"), F.col("_targets").alias(f"_t{n}"))
+    rows = records.select("record", F.concat(F.lit("i:"), F.element_at("info", F.lit(id_key))).alias("_k1"), F.concat(F.lit("n:"), F.col(name)).alias("_k2"))
+    rows = rows.join(side(1), "_k1", "left").join(side(2), "_k2", "left").withColumn("targets", F.coalesce("_t1", "_t2", F.array().cast("array<string>")))
+    n = F.size("targets").cast("long")
+    return rows.select("record", n.alias("matches"), F.when(n == 1, F.get("targets", F.lit(0))).alias("target"), "targets")
+
+
 def annotated(records: DataFrame, found: DataFrame, fields: DataFrame, samples: list[str], *, id_key: str = ID_KEY) -> DataFrame:
     """Records with their samples' fields: chrom, pos, id, ref, alt, qual, filter, info, format and an array of sample texts in the order of ``samples``.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphcall import api
 from graphcall.functions import cigar
-from graphcall.operators import graphs, intervals, matching
+from graphcall.operators import genotyping, graphs, intervals, matching, vcf
 from graphcall.sources import files
 from graphcall.streaming import support
 
@@ -133,3 +133,19 @@ def test_alignment_strings_of_placements(spark):
     assert all(r.got == r.want for r in got.collect())
     codes = got.where("got <> ''").select("got", cigar.encoded(cigar.operations(F.col("got"))).alias("c")).withColumn("back", cigar.decoded(F.col("c")))
     assert all(r.got == r.back for r in codes.collect()) and {r.got: r.c for r in codes.collect()}["1S2M1X"] == [20, 32, 24]
+
+
+def test_records_find_their_graphs(spark):
+    rows = [("r1", {"GRAPH_ID": "g1"}, "n2"), ("r2", {"GRAPH_ID": "none"}, "n2"), ("r3", {}, "n1"), ("r4", {}, "n9"), ("r5", {}, None)]
+    by_id = spark.createDataFrame([("g1", "g1"), ("g2", "g2")], "key string, target string")
+    by_name = spark.createDataFrame([("n1", "g1"), ("n1", "g2"), ("n2", "g2")], "key string, target string")
+    found = vcf.matched(spark.createDataFrame(rows, "record string, info map<string,string>, id string"), by_id, by_name)
+    got = {r.record: (r.matches, r.target, r.targets) for r in found.collect()}
+    assert got == {"r1": (1, "g1", ["g1"]), "r2": (1, "g2", ["g2"]), "r3": (2, None, ["g1", "g2"]), "r4": (0, None, []), "r5": (0, None, [])}
+
+
+def test_poisson_depth(spark):
+    rows = spark.createDataFrame([(k, [n, 0], 40.0, 1000.0, 100.0, 2) for k, n in enumerate((34, 60, 12))], "k int, counts array<long>, depth double, depth_sd double, read_length double, ploidy int")
+    strict = {r.k: r.filters for r in genotyping.called(rows, poisson=True).collect()}
+    assert "BP_DEPTH" not in strict[0] and "BP_DEPTH" in strict[1] and "BP_DEPTH" in strict[2]
+    assert not any("BP_DEPTH" in r.filters for r in genotyping.called(rows).collect())
