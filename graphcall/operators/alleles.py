@@ -129,6 +129,27 @@ def shifted(variants: DataFrame, chunks: DataFrame, size: int, *, right: bool =
         window *= 4
 
 
+def variant_text(start: Column, end: Column, alt: Column) -> Column:
+    """How a variant is written: start-end:alt."""
+    return F.concat(start.cast("string"), F.lit("-"), end.cast("string"), F.lit(":"), alt)
+
+
+def site_alleles(variants: DataFrame, chunks: DataFrame, size: int, keys: list[str]) -> DataFrame:
+    """Variants (keys, contig, number, start, end, alt; 0-based) of a site as its alleles: keys, contig, first (place), alleles (the reference over the site, then each variant on it, by number).
+
+    A site reaches from the first to the last base of its variants; one that inserts counts with the base before it, if there is one. An allele without bases
+    is ``<DEL>``. The reference is read from chunks of ``size`` bases, over the sites only.
+    """
+    low = F.greatest(F.least("start", "end"), F.lit(0))
+    own = F.array_sort(F.collect_list(F.struct("number", "start", "end", "alt")))
+    rows = variants.groupBy(*keys, "contig").agg(F.min(low).cast("long").alias("first"), F.greatest(F.max("end"), F.min(low)).cast("long").alias("last"), own.alias("_own"))
+    found = interval_sequences(rows.select("contig", (F.col("first") + 1).alias("start"), (F.col("last") + 1).alias("stop")).distinct(), chunks, size)
+    rows = rows.join(found.select("contig", (F.col("start") - 1).alias("first"), (F.col("stop") - 1).alias("last"), "seq"), ["contig", "first", "last"])
+    made = lambda v: F.concat(F.left("seq", (v["start"] - F.col("first")).cast("int")), v["alt"], F.substring(F.col("seq"), (F.greatest(v["end"] + 1, v["start"]) - F.col("first") + 1).cast("int"), F.char_length("seq")))
+    texts = F.transform(F.concat(F.array("seq"), F.transform("_own", made)), lambda t: F.when(t == "", "<DEL>").otherwise(t))
+    return rows.select(*keys, "contig", "first", texts.alias("alleles"))
+
+
 VARIANT = "array<struct<start:bigint,stop:bigint,alt:string,at:bigint>>"
 
 

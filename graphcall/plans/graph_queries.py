@@ -544,6 +544,22 @@ def right_shift_in_chunks(v: Views) -> DataFrame:
     return _repeats(v, True)
 
 
+@query(f"""WITH {_CONTIGS}, c AS (SELECT contig, string_agg(seq, '' ORDER BY k) AS whole FROM o GROUP BY contig),
+x AS (SELECT id, o.contig, k * 20 + id % 5 AS at0, k * 20 + id % 5 + id % 4 - 1 AS end0, CASE WHEN id % 3 = 0 AND id % 4 > 0 THEN '' ELSE 'GA' END AS alt, whole FROM o JOIN c USING (contig)), y AS (SELECT * FROM x WHERE end0 + 2 < length(whole)),
+s AS (SELECT id // 4 AS site, contig, whole, min(greatest(least(at0, end0), 0)) AS first, max(end0) AS last FROM y GROUP BY 1, 2, 3),
+t AS (SELECT s.site, s.contig, s.first, y.id, substring(s.whole, CAST(first + 1 AS BIGINT), CAST(at0 - first AS BIGINT)) || alt || substring(s.whole, CAST(greatest(end0 + 1, at0) + 1 AS BIGINT), CAST(last - greatest(end0 + 1, at0) + 1 AS BIGINT)) AS text, substring(s.whole, CAST(first + 1 AS BIGINT), CAST(last - first + 1 AS BIGINT)) AS ref FROM s JOIN y ON y.id // 4 = s.site)
+SELECT site, contig, CAST(first AS BIGINT) AS first, any_value(ref) || '|' || string_agg(CASE WHEN text = '' THEN '<DEL>' ELSE text END, '|' ORDER BY id) AS alleles FROM t GROUP BY site, contig, first""")
+def site_alleles(v: Views) -> DataFrame:
+    """Four variants a site, on every contig."""
+    rows = _contigs(v)
+    start, i = F.col("k") * 20 + F.col("id") % 5, F.col("id")
+    made = rows.select("contig", i.alias("number"), F.expr("id div 4").alias("site"), start.alias("start"), (start + i % 4 - 1).alias("end"), F.when((i % 3 == 0) & (i % 4 > 0), "").otherwise("GA").alias("alt"))
+    whole = _joined(rows)
+    made = made.join(whole.select("contig", F.char_length("seq").alias("n")), "contig").where("end + 2 < n").drop("n")
+    found = alleles.site_alleles(made, files.chunked(whole, 100), 100, ["site"])
+    return found.select("site", "contig", "first", F.array_join("alleles", "|").alias("alleles"))
+
+
 # Graphs from variants: deletions, insertions and replacements of a block.
 
 BLOCKS = "s AS (SELECT id % 60 AS block, id, pos AS start, pos + CASE WHEN id % 3 = 1 THEN -1 ELSE length(ref) - 1 END AS stop, CASE WHEN id % 3 = 0 THEN '' ELSE alt END AS alt FROM variants)"
