@@ -134,6 +134,9 @@ class _Filled:
         self.ends = np.zeros(n, np.int64)  # nodes that the best score ends in
         self.score: dict[int, list[np.ndarray]] = {}
         self.gap: dict[int, list[np.ndarray]] = {}
+        self.tops: list[np.ndarray] = []  # of each position, the best score that ends there
+        self.columns: list[tuple[int, int]] = []
+        self.every: np.ndarray | None = None
         step, low = np.arange(longest + 1) * -GAP_EXTEND, -(10**6)
         last: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for name, bases in self.nodes:
@@ -153,6 +156,9 @@ class _Filled:
                     self.score.setdefault(name, []).append(h)
                     self.gap.setdefault(name, []).append(gap)
                 own = h.max(axis=1)
+                if keep:
+                    self.tops.append(own)
+                    self.columns.append((name, k))
                 place = np.where(own > top, k, place)
                 top = np.maximum(top, own)
             last[name] = (h, gap)
@@ -162,7 +168,9 @@ class _Filled:
 
     def places(self, row: int) -> list[tuple[int, int]]:
         """(node, position) of all columns that reach the best score of a read; needs kept scores."""
-        return [(name, k) for name, table in self.score.items() for k, h in enumerate(table) if int(h[row].max()) == int(self.best[row])]
+        if self.every is None:
+            self.every = np.stack(self.tops, axis=1)
+        return [self.columns[k] for k in np.flatnonzero(self.every[row] == self.best[row]).tolist()]
 
     def trace(self, row: int) -> tuple[int, str]:
         """Where the best alignment of a read begins in its first node, and its graph CIGAR such as 0[8M]1[4M1X3M]3[8M].
