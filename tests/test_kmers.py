@@ -71,7 +71,7 @@ def test_reads_that_miss_a_node(spark):
     parts = {0: "ACGTTGCAAGGC", 1: "TTACCGATAGCA", 2: "GGATTCCAGTAC", 3: "CATGACCTTGAA"}
     nodes = spark.createDataFrame([("g", k, s) for k, s in parts.items()], "graph_id string, node long, seq string")
     edges = spark.createDataFrame([("g", *e) for e in ((0, 1), (1, 3), (0, 2), (2, 3))], "graph_id string, a long, b long")
-    unique = kmers.unique_kmers(kmers.graph_kmers(nodes, edges, spark.createDataFrame([("g", 5)], "graph_id string, k int")))
+    unique = kmers.unique_kmers(kmers.graph_kmers(nodes, edges, spark.createDataFrame([("g", 8)], "graph_id string, k int")))
     ref = parts[0] + parts[1] + parts[3]
     wrong = parts[0] + "".join("ACGT"["ACGT".index(c) - 1] if k % 3 == 0 or k == 11 else c for k, c in enumerate(parts[1])) + parts[3]
     rows = [
@@ -88,7 +88,7 @@ def test_third_rule_of_supports(spark):
     described = spark.createDataFrame([("g", [(k, n, s) for k, (n, s) in enumerate(zip(("LF", "MID", "RF"), parts, strict=True))], [(0, 1, "LF_MID", ["REF"]), (1, 2, "MID_RF", ["REF"]), (0, 2, "LF_RF", ["DEL"])])],
                                       "graph_id string, nodes array<struct<id:long,name:string,seq:string>>, edges array<struct<a:long,b:long,name:string,labels:array<string>>>")
     whole = "".join(parts)
-    other = "".join("ACGT"["ACGT".index(c) - 1] if k in (43, 47) else c for k, c in enumerate(whole))
+    other = "".join("ACGT"["ACGT".index(c) - 1] if k in (40, 46, 51) else c for k, c in enumerate(whole))
     back = whole[20:75][::-1].translate(str.maketrans("ACGT", "TGCA"))
     reads = spark.createDataFrame([("g", "a", whole[20:75]), ("g", "b", other[5:90]), ("g", "c", back)], "graph_id string, fragment_id string, seq string")
     aligned = alignment.graph_alignments(reads, described.select("graph_id", "nodes", "edges"))
