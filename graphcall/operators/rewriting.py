@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphcall.operators.storage import cut
+from graphcall.operators.storage import cut, shuffled
 
 
 def _named(nodes: DataFrame, keys: list[str], end: str, *columns: str) -> DataFrame:
@@ -70,32 +70,32 @@ def with_variants(nodes: DataFrame, edges: DataFrame, variants: DataFrame, keys:
     """
     size = F.col("stop") - F.col("start") + 1
     own = nodes.select(*keys, "node", F.col("start").alias("_from"), size.alias("_size"), "chrom")
-    rows = variants.select(*keys, "node", "start", "stop", F.coalesce("alt", F.lit("")).alias("alt")).distinct().join(own, [*keys, "node"])
+    rows = variants.select(*keys, "node", "start", "stop", F.coalesce("alt", F.lit("")).alias("alt")).distinct().join(shuffled(own), [*keys, "node"])
     wrong = (F.col("start") > F.col("stop") + 1) | ((F.col("start") == F.col("stop") + 1) & (F.col("alt") == "")) | (F.col("start") < 0) | (F.col("stop") >= F.col("_size"))
     rows = cut(rows.where(F.when(wrong, F.raise_error(F.lit("a variant doesn't fit its node")).cast("boolean")).otherwise(True)))
     cuts = rows.select(*keys, "node", F.explode(F.array("start", F.col("stop") + 1)).alias("at")).distinct()
     order = Window.partitionBy(*keys, "node").orderBy("at")
     # One piece before each cut, and one behind the last.
     ends = cuts.withColumns({"piece": F.row_number().over(order) - 1, "low": F.coalesce(F.lag("at").over(order), F.lit(0)), "high": F.col("at") - 1})
-    last = cuts.groupBy(*keys, "node").agg(F.max("at").alias("low"), F.count("*").cast("int").alias("piece")).join(own.select(*keys, "node", (F.col("_size") - 1).alias("high")), [*keys, "node"])
+    last = cuts.groupBy(*keys, "node").agg(F.max("at").alias("low"), F.count("*").cast("int").alias("piece")).join(shuffled(own.select(*keys, "node", (F.col("_size") - 1).alias("high"))), [*keys, "node"])
     pieces = cut(ends.select(*keys, "node", "piece", "low", "high").unionByName(last.select(*keys, "node", "piece", "low", "high")))
     name = lambda n, k: F.concat_ws(".", n, k.cast("string"))
-    split = pieces.join(nodes, [*keys, "node"])
+    split = pieces.join(shuffled(nodes), [*keys, "node"])
     seq = F.when(~F.col("is_ref"), F.substring(F.col("seq"), (F.col("low") + 1).cast("int"), (F.col("high") - F.col("low") + 1).cast("int")))
     new = split.select(*keys, name(F.col("node"), F.col("piece")).alias("node"), "chrom", (F.col("start") + F.col("low")).alias("start"), (F.col("start") + F.col("high")).alias("stop"), "is_ref", seq.alias("seq"), "labels")
     called = F.concat("node", F.lit(":"), F.col("start").cast("string"), F.lit("-"), F.col("stop").cast("string"), F.lit(":"), "alt")
     none = F.array().cast("array<string>")
     made = rows.select(*keys, called.alias("node"), "chrom", (F.col("_from") + F.col("start")).alias("start"), (F.col("_from") + F.col("stop")).alias("stop"), F.lit(False).alias("is_ref"), F.col("alt").alias("seq"), none.alias("labels"))
-    rest = nodes.join(pieces.select(*keys, "node").distinct(), [*keys, "node"], "left_anti")
+    rest = nodes.join(shuffled(pieces.select(*keys, "node").distinct()), [*keys, "node"], "left_anti")
     out_nodes = rest.select(*made.columns).unionByName(new).unionByName(made)
 
     tail = last.select(*keys, F.col("node").alias("a"), name(F.col("node"), F.col("piece")).alias("_a"))
     head = last.select(*keys, F.col("node").alias("b"), name(F.col("node"), F.lit(0)).alias("_b"))
-    kept = edges.join(tail, [*keys, "a"], "left").join(head, [*keys, "b"], "left").select(*keys, F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"), "labels")
+    kept = edges.join(shuffled(tail), [*keys, "a"], "left").join(shuffled(head), [*keys, "b"], "left").select(*keys, F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"), "labels")
     along = pieces.where("piece > 0").select(*keys, name(F.col("node"), F.col("piece") - 1).alias("a"), name(F.col("node"), F.col("piece")).alias("b"), none.alias("labels"))
-    into = rows.join(ends.select(*keys, "node", F.col("at").alias("start"), "piece"), [*keys, "node", "start"]).select(*keys, name(F.col("node"), F.col("piece")).alias("a"), called.alias("b"), none.alias("labels"))
+    into = rows.join(shuffled(ends.select(*keys, "node", F.col("at").alias("start"), "piece")), [*keys, "node", "start"]).select(*keys, name(F.col("node"), F.col("piece")).alias("a"), called.alias("b"), none.alias("labels"))
     behind = ends.select(*keys, "node", (F.col("at") - 1).alias("stop"), (F.col("piece") + 1).alias("piece"))
-    out = rows.join(behind, [*keys, "node", "stop"]).select(*keys, called.alias("a"), name(F.col("node"), F.col("piece")).alias("b"), none.alias("labels"))
+    out = rows.join(shuffled(behind), [*keys, "node", "stop"]).select(*keys, called.alias("a"), name(F.col("node"), F.col("piece")).alias("b"), none.alias("labels"))
     return out_nodes, kept.unionByName(along).unionByName(into).unionByName(out)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphcall.operators import rewriting
+from graphcall.operators.storage import shuffled
 from graphcall.plans.graph_queries import BLOCKS, _blocks
 from graphcall.plans.registry import Views, query
 
@@ -62,7 +63,7 @@ def _called(v: Views) -> tuple[DataFrame, DataFrame, DataFrame]:
     own = v.bases.select((i % 60).alias("graph_id"), i.cast("string").alias("node"), "id", "seq")
     none = F.array().cast("array<string>")
     nodes = own.select("graph_id", "node", F.lit("c").alias("chrom"), F.lit(0).cast("long").alias("start"), (n - 1).cast("long").alias("stop"), F.lit(False).alias("is_ref"), "seq", none.alias("labels"))
-    edges = own.join(own.select((i - 60).alias("id"), F.col("node").alias("b")), "id").select("graph_id", F.col("node").alias("a"), "b", none.alias("labels"))
+    edges = own.join(shuffled(own.select((i - 60).alias("id"), F.col("node").alias("b"))), "id").select("graph_id", F.col("node").alias("a"), "b", none.alias("labels"))
     one = own.select("graph_id", "node", (i % 4).alias("start"), (i % 4 + i % 3 - 1).alias("stop"), F.when((i % 3 == 0) | (i % 2 == 0), "TTG").otherwise("").alias("alt"))
     return nodes, edges, one.unionByName(own.select("graph_id", "node", (n - 2).cast("long").alias("start"), (n - 1).cast("long").alias("stop"), F.lit("").alias("alt")))
 
