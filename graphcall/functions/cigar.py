@@ -67,12 +67,20 @@ def edge_supported(left: Column, left_length: Column, right: Column, right_lengt
 def of_placement(read: Column, ref: Column) -> Column:
     """The alignment string of a read on a stretch of equal length: runs of equal bases (M), bases that differ (X) and Ns on either side (N), with Ns of the stretch at its ends clipped (S)."""
     n = F.least(F.char_length(read), F.char_length(ref))
-    left = n - F.char_length(F.ltrim(F.left(ref, n), F.lit("N")))
-    right = F.when(left == n, F.lit(0)).otherwise(n - F.char_length(F.rtrim(F.left(ref, n), F.lit("N"))))
-    a, b = (lambda s, i: F.substring(s, i, F.lit(1))), F.lit("N")
-    letter = lambda i: F.when((i <= left) | (i > n - right), "S").when((a(read, i) == b) | (a(ref, i) == b), "N").when(a(read, i) == a(ref, i), "M").otherwise("X")
-    ops = F.transform(F.slice(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.lit(1), n), letter)
-    return packed_runs(ops)
+    # Each part is bound before what is made of it, so that it is made once for a row and not once for a base.
+    let = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))
+    letters = lambda s, n: F.slice(F.split(s, ""), F.lit(1), n)
+
+    def clipped(x: Column) -> Column:
+        left = x["n"] - F.char_length(F.ltrim(x["ref"], F.lit("N")))
+        right = F.when(left == x["n"], F.lit(0)).otherwise(x["n"] - F.char_length(F.rtrim(x["ref"], F.lit("N"))))
+        return F.struct(x["n"].alias("n"), left.alias("left"), right.alias("right"), letters(x["read"], x["n"]).alias("a"), letters(x["ref"], x["n"]).alias("b"))
+
+    def runs(x: Column) -> Column:
+        pairs = F.zip_with(x["a"], x["b"], lambda a, b: F.when((a == "N") | (b == "N"), "N").when(a == b, "M").otherwise("X"))
+        return packed_runs(F.transform(pairs, lambda op, i: F.when((i < x["left"]) | (i >= x["n"] - x["right"]), "S").otherwise(op)))
+
+    return let(let(F.struct(read.alias("read"), F.left(ref, n).alias("ref"), n.alias("n")), clipped), runs)
 
 
 def packed_runs(ops: Column) -> Column:

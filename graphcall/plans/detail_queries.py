@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphcall.functions import cigar
 from graphcall.operators import counting, genotyping, graphs, intervals, matching
+from graphcall.operators.storage import dealt
 from graphcall.plans.genotype_queries import _ERF
 from graphcall.plans.read_queries import REASON, _reason
 from graphcall.plans.registry import Views, query
@@ -122,8 +123,10 @@ SELECT id, cigar, codes FROM e""")
 def placement_cigars(v: Views) -> DataFrame:
     """Every sequence turned round on itself with Ns in front: the alignment string, and the sum of its codes."""
     text = cigar.of_placement(F.reverse("seq"), F.concat(F.lit("NNN"), F.substring(F.col("seq"), F.lit(4), F.char_length("seq"))))
-    rows = v.bases.select("id", text.alias("cigar")).withColumn("codes", cigar.encoded(cigar.operations(F.col("cigar"))))
-    return rows.where(cigar.decoded(F.col("codes")) == F.col("cigar")).select("id", "cigar", F.aggregate("codes", F.lit(0).cast("long"), lambda s, c: s + c).alias("codes"))
+    # An array of one row: text and codes are made once, where a filter on columns would be moved down and make them again.
+    made = F.transform(F.array(text), lambda t: F.struct(t.alias("cigar"), cigar.encoded(cigar.operations(t)).alias("codes")))
+    rows = dealt(v.bases).select("id", F.inline(F.filter(made, lambda x: cigar.decoded(x["codes"]) == x["cigar"])))
+    return rows.select("id", "cigar", F.aggregate("codes", F.lit(0).cast("long"), lambda s, c: s + c).alias("codes"))
 
 
 @query("""WITH RECURSIVE ed AS (SELECT graph_id, a, b FROM edges UNION SELECT graph_id, b, a FROM edges WHERE label = 'ALT' AND a % 3 = 0), nd AS (SELECT n_regionkey AS graph_id, n_nationkey AS node, CASE WHEN n_nationkey % 4 > 0 THEN 'A' END AS seq FROM nation UNION ALL SELECT n_regionkey, n_nationkey, 'A' FROM nation WHERE n_nationkey % 7 = 0),
