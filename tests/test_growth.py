@@ -28,3 +28,16 @@ def test_exact_path_match_meets_all_contigs(spark):
     """Every row stands on its own contig, and some stand on others too."""
     q = __spark_entry__.queries()["exact_path_match"](spark, "/root/testdata/sf0.1")
     assert q.count() > q.where("path = read div 40").count() == 20000
+
+
+@pytest.mark.parametrize("name", ["placement_cigars", "cigar_variants", "global_alignment", "kmer_stats"])
+def test_rows_are_dealt_before_costly_work(spark, name):
+    """One small file is one task, however much work its rows are."""
+    text = plan(__spark_entry__.queries()[name](spark, SMALL))
+    assert f"RoundRobinPartitioning({spark.conf.get('spark.sql.shuffle.partitions')})" in text
+
+
+def test_placement_text_is_made_once(spark):
+    """Moved down, the filter made every row's alignment string again, several times."""
+    text = plan(__spark_entry__.queries()["placement_cigars"](spark, SMALL))
+    assert text.count("regexp_extract_all(") == 1
