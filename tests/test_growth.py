@@ -41,3 +41,16 @@ def test_placement_text_is_made_once(spark):
     """Moved down, the filter made every row's alignment string again, several times."""
     text = plan(__spark_entry__.queries()["placement_cigars"](spark, SMALL))
     assert text.count("regexp_extract_all(") == 1
+
+
+def test_equal_reads_are_aligned_once(spark):
+    import pandas as pd
+
+    assert alignment._distinct(pd.Series(["AC", None, "AC", "N", "G"])) == (["AC", "N", "G"], [0, 1, 0, 1, 2])
+
+
+def test_scores_are_narrow_where_reads_are_short():
+    filled = alignment._Filled(["ACGT"], [(0, "ACGT")], [], True)
+    assert filled.score[0].dtype == "int16" and filled.best.tolist() == [4] and filled.trace(0) == (0, "0[4M]")
+    long = alignment._Filled(["ACGT" * 2100], [(0, "ACGT")], [], True)
+    assert long.score[0].dtype == "int32" and long.best.tolist() == [4]
