@@ -54,3 +54,12 @@ def test_scores_are_narrow_where_reads_are_short():
     assert filled.score[0].dtype == "int16" and filled.best.tolist() == [4] and filled.trace(0) == (0, "0[4M]")
     long = alignment._Filled(["ACGT" * 2100], [(0, "ACGT")], [], True)
     assert long.score[0].dtype == "int32" and long.best.tolist() == [4]
+
+
+def test_alignment_keeps_its_tasks(spark):
+    """Adaptive execution joins small partitions, and alignment of few bytes takes long; a named number stays."""
+    graph = spark.createDataFrame([(1, [(0, "ACGTTGCA")], [])], "graph_id long, nodes array<struct<id:long,seq:string>>, edges array<struct<a:long,b:long>>")
+    reads = spark.createDataFrame([(1, 1, "CGTTG"), (1, 2, "CGTTG"), (1, 3, None)], "graph_id long, id long, seq string")
+    found = alignment.graph_alignments(reads, graph)
+    assert plan(found).count("REPARTITION_BY_NUM") == 2
+    assert sorted((r.id, r.score, r.graph_cigar) for r in found.collect())[:2] == [(1, 5, "0[5M]"), (2, 5, "0[5M]")]
