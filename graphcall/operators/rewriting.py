@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from graphcall.operators import intervals
 from graphcall.operators.storage import cut, shuffled
 
 
@@ -176,6 +177,16 @@ def haplotype_edges(nodes: DataFrame, keys: list[str], *, alleles: bool = False)
     return pairs.join(labelled, [*keys, "a", "b"], "left").withColumn("labels", F.coalesce("labels", F.array().cast("array<string>")))
 
 
+def _each(labels: str) -> Column:
+    """A row ``_one`` for each label, null for a row without labels."""
+    return F.explode_outer(F.transform(labels, lambda x: F.struct(x.alias("label")))).alias("_one")
+
+
+def _sets(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Labels of :func:`_each` as one sorted array a key; equal ones are met before their shuffle."""
+    return rows.groupBy(*keys).agg(F.array_sort(F.transform(F.collect_set("_one"), lambda x: x["label"])).alias("labels"))
+
+
 def haplotype_nodes(variants: DataFrame, keys: list[str], chrom: Column, *, padding: int = 150) -> DataFrame:
     """Reference and alternative nodes of graphs of variants (keys, start, stop, alt, haplotypes, ref_haplotypes), with the haplotypes that carry them as labels.
 
@@ -184,13 +195,17 @@ def haplotype_nodes(variants: DataFrame, keys: list[str], chrom: Column, *, padd
     """
     span = variants.groupBy(*keys).agg(F.greatest(F.min("start") - padding, F.lit(0)).alias("low"), (F.max("stop") + padding + 1).alias("high"))
     cuts = variants.select(*keys, F.explode(F.array("start", F.col("stop") + 1)).alias("start")).unionByName(span.select(*keys, F.explode(F.array("low", "high")).alias("start"))).distinct()
-    pieces = cuts.withColumn("stop", F.lead("start").over(Window.partitionBy(*keys).orderBy("start")) - 1).where("stop IS NOT NULL")
+    order = Window.partitionBy(*keys).orderBy("start")
+    pieces = cut(cuts.withColumns({"stop": F.lead("start").over(order) - 1, "_n": F.row_number().over(order)}).where("stop IS NOT NULL"), "pieces")
     none = F.array().cast("array<string>")
-    # A variant's own ends are cuts, so it covers whole pieces; those are met one by one.
-    support = variants.where("stop >= start").select(*keys, F.col("start").alias("v_start"), F.col("stop").alias("v_stop"), "ref_haplotypes")
-    over = pieces.join(support, keys).where("start >= v_start AND stop <= v_stop").groupBy(*keys, "start", "stop").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ref_haplotypes")))).alias("labels"))
+    # A variant's own ends are cuts, so what a label's variants cover are whole pieces, from the one that begins with it to the one that ends with it; each is met once.
+    support = variants.where("stop >= start").select(*keys, "start", "stop", _each("ref_haplotypes")).where("_one IS NOT NULL").distinct()
+    spans = intervals.merged(support.withColumn("id", F.lit(0)), [*keys, "_one"])
+    first, last = pieces.select(*keys, "start", F.col("_n").alias("_low")), pieces.select(*keys, "stop", F.col("_n").alias("_high"))
+    met = spans.join(shuffled(first), [*keys, "start"]).join(shuffled(last), [*keys, "stop"])
+    over = _sets(met.select(*keys, "_one", F.explode(F.sequence("_low", "_high")).alias("_n")), [*keys, "_n"])
     place = lambda p: F.concat_ws("-", F.lit(p), F.col("start").cast("string"), F.col("stop").cast("string"))
     own = [] if "chrom" in keys else [chrom.alias("chrom")]
-    ref = pieces.join(over, [*keys, "start", "stop"], "left").select(*keys, place("ref").alias("node"), *own, "start", "stop", F.lit(True).alias("is_ref"), F.lit(None).cast("string").alias("seq"), F.coalesce("labels", none).alias("labels"))
-    alt = variants.groupBy(*keys, "start", "stop", "alt").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("haplotypes")))).alias("labels"))
+    ref = pieces.join(shuffled(over), [*keys, "_n"], "left").select(*keys, place("ref").alias("node"), *own, "start", "stop", F.lit(True).alias("is_ref"), F.lit(None).cast("string").alias("seq"), F.coalesce("labels", none).alias("labels"))
+    alt = _sets(variants.select(*keys, "start", "stop", "alt", _each("haplotypes")), [*keys, "start", "stop", "alt"])
     return ref.unionByName(alt.select(*keys, F.concat_ws(":", place("alt"), "alt").alias("node"), *own, "start", "stop", F.lit(False).alias("is_ref"), F.col("alt").alias("seq"), "labels"))

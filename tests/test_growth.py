@@ -1,8 +1,12 @@
 """Steps that must hold at sizes that Spark's own estimates don't tell."""
 
+import random
+import re
+
 import __spark_entry__
 import pytest
-from graphcall.operators import alignment
+from graphcall.operators import alignment, rewriting
+from pyspark.sql import functions as F
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -63,3 +67,29 @@ def test_alignment_keeps_its_tasks(spark):
     found = alignment.graph_alignments(reads, graph)
     assert plan(found).count("REPARTITION_BY_NUM") == 2
     assert sorted((r.id, r.score, r.graph_cigar) for r in found.collect())[:2] == [(1, 5, "0[5M]"), (2, 5, "0[5M]")]
+
+
+def test_pieces_meet_variants_by_place(spark):
+    """Joined by graph alone, pieces and variants make all pairs of a graph."""
+    joins = re.findall(r"Join (\[.*?\]), \[", plan(__spark_entry__.queries()["haplotype_graph_nodes"](spark, SMALL)))
+    assert joins and all("," in keys for keys in joins)
+
+
+def test_labels_of_pieces_under_overlapping_variants(spark):
+    rng = random.Random(5)
+    rows, want = [], {}
+    for g in range(12):
+        own = []
+        for _ in range(rng.randint(1, 9)):
+            start = 200 + rng.randint(0, 60)
+            who = rng.choice([None, [], ["h1"], ["h2", "h1"], ["h3", "h3"], ["h2"]])
+            own.append((g, start, start + rng.choice([-1, 0, 3, 20, 45]), rng.choice(["", "AC"]), rng.choice([None, [], ["x"], ["y", "x"]]), who))
+        rows += own
+        cuts = sorted({x for v in own for x in (v[1], v[2] + 1)} | {min(v[1] for v in own) - 150, max(v[2] for v in own) + 151})
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            want[g, f"ref-{a}-{b - 1}"] = sorted({x for v in own if v[1] <= a and b - 1 <= v[2] for x in v[5] or []})
+        for v in own:
+            want[g, f"alt-{v[1]}-{v[2]}:{v[3]}"] = sorted({x for u in own if u[1:4] == v[1:4] for x in u[4] or []})
+    frame = spark.createDataFrame(rows, "g long, start long, stop long, alt string, haplotypes array<string>, ref_haplotypes array<string>")
+    got = rewriting.haplotype_nodes(frame, ["g"], F.lit("c")).collect()
+    assert {(r.g, r.node): r.labels for r in got} == want and len(got) == len(want)
