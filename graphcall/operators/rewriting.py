@@ -146,10 +146,12 @@ def haplotype_edges(nodes: DataFrame, keys: list[str], *, alleles: bool = False)
     begins behind it, but insertions not to insertions. A haplotype that no step leads out of one of its nodes, or into it, may take
     all ways there are; ways out are opened first, and what they open counts for ways in.
     """
-    place = nodes.select(*keys, "node", "start", "stop", "is_ref", "labels")
+    place = cut(nodes.select(*keys, "node", "start", "stop", "is_ref", "labels"), "haplotype-nodes")
     end = lambda d, e, at: d.select(*keys, F.col("node").alias(e), F.col("is_ref").alias(f"{e}_ref"), (F.col("stop") < F.col("start")).alias(f"{e}_empty"), at.alias("at"))
     left, right = end(place, "a", F.col("stop") + 1), end(place, "b", F.col("start"))
-    touching = cut(left.join(right, [*keys, "at"]).where("a <> b").drop("at"), "touching-nodes")
+    # Pairs of alternatives that no edge can come from are left out at once: at one place they are all pairs.
+    wanted = "a_ref OR b_ref OR NOT (a_empty AND b_empty)" if alleles else "a_ref OR b_ref"
+    touching = cut(left.join(right, [*keys, "at"]).where("a <> b").where(wanted).drop("at"), "touching-nodes")
     along = touching.where("a_ref AND b_ref AND NOT a_empty AND NOT b_empty").select(*keys, "a", "b")
 
     carried = place.select(*keys, "node", "start", "stop", F.explode("labels").alias("label")).where("label IS NOT NULL").distinct()
@@ -159,7 +161,7 @@ def haplotype_edges(nodes: DataFrame, keys: list[str], *, alleles: bool = False)
 
     alts = touching.where("NOT b_ref AND a_ref"), touching.where("NOT a_ref AND b_ref")
     if alleles:
-        beyond = touching.where("NOT a_ref AND NOT b_ref AND NOT (a_empty AND b_empty)")
+        beyond = touching.where("NOT a_ref AND NOT b_ref")
         plain = alts[0].select(*keys, "a", "b").unionByName(alts[1].select(*keys, "a", "b")).unionByName(beyond.select(*keys, "a", "b"))
     else:
         into = alts[0].join(steps.select(*keys, "b").distinct(), [*keys, "b"], "left_anti")

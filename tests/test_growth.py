@@ -93,3 +93,18 @@ def test_labels_of_pieces_under_overlapping_variants(spark):
     frame = spark.createDataFrame(rows, "g long, start long, stop long, alt string, haplotypes array<string>, ref_haplotypes array<string>")
     got = rewriting.haplotype_nodes(frame, ["g"], F.lit("c")).collect()
     assert {(r.g, r.node): r.labels for r in got} == want and len(got) == len(want)
+
+
+@pytest.mark.parametrize("alleles", [False, True])
+def test_haplotype_edges_compute_nodes_once(spark, alleles, monkeypatch):
+    """However dear nodes are, each is made once; insertions at one place are not all met with each other."""
+    made, written = spark.sparkContext.accumulator(0), {}
+    seen = F.udf(lambda n: made.add(1) is None, "boolean").asNondeterministic()
+    variants = [(1, 200, 199, "A" * (k + 1), [f"h{k % 3}"], []) for k in range(30)]
+    frame = spark.createDataFrame(variants, "g long, start long, stop long, alt string, haplotypes array<string>, ref_haplotypes array<string>")
+    nodes = rewriting.haplotype_nodes(frame, ["g"], F.lit("c")).where(seen("node"))
+    real = rewriting.cut
+    monkeypatch.setattr(rewriting, "cut", lambda df, name="step": written.setdefault(name, real(df, name)))
+    edges = rewriting.haplotype_edges(nodes, ["g"], alleles=alleles).collect()
+    assert made.value == 32
+    assert written["touching-nodes"].count() == 61 and len(edges) == (88 if alleles else 34)
