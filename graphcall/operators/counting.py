@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphcall.operators import intervals, ordered
+from graphcall.operators.storage import cut, dealt, shuffled
 
 
 def fragments(reads: DataFrame, keys: list[str], *, id_col: str = "fragment_id", elements: str = "element", reverse: str = "is_reverse") -> DataFrame:
@@ -94,25 +95,28 @@ def filter_reason(rules: list[tuple[str, Column]]) -> Column:
     return F.coalesce(*[F.when(rule, F.lit(name)) for name, rule in rules])
 
 
-def coverage(nodes: DataFrame, bases: DataFrame, node: str, *, quality: str = "qual") -> DataFrame:
+def coverage(nodes: DataFrame, bases: DataFrame, node: str, *, quality: str = "qual", width: int = 1024) -> DataFrame:
     """One row for each base of each node (``node``, seq): offset, cpos, base, and depth that matches (ref) and differs (other).
 
     ``bases`` has ``node``, offset, is_ref, is_reverse and a quality. Depths are whole and weighted by quality (w), together and by strand. ``cpos`` counts
-    the bases of the nodes before; its running sum goes over ranges of the nodes.
+    the bases of the nodes before; its running sum goes over ranges of the nodes. Sequences are cut into chunks of ``width``, which are dealt out; a row
+    carries its own base only.
     """
     weight = 1 - F.pow(F.lit(10.0), -F.col(quality) / 10)
     cases = {"ref_fwd": F.col("is_ref") & ~F.col("is_reverse"), "ref_rev": F.col("is_ref") & F.col("is_reverse"), "other_fwd": ~F.col("is_ref") & ~F.col("is_reverse"), "other_rev": ~F.col("is_ref") & F.col("is_reverse")}
     depth = bases.groupBy(node, "offset").agg(*[F.count_if(c).alias(n) for n, c in cases.items()], *[F.sum(F.when(c, weight).otherwise(0.0)).alias(f"w{n}") for n, c in cases.items()])
-    size = F.char_length("seq")
+    nodes, size = cut(nodes.select(node, "seq"), "nodes"), F.char_length("seq")
     starts = ordered.sliced(nodes.select(node, size.cast("long").alias("_size"), F.lit(0).alias("_all")), ["_all"], [node])
     starts = ordered.running(starts, ["_all"], [node], sums={"_upto": F.col("_size")}).select(node, (F.col("_upto") - F.col("_size")).alias("_before"))
-    cells = nodes.where(size > 0).join(starts, node).select(node, "seq", "_before", F.explode(F.sequence(F.lit(0).cast("long"), (size - 1).cast("long"))).alias("offset"))
-    rows = cells.join(depth, [node, "offset"], "left")
+    chunks = nodes.where(size > 0).join(shuffled(starts), node).select(node, "_before", F.posexplode(F.regexp_extract_all("seq", F.lit(f"(?s).{{1,{width}}}"), F.lit(0))).alias("_chunk", "_part"))
+    cells = dealt(chunks).select(node, "_before", "_chunk", "_part", F.explode(F.sequence(F.lit(0), F.char_length("_part") - 1)).alias("_at"))
+    cells = cells.select(node, "_before", (F.col("_chunk").cast("long") * width + F.col("_at")).alias("offset"), F.substring(F.col("_part"), F.col("_at") + 1, F.lit(1)).alias("base"))
+    rows = cells.join(shuffled(depth), [node, "offset"], "left")
     zero = {n: F.coalesce(n, F.lit(0).cast("long")) for n in cases} | {f"w{n}": F.coalesce(f"w{n}", F.lit(0.0)) for n in cases}
     rows = rows.withColumns(zero)
     both = {f"{w}{n}": F.col(f"{w}{n}_fwd") + F.col(f"{w}{n}_rev") for w in ("", "w") for n in ("ref", "other")}
     kinds = [f"{w}{n}{s}" for w in ("", "w") for n in ("ref", "other") for s in ("", "_fwd", "_rev")]
-    return rows.withColumns(both).select(node, "offset", (F.col("_before") + F.col("offset")).alias("cpos"), F.substring(F.col("seq"), (F.col("offset") + 1).cast("int"), F.lit(1)).alias("base"), *kinds)
+    return rows.withColumns(both).select(node, "offset", (F.col("_before") + F.col("offset")).alias("cpos"), "base", *kinds)
 
 
 def fragment_statistics(frags: DataFrame, keys: list[str]) -> DataFrame:

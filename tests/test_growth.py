@@ -5,7 +5,7 @@ import re
 
 import __spark_entry__
 import pytest
-from graphcall.operators import alignment, rewriting
+from graphcall.operators import alignment, counting, rewriting
 from pyspark.sql import functions as F
 
 SMALL = "/root/testdata/sf0.001"
@@ -108,3 +108,22 @@ def test_haplotype_edges_compute_nodes_once(spark, alleles, monkeypatch):
     edges = rewriting.haplotype_edges(nodes, ["g"], alleles=alleles).collect()
     assert made.value == 32
     assert written["touching-nodes"].count() == 61 and len(edges) == (88 if alleles else 34)
+
+
+def test_coverage_cells_carry_no_sequence(spark):
+    """A row a base that carries its node's whole sequence grows with the square of the sequence, in every shuffle."""
+    text = plan(__spark_entry__.queries()["node_coverage"](spark, SMALL))
+    carried = re.findall(r"Generate .*, \[([^\]]*)\], (?:true|false), \[", text)
+    assert len(carried) == 2 and not any("seq#" in columns for columns in carried)
+
+
+def test_coverage_over_chunks(spark):
+    texts = {"a": "ACGTNacgé\n😀TT", "b": "", "c": None, "d": "G", "e": "ACGTA"}
+    nodes = spark.createDataFrame(list(texts.items()), "node string, seq string")
+    seen = [("a", 9, True, False, 10), ("a", 9, True, True, 20), ("a", 12, False, False, 10), ("e", 4, False, True, 30), ("e", 5, True, False, 30)]
+    bases = spark.createDataFrame(seen, "node string, offset long, is_ref boolean, is_reverse boolean, qual long")
+    got = {(r.node, r.offset): (r.cpos, r.base, r.ref, r.ref_fwd, r.ref_rev, r.other, round(r.wref, 3), round(r.wother_rev, 3)) for r in counting.coverage(nodes, bases, "node", width=5).collect()}
+    places = [(n, k, c) for n in sorted(texts) for k, c in enumerate(texts[n] or "")]
+    assert list(zip(sorted(got), places, strict=True)) == [((n, k), (n, k, c)) for n, k, c in places]
+    assert all(got[n, k][:2] == (i, c) for i, (n, k, c) in enumerate(places))
+    assert got["a", 9][2:] == (2, 1, 1, 0, 1.89, 0) and got["a", 12][2:] == (0, 0, 0, 1, 0, 0) and got["e", 4][2:] == (0, 0, 0, 1, 0, 0.999)
