@@ -5,7 +5,7 @@ import re
 
 import __spark_entry__
 import pytest
-from graphcall.operators import alignment, counting, rewriting
+from graphcall.operators import alignment, counting, matching, rewriting
 from pyspark.sql import functions as F
 
 SMALL = "/root/testdata/sf0.001"
@@ -127,3 +127,37 @@ def test_coverage_over_chunks(spark):
     assert list(zip(sorted(got), places, strict=True)) == [((n, k), (n, k, c)) for n, k, c in places]
     assert all(got[n, k][:2] == (i, c) for i, (n, k, c) in enumerate(places))
     assert got["a", 9][2:] == (2, 1, 1, 0, 1.89, 0) and got["a", 12][2:] == (0, 0, 0, 1, 0, 0) and got["e", 4][2:] == (0, 0, 0, 1, 0, 0.999)
+
+
+def test_pairs_of_words_are_not_shuffled(spark):
+    """They grow with the square of a word's copies; only sequences may move."""
+    text = plan(__spark_entry__.queries()["kmer_seed_join"](spark, SMALL))
+    below = text[text.index("MapInArrow") :]
+    assert text.count("Exchange") == below.count("Exchange") and "Join" not in text
+
+
+@pytest.mark.parametrize(("k", "letters", "together"), [(3, 1 << 24, 1 << 19), (3, 40, 1), (17, 90, 7)])
+def test_seed_pairs_by_brute_force(spark, k, letters, together):
+    rng = random.Random(k + letters)
+    dna = lambda n: "".join(rng.choices("ACGTN", [6, 6, 6, 6, 1], k=n))
+    parts = [dna(25) for _ in range(3)]
+    made = lambda name: [(name(i), rng.choice(["", "ac", "é😀"]) + dna(rng.randint(0, 6)) + rng.choice(parts)[rng.randint(0, 5) :]) for i in range(30)]
+    reads = [*made(lambda i: i // 2), (None, parts[0]), (None, parts[1] + "AC"), (77, None), (78, ""), (79, "A" * 40), (80, "AC")]
+    paths = [*made(lambda i: f"p{i // 2}"), (None, parts[0] + parts[0]), ("p1", None), ("a", "A" * 50)]
+    words = lambda s: [(i, s[i : i + k]) for i in range(len(s or "") - k + 1) if set(s[i : i + k]) <= set("ACGT")]
+    first, want = {}, {}
+    for name, s in reads:
+        for i, w in words(s):
+            first[name, w] = min(i, first.get((name, w), i))
+    for name, s in paths:
+        for i, w in words(s):
+            for (read, x), at in first.items():
+                if x == w:
+                    n, least = want.get((read, name), (0, 10**9))
+                    want[read, name] = (n + 1, min(least, i - at))
+    found = matching.seed_pairs(spark.createDataFrame(reads, "id long, seq string"), spark.createDataFrame(paths, "id string, seq string"), k, letters=letters, together=together)
+    got = found.collect()
+    assert {(r.read, r.path): (r.seeds, r.diagonal) for r in got} == want and len(got) == len(want) > 100
+    assert found.dtypes == [("read", "bigint"), ("path", "string"), ("seeds", "bigint"), ("diagonal", "bigint")]
+    with pytest.raises(ValueError, match="31"):
+        matching.seed_pairs(found, found, 32)
