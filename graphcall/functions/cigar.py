@@ -49,21 +49,39 @@ def few_aligned(found: Column, fraction: float = 0.8) -> Column:
 
 def node_supported(ops: Column, node_length: Column, read_length: Column) -> Column:
     """A node shorter than half the read must match throughout; a longer one up to half its length may differ."""
-    differs = total(ops, "XIDS")
+    return _differs_little(total(ops, "XIDS"), node_length, read_length)
+
+
+def node_supported_by(found: Column, node_length: Column, read_length: Column) -> Column:
+    """:func:`node_supported` from a struct of :func:`sums`."""
+    return _differs_little(found["mismatched"] + found["inserted"] + found["deleted"] + found["clipped"], node_length, read_length)
+
+
+def _differs_little(differs: Column, node_length: Column, read_length: Column) -> Column:
     return F.when(2 * node_length < read_length, differs == 0).otherwise(2 * differs <= node_length)
 
 
 def edge_supported(left: Column, left_length: Column, right: Column, right_length: Column, read_length: Column) -> Column:
     """Both nodes of a crossing have enough matched bases: a tenth of the read and one, or the whole node."""
-    need = F.floor(read_length / 10).cast("int") + 1
+    side = lambda ops, length: _side_supported(total(ops, "MXIS="), total(ops, "MXDN="), total(ops, "M="), length, read_length)
+    return side(left, left_length) & side(right, right_length)
 
-    def side(ops: Column, length: Column) -> Column:
-        query, ref, matched = total(ops, "MXIS="), total(ops, "MXDN="), total(ops, "M=")
-        return (matched >= F.least(ref, need)) & (query < 2 * ref) & (matched >= F.least(length, need))
+
+def edge_supported_by(left: Column, left_length: Column, right: Column, right_length: Column, read_length: Column) -> Column:
+    """:func:`edge_supported` from structs of :func:`sums`."""
+
+    def side(s: Column, length: Column) -> Column:
+        both = s["matched"] + s["mismatched"]
+        return _side_supported(both + s["inserted"] + s["clipped"], both + s["deleted"] + s["unknown"], s["matched"], length, read_length)
 
     return side(left, left_length) & side(right, right_length)
 
 
+def _side_supported(query: Column, ref: Column, matched: Column, length: Column, read_length: Column) -> Column:
+    need = F.floor(read_length / 10).cast("int") + 1
+    return (matched >= F.least(ref, need)) & (query < 2 * ref) & (matched >= F.least(length, need))
+
+
 def of_placement(read: Column, ref: Column) -> Column:
     """The alignment string of a read on a stretch of equal length: runs of equal bases (M), bases that differ (X) and Ns on either side (N), with Ns of the stretch at its ends clipped (S)."""
     n = F.least(F.char_length(read), F.char_length(ref))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphcall.functions import cigar, sequence
 from graphcall.operators import alignment, counting, graphs, kmers
-from graphcall.operators.storage import cut
+from graphcall.operators.storage import cut, shuffled
 
 #: Bases of the nodes that stand before and behind a graph with open ends.
 EDGE_NODE = "N" * 10
@@ -83,11 +83,12 @@ def read_supports(aligned: DataFrame, described: DataFrame, *, bad_fraction: flo
     keep = aligned.columns
     if kmer is not None:
         aligned = cut(aligned.withColumn("_read", F.monotonically_increasing_id()), "aligned-reads")
-    rows = aligned.join(described.select("graph_id", F.col("nodes").alias("_nodes"), F.col("edges").alias("_edges")), "graph_id")
-    rows = rows.withColumn("_path", cigar.graph_nodes(F.col("graph_cigar")))
-    ops = F.flatten(F.transform("_path", lambda n: n["ops"]))
-    bad = F.size("_path") == 0
-    bad = bad | cigar.is_bad_alignment(ops, bad_fraction)
+    # A row of its own for what is read from the text, so that it is read once and not again by each filter that is moved down.
+    path = F.transform(cigar.graph_nodes(F.col("graph_cigar")), lambda n: F.struct(n["node"].alias("node"), n["ops"].alias("ops"), cigar.sums(n["ops"]).alias("sums")))
+    told = lambda p: F.struct(p.alias("path"), cigar.sums(F.flatten(F.transform(p, lambda n: n["ops"]))).alias("sums"))
+    rows = aligned.select("*", F.explode(F.transform(F.array(path), told)).alias("_told"))
+    rows = rows.join(described.select("graph_id", F.col("nodes").alias("_nodes"), F.col("edges").alias("_edges")), "graph_id")
+    bad = (F.size("_told.path") == 0) | cigar.few_aligned(F.col("_told.sums"), bad_fraction)
     reason = F.when(~F.col("is_unique") & F.lit(unique_only), "nonuniq").when(bad, "bad_align")
     if kmer is not None:
         nodes, edges = described_tables(described)
@@ -98,14 +99,14 @@ def read_supports(aligned: DataFrame, described: DataFrame, *, bad_fraction: flo
         reason = F.coalesce(reason, "_kmer")
     rows = rows.withColumn("reason", reason)
     status = F.when(F.col("reason").isNotNull(), "BAD_ALIGN").otherwise("MAPPED")
-    node = F.transform("_path", lambda n: F.struct(n["ops"].alias("ops"), F.get("_nodes", n["node"])["name"].alias("name"), F.char_length(F.get("_nodes", n["node"])["seq"]).alias("length"), n["node"].alias("node")))
+    node = F.transform("_told.path", lambda n: F.struct(n["sums"].alias("sums"), F.get("_nodes", n["node"])["name"].alias("name"), F.char_length(F.get("_nodes", n["node"])["seq"]).alias("length"), n["node"].alias("node")))
     rows = rows.withColumns({"status": status, "_path": node, "_n": F.char_length("seq")})
-    nodes = F.transform(F.filter("_path", lambda n: cigar.node_supported(n["ops"], n["length"], F.col("_n"))), lambda n: n["name"])
+    nodes = F.transform(F.filter("_path", lambda n: cigar.node_supported_by(n["sums"], n["length"], F.col("_n"))), lambda n: n["name"])
     pairs = F.zip_with(F.slice("_path", F.lit(1), F.greatest(F.size("_path") - 1, F.lit(0))), F.slice("_path", 2, F.greatest(F.size("_path") - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     rows = rows.withColumn("_pairs", F.transform(pairs, lambda p: F.struct(
         F.concat(p["a"]["name"], F.lit("_"), p["b"]["name"]).alias("name"),
         F.flatten(F.transform(F.filter("_edges", lambda e: (e["a"] == p["a"]["node"]) & (e["b"] == p["b"]["node"])), lambda e: e["labels"])).alias("labels"),
-        cigar.edge_supported(p["a"]["ops"], p["a"]["length"], p["b"]["ops"], p["b"]["length"], F.col("_n")).alias("ok"),
+        cigar.edge_supported_by(p["a"]["sums"], p["a"]["length"], p["b"]["sums"], p["b"]["length"], F.col("_n")).alias("ok"),
     )))
     sure = F.filter("_pairs", lambda p: p["ok"])
     labels = F.array_distinct(F.flatten(F.transform(sure, lambda p: p["labels"])))
@@ -137,9 +138,15 @@ def support_counts(supports: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def count_reads(reads: DataFrame, described: DataFrame, keys: list[str], *, kmer: int | None = None) -> DataFrame:
-    """Reads (keys with graph_id, fragment_id, seq) and graphs (as :func:`event_graphs` gives them) to counts of nodes, edges and sequences; ``kmer`` as in :func:`read_supports`."""
+    """Reads (keys, graph_id, fragment_id, seq) and graphs (as :func:`event_graphs` gives them) to counts of nodes, edges and sequences; ``kmer`` as in :func:`read_supports`.
+
+    What a read supports follows from its graph and its bases, so each different sequence of a graph is aligned and judged once, and reads meet what they support by both.
+    """
     plain = described.select("graph_id", F.transform("nodes", lambda n: F.struct(n["id"].alias("id"), n["seq"].alias("seq"))).alias("nodes"), F.transform("edges", lambda e: F.struct(e["a"].alias("a"), e["b"].alias("b"))).alias("edges"))
-    return support_counts(read_supports(alignment.graph_alignments(reads, plain), described, kmer=kmer), keys)
+    reads = cut(reads.select(*dict.fromkeys([*keys, "graph_id", "fragment_id", "seq"])), "counted-reads")
+    judged = read_supports(alignment.graph_alignments(reads.select("graph_id", "seq").distinct(), plain), described, kmer=kmer).where("status = 'MAPPED'")
+    judged = judged.select("graph_id", "seq", "status", "reverse", "nodes_supported", "edges_supported", "sequences_supported")
+    return support_counts(reads.join(shuffled(judged), ["graph_id", "seq"]), keys)
 
 
 def alignment_statistics(supports: DataFrame, described: DataFrame, keys: list[str]) -> DataFrame:

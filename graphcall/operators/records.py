@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphcall.operators import alleles, events, genotyping
-from graphcall.operators.storage import cut
+from graphcall.operators.storage import cut, dealt
 
 
 def allele_names(n_alts: Column) -> Column:
@@ -100,7 +100,7 @@ def calls_of(counts: DataFrame, samples: DataFrame, sequences: DataFrame, *, plo
     """
     keys = ["graph_id", "sample_id"]
     rows = counts.join(samples.select("sample_id", F.col("depth").cast("double"), F.col("depth_sd").cast("double"), F.col("read_length").cast("double")), "sample_id").withColumn("ploidy", F.lit(ploidy))
-    each = cut(genotyping.called(rows, poisson=poisson), "breakpoint-calls")
+    each = cut(genotyping.called(dealt(rows), poisson=poisson), "breakpoint-calls")
     both = each.groupBy(*keys).agg(F.collect_list("gl").alias("_all"), F.max("n_alts").alias("n_alts"))
     gl = F.aggregate(F.slice("_all", F.lit(2), F.greatest(F.size("_all") - 1, F.lit(0))), F.get("_all", F.lit(0)), lambda s, x: F.zip_with(s, x, lambda a, b: F.greatest(a, b)))
     both = both.select(*keys, "n_alts", gl.alias("gl"))

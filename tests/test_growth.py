@@ -5,7 +5,7 @@ import re
 
 import __spark_entry__
 import pytest
-from graphcall.operators import alignment, counting, matching, rewriting
+from graphcall.operators import alignment, counting, events, matching, records, rewriting
 from pyspark.sql import functions as F
 
 SMALL = "/root/testdata/sf0.001"
@@ -161,3 +161,89 @@ def test_seed_pairs_by_brute_force(spark, k, letters, together):
     assert found.dtypes == [("read", "bigint"), ("path", "string"), ("seeds", "bigint"), ("diagonal", "bigint")]
     with pytest.raises(ValueError, match="31"):
         matching.seed_pairs(found, found, 32)
+
+
+def _random_parts(rng, number):
+    parts = []
+    for _ in range(number):
+        letters = rng.choice(["ACGT", "AC", "ACGTN", "acgt"])
+        dna = lambda n, of=letters: "".join(rng.choices(of, k=n))
+        units = [dna(rng.choice([3, 8, 14, 20])) for _ in range(3)]
+        n = rng.randint(1, 7)
+        nodes = [(3 * k, rng.choice(["", dna(rng.choice([1, 2, 9, 20])), rng.choice(units), rng.choice(units).upper()[::-1].translate(BACK), units[0] + rng.choice(units)])) for k in range(n)]
+        edges = [(3 * a, 3 * b) for a in range(n) for b in range(a + 1, n) if b == a + 1 or rng.random() < 0.35]
+        reads = []
+        for _ in range(rng.randint(1, 9)):
+            way = [rng.choice(nodes)[0]]
+            while after := [b for a, b in edges if a == way[-1]]:
+                way.append(rng.choice(after))
+            text = "".join(dict(nodes)[x] for x in way)[rng.randint(0, 9) :][: rng.choice([5, 12, 13, 30, 90])]
+            if rng.random() < 0.4 and text:
+                text = text[: len(text) // 2] + rng.choice(["", "N", "GA"]) + text[len(text) // 2 + rng.randint(0, 2) :]
+            reads.append(text.upper()[::-1].translate(BACK) if rng.random() < 0.5 else text)
+        parts.append((reads, nodes, edges))
+    return parts
+
+
+BACK = str.maketrans("ACGT", "TGCA")
+
+
+def test_exact_reads_and_many_graphs_as_by_alignment_alone(monkeypatch):
+    """Reads settled by their exact places, and graphs filled side by side in small portions, come out as each graph by full alignment."""
+    rng = random.Random(21)
+    for _ in range(40):
+        parts = _random_parts(rng, 5)
+        found = alignment.aligned_blocks(parts), alignment.aligned_blocks(parts, paths=False)
+        with monkeypatch.context() as m:
+            m.setattr(alignment, "EXACT_WORD", 10**6)
+            assert found[0] == [alignment.aligned_block(*p) for p in parts]
+            m.setattr(alignment, "BLOCK_CELLS", rng.choice([1, 2000]))
+            assert found == (alignment.aligned_blocks(parts), alignment.aligned_blocks(parts, paths=False))
+
+
+def test_graphs_are_filled_together(monkeypatch):
+    """A step's cost is shared by all graphs of a call; reads that stand on their graph letter by letter cost no step."""
+    calls, real = [], alignment._fill
+    monkeypatch.setattr(alignment, "_fill", lambda made, keep: calls.append(len(made)) or real(made, keep))
+    left, right = "ACGTTGCAGGTACCATGA", "TTAGCCATCAGGACTTGC"
+    parts = [([left[3:] + right[:9], (left + right)[::-1].translate(BACK)], [(0, left), (1, "G" * k), (2, right)], [(0, 2), (0, 1), (1, 2)]) for k in range(1, 9)]
+    for (seqs, _, _), rows in zip(parts, alignment.aligned_blocks(parts), strict=True):
+        assert [r[:4] for r in rows] == [(len(seqs[0]), 2, False, True), (len(seqs[1]), 2, True, True)]
+    assert not calls
+    alignment.aligned_blocks([([left[:9] + "A" + left[10:] + right], nodes, edges) for _, nodes, edges in parts])
+    assert calls == [8, 8]
+
+
+def test_different_sequences_are_judged_once(spark, monkeypatch):
+    """Equal reads of a graph support the same, however many samples and fragments have them."""
+    asked, real = [], alignment.graph_alignments
+    monkeypatch.setattr(alignment, "graph_alignments", lambda reads, graphs: asked.append(reads.count()) or real(reads, graphs))
+    parts = ["ACGTTGCAGGTACCATGATT", "GGCCAATTCG", "TTAGCCATCAGGACTTGCAA"]
+    described = spark.createDataFrame([(1, [(k, n, s) for k, (n, s) in enumerate(zip(("LF", "INS", "RF"), parts, strict=True))], [(0, 2, "LF_RF", ["REF"]), (0, 1, "LF_INS", ["INS"]), (1, 2, "INS_RF", ["INS"])])],
+                                      "graph_id long, nodes array<struct<id:long,name:string,seq:string>>, edges array<struct<a:long,b:long,name:string,labels:array<string>>>")
+    ref, ins = parts[0][4:] + parts[2][:16], parts[0][8:] + parts[1] + parts[2][:12]
+    rows = [(1, s, f"f{k}", text) for s in ("x", "y") for k in range(20) for text in (ref, ins[::-1].translate(BACK)) if k % 2 or text == ref] + [(1, "x", "n", None), (1, "x", "e", ""), (9, "x", "f", ref)]
+    reads = spark.createDataFrame(rows, "graph_id long, sample_id string, fragment_id string, seq string")
+    got = {(r.sample_id, r.element): (r.fragments, r.reads, r.fwd, r.rev) for r in events.count_reads(reads, described, ["sample_id", "graph_id"]).collect() if r.kind == "edge"}
+    assert got == {(s, e): n for s in "xy" for e, n in {"LF_RF": (20, 30, 20, 10), "LF_INS": (10, 20, 10, 10), "INS_RF": (10, 20, 10, 10)}.items()}
+    assert asked == [5]
+
+
+def test_alignment_texts_are_read_once(spark):
+    """Moved down, the filter of reads that don't map read every text again, more than twenty times."""
+    aligned = spark.createDataFrame([(1, "f", "ACGT", False, True, "0[4M]")], "graph_id long, fragment_id string, seq string, reverse boolean, is_unique boolean, graph_cigar string")
+    described = spark.createDataFrame([(1, [(0, "LF", "ACGT")], [])], "graph_id long, nodes array<struct<id:long,name:string,seq:string>>, edges array<struct<a:long,b:long,name:string,labels:array<string>>>")
+    found = events.support_counts(events.read_supports(aligned, described), ["graph_id"])
+    assert plan(found).count("regexp_extract_all(") == 3
+    assert [(r.kind, r.element, r.fragments) for r in found.collect()] == [("node", "LF", 1)]
+
+
+def test_calls_are_dealt(spark, monkeypatch):
+    """Few bytes of counts are one task for adaptive execution, however long their likelihoods take."""
+    seen, real = {}, records.cut
+    monkeypatch.setattr(records, "cut", lambda df, name="step": seen.setdefault(name, plan(df)) and real(df, name))
+    counts = spark.createDataFrame([(1, "x", "LF_", 1, [9, 8])], "graph_id long, sample_id string, breakpoint string, n_alts int, counts array<long>")
+    samples = spark.createDataFrame([("x", 40.0, 15.0, 60.0)], "sample_id string, depth double, depth_sd double, read_length double")
+    none = spark.createDataFrame([], "sample_id string, graph_id long, element string, fwd long, rev long")
+    assert [r["gt"] for r in records.calls_of(counts, samples, none).collect()] == [["REF", "ALT1"]]
+    assert "RoundRobinPartitioning" in seen["breakpoint-calls"]
